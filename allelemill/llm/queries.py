@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
 from . import linkage as L
+from . import mixing as M
+from . import packing as P
 from . import reading as R
 
 
@@ -17,6 +19,22 @@ def p6_matches(spark: SparkSession, d: str) -> DataFrame:
     return L.matches(table(spark, d, "meta_stats"), table(spark, d, "biobank_stats"), "meta_id", "bio_id")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return P.fill_containers(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return P.fill_report(p7_containers(spark, d))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return M.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return M.mixture_report(p8_selection(spark, d), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return R.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples")).select("doc_id", "grade")
 
@@ -25,5 +43,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return R.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p7_containers, p7_report, p8_selection, p8_shares, p9_found, p9_levels)}
 SQL: dict[str, str] = {}
