@@ -1,6 +1,475 @@
-"""Queries of the engine's own operators over views of the test tables, each with its SQL."""
+"""Queries of the engine's own operators over views of the test tables, each with its SQL.
+
+The views give the star-schema tables the shape of summary statistics, regions, chain blocks and reference entries; their
+definitions are valid in Spark and DuckDB alike.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import statistics as S
+from ..functions.genome import AUTOSOMES, effect_ordered, parsed_variant_id, reference_allele, reverse_complement, variant_id
+from ..operators import build_inference, liftover, rsid, variants
+from ..operators.regions import RegionSet
+from ..operators.variants import Variants
+from ..plans.predicate import col
+from ..sources.stats_source import StatsSource
+from ..tables import table
+
+# ---- views
+
+V_STATS = [
+    "'chr' || cast(l_partkey % 22 + 1 AS string) AS chr",
+    "cast((l_orderkey * 7 + l_linenumber) % 1000000 + 1 AS int) AS pos",
+    "substr('ACGT', cast(l_suppkey % 4 + 1 AS int), 1) AS ref",
+    "substr('ACGT', cast((l_suppkey + 1 + l_linenumber % 3) % 4 + 1 AS int), 1) AS alt",
+    "round(l_discount - 0.05, 4) AS effect",
+    "round(l_tax + 0.01, 4) AS effect_se",
+    "round((l_quantity + 1) / 100, 4) AS pval",
+    "'rs' || cast(l_partkey AS string) AS rsid",
+]
+V_REGIONS = [
+    "'chr' || cast(s_suppkey % 22 + 1 AS string) AS chr",
+    "cast((s_suppkey * 3571) % 90000 + 1 AS int) AS start",
+    "cast((s_suppkey * 3571) % 90000 + (s_suppkey % 7) * 5000 + 1000 AS int) AS `end`",
+]
+V_CHAIN = [
+    "'chr' || cast(n_nationkey % 22 + 1 AS string) AS chr",
+    "cast((n_regionkey + r_regionkey) * 15000 + 1 AS int) AS start",
+    "cast((n_regionkey + r_regionkey) * 15000 + 20000 AS int) AS `end`",
+    "'chr' || cast(n_nationkey % 22 + 1 AS string) AS new_chr",
+    "cast(n_nationkey * 13 + r_regionkey * 7 - 100 AS int) AS off",
+    "((n_nationkey + r_regionkey) % 5 = 0) AS rev",
+]
+V_REFERENCE = [
+    "'rs' || cast(p_partkey AS string) AS rsid",
+    "'chr' || cast(p_partkey % 22 + 1 AS string) AS chr",
+    "cast((p_partkey * 37) % 100000 + 1 AS int) AS pos",
+    "substr('ACGT', cast(p_partkey % 4 + 1 AS int), 1) AS ref",
+    "substr('ACGT', cast((p_partkey + 1 + p_size % 3) % 4 + 1 AS int), 1) AS alt",
+]
+V_MARKER = [
+    "'b37-c' || cast(l_partkey % 22 + 1 AS string) || ':' || cast((l_orderkey * 7 + l_linenumber) % 1000000 + 1 AS string) || '-123' AS MarkerName",
+    "lower(substr('ACGT', cast(l_suppkey % 4 + 1 AS int), 1)) || '/' || substr('ACGT', cast((l_suppkey + 2) % 4 + 1 AS int), 1) AS SNPAlleles",
+    "round(l_discount - 0.05, 4) AS beta",
+]
+
+
+def _sql(cols: list[str]) -> str:
+    return ", ".join(cols).replace("`end`", "end_pos").replace("AS start", "AS start_pos")
+
+
+WITH = (
+    f"WITH v AS (SELECT {_sql(V_STATS)} FROM lineitem), r AS (SELECT {_sql(V_REGIONS)} FROM supplier), "
+    f"c AS (SELECT {_sql(V_CHAIN)} FROM nation CROSS JOIN region), e AS (SELECT {_sql(V_REFERENCE)} FROM part), k AS (SELECT {_sql(V_MARKER)} FROM lineitem) "
+)
+
+
+def stats(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").selectExpr(*V_STATS)
+
+
+def source(s: SparkSession, d: str, build: str | None = "b37") -> StatsSource:
+    return StatsSource.from_table(stats(s, d), build)
+
+
+def regions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "supplier").selectExpr(*V_REGIONS)
+
+
+def region_set(s: SparkSession, d: str, merge: bool = False) -> RegionSet:
+    return RegionSet.from_df(regions(s, d), "b37", merge=merge)
+
+
+def chain(s: SparkSession, d: str) -> DataFrame:
+    n, r = table(s, d, "nation"), table(s, d, "region").select("r_regionkey")
+    keys = [x[0] for x in r.limit(100).collect()]  # the five regions
+    return n.withColumn("r_regionkey", F.explode(F.array(*[F.lit(x) for x in keys]))).selectExpr(*V_CHAIN)
+
+
+def reference(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").selectExpr(*V_REFERENCE)
+
+
+def markers(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "lineitem").selectExpr(*V_MARKER)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None, name: str | None = None) -> Callable:
+    def keep(f: Callable) -> Callable:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = WITH + sql
+        return f
+
+    return keep
+
+
+# ---- predicates
+
+_README = "((chr == 2 & 2345 < pos & pos < 9456) | (chr == 3 & 42 < pos & pos < 4242)) & pval < 0.25"
+
+
+@query("SELECT * FROM v WHERE ((chr = 'chr2' AND 2345 < pos AND pos < 9456) OR (chr = 'chr3' AND 42 < pos AND pos < 4242)) AND pval < 0.25")
+def flagship_region_pval(s: SparkSession, d: str) -> DataFrame:
+    return source(s, d)[_README]
+
+
+@query("SELECT chr, count(*) AS n, round(min(pval), 6) AS best FROM v WHERE pval < 0.25 AND EXISTS (SELECT 1 FROM r WHERE r.chr = v.chr AND v.pos BETWEEN start_pos AND end_pos) GROUP BY chr")
+def filter_regions_significant(s: SparkSession, d: str) -> DataFrame:
+    hits = region_set(s, d, True).filter(source(s, d)[col("pval") < 0.25])
+    return hits.groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("pval"), 6).alias("best"))
+
+
+for _name, _op, _text, _sqltext in (
+    ("filter_lt", "<", "pval < 0.05", "pval < 0.05"), ("filter_le", "<=", "pval <= 0.05", "pval <= 0.05"), ("filter_gt", ">", "pval > 0.45", "pval > 0.45"), ("filter_ge", ">=", "0.5 <= pval", "pval >= 0.5"),
+    ("filter_eq", "==", 'ref == "a" & chr == "2"', "ref = 'A' AND chr = 'chr2'"), ("filter_neq", "!=", "effect != 0 & chr == 7", "effect <> 0 AND chr = 'chr7'"),
+    ("filter_col_vs_col", "<", "effect < effect_se & chr == 4", "effect < effect_se AND chr = 'chr4'"),
+    ("filter_in_small", "%in%", 'rsid %in% c("rs1", "rs5", "rs77")', "rsid IN ('rs1', 'rs5', 'rs77')"),
+    ("filter_grepl", "grepl", 'grepl("^rs[[:digit:]]7$", rsid)', "regexp_matches(rsid, '^rs[0-9]7$')"), ("filter_like", "%like%", 'rsid %like% "99$"', "regexp_matches(rsid, '99$')"),
+    ("filter_or_mixed", "|", "(chr == 1 & pos < 3000) | pval < 0.03", "(chr = 'chr1' AND pos < 3000) OR pval < 0.03"),
+    ("filter_not_pos", "!=", "chr == 1 & pos != 1001 & pos < 5000", "chr = 'chr1' AND pos <> 1001 AND pos < 5000"), ("filter_not_chr", "!=", "chr != 1 & pos < 500", "chr <> 'chr1' AND pos < 500"),
+    ("filter_chr_range", "<", "chr < 4 & pos <= 2000 | 20 < chr & pos <= 1000", "(cast(substr(chr, 4) AS int) < 4 AND pos <= 2000) OR (cast(substr(chr, 4) AS int) > 20 AND pos <= 1000)"),
+    ("filter_contradiction", "&", "chr == 1 & chr != 1", "chr = 'chr1' AND chr <> 'chr1'"), ("filter_tautology", "|", "(chr == 1 | chr != 1) & pos < 300", "pos < 300"),
+    ("filter_grouped", "()", "!(pval < 0.4) & (pos < 2000 | pos > 999000)", "NOT pval < 0.4 AND (pos < 2000 OR pos > 999000)"),
+):
+
+    def _run(s: SparkSession, d: str, text: str = _text) -> DataFrame:
+        return source(s, d)[text]
+
+    query(f"SELECT * FROM v WHERE {_sqltext}", _name)(_run)
+
+
+@query("SELECT v.* FROM v WHERE rsid IN (SELECT 'rs' || cast(s_suppkey AS string) FROM supplier)")
+def filter_in_large(s: SparkSession, d: str) -> DataFrame:
+    """A value set from a table: a semi-join."""
+    wanted = table(s, d, "supplier").selectExpr("'rs' || cast(s_suppkey AS string) AS rsid")
+    return source(s, d).read().join(wanted, "rsid", "left_semi").select("chr", "pos", "ref", "alt", "effect", "effect_se", "pval", "rsid")
+
+
+@query("SELECT * FROM v ORDER BY chr, pos, ref, alt, effect, effect_se, pval, rsid LIMIT 25")
+def head_n(s: SparkSession, d: str) -> DataFrame:
+    t = source(s, d)
+    return t.read().orderBy(*t.columns).limit(25)
+
+
+@query("SELECT * FROM v WHERE pval < 0.1 ORDER BY chr, pos, ref, alt, effect, effect_se, pval, rsid LIMIT 40")
+def nlines_filter(s: SparkSession, d: str) -> DataFrame:
+    t = source(s, d)
+    return t.filter("pval < 0.1").orderBy(*t.columns).limit(40)
+
+
+# ---- columns
+
+
+@query("SELECT chr, pos, count(*) AS n, round(sum(effect), 6) AS effect FROM v GROUP BY chr, pos")
+def standardise_names(s: SparkSession, d: str) -> DataFrame:
+    named = stats(s, d).selectExpr("substr(chr, 4) AS SNPChr", "pos AS SNPPos", "effect AS MetaBeta")
+    return StatsSource.from_table(named).table.groupBy("chr", "pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("effect"), 6).alias("effect"))
+
+
+@query("SELECT split_part(split_part(MarkerName, '-c', 2), ':', 1) AS chr, cast(split_part(split_part(MarkerName, ':', 2), '-', 1) AS int) AS pos, split_part(MarkerName, '-c', 1) AS build, beta FROM k")
+def decode_marker_build(s: SparkSession, d: str) -> DataFrame:
+    p = F.split("MarkerName", "-c|:|-")
+    return markers(s, d).select(p[1].alias("chr"), p[2].cast("int").alias("pos"), p[0].alias("build"), "beta")
+
+
+@query("SELECT upper(split_part(SNPAlleles, '/', 1)) AS ref, upper(split_part(SNPAlleles, '/', 2)) AS alt, count(*) AS n FROM k GROUP BY 1, 2")
+def decode_snpalleles(s: SparkSession, d: str) -> DataFrame:
+    p = F.split("SNPAlleles", "/")
+    return markers(s, d).select(F.upper(p[0]).alias("ref"), F.upper(p[1]).alias("alt")).groupBy("ref", "alt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT chr, pos, CASE WHEN ref < alt AND ref = alt THEN alt ELSE ref END AS ref, alt FROM v")
+def ref_from_a1_a2(s: SparkSession, d: str) -> DataFrame:
+    """allele1 and allele2 in alphabetical order; the reference allele is the one that is not alt."""
+    a1, a2 = F.least("ref", "alt"), F.greatest("ref", "alt")
+    return stats(s, d).select("chr", "pos", reference_allele(a1, a2, F.col("alt")).alias("ref"), "alt")
+
+
+@query("SELECT chr, pos, ref, alt FROM v")
+def effect_allele_pair(s: SparkSession, d: str) -> DataFrame:
+    """Packed alleles in alphabetical order beside the effect allele: alt comes out as the effect allele."""
+    ref, alt = effect_ordered(F.lower(F.least("ref", "alt")), F.lower(F.greatest("ref", "alt")), F.col("alt"))
+    return stats(s, d).select("chr", "pos", ref.alias("ref"), alt.alias("alt"))
+
+
+@query("SELECT upper(lower(ref)) AS ref, alt, chr, count(*) AS n FROM v GROUP BY 1, 2, 3")
+def allele_upper_chr_prefix(s: SparkSession, d: str) -> DataFrame:
+    raw = stats(s, d).selectExpr("lower(ref) AS NEA", "lower(alt) AS EA", "substr(chr, 4) AS CHROM")
+    return StatsSource.from_table(raw).table.groupBy("ref", "alt", "chr").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT cast(split_part(x, ':', 1) AS double) AS effect, cast(split_part(x, ':', 2) AS double) AS effect_se, cast(split_part(x, ':', 3) AS double) AS log10p FROM (SELECT cast(effect AS string) || ':' || cast(effect_se AS string) || ':2.5' AS x FROM v)")
+def trait_vcf_decode(s: SparkSession, d: str) -> DataFrame:
+    """Values packed by a FORMAT of ES:SE:LP."""
+    x = F.split(F.concat_ws(":", F.col("effect").cast("string"), F.col("effect_se").cast("string"), F.lit("2.5")), ":")
+    return stats(s, d).select(*[x[i].cast("double").alias(n) for i, n in enumerate(("effect", "effect_se", "log10p"))])
+
+
+# ---- regions
+
+_MERGED = """m0 AS (SELECT chr, start_pos, end_pos, CASE WHEN max(end_pos) OVER w + 1 < start_pos OR max(end_pos) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM r
+ WINDOW w AS (PARTITION BY chr ORDER BY start_pos, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ m1 AS (SELECT *, sum(n) OVER (PARTITION BY chr ORDER BY start_pos, end_pos ROWS UNBOUNDED PRECEDING) AS g FROM m0),
+ m AS (SELECT chr, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM m1 GROUP BY chr, g)"""
+
+
+def _shown(r: RegionSet) -> DataFrame:
+    return r.df.select("chr", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
+@query(f", {_MERGED} SELECT * FROM m")
+def region_merge(s: SparkSession, d: str) -> DataFrame:
+    return _shown(region_set(s, d).merged())
+
+
+_SHIFT = "(SELECT chr, start_pos + 30000 AS start_pos, end_pos + 30000 AS end_pos FROM r WHERE end_pos < 60000)"
+
+
+def _second(s: SparkSession, d: str) -> RegionSet:
+    return RegionSet.from_df(regions(s, d).filter("`end` < 60000").selectExpr("chr", "start + 30000 AS start", "`end` + 30000 AS `end`"), "b37")
+
+
+@query(", r2 AS (SELECT * FROM r UNION ALL SELECT * FROM " + _SHIFT + "), " + _MERGED.replace("FROM r\n", "FROM r2\n") + " SELECT * FROM m")
+def region_union(s: SparkSession, d: str) -> DataFrame:
+    return _shown(region_set(s, d) | _second(s, d))
+
+
+# positions are at most 120000 here, so SQL can tell by position
+_GRID = ", p AS (SELECT 'chr' || cast(a.i AS string) AS chr, cast(b.j AS int) AS pos FROM range(1, 23) a(i) CROSS JOIN range(1, 160001, 250) b(j)) "
+
+
+def _on_grid(s: SparkSession, r: RegionSet) -> DataFrame:
+    grid = s.range(1, 160001, 250).select(F.col("id").cast("int").alias("pos"), F.explode(F.array(*[F.lit(c) for c in AUTOSOMES])).alias("chr"))
+    return r.filter(grid).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("bigint").alias("s"))
+
+
+_IN1 = "EXISTS (SELECT 1 FROM r x WHERE x.chr = p.chr AND p.pos BETWEEN x.start_pos AND x.end_pos)"
+_IN2 = f"EXISTS (SELECT 1 FROM {_SHIFT} x WHERE x.chr = p.chr AND p.pos BETWEEN x.start_pos AND x.end_pos)"
+_COUNT = "SELECT chr, count(*) AS n, cast(sum(pos) AS bigint) AS s FROM p WHERE "
+
+
+@query(_GRID + _COUNT + f"{_IN1} AND {_IN2} GROUP BY chr")
+def region_intersect(s: SparkSession, d: str) -> DataFrame:
+    return _on_grid(s, region_set(s, d) & _second(s, d))
+
+
+@query(_GRID + _COUNT + f"{_IN1} AND NOT {_IN2} GROUP BY chr")
+def region_difference(s: SparkSession, d: str) -> DataFrame:
+    return _on_grid(s, region_set(s, d) - _second(s, d))
+
+
+@query(_GRID + _COUNT + f"NOT {_IN1} GROUP BY chr")
+def region_complement(s: SparkSession, d: str) -> DataFrame:
+    return _on_grid(s, (~region_set(s, d)).expand())
+
+
+@query(_GRID + _COUNT + f"{_IN1} OR NOT {_IN2} GROUP BY chr")
+def region_union_mixed(s: SparkSession, d: str) -> DataFrame:
+    return _on_grid(s, region_set(s, d) | ~_second(s, d))
+
+
+@query("SELECT true AS equal_forms, false AS equal_other, cast(1 AS bigint) AS n_compact")
+def region_equality_compact(s: SparkSession, d: str) -> DataFrame:
+    """The complement of the complement equals the set; all autosomes but one are one excluded row."""
+    a, b = region_set(s, d), _second(s, d)
+    small = RegionSet.of(s, chr=AUTOSOMES[:-1]).compact()
+    return s.createDataFrame([(a.equals(~((~a).expand())), a.equals(b), small.df.count())], "equal_forms boolean, equal_other boolean, n_compact long")
+
+
+@query("SELECT v.* FROM v WHERE EXISTS (SELECT 1 FROM r WHERE r.chr = v.chr AND v.pos BETWEEN start_pos AND end_pos)")
+def region_filter_include(s: SparkSession, d: str) -> DataFrame:
+    return source(s, d)[region_set(s, d, True)]
+
+
+@query("SELECT v.* FROM v WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.chr = v.chr AND v.pos BETWEEN start_pos AND end_pos)")
+def region_filter_exclude(s: SparkSession, d: str) -> DataFrame:
+    return source(s, d)[~region_set(s, d, True)]
+
+
+# ---- liftover
+
+_MATCH = """, x AS (SELECT v.chr, v.pos, v.ref, v.alt, v.rsid, v.effect, v.effect_se, v.pval, c.new_chr, c.start_pos AS b, c.end_pos AS z, c.off, c.rev,
+ CASE WHEN c.rev THEN c.end_pos - c.off - (v.pos - c.start_pos) ELSE v.pos - c.off END AS new_pos FROM (SELECT *, row_number() OVER () AS id FROM v) v {join} JOIN c ON v.chr = c.chr AND v.pos BETWEEN c.start_pos AND c.end_pos {pick})"""
+_COMP = "translate(reverse({0}), 'ACGT', 'TGCA')"
+_LIFTED = f"SELECT new_chr AS chr, cast(new_pos AS int) AS pos, CASE WHEN rev THEN {_COMP.format('ref')} ELSE ref END AS ref, CASE WHEN rev THEN {_COMP.format('alt')} ELSE alt END AS alt, effect, effect_se, pval, rsid FROM x"
+
+
+def _pick(order: str) -> str:
+    return f"QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY {order}) = 1"
+
+
+@query(_MATCH.format(join="", pick="") + _LIFTED)
+def liftover_points_all(s: SparkSession, d: str) -> DataFrame:
+    return liftover.lift_points(stats(s, d), chain(s, d), "all")
+
+
+@query(_MATCH.format(join="", pick=_pick("c.start_pos, c.end_pos, c.off")) + _LIFTED)
+def liftover_points_first(s: SparkSession, d: str) -> DataFrame:
+    return liftover.lift_points(stats(s, d), chain(s, d), "first")
+
+
+@query(_MATCH.format(join="", pick=_pick("c.start_pos DESC, c.end_pos DESC, c.off DESC")) + _LIFTED)
+def liftover_points_last(s: SparkSession, d: str) -> DataFrame:
+    return liftover.lift_points(stats(s, d), chain(s, d), "last")
+
+
+@query(_MATCH.format(join="LEFT", pick=_pick("c.start_pos, c.end_pos, c.off")) + _LIFTED)
+def liftover_keep_unlifted(s: SparkSession, d: str) -> DataFrame:
+    return liftover.lift_points(stats(s, d), chain(s, d), "first", drop_unlifted=False)
+
+
+@query(
+    """ SELECT c.new_chr AS chr, cast(CASE WHEN rev THEN c.end_pos - off - (least(r.end_pos, c.end_pos) - c.start_pos) ELSE greatest(r.start_pos, c.start_pos) - off END AS int) AS start_pos,
+ cast(CASE WHEN rev THEN c.end_pos - off - (greatest(r.start_pos, c.start_pos) - c.start_pos) ELSE least(r.end_pos, c.end_pos) - off END AS int) AS end_pos
+ FROM r JOIN c ON r.chr = c.chr AND r.start_pos <= c.end_pos AND c.start_pos <= r.end_pos"""
+)
+def liftover_ranges(s: SparkSession, d: str) -> DataFrame:
+    return liftover.lift_ranges(regions(s, d), chain(s, d)).select("chr", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
+_LIFTED_REGIONS = SQL["liftover_ranges"][len(WITH) :]
+
+
+@query(", r3 AS (" + _LIFTED_REGIONS + "), " + _MERGED.replace("FROM r\n", "FROM r3\n") + " SELECT chr, CASE WHEN start_pos > 0 THEN start_pos END AS start_pos, end_pos FROM m")
+def liftover_regions(s: SparkSession, d: str) -> DataFrame:
+    return _shown(liftover.lift_regions(region_set(s, d), chain(s, d), "b38"))
+
+
+@query(f"SELECT ref || alt AS a, {_COMP.format('ref || alt')} AS b, count(*) AS n FROM v GROUP BY 1, 2", "reverse_complement")
+def _reverse_complement(s: SparkSession, d: str) -> DataFrame:
+    a = F.concat("ref", "alt")
+    return stats(s, d).select(a.alias("a"), reverse_complement(F.lower(a)).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- variants
+
+
+def _variants(s: SparkSession, d: str) -> Variants:
+    return Variants.of(reference(s, d).select("chr", "pos", "ref", "alt", "rsid"), "b37")
+
+
+@query(
+    _MATCH.replace("v.rsid, v.effect, v.effect_se, v.pval", "v.rsid").replace("FROM v) v", "FROM e) v").format(join="LEFT", pick=_pick("c.start_pos, c.end_pos, c.off"))
+    + f", y AS (SELECT rsid, chr AS chr_b37, pos AS pos_b37, new_chr AS chr, cast(new_pos AS int) AS pos, CASE WHEN new_chr IS NULL THEN NULL WHEN rev THEN {_COMP.format('ref')} ELSE ref END AS ref, CASE WHEN new_chr IS NULL THEN NULL WHEN rev THEN {_COMP.format('alt')} ELSE alt END AS alt FROM x)"
+    " SELECT *, chr || '_' || cast(pos AS string) || '_' || ref || '_' || alt || '_b38' AS variant_id, 'b37' AS defining_build FROM y"
+)
+def variants_best_source(s: SparkSession, d: str) -> DataFrame:
+    v = _variants(s, d).lift("b38", {("b37", "b38"): chain(s, d)})
+    return v.df.select("rsid", "chr_b37", "pos_b37", "chr", "pos", "ref", "alt", "variant_id", "defining_build")
+
+
+@query("SELECT *, chr AS chr_b37, pos AS pos_b37, ref AS ref_b37, alt AS alt_b37 FROM e")
+def variants_record_build(s: SparkSession, d: str) -> DataFrame:
+    return variants.record_build(reference(s, d), "b37")
+
+
+@query("SELECT chr || '_' || cast(pos AS string) || '_' || ref || '_' || alt || '_b37' AS variant_id FROM v")
+def variant_id_format(s: SparkSession, d: str) -> DataFrame:
+    return stats(s, d).select(variant_id(F.col("chr"), F.col("pos"), F.col("ref"), F.col("alt"), F.lit("b37")).alias("variant_id"))
+
+
+_ID_OK = "regexp_full_match(variant_id, 'chr[^_]+_[0-9]+_[A-Za-z]+_[A-Za-z]+_[A-Za-z0-9]+')"
+
+
+@query(
+    f"SELECT row_id, CASE WHEN {_ID_OK} THEN split_part(variant_id, '_', 1) END AS chr, CASE WHEN {_ID_OK} THEN cast(split_part(variant_id, '_', 2) AS int) END AS pos, "
+    f"CASE WHEN {_ID_OK} THEN split_part(variant_id, '_', 3) END AS ref, CASE WHEN {_ID_OK} THEN split_part(variant_id, '_', 4) END AS alt, CASE WHEN {_ID_OK} THEN split_part(variant_id, '_', 5) END AS build FROM sumstats"
+)
+def variant_id_parse(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "sumstats").select("row_id", parsed_variant_id(F.col("variant_id")).alias("p")).select("row_id", "p.*")
+
+
+@query(f"SELECT count(*) AS n FROM sumstats WHERE variant_id IS NOT NULL AND NOT coalesce({_ID_OK} AND split_part(variant_id, '_', 1) = chr AND cast(split_part(variant_id, '_', 2) AS int) = pos AND split_part(variant_id, '_', 3) = ref AND split_part(variant_id, '_', 4) = alt AND split_part(variant_id, '_', 5) = 'b37', false)")
+def variant_id_check(s: SparkSession, d: str) -> DataFrame:
+    return variants.inconsistent_ids(table(s, d, "sumstats"), "b37").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT chr, pos, ref, alt FROM v")
+def variants_unique(s: SparkSession, d: str) -> DataFrame:
+    return Variants.of(stats(s, d), "b37").unique().df.select("chr", "pos", "ref", "alt")
+
+
+@query("SELECT chr, pos, ref, alt, rsid, cast(NULL AS double) AS effect FROM e UNION ALL SELECT chr, pos, ref, alt, NULL, effect FROM v")
+def variants_concat(s: SparkSession, d: str) -> DataFrame:
+    a, b = _variants(s, d), Variants.of(stats(s, d).select("chr", "pos", "ref", "alt", "effect"), "b37")
+    return Variants.concat([a, b]).df.select("chr", "pos", "ref", "alt", "rsid", "effect")
+
+
+@query("SELECT v.* FROM v WHERE EXISTS (SELECT 1 FROM v w WHERE w.pval < 0.05 AND w.chr = v.chr AND w.pos = v.pos AND least(w.ref, w.alt) = least(v.ref, v.alt) AND greatest(w.ref, w.alt) = greatest(v.ref, v.alt))")
+def variant_locate(s: SparkSession, d: str) -> DataFrame:
+    wanted = stats(s, d).filter("pval < 0.05").select("chr", "pos", F.col("alt").alias("ref"), F.col("ref").alias("alt"))
+    return source(s, d)[Variants.of(wanted, "b37")]
+
+
+# ---- rsid and builds
+
+
+@query("SELECT e.chr, e.pos, v.effect, v.pval, v.rsid FROM v JOIN e ON v.rsid = e.rsid WHERE (e.chr = 'chr1' AND e.pos < 50000) OR (e.chr = 'chr2' AND v.pval < 0.1)")
+def rsid_position_filter(s: SparkSession, d: str) -> DataFrame:
+    t = StatsSource.from_table(stats(s, d).select("effect", "pval", "rsid"), "b37", reference=reference(s, d))
+    return t["(chr == 1 & pos < 50000) | (chr == 2 & pval < 0.1)"].select("chr", "pos", "effect", "pval", "rsid")
+
+
+@query("SELECT e.chr, e.pos, v.effect, v.rsid FROM v JOIN e ON v.rsid = e.rsid WHERE EXISTS (SELECT 1 FROM r WHERE r.chr = e.chr AND e.pos BETWEEN start_pos AND end_pos)")
+def rsid_regions(s: SparkSession, d: str) -> DataFrame:
+    return rsid.by_regions(stats(s, d).select("effect", "rsid"), reference(s, d), region_set(s, d, True))
+
+
+@query("SELECT effect, pval, rsid FROM v WHERE pval < 0.05")
+def rsid_plain_filter(s: SparkSession, d: str) -> DataFrame:
+    return StatsSource.from_table(stats(s, d).select("effect", "pval", "rsid"), "b37", reference=reference(s, d))["pval < 0.05"].select("effect", "pval", "rsid")
+
+
+@query(
+    """, q AS (SELECT DISTINCT chr, pos, ref, alt FROM e WHERE pos % 3 > 0), o AS (SELECT chr, pos + 5 AS pos, ref, alt FROM e)
+ SELECT 'b37' AS build, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e WHERE e.chr = q.chr AND e.pos = q.pos AND ((e.ref = q.ref AND e.alt = q.alt) OR (e.ref = q.alt AND e.alt = q.ref)))) AS n_match, count(*) AS n FROM q
+ UNION ALL SELECT 'b38', count(*) FILTER (WHERE EXISTS (SELECT 1 FROM o WHERE o.chr = q.chr AND o.pos = q.pos AND ((o.ref = q.ref AND o.alt = q.alt) OR (o.ref = q.alt AND o.alt = q.ref)))), count(*) FROM q"""
+)
+def infer_build_counts(s: SparkSession, d: str) -> DataFrame:
+    e = reference(s, d)
+    mine = e.filter("pos % 3 > 0").select("chr", "pos", F.col("alt").alias("ref"), F.col("ref").alias("alt"))
+    return build_inference.build_counts(mine, {"b37": e, "b38": e.withColumn("pos", F.col("pos") + 5)})
+
+
+# ---- statistics
+
+
+@query(f"SELECT pval, effect, round(-abs(effect) / ({S.quantile_sql('pval / 2e0')}), 9) AS effect_se FROM v")
+def stats_se_from_p(s: SparkSession, d: str) -> DataFrame:
+    return S.complete_missing_stats(stats(s, d).select("pval", "effect")).select("pval", "effect", F.round("effect_se", 9).alias("effect_se"))
+
+
+@query(f"SELECT effect, effect_se, round({S.two_sided_p_sql('(effect / effect_se)')}, 9) AS pval FROM v")
+def stats_p_from_se(s: SparkSession, d: str) -> DataFrame:
+    return S.complete_missing_stats(stats(s, d).select("effect", "effect_se")).select("effect", "effect_se", F.round("pval", 9).alias("pval"))
+
+
+@query(f"SELECT pval, odds_ratio, round(ln(odds_ratio) * {S.LOGISTIC!r}, 9) AS effect, round(-(ln(odds_ratio) * {S.LOGISTIC!r}) / ({S.quantile_sql('pval / 2e0')}), 9) AS effect_se FROM (SELECT pval, round(1 + effect, 4) AS odds_ratio FROM v)")
+def stats_from_or(s: SparkSession, d: str) -> DataFrame:
+    t = S.complete_missing_stats(stats(s, d).select("pval", F.round(1 + F.col("effect"), 4).alias("odds_ratio")))
+    return t.select("pval", "odds_ratio", F.round("effect", 9).alias("effect"), F.round("effect_se", 9).alias("effect_se"))
+
+
+@query("SELECT z, af, n, round(z / sqrt((n + z * z) * 2 * af * (1 - af)), 9) AS effect, round(1 / sqrt((n + z * z) * 2 * af * (1 - af)), 9) AS effect_se FROM (SELECT effect / effect_se AS z, pval AS af, cast(pos AS double) AS n FROM v)")
+def effect_from_zscore(s: SparkSession, d: str) -> DataFrame:
+    v = stats(s, d).selectExpr("effect / effect_se AS z", "pval AS af", "cast(pos AS double) AS n")
+    e, se = S.effect_from_zscore(F.col("z"), F.col("af"), F.col("n"))
+    return v.select("z", "af", "n", F.round(e, 9).alias("effect"), F.round(se, 9).alias("effect_se"))
+
+
+@query("SELECT cast(date_trunc('hour', ts) AS timestamp) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_event_counts(s: SparkSession, d: str) -> DataFrame:
+    """The batch form of the streaming aggregate: the same function on a static table."""
+    from ..streaming.stateless import windowed_counts
+
+    return windowed_counts(table(s, d, "events"), "ts", ["event_type"]).select(F.col("window.start").alias("hour"), "event_type", "n")
