@@ -90,9 +90,9 @@ def judged(rows: DataFrame) -> DataFrame:
     """data_lines with (reason, chr, pos, pval): reason is null for lines that load. JVM only."""
     sound = F.expr("raw_text rlike _sound")
     cells = F.when(sound, F.expr("regexp_extract_all(raw_text, _field, 1)"))
-    r = rows.withColumn("_cells", cells)
-    for f in TYPED:
-        r = r.withColumn(f, _value(F.get("_cells", F.col(f"at.{f}") - 1)))
+    # explode over one element keeps the optimiser from copying the expensive expression into each of its uses
+    r = rows.withColumn("_cells", F.explode(F.array(cells)))
+    r = r.withColumn("_v", F.explode(F.array(F.struct(*[_value(F.get("_cells", F.col(f"at.{f}") - 1)).alias(f) for f in TYPED])))).select("*", "_v.*").drop("_v")
     digits = F.col("pos").rlike("^[0-9]+$")
     pos = F.when(digits, F.regexp_replace("pos", "^0+(?=[0-9])", ""))
     pos_ok = digits & (F.length(pos) <= 10) & F.col("pos").try_cast("long").between(1, 2147483647)
@@ -100,7 +100,7 @@ def judged(rows: DataFrame) -> DataFrame:
     pval_ok = (F.col("pval") == "") | (F.col("pval") == "NA") | (F.col("pval").rlike(NUMBER) & p.between(0, 1))
     has = lambda f: F.col(f"at.{f}").isNotNull()
     reason = (
-        F.when(~sound, "quoting").when(F.array_size("_cells") != F.col("n_cols"), "columns")
+        F.when(F.col("_cells").isNull(), "quoting").when(F.array_size("_cells") != F.col("n_cols"), "columns")
         .when(has("chr") & ~F.coalesce(F.col("chr").rlike(VALID_CHR), F.lit(False)), "chr")
         .when(has("pos") & ~F.coalesce(pos_ok, F.lit(False)), "pos")
         .when(has("pval") & ~F.coalesce(pval_ok, F.lit(False)), "pval")
