@@ -79,6 +79,8 @@ def segment(cell: str | None, find: Callable[[str], list[tuple[int, int]]], sepa
     if m and not any(s == 0 and e == len(text) for s, e in find(text)):
         text = next(g for g in m.groups() if g is not None).strip()
     n = len(text)
+    if (0, n) in find(text):
+        return [text]
     spans: list[list[tuple[int, float, str | None]]] = [[] for _ in range(n)]
 
     for s, e in find(text):
