@@ -42,10 +42,10 @@ def _blank(sep: Column) -> Column:
 
 
 def field_pattern(sep: Column) -> Column:
-    """Matches one sound value with the separator (or the start of the line) before it."""
+    """Matches one sound value with the separator before it; the line needs one more separator put before it."""
     b, s = _blank(sep), _escaped(sep)
     value = F.concat(F.lit("["), b, F.lit(']*+(?:"(?:[^"]++|"")*+"['), b, F.lit(']*+|[^"'), s, F.lit("]*+)"))
-    return F.concat(F.lit("(?:^|"), s, F.lit(")("), value, F.lit(")"))
+    return F.concat(s, F.lit("("), value, F.lit(")"))
 
 
 def sound_pattern(sep: Column) -> Column:
@@ -75,7 +75,7 @@ def data_lines(lines: DataFrame, files: DataFrame, column_info: DataFrame, alias
     h = head.join(files.select("file_id", F.col("sep").alias("_sep")).dropDuplicates(["file_id"]), "file_id", "left").join(names, "file_id", "left").join(field_of, "file_id", "left")
 
     def parts(sep: Column) -> Column:
-        return F.transform(F.regexp_extract_all("head", field_pattern(sep), F.lit(1)), lambda x: bare(x))
+        return F.transform(F.regexp_extract_all(F.concat(sep, "head"), field_pattern(sep), F.lit(1)), lambda x: bare(x))
 
     fit = lambda s: F.struct((F.array_size(F.array_intersect(parts(F.lit(s)), F.coalesce("names", F.array().cast("array<string>"))))).alias("a"), F.array_size(parts(F.lit(s))).alias("b"), F.lit(s).alias("sep"))
     h = h.withColumn("sep", F.when(F.length("_sep") >= 1, F.substr("_sep", F.lit(1), F.lit(1))).otherwise(F.array_max(F.array(*[fit(s) for s in SEPARATORS]))["sep"]))
@@ -89,7 +89,7 @@ def data_lines(lines: DataFrame, files: DataFrame, column_info: DataFrame, alias
 def judged(rows: DataFrame) -> DataFrame:
     """data_lines with (reason, chr, pos, pval): reason is null for lines that load. JVM only."""
     sound = F.expr("raw_text rlike _sound")
-    cells = F.when(sound, F.expr("regexp_extract_all(raw_text, _field, 1)"))
+    cells = F.when(sound, F.expr("regexp_extract_all(concat(sep, raw_text), _field, 1)"))
     # explode over one element keeps the optimiser from copying the expensive expression into each of its uses
     r = rows.withColumn("_cells", F.explode(F.array(cells)))
     r = r.withColumn("_v", F.explode(F.array(F.struct(*[_value(F.get("_cells", F.col(f"at.{f}") - 1)).alias(f) for f in TYPED])))).select("*", "_v.*").drop("_v")
