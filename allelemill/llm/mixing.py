@@ -73,7 +73,9 @@ def typical_words(documents: DataFrame, per_source: int = 200, least: float = 1.
     counts = cut(word_counts(documents))
     texts = {r["src"]: r["n"] for r in documents.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per source with a target
     total = sum(texts.values())
-    of = F.create_map(*[F.lit(x) for s, n in texts.items() for x in (s, float(n))]) if texts else F.create_map()
+    if not texts:
+        return {}
+    of = F.create_map(*[F.lit(x) for s, n in texts.items() for x in (s, float(n))])
     everywhere = counts.groupBy("word").agg(F.sum("n").alias("all"))
     here = (F.col("n") + 0.5) / (of[F.col("src")] + 1)
     there = (F.col("all") - F.col("n") + 0.5) / (F.lit(float(total)) - of[F.col("src")] + 1)
