@@ -8,7 +8,7 @@ steps. Null bounds are open ends, kept as sentinels meanwhile.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import LAST
@@ -77,8 +77,29 @@ def overlaps(left: DataFrame, right: DataFrame, bound: int = 100_000) -> DataFra
     return l.join(r, ["chr", "_bin"]).filter(hit & (F.col("_bin") == F.floor(F.greatest("start", "start2") / BIN))).drop("_bin")
 
 
-def contained(rows: DataFrame, chrom: str, pos: str, regions: DataFrame, negate: bool = False, bound: int = 100_000) -> DataFrame:
+def reach(regions: DataFrame, chrom: str, pos: str, most: int = 200) -> Column | None:
+    """A condition that all rows within the regions meet and that a scan can use: chromosomes and outermost positions."""
+    got = regions.agg(F.min("start").alias("s"), F.max("end").alias("e"), F.slice(F.array_sort(F.collect_set("chr")), 1, most + 1).alias("c")).first()
+    if not got["c"]:
+        return F.lit(False)
+    c = F.col(pos).between(got["s"], got["e"])
+    return c & F.col(chrom).isin(got["c"]) if len(got["c"]) <= most else c
+
+
+def bin_size(regions: DataFrame) -> int:
+    """The smallest power of two for which cutting the regions into bins gives at most four rows per region (or 50 000
+    in all), so that a position is compared with few regions and open ends do not multiply."""
+    sizes = [1 << k for k in range(10, 32)]
+    cuts = [F.sum(F.floor(F.col("end") / b) - F.floor(F.col("start") / b) + 1).alias(str(b)) for b in sizes]
+    got = regions.agg(F.count(F.lit(1)).alias("n"), *cuts).first()
+    return next((b for b in sizes if (got[str(b)] or 0) <= max(4 * got["n"], 50_000)), sizes[-1])
+
+
+def contained(rows: DataFrame, chrom: str, pos: str, regions: DataFrame, negate: bool = False, bound: int = 500_000) -> DataFrame:
     """Rows whose position lies in one of the regions (closed bounds), or in none of them; by a join on (chr, bin)."""
-    r = regions.select(F.col("chr").alias("_chr"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))).alias("_bin"))
-    hit = (F.col(chrom) == F.col("_chr")) & (F.floor(F.col(pos) / BIN) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
-    return rows.join(small(r, bound), hit, "left_anti" if negate else "left_semi")
+    width = bin_size(regions)
+    r = regions.select(F.col("chr").alias("_chr"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
+    hit = (F.col(chrom) == F.col("_chr")) & (F.floor(F.col(pos) / width) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
+    if negate:
+        return rows.join(small(r, bound), hit, "left_anti")
+    return rows.where(reach(regions, chrom, pos)).join(small(r, bound), hit, "left_semi")

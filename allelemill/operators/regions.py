@@ -20,7 +20,7 @@ from ..functions.genome import AUTOSOMES, with_chr
 from . import intervals as I
 
 SCHEMA = "chr string, start int, end int"
-FEW = 40  #: up to so many regions a filter is one Boolean expression that reaches the scan; more would outgrow generated code
+FEW = 8  #: up to so many regions a filter is one Boolean expression that reaches the scan; with more, one hash lookup is cheaper
 
 
 def _column(v: object, n: int) -> list:
