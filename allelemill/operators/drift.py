@@ -63,11 +63,18 @@ def columns_of_files(column_info: DataFrame, aliases: DataFrame, alias_bound: in
     return c.groupBy("file_id", "field").agg(first.alias("c")).select("file_id", "field", "c.name", "c.type")
 
 
-def release_order(files: DataFrame) -> DataFrame:
-    """(series_id, release_no, file_id, before): each file with the file of the release before it in its series."""
-    w = Window.partitionBy("series_id").orderBy("release_no", "file_id")
+def release_order(files: DataFrame, width: int = 1024) -> DataFrame:
+    """(series_id, release_no, file_id, before): each file with the file of the release before it in its series.
+
+    A series is looked at in stretches of ``width`` release numbers, each of which also learns the last file of the
+    stretches before it; so even one huge series is spread over many tasks."""
     f = files.filter("series_id is not null and release_no is not null and file_id is not null").select("series_id", "release_no", "file_id").distinct()
-    return f.withColumn("before", F.lag("file_id").over(w))
+    f = f.withColumn("_b", F.floor(F.col("release_no") / width))
+    inner = Window.partitionBy("series_id", "_b").orderBy("release_no", "file_id")
+    last = f.groupBy("series_id", "_b").agg(F.max(F.struct("release_no", "file_id")).alias("_last"))
+    last = last.withColumn("_last", F.lag("_last").over(Window.partitionBy("series_id").orderBy("_b")))
+    out = f.join(last, ["series_id", "_b"]).withColumn("before", F.coalesce(F.lag("file_id").over(inner), F.col("_last.file_id")))
+    return out.select("series_id", "release_no", "file_id", "before")
 
 
 def drift(column_info: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def _value(raw: Column) -> Column:
     return F.when(t.startswith('"'), trimmed(F.replace(F.substr(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"')))).otherwise(t)
 
 
-def data_lines(lines: DataFrame, files: DataFrame, column_info: DataFrame, aliases: DataFrame, comment: str = "##", bound: int = 200_000) -> DataFrame:
+def data_lines(lines: DataFrame, files: DataFrame, column_info: DataFrame, aliases: DataFrame, comment: str = "##", bound: int = 50_000) -> DataFrame:
     """(line_id, file_id, line_no, raw_text, sep, n_cols, at): the lines after the header; at maps chr, pos and pval to
     their places from 1. One row per file is joined: broadcast if counted to at most ``bound`` rows, else shuffled."""
     text = F.coalesce("raw_text", F.lit(""))

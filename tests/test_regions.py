@@ -86,7 +86,7 @@ def as_points(rows):
     return {(int(c[3:]), p) for c, s, e in rows for p in range(s or 1, (e or 60) + 1)}
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 @given(cells, cells)
 def test_laws(spark, x, y):
     a, b = (R(spark, [(f"chr{c}", s, s + w) for c, s, w in v]) for v in (x, y))
