@@ -29,14 +29,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import at_most, cut, trimmed
 from .reading import _WORD
 from .tokens import TOKENIZER, encoding
 
-BUCKETS = 4096
+#: Steps of the histogram of hashes; rows per cell that the driver sees at most.
+BUCKETS = 1024
 
 
 def source_of(c: Column) -> Column:
@@ -81,8 +82,9 @@ def typical_words(documents: DataFrame, per_source: int = 200, least: float = 1.
     there = (F.col("all") - F.col("n") + 0.5) / (F.lit(float(total)) - of[F.col("src")] + 1)
     scored = counts.join(everywhere, "word").filter("n >= 5").withColumn("w", F.ln(here / there)).filter(F.col("w") >= least)
     best = scored.groupBy("word").agg(F.max(F.struct("w", "src", "n")).alias("b")).select("word", "b.*")
-    top = best.groupBy("src").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("w") * F.sqrt("n")).alias("k"), "word", "w")), asc=False), 1, per_source).alias("top"))
-    return {x["word"]: (r["src"], x["w"]) for r in top.collect() for x in r["top"]}
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.col("w") * F.sqrt("n")), "word"))  # limited in each task before the shuffle
+    top = best.withColumn("r", rank).filter(F.col("r") <= per_source).select("word", "src", "w")
+    return {r["word"]: (r["src"], r["w"]) for r in top.collect()}
 
 
 def measured(documents: DataFrame, words: dict[str, tuple[str, float]], path: str = TOKENIZER) -> DataFrame:
