@@ -32,7 +32,8 @@ def test_changes(spark):
 def test_release_order_over_stretches(spark):
     files = [(i, "s", 7 * i) for i in range(60)] + [(100 + i, "t", i * i) for i in range(20)]
     df = spark.createDataFrame([(*f, "x") for f in files], S)
-    want = {(b[0], a[0]) for name in "st" for a, b in zip(x := sorted((f for f in files if f[1] == name), key=lambda f: f[2]), x[1:])}
+    series = [sorted((f for f in files if f[1] == name), key=lambda f: f[2]) for name in "st"]
+    want = {(b[0], a[0]) for x in series for a, b in zip(x, x[1:])}
     for width in (1, 10, 100, 10_000):
         got = D.release_order(df, width).filter("before is not null").collect()
         assert {(r["file_id"], r["before"]) for r in got} == want
