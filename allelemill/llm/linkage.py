@@ -91,9 +91,10 @@ def candidates(left: DataFrame, right: DataFrame, reach: int = 10) -> DataFrame:
     by_place = lb.filter("l_c is not null").join(rb.filter("r_c is not null"), (F.col("l_c") == F.col("r_c")) & (lb["bin"] == rb["bin"]) & near)
     no_c1 = lb.filter("l_c is null").join(rb, (lb["bin"] == rb["bin"]) & near)
     no_c2 = lb.filter("l_c is not null").join(rb.filter("r_c is null"), (lb["bin"] == rb["bin"]) & near)
+    letters = lambda g: F.array_join(F.array_sort(F.split(g, "")), "")  # noqa: E731  the same for exchanged letters
     ls = l.withColumn("sig", signature(F.col("l_a1"), F.col("l_a2"))).filter("sig is not null and l_g is not null and l_c is not null")
     rs = r.withColumn("sig", signature(F.col("r_a1"), F.col("r_a2"))).filter("sig is not null and r_g is not null and r_c is not null")
-    same = (F.col("l_c") == F.col("r_c")) & (F.col("l_g") == F.col("r_g")) & (ls["sig"] == rs["sig"])
+    same = (F.col("l_c") == F.col("r_c")) & (letters(F.col("l_g")) == letters(F.col("r_g"))) & (ls["sig"] == rs["sig"])
     fold = F.abs(F.least("l_f", 1 - F.col("l_f")) - F.least("r_f", 1 - F.col("r_f"))) <= STEPS[-1]
     close = F.coalesce(fold, F.lit(True)) & F.coalesce(F.abs(F.abs("l_e") - F.abs("r_e")) <= STEPS[-1], F.lit(True))
     no_p1 = ls.filter("l_p is null").join(rs, same & close)
