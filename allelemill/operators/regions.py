@@ -8,8 +8,9 @@ one.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,7 @@ class RegionSet:
     df: DataFrame
     build: str | None = None
     include: bool = True
+    chains: dict = field(default_factory=dict, compare=False)  # (from, to) -> chain table, used where builds differ
 
     # ---- making
 
@@ -71,7 +73,7 @@ class RegionSet:
         return RegionSet(spark.createDataFrame([(None, None, None)], SCHEMA), normalise_build(build))
 
     def _with(self, closed: DataFrame, include: bool = True) -> RegionSet:
-        return RegionSet(I.opened(closed), self.build, include)
+        return RegionSet(I.opened(closed), self.build, include, self.chains)
 
     # ---- looking
 
@@ -95,7 +97,7 @@ class RegionSet:
 
     def where(self, condition: Column | str) -> RegionSet:
         """A subset of the rows; build and include stay."""
-        return RegionSet(self.df.where(condition), self.build, self.include)
+        return RegionSet(self.df.where(condition), self.build, self.include, self.chains)
 
     # ---- algebra
 
@@ -103,13 +105,21 @@ class RegionSet:
         return self._with(I.merge(I.closed(self.df)), self.include)
 
     def __invert__(self) -> RegionSet:
-        return RegionSet(self.df, self.build, not self.include)
+        return RegionSet(self.df, self.build, not self.include, self.chains)
 
     __neg__ = __invert__
 
-    def _same_build(self, other: RegionSet) -> None:
-        if self.build and other.build and self.build != other.build:
+    def _aligned(self, other: RegionSet) -> RegionSet:
+        """other in the build of this set: lifted with a warning if there is a chain table for it."""
+        if not self.build or not other.build or self.build == other.build:
+            return other
+        chain = {**other.chains, **self.chains}.get((other.build, self.build))
+        if chain is None:
             raise ValueError(f"builds differ: {self.build} and {other.build}; lift one of them first")
+        from .liftover import lift_regions
+
+        warnings.warn(f"regions in {other.build} are lifted to {self.build}", stacklevel=3)
+        return lift_regions(other, chain, self.build)
 
     def _chromosomes(self, bound: int = 10_000) -> list[str]:
         got = [r[0] for r in self.df.select("chr").filter("chr is not null").distinct().limit(bound + 1).collect()]
@@ -118,7 +128,7 @@ class RegionSet:
         return sorted(got)
 
     def __or__(self, other: RegionSet) -> RegionSet:
-        self._same_build(other)
+        other = self._aligned(other)
         if self.include and other.include:
             return self._with(I.merge(I.closed(self.df).unionByName(I.closed(other.df))))
         if not self.include and not other.include:
@@ -129,7 +139,7 @@ class RegionSet:
     __add__ = __or__
 
     def __and__(self, other: RegionSet) -> RegionSet:
-        self._same_build(other)
+        other = self._aligned(other)
         if not self.include and not other.include:
             return ~(~self | ~other)
         if not self.include:
@@ -141,7 +151,7 @@ class RegionSet:
         return self._with(I.merge(both.select("chr", F.greatest("start", "start2").alias("start"), F.least("end", "end2").alias("end"))))
 
     def __sub__(self, other: RegionSet, domain: Sequence[str] = AUTOSOMES) -> RegionSet:
-        self._same_build(other)
+        other = self._aligned(other)
         if not other.include:
             return self & ~other
         if not self.include:
@@ -190,8 +200,7 @@ class RegionSet:
         sets = list(sets)
         if len({s.include for s in sets}) > 1:
             raise ValueError("included and excluded regions cannot be bound together")
-        for s in sets[1:]:
-            sets[0]._same_build(s)
+        sets = [sets[0], *[sets[0]._aligned(s) for s in sets[1:]]]
         out = RegionSet(reduce(DataFrame.unionByName, [s.df for s in sets]), sets[0].build, sets[0].include)
         return out.merged() if merge else out
 

@@ -279,10 +279,12 @@ def to_canonical(stats: DataFrame, files: DataFrame) -> DataFrame:
     """stats with the four fields in canonical units, by equi-joins on the unit with the table of compositions."""
     out = with_units(stats, files)
     table = stats.sparkSession.createDataFrame(compose(), "field string, unit string, a1 double, b1 double, bridge string, a2 double, b2 double")
+    parts = ("a1", "b1", "bridge", "a2", "b2")
     for f in FIELDS:
-        t = table.filter(F.col("field") == f).select(F.col("unit").alias(f"{f}_unit"), "a1", "b1", "bridge", "a2", "b2")
+        t = table.filter(F.col("field") == f).select(F.col("unit").alias(f"{f}_unit"), *[F.col(p).alias(f"_conv_{p}") for p in parts])
         out = out.join(F.broadcast(t), f"{f}_unit", "left")  # at most a dozen rows
-        x = F.col("a1") * F.col(f) + F.col("b1")
-        y = F.when(F.col("bridge") == "exp", F.exp(x)).when(F.col("bridge") == "ln", F.when(x > 0, F.ln(x))).otherwise(x)
-        out = out.withColumn(f, F.when(present(F.col(f)), F.col("a2") * y + F.col("b2"))).drop("a1", "b1", "bridge", "a2", "b2")
-    return out
+        a1, b1, bridge, a2, b2 = (F.col(f"_conv_{p}") for p in parts)
+        x = a1 * F.col(f) + b1
+        y = F.when(bridge == "exp", F.exp(x)).when(bridge == "ln", F.when(x > 0, F.ln(x))).otherwise(x)
+        out = out.withColumn(f, F.when(present(F.col(f)), a2 * y + b2)).drop(*[f"_conv_{p}" for p in parts])
+    return out.select(*stats.columns, *[f"{f}_unit" for f in FIELDS if f"{f}_unit" not in stats.columns])

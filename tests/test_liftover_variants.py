@@ -52,6 +52,17 @@ def test_regions(spark):
     assert L.lift_table(same, {("b37", "b38"): c}, "b38", "b37").count() == 2
 
 
+def test_algebra_over_builds(spark):
+    c = chain(spark, ("chr1", 1, 1000, "chr1", -10, False))
+    a = RegionSet(RegionSet.of(spark, 1, 100, 200).df, "b38", True, {("b37", "b38"): c})
+    b = RegionSet.of(spark, 1, 140, 300, build="b37")
+    with pytest.warns(UserWarning, match="lifted to b38"):
+        got = a & b
+    assert got.rows() == [("chr1", 150, 200)] and got.build == "b38"
+    with pytest.warns(UserWarning, match="lifted"):
+        assert RegionSet.concat([a, b]).rows() == [("chr1", 100, 310)]
+
+
 def test_table_cache_and_retained(spark):
     c = {("b37", "b38"): chain(spark, ("chr1", 1, 100, "chr1", -10, False))}
     df = table(spark, ("chr1", 5, "A", "C"), ("chr1", 6, "A", "C"))

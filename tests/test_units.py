@@ -4,6 +4,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from allelemill.operators import units as U
 
@@ -106,3 +107,14 @@ def test_row_votes_are_silent_when_in_doubt():
     pdf = pd.DataFrame({"effect": [0.0, np.nan, 0.05], "effect_se": [0.1, 0.1, 0.0], "odds_ratio": [np.nan] * 3, "pval": [1.0, 0.5, 0.2], "log10p": [np.nan] * 3})
     v = U.row_votes(pdf)
     assert (v["effect"] == -1).all()
+
+
+def test_further_columns_with_clashing_names(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame(rows(rng, 1, 40, {"pval": "percent"}), S_COLS)
+    for name in ("a1", "bridge", "field", "block", "n", "pval_unit"):
+        df = df.withColumn(name, df["row_id"])
+    files = spark.createDataFrame([(1, None, None, None)], F_COLS).withColumn("unit", F.lit("x"))
+    out = U.to_canonical(df, files)
+    assert out.columns == [*df.columns, "log10p_unit", "effect_unit", "odds_ratio_unit"] and out.filter("a1 = row_id").count() == 40
+    assert U.foreign_values(df, files).select("field").distinct().collect() == [("pval",)]
