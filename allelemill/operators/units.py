@@ -215,13 +215,13 @@ def declared_units(files: DataFrame) -> DataFrame:
     return parts.select("file_id", hit.alias("h")).filter("h is not null").groupBy("file_id", "h.field").agg(F.min("h.unit").alias("unit"))
 
 
-def unit_segments(stats: DataFrame, files: DataFrame, min_share: float = 0.01) -> DataFrame:
+def unit_segments(stats: DataFrame, files: DataFrame, min_share: float = 0.001) -> DataFrame:
     """(file_id, field, unit, from_line, to_line, mixed): where each file's field is in which unit; lines inclusive.
 
     Units with fewer than ``min_share`` of a file's votes are disregarded. ``mixed`` marks units whose lines overlap.
     """
     votes = cut(unit_votes(stats))
-    share = F.col("n") >= F.greatest(F.lit(2), F.col("total") * min_share)
+    share = F.col("n") >= F.greatest(F.lit(3), F.col("total") * min_share)
     kept = votes.join(votes.groupBy("file_id", "field").agg(F.sum("n").alias("total")), ["file_id", "field"]).filter(share | (F.col("n") == F.col("total")))
     runs = kept.groupBy("file_id", "field").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line", "unit"))).alias("runs"))  # at most one per unit
     ordered = F.aggregate(
