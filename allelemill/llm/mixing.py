@@ -8,7 +8,9 @@ that the cell reaches its tokens nearly exactly instead of only on average.
 
 Topics: the words that are typical of each source are found from counts of words by source; a text's topic is the source
 whose words it holds most of. Texts that say nothing typical have the topic ``none``. Targets of languages and topics may
-be given as shares; where they are not, the shares that result from the source targets alone are kept.
+be given as shares. Where they are not, languages keep their shares of all texts with a source target (so favouring a
+source does not shift the languages), and topics get the shares that the source targets alone imply, made a little more
+even (to the power ``TEMPER``). An empty dictionary leaves a marginal free.
 
 The size of the mixture is the largest at which every source reaches its share within its repeats, or ``total_tokens`` if
 that is smaller. Sources without any text cannot take part; the shares of the others are kept in proportion.
@@ -38,6 +40,7 @@ from .tokens import TOKENIZER, encoding
 
 #: Steps of the histogram of hashes; rows per cell that the driver sees at most.
 BUCKETS = 1024
+TEMPER = 0.9
 
 
 def source_of(c: Column) -> Column:
@@ -134,6 +137,22 @@ def rake(cells: dict[tuple[str, str, str], float], targets: list[dict[str, float
     return dict(zip(keys, x))
 
 
+def default_targets(cells: dict[tuple[str, str, str], float], want: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
+    """(languages, topics) where none are given; see the module."""
+    languages: dict[str, float] = defaultdict(float)
+    topic: dict[str, float] = defaultdict(float)
+    have: dict[str, float] = defaultdict(float)
+    for (s, l, _), n in cells.items():
+        have[s] += n
+        languages[l] += n
+    for (s, _, t), n in cells.items():
+        if s in want:
+            topic[t] += want[s] * n / have[s]
+    topic = {t: v**TEMPER for t, v in topic.items()}
+    total, even = sum(languages.values()), sum(topic.values())
+    return {k: v / total for k, v in languages.items()}, {k: v / even for k, v in topic.items()}
+
+
 def weights(cells: dict[tuple, float], source_targets: dict[str, float], repeats: dict[str, int], language_targets: dict | None, topic_targets: dict | None, total_tokens: float | None) -> dict[tuple, float]:
     """Copies of each cell, between 0 and the repeats of its source."""
     have = defaultdict(float)
@@ -145,7 +164,8 @@ def weights(cells: dict[tuple, float], source_targets: dict[str, float], repeats
     cells = {k: v for k, v in cells.items() if k[0] in want and v > 0}
     total = sum(want.values())
     want = {s: v / total for s, v in want.items()}
-    shares = rake(cells, [want, language_targets, topic_targets])
+    languages, topics = default_targets(cells, want)
+    shares = rake(cells, [want, (languages if language_targets is None else language_targets) or None, (topics if topic_targets is None else topic_targets) or None])
     size = min(have[s] * repeats[s] / want[s] for s in want)
     size = min(size, total_tokens) if total_tokens else size
     out = {}
@@ -208,6 +228,11 @@ def thresholds(histogram: list[tuple], copies: dict[tuple, float], repeats: dict
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, language_targets: dict | None = None, topic_targets: dict | None = None, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, copies) of the selected texts."""
+    return _mixed(documents, targets, total_tokens, language_targets, topic_targets, path)[0]
+
+
+def _mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None, language_targets: dict | None, topic_targets: dict | None, path: str) -> tuple[DataFrame, list[dict[str, float]]]:
+    """The selection and the targets of its three marginals."""
     spark = documents.sparkSession
     docs = cut(texts(documents, targets, path))
     rows = targets.select(source_of(F.col("source")).alias("src"), F.col("target_share").cast("double").alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("r")).filter("src is not null").collect()
@@ -223,7 +248,26 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None
     plan = spark.createDataFrame(thresholds(got, copies, repeats), "src string, lang string, topic string, whole int, below double")
     n = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
     out = docs.join(F.broadcast(plan), ["src", "lang", "topic"]).withColumn("copies", n.cast("int")).filter("copies > 0")
-    return out.select("doc_id", F.col("src").alias("source"), "lang", "topic", "n_tokens", "copies")
+    there = {c[0] for c, v in cells.items() if v > 0}
+    want = {s: v for s, v in share.items() if s in there and v > 0}
+    want = {s: v / sum(want.values()) for s, v in want.items()}
+    languages, topics = default_targets({k: v for k, v in cells.items() if k[0] in want}, want) if want else ({}, {})
+    goals = [want, languages if language_targets is None else language_targets, topics if topic_targets is None else topic_targets]
+    return out.select("doc_id", F.col("src").alias("source"), "lang", "topic", "n_tokens", "copies"), goals
+
+
+def marginals(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, language_targets: dict | None = None, topic_targets: dict | None = None, path: str = TOKENIZER) -> DataFrame:
+    """(axis, value, goal, actual_share) of the three marginals of the mixture."""
+    selected, goals = _mixed(documents, targets, total_tokens, language_targets, topic_targets, path)
+    sums = selected.groupBy("source", "lang", "topic").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()  # one row per cell
+    total = sum(r["t"] for r in sums) or 1
+    rows = []
+    for axis, goal in zip(("source", "lang", "topic"), goals):
+        have: dict[str, int] = defaultdict(int)
+        for r in sums:
+            have[r[axis]] += r["t"]
+        rows += [(axis, v, goal.get(v, 0.0) if goal else None, have[v] / total) for v in sorted({*have, *goal})]
+    return documents.sparkSession.createDataFrame(rows, "axis string, value string, goal double, actual_share double")
 
 
 def mixture_report(selected: DataFrame, targets: DataFrame) -> DataFrame:

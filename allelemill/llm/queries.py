@@ -35,6 +35,10 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return M.mixture_report(p8_selection(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return M.marginals(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return R.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples")).select("doc_id", "grade")
 
@@ -43,5 +47,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return R.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p7_containers, p7_report, p8_selection, p8_shares, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p7_containers, p7_report, p8_selection, p8_shares, p8_marginals, p9_found, p9_levels)}
 SQL: dict[str, str] = {}
