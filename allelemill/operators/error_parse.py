@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import small, trimmed
+from ..scale import ship, small, trimmed
 from .drift import bare, columns_of_files
 
 SEPARATORS = ["\t", ",", ";", "|", " "]
@@ -138,8 +138,8 @@ def _tokens(line: str, sep: str) -> list[tuple[int, str]]:
 def repair(line: str, sep: str, n_cols: int, quote_cost: float = 1.0, sep_cost: float = 1.0) -> tuple[float, list[str], str]:
     """(cost, edits, repaired line): the cheapest edits of quotes and separators that make n_cols sound values of a line.
 
-    States: 0 at the start of a value, 1 in a bare value, 2 in a quoted one, 3 after its closing quote. An inner quote is
-    sound if doubled. Of equally cheap repairs the one found first holds, quotes before separators.
+    States: 0 at the start of a value, 1 in a bare value, 2 in a quoted one, 3 right after its closing quote, 4 after
+    blanks behind that. An inner quote is sound if doubled. Of equally cheap repairs the one found first holds, quotes before separators.
     """
     toks = _tokens(line, sep)
     inf = float("inf")
@@ -158,12 +158,12 @@ def repair(line: str, sep: str, n_cols: int, quote_cost: float = 1.0, sep_cost:
             if s == 2:
                 relax(cur, (3, k), c + quote_cost, ("insert quote", '"', l))
         for k in range(n_cols):
-            for s in (0, 1, 3):
+            for s in (0, 1, 3, 4):
                 if (s, k) in cur:
                     c, l = cur[(s, k)]
                     relax(cur, (0, k + 1), c + sep_cost, ("insert separator", sep, l))
 
-    for i, (kind, text) in enumerate(toks):
+    for kind, text in toks:
         insertions(layer)
         nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (s, k), (c, l) in layer.items():
@@ -174,7 +174,7 @@ def repair(line: str, sep: str, n_cols: int, quote_cost: float = 1.0, sep_cost:
                 elif s == 2:
                     relax(nxt, (2, k), c, ("", text, l))
                 elif blank:
-                    relax(nxt, (3, k), c, ("", text, l))
+                    relax(nxt, (4, k), c, ("", text, l))
             elif kind == _SEP:
                 if s == 2:
                     relax(nxt, (2, k), c, ("", sep, l))
@@ -187,12 +187,12 @@ def repair(line: str, sep: str, n_cols: int, quote_cost: float = 1.0, sep_cost:
                 elif s == 2:
                     relax(nxt, (3, k), c, ("", '"', l))
                     relax(nxt, (2, k), c + quote_cost, ("double quote", '""', l))
-                elif s == 3 and toks[i - 1][0] == _QUOTE:
+                elif s == 3:
                     relax(nxt, (2, k), c, ("", '"', l))
                 relax(nxt, (s, k), c + quote_cost, ("delete quote", "", l))
         layer = nxt
     insertions(layer)
-    ends = [layer[(s, n_cols - 1)] for s in (0, 1, 3) if (s, n_cols - 1) in layer]
+    ends = [layer[(s, n_cols - 1)] for s in (0, 1, 3, 4) if (s, n_cols - 1) in layer]
     if not ends:
         return inf, [], line
     cost, link = min(ends, key=lambda x: x[0])
@@ -206,7 +206,8 @@ def repair(line: str, sep: str, n_cols: int, quote_cost: float = 1.0, sep_cost:
 
 
 def failures(rows: DataFrame) -> DataFrame:
-    """(line_id, file_id, line_no, reason, cost, edits, repaired, raw_text) of the lines that do not load."""
+    """(line_id, file_id, line_no, reason, cost, edits, repaired, raw_text) of the lines that do not load; cost is the number
+    of edits."""
     bad = judged(rows).filter("reason is not null").select("line_id", "file_id", "line_no", "raw_text", "sep", F.col("n_cols").cast("int").alias("n_cols"), "reason")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,10 +215,11 @@ def failures(rows: DataFrame) -> DataFrame:
             out = []
             for text, sep, n, exact in zip(pdf["raw_text"], pdf["sep"], pdf["n_cols"], pdf["reason"]):
                 # sound quoting is not to be edited where only separators or values are wrong
-                cost, edits, fixed = repair(text, sep, int(n), quote_cost=1.0 if exact == "quoting" else 1000.0)
+                _, edits, fixed = repair(text, sep, int(n), quote_cost=1.0 if exact == "quoting" else 1000.0)
                 by_edits = "quoting" if any("quote" in e for e in edits) else "columns" if edits else exact
-                out.append((by_edits if by_edits == exact else exact, cost, ", ".join(edits), fixed))  # checked
+                out.append((by_edits if by_edits == exact else exact, float(len(edits)), ", ".join(edits), fixed))  # checked
             done = pd.DataFrame(out, columns=["reason", "cost", "edits", "repaired"], index=pdf.index)
             yield pd.concat([pdf[["line_id", "file_id", "line_no"]], done, pdf["raw_text"]], axis=1)
 
+    ship(rows.sparkSession)
     return bad.mapInPandas(run, "line_id long, file_id long, line_no int, reason string, cost double, edits string, repaired string, raw_text string")

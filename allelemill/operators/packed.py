@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import ship
+
 #: What can stand between two values. Longer ones are tried too, as runs with blanks around them.
 SEPARATORS = ",;|/&\t "
 #: Beginnings and ends of variant identifiers: chromosome names and reference builds. Fixed values.
@@ -163,6 +165,7 @@ def split_cells(df: DataFrame, key: str, cell: str, field: str, find: Callable[[
 
     cells = df.select(F.col(key).cast("long").alias("row_key"), F.col(cell).alias("cell")).filter(F.col("cell").isNotNull() & F.col("row_key").isNotNull())
     cells = cells.filter(may_hold_several(F.col("cell")) if suspect is None else suspect)
+    ship(df.sparkSession)
     return cells.mapInPandas(run, "field string, row_key long, pos_no int, item string")
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import cut, small, trimmed
+from ..scale import cut, ship, small, trimmed
 
 LN10, LN2, SMD = math.log(10), math.log(2), math.pi / math.sqrt(3)
 
@@ -199,6 +199,7 @@ def unit_votes(stats: DataFrame, block: int | None = None) -> DataFrame:
     cols = stats.select("file_id", "line_no", *[F.col(c).cast("double").alias(c) for c in ("effect", "effect_se", "odds_ratio", "pval", "log10p")]).filter(
         "file_id is not null and line_no is not null"
     )
+    ship(stats.sparkSession)
     raw = cols.mapInPandas(lambda it: _vote_batches(it, block), "file_id long, field string, block long, unit string, n long, first_line long, last_line long")
     return raw.groupBy("file_id", "field", "block", "unit").agg(F.sum("n").alias("n"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
 
