@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import at_most, cut, trimmed
+from ..scale import at_most, cut, ship, trimmed
 from .reading import _WORD
 from .tokens import TOKENIZER, encoding
 
@@ -67,6 +67,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
             rows = [(s, w, n) for s, c in counts.items() for w, n in c.items()]
             yield pd.DataFrame(rows, columns=["src", "word", "n"])
 
+    ship(documents.sparkSession)
     raw = documents.select("src", "text").mapInPandas(run, "src string, word string, n long")
     return raw.groupBy("src", "word").agg(F.sum("n").alias("n"))
 
@@ -108,6 +109,7 @@ def measured(documents: DataFrame, words: dict[str, tuple[str, float]], path: st
                 n.append(len(enc.encode_ordinary(text)))
             yield pdf.drop(columns=["text"]).assign(topic=out, n_tokens=n)
 
+    ship(documents.sparkSession)
     return documents.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", topic string, n_tokens int")
 
 

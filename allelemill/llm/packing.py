@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import cut
+from ..scale import cut, ship
 from .tokens import TOKENIZER, sizes
 
 
@@ -82,6 +82,7 @@ def _packed(items: DataFrame, shards: int, level: int) -> DataFrame:
 
     h = F.xxhash64("doc_id", "part_no", F.lit(level))
     x = items.select("limit_name", "capacity", "doc_id", "part_no", "n_tokens", h.alias("order"), F.pmod(h, F.lit(shards)).cast("int").alias("shard"))
+    ship(items.sparkSession)
     return x.groupBy("limit_name", "shard").applyInPandas(run, _SCHEMA)
 
 

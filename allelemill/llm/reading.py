@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scale import ship
+
 # ---- the author's own words
 
 _OPENER = re.compile(
@@ -248,4 +250,5 @@ def reading_levels(documents: DataFrame, samples: DataFrame, min_words: int = 40
             yield pd.DataFrame({"doc_id": ids, "grade": g, "score": s, "n_words": counts}).astype({"doc_id": "int64", "grade": "int32", "score": "float64", "n_words": "int32"})
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    ship(documents.sparkSession)
     return docs.mapInPandas(run, schema)
