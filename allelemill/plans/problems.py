@@ -130,7 +130,55 @@ UNION ALL SELECT file_id, field, 'removed', oo, NULL FROM p WHERE NOT has_new
 UNION ALL SELECT file_id, field, 'renamed', oo, nn FROM p WHERE has_old AND has_new AND nn IS DISTINCT FROM oo
 UNION ALL SELECT file_id, field, 'retyped', ot, nt FROM p WHERE has_old AND has_new AND nt <> ot"""
 
+#: Problem 4 without dictionary: quoted stretches, else stretches without separators; lists of delimiters by their joint.
+_PACKED = r"""
+WITH bare AS (
+  SELECT field, row_key, regexp_replace(regexp_replace(cell, '^\s*(c\s*\(|\[|\{)\s*', ''), '\s*[\)\]\}]\s*$', '') AS cell, regexp_matches(cell, '^\s*(c\s*\(|\[|\{)') AS wrapped, cell AS whole
+  FROM (SELECT 'sumstats.variant_id' AS field, row_id AS row_key, variant_id AS cell FROM sumstats UNION ALL
+        SELECT 'column_info.encoded_names', ci_id, encoded_names FROM column_info UNION ALL SELECT 'column_info.delimiter', ci_id, delimiter FROM column_info) WHERE cell IS NOT NULL),
+parts AS (SELECT field, row_key,
+  CASE WHEN field = 'column_info.delimiter' AND NOT contains(whole, '"') AND NOT contains(whole, chr(39)) THEN string_split_regex(trim(whole), ' [,;] |\|')
+       ELSE regexp_extract_all(CASE WHEN wrapped THEN cell ELSE whole END, '"[^"]*"|''[^'']*''|[^\s,;|/&"'']+') END AS items FROM bare),
+clean AS (SELECT field, row_key, list_filter(list_transform(items, lambda x: trim(regexp_replace(x, '^["'']|["'']$', '', 'g'))), lambda x: x <> '') AS items FROM parts)
+SELECT field, row_key, CAST(i AS INTEGER) AS pos_no, items[i] AS item FROM (SELECT field, row_key, items, unnest(range(1, len(items) + 1)) AS i FROM clean WHERE len(items) > 1)"""
+
+#: The rules of problem 5 one by one, without repair.
+_LINES = r"""
+WITH seps(sep, esc, blank) AS (VALUES (chr(9), chr(9), ' '), (',', ',', ' ' || chr(9)), (';', ';', ' ' || chr(9)), ('|', '\|', ' ' || chr(9)), (' ', ' ', chr(9))),
+pats AS (SELECT sep, '(?:[' || blank || ']*"(?:[^"]|"")*"[' || blank || ']*|[^"' || sep || ']*)' AS v, esc FROM seps),
+body AS (SELECT * FROM raw_lines WHERE NOT starts_with(ltrim(raw_text), '##') AND regexp_replace(raw_text, '^\s+|\s+$', '', 'g') <> ''),
+head AS (SELECT file_id, min(line_no) AS head_no, arg_min(line_id, (line_no, line_id)) AS head_id, arg_min(raw_text, (line_no, line_id)) AS head FROM body GROUP BY 1),
+names AS (SELECT file_id, list(DISTINCT regexp_replace(input_name, '^[\s"''`]+|[\s"''`]+$', '', 'g')) AS names FROM column_info GROUP BY 1),
+split AS (SELECT h.*, s.sep AS cand, list_transform(string_split(head, s.sep), lambda x: regexp_replace(x, '^[\s"''`]+|[\s"''`]+$', '', 'g')) AS cols, n.names FROM head h CROSS JOIN seps s LEFT JOIN names n USING (file_id)),
+best AS (SELECT file_id, arg_max(cand, (len(list_intersect(cols, names)), len(cols))) AS sep FROM split GROUP BY 1),
+al AS (SELECT regexp_replace(lower(input_name), '[^a-z0-9]', '', 'g') AS k, min(standard_name) AS std FROM alias_names GROUP BY 1),
+typed AS (SELECT c.file_id, coalesce(nullif(lower(trim(standard_name)), ''), al.std) AS field, min(regexp_replace(input_name, '^[\s"''`]+|[\s"''`]+$', '', 'g')) AS name
+  FROM column_info c LEFT JOIN al ON al.k = regexp_replace(lower(c.input_name), '[^a-z0-9]', '', 'g') GROUP BY 1, 2),
+h AS (SELECT h.file_id, h.head_no, h.head_id, s.cand AS sep, s.cols, list_position(s.cols, a.name) AS at_chr, list_position(s.cols, p.name) AS at_pos, list_position(s.cols, v.name) AS at_pval
+  FROM head h JOIN best b USING (file_id) LEFT JOIN stat_files f USING (file_id) JOIN split s ON s.file_id = h.file_id AND s.cand = coalesce(nullif(f.sep, ''), b.sep)
+  LEFT JOIN typed a ON a.file_id = h.file_id AND a.field = 'chr' LEFT JOIN typed p ON p.file_id = h.file_id AND p.field = 'pos' LEFT JOIN typed v ON v.file_id = h.file_id AND v.field = 'pval'),
+l AS (SELECT b.line_id, len(h.cols) AS n, at_chr, at_pos, at_pval, regexp_full_match(raw_text, p.v || '(?:' || p.esc || p.v || ')*') AS sound, regexp_extract_all(h.sep || raw_text, p.esc || '(' || p.v || ')', 1) AS raw
+  FROM body b JOIN h USING (file_id) JOIN pats p ON p.sep = h.sep WHERE b.line_no > head_no OR (b.line_no = head_no AND b.line_id > head_id)),
+t AS (SELECT *, list_transform(raw, lambda x: trim(x, ' ' || chr(9))) AS r FROM l),
+f AS (SELECT *, list_transform(r, lambda x: CASE WHEN starts_with(x, '"') THEN trim(replace(substr(x, 2, length(x) - 2), '""', '"'), ' ' || chr(9)) ELSE x END) AS v FROM t),
+j AS (SELECT line_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(v) <> n THEN 'columns'
+  WHEN at_chr > 0 AND NOT regexp_full_match(v[at_chr], '(?i)(chr)?([1-9]|1[0-9]|2[0-2]|X|Y|MT|M)') THEN 'chr'
+  WHEN at_pos > 0 AND NOT (regexp_full_match(v[at_pos], '[0-9]+') AND coalesce(try_cast(v[at_pos] AS HUGEINT) BETWEEN 1 AND 2147483647, false)) THEN 'pos'
+  WHEN at_pval > 0 AND v[at_pval] NOT IN ('', 'NA') AND NOT (regexp_full_match(v[at_pval], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(try_cast(v[at_pval] AS DOUBLE) BETWEEN 0 AND 1, false)) THEN 'pval' END AS reason FROM f)
+SELECT line_id, reason FROM j WHERE reason IS NOT NULL"""
+
+_TYPES = _FIELDS + """, kinds AS (SELECT DISTINCT field, type FROM cols WHERE type IS NOT NULL), alt AS (SELECT field, list_sort(list(type)) AS t FROM kinds GROUP BY 1),
+n AS (SELECT field, count(*) AS n_files, count(DISTINCT name) AS n_names FROM cols GROUP BY 1)"""
+
 SQL = {
+    "p4_found": _PACKED,
+    "p5_found": _LINES,
+    "p3_fields": _TYPES
+    + """ SELECT n.field, CASE WHEN t IS NULL THEN 'string' WHEN len(t) = 1 THEN t[1] WHEN list_has_all(['bigint', 'int'], t) THEN 'bigint' WHEN list_has_all(['bigint', 'int', 'double'], t) THEN 'double' ELSE 'string' END AS canonical_type,
+ coalesce(array_to_string(t, '|'), '') AS alternatives, CASE WHEN len(t) > 1 THEN array_to_string(list_transform(t, lambda x: n.field || '__' || x), '|') ELSE '' END AS branches, n_files, n_names FROM n LEFT JOIN alt USING (field)""",
+    "p3_new_alternatives": _FIELDS
+    + """, f1 AS (SELECT series_id, field, type, min(release_no) AS release_no FROM cols JOIN stat_files USING (file_id) WHERE type IS NOT NULL GROUP BY 1, 2, 3)
+SELECT series_id, field, type, release_no FROM f1 QUALIFY release_no > min(release_no) OVER (PARTITION BY series_id, field)""",
     "p1_found": _ORPHANS + "SELECT tbl, row_id FROM orphan",
     "p1_orphans_by_month": _ORPHANS
     + """, m AS (SELECT tbl, CAST(date_trunc('month', loaded_at AT TIME ZONE 'UTC') AS DATE) AS period, 1 AS n, 0 AS o FROM good
