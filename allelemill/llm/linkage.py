@@ -144,13 +144,14 @@ def votes(pairs: DataFrame) -> DataFrame:
         F.when(one_r == _flip(l_at), s("none", 1)), F.when(one_r == _flip(l_other), s("none", -1)),
         s("other", 0),
     )
-    p = pairs.withColumn("_a", known)
+    # explode over one element keeps the optimiser from copying these expressions into each of their uses
+    p = pairs.withColumn("_a", F.explode(F.array(known)))
     lf, rf, le, re_ = (F.col(x) for x in ("l_f", "r_f", "l_e", "r_e"))
     sign = F.col("_a.sign")
     f_same, f_swap = F.abs(lf - rf), F.abs(1 - lf - rf)
     e_same, e_swap = F.abs(le - re_), F.abs(le + re_)
     taken = F.when(sign != 0, sign).when(f_same + e_same <= f_swap + e_swap, 1).when(f_same.isNotNull() & e_same.isNotNull(), -1).when(F.coalesce(f_same <= f_swap, e_same <= e_swap, F.lit(True)), 1).otherwise(-1)
-    p = p.withColumn("_s", taken)
+    p = p.withColumn("_s", F.explode(F.array(taken)))
     df_, de = F.when(F.col("_s") > 0, f_same).otherwise(f_swap), F.when(F.col("_s") > 0, e_same).otherwise(e_swap)
 
     def step(x: Column) -> Column:
