@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -101,14 +103,33 @@ def is_english(words: list[str], least: float = 0.1) -> bool:
     """English function words are frequent, and more so than those of any other language."""
     if not words:
         return False
-    hits = {k: sum(w in v for w in words) for k, v in _WORDS.items()}
+    count = Counter(words)
+    hits = {k: sum(count[w] for w in v if w in count) for k, v in _WORDS.items()}
     return hits["en"] >= least * len(words) and all(hits["en"] > n for k, n in hits.items() if k != "en")
 
 
 # ---- features
 
-_SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?]+(?=\s|$)")
 _VOWELS = re.compile(r"[aeiouy]+")
+
+
+@lru_cache(maxsize=200_000)
+def _syllables(word: str) -> int:
+    return len(_VOWELS.findall(word))
+
+
+def sentences_of(text: str) -> list[list[str]]:
+    """The words of each sentence, in lower case."""
+    out: list[list[str]] = [[]]
+    for t in _TOKEN.findall(text.lower()):
+        if t[0] in ".!?":
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [x for x in out if x]
+
+
 #: Words that join clauses, from simple to bookish. Fixed values.
 CONNECTIVES = [
     "and", "but", "so", "because", "when", "if", "while", "since", "after", "although", "unless", "whereas", "whether", "which",
@@ -117,28 +138,22 @@ CONNECTIVES = [
 _STARTS = ["the", "it", "we", "did", "maybe", "thanks", "please", "i", "there", "if", "after", "could", "in", "as", "one", "given", "according", "granted", "to", "were", "what", "no", "look", "where", "is"]
 
 
-def features(text: str) -> np.ndarray:
+def features(text: str, sentences: list[list[str]] | None = None) -> np.ndarray:
     """Syntax and vocabulary of an English text as numbers: lengths, shares of word lengths, clause words, openings."""
-    words = [w.lower() for w in _WORD.findall(text)]
-    sentences = [s for s in (_WORD.findall(x) for x in _SENTENCE.split(text)) if s]
+    sentences = sentences_of(text) if sentences is None else sentences
+    words = [w for x in sentences for w in x]
     n, k = max(1, len(words)), max(1, len(sentences))
     lengths = np.array([len(w) for w in words] or [0])
-    syllables = np.array([len(_VOWELS.findall(w)) for w in words] or [0])
-    per = np.array([len(s) for s in sentences] or [0])
+    syllables = np.array([_syllables(w) for w in words] or [0])
+    per = np.array([len(x) for x in sentences] or [0])
     content = lengths[lengths >= 4] if (lengths >= 4).any() else np.array([0])
-    counts = {c: 0 for c in CONNECTIVES}
-    for w in words:
-        if w in counts:
-            counts[w] += 1
-    firsts: dict[str, int] = {}
-    for s in sentences:
-        firsts[s[0].lower()] = firsts.get(s[0].lower(), 0) + 1
+    counts, firsts = Counter(words), Counter(x[0] for x in sentences)
+    share = np.diff(np.searchsorted(np.sort(lengths), [1, 4, 6, 8, 10, 12, 14, 40])) / len(lengths)
     return np.array(
         [
             np.log1p(per.mean()), np.log1p(np.median(per)), per.std() / 10, lengths.mean(), content.mean(), syllables.mean(), (syllables >= 3).mean(), (syllables >= 5).mean(),
-            *[((lengths >= a) & (lengths < b)).mean() for a, b in ((1, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14), (14, 40))],
-            text.count("?") / k, text.count(",") / k, text.count("!") / k,
-            *[10 * counts[c] / n for c in CONNECTIVES], *[firsts.get(s, 0) / k for s in _STARTS],
+            *share, text.count("?") / k, text.count(",") / k, text.count("!") / k,
+            *[10 * counts[c] / n for c in CONNECTIVES], *[firsts[x] / k for x in _STARTS],
         ]
     )
 
@@ -212,11 +227,18 @@ class Reader:
         self.grades = sorted({int(v) for v in g})
         self.cuts = cuts_from(*isotonic(s, g), self.grades)
 
+    def rank(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of features."""
+        return ((x - self.mean) / self.scale) @ self.w
+
+    def level(self, score: np.ndarray) -> np.ndarray:
+        return np.array(self.grades)[np.searchsorted(self.cuts, score, side="right")] if len(score) else np.zeros(0, dtype=int)
+
     def score(self, texts: list[str]) -> np.ndarray:
-        return ((np.array([features(t) for t in texts]) - self.mean) / self.scale) @ self.w if texts else np.zeros(0)
+        return self.rank(np.array([features(t) for t in texts])) if texts else np.zeros(0)
 
     def grade(self, texts: list[str]) -> np.ndarray:
-        return np.array(self.grades)[np.searchsorted(self.cuts, self.score(texts), side="right")] if texts else np.zeros(0, dtype=int)
+        return self.level(self.score(texts))
 
 
 def labelled(samples: DataFrame, max_samples: int = 5_000) -> tuple[list[str], list[int]]:
@@ -237,16 +259,19 @@ def reading_levels(documents: DataFrame, samples: DataFrame, min_words: int = 40
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, own, counts = [], [], []
+            ids, rows, counts = [], [], []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 mine = own_words(text)
-                n = sum(any(c.isalnum() for c in w) for w in mine.split())
-                if n >= min_words and is_english([w.lower() for w in _WORD.findall(mine)]):
+                n = sum(w.isalnum() or any(c.isalnum() for c in w) for w in mine.split())
+                if n < min_words:
+                    continue
+                parsed = sentences_of(mine)
+                if is_english([w for x in parsed for w in x]):
                     ids.append(doc_id)
-                    own.append(mine)
+                    rows.append(features(mine, parsed))
                     counts.append(n)
-            s = model.score(own)
-            g = np.array(model.grades)[np.searchsorted(model.cuts, s, side="right")] if own else []
+            s = model.rank(np.array(rows)) if rows else np.zeros(0)
+            g = model.level(s)
             yield pd.DataFrame({"doc_id": ids, "grade": g, "score": s, "n_words": counts}).astype({"doc_id": "int64", "grade": "int32", "score": "float64", "n_words": "int32"})
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
