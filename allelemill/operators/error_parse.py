@@ -10,8 +10,8 @@ As a cheapest repair may mend broken quoting by a separator, the reason is check
 Header: the first line of a file that is neither comment nor blank. Its separator is that declared for the file, else
 the candidate that splits the header into the known column names, else into the most values.
 
-Defined results: null lines are blank lines. Lines of files without any header line are no data. Without known columns
-the names of the header itself hold; a field that is not among them is not checked. Repeated lines are each reported. A
+Defined results: null lines are blank lines. Lines of files without any header line are no data. For columns that
+are not described the names of the header itself are looked up; a field that is not among them is not checked. Repeated lines are each reported. A
 repeated header is a line like any other. Empty tables give empty results; further columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import ship, small, trimmed
-from .drift import bare, columns_of_files
+from .drift import bare, columns_of_files, squeezed
 
 SEPARATORS = ["\t", ",", ";", "|", " "]
 TYPED = ["chr", "pos", "pval"]
@@ -80,7 +80,15 @@ def data_lines(lines: DataFrame, files: DataFrame, column_info: DataFrame, alias
     fit = lambda s: F.struct((F.array_size(F.array_intersect(parts(F.lit(s)), F.coalesce("names", F.array().cast("array<string>"))))).alias("a"), F.array_size(parts(F.lit(s))).alias("b"), F.lit(s).alias("sep"))
     h = h.withColumn("sep", F.when(F.length("_sep") >= 1, F.substr("_sep", F.lit(1), F.lit(1))).otherwise(F.array_max(F.array(*[fit(s) for s in SEPARATORS]))["sep"]))
     h = h.withColumn("cols", parts(F.col("sep")))
-    place = lambda f: F.coalesce(F.nullif(F.array_position("cols", F.coalesce(f, F.lit("\0"))), F.lit(0)), F.nullif(F.array_position(F.coalesce("names", F.array().cast("array<string>")), F.coalesce(f, F.lit("\0"))), F.lit(0))).cast("int").alias(f)
+    known = {f: {f} for f in TYPED}
+    pairs = aliases.select("standard_name", "input_name").dropna().limit(10_001).collect()  # the dictionary of names, a small fixed table
+    if len(pairs) > 10_000:
+        raise ValueError("more than 10000 known names")
+    for std, name in pairs:
+        if std.strip().lower() in known:
+            known[std.strip().lower()].add("".join(x for x in name.lower() if x.isalnum()))
+    by_name = lambda f: F.try_element_at(F.filter(F.sequence(F.lit(1), F.array_size("cols")), lambda i: squeezed(F.get("cols", i - 1)).isin(sorted(known[f]))), F.lit(1))
+    place = lambda f: F.coalesce(F.nullif(F.array_position("cols", F.coalesce(f, F.lit("\0"))), F.lit(0)), F.nullif(F.array_position(F.coalesce("names", F.array().cast("array<string>")), F.coalesce(f, F.lit("\0"))), F.lit(0)), by_name(f)).cast("int").alias(f)
     h = h.select("file_id", "head_no", "head_id", "sep", F.array_size("cols").alias("n_cols"), F.struct(*[place(f) for f in TYPED]).alias("at"), field_pattern(F.col("sep")).alias("_field"), sound_pattern(F.col("sep")).alias("_sound"))
     out = body.select("line_id", "file_id", "line_no", "raw_text").join(small(h, bound), "file_id")
     return out.filter(F.struct("line_no", "line_id") > F.struct(F.col("head_no"), F.col("head_id"))).drop("head_no", "head_id")

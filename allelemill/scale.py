@@ -1,4 +1,4 @@
-"""Helpers that keep plans safe at scale: lineage cuts, checked broadcasts, salted joins."""
+"""Helpers that keep plans safe at scale: lineage cuts, checked broadcasts, shipping of the package."""
 
 from __future__ import annotations
 
@@ -56,16 +56,6 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    """Equi-join in which each key of ``left`` is spread over ``salts`` tasks; ``right`` must be the smaller side.
-
-    how: inner, left, left_semi or left_anti (each left row meets the whole of its key's right rows in its salt).
-    """
-    l = left.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int"))
-    r = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return l.join(r, [*on, "_salt"], how).drop("_salt")
-
-
 def trimmed(c: Column) -> Column:
     """Without white space (any Unicode kind) around it."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
