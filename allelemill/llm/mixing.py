@@ -18,7 +18,7 @@ that is smaller. Sources without any text cannot take part; the shares of the ot
 Equal texts are one text: it is counted once, in the source, language and topic most of its copies have, and its repeats
 are limited as a whole; the copy with the smallest id stands for it.
 
-Defined results: null and empty texts are left out, as are texts of sources without target (named in the report with
+Defined results: null and empty texts and rows without doc_id are left out, as are texts of sources without target (named in the report with
 share 0). Source names are compared without regard to case and blanks around them. A null max_repeats is 1. Empty tables
 give empty results.
 """

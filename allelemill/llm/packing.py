@@ -8,7 +8,7 @@ Texts are dealt to shards by a hash, each with about ``shard_tokens`` tokens and
 every shard is packed on its own, so no task grows with the data. What remains in containers filled to less than ``full``
 is packed once more in shards ``regroup`` times larger in texts, again and again until one shard is left or nothing is gained.
 
-Defined results: null and empty texts have no tokens and take no place. Repeated texts are each placed. A capacity that
+Defined results: null and empty texts have no tokens and take no place; rows without doc_id are no documents. Repeated texts are each placed. A capacity that
 is null or not positive is no limit. Empty tables give empty results.
 """
 

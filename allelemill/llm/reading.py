@@ -8,7 +8,7 @@ Only the author's own words are graded: quotes in all their forms, signatures an
 characters are mended, and texts that are not English or too short get no grade.
 
 Defined results: null and empty texts, texts of fewer than ``min_words`` own words and texts in other languages have no
-row. Repeated documents are each graded. Ungraded passages are left out of training; without any graded passage there
+row, nor have rows without doc_id. Repeated documents are each graded. Ungraded passages are left out of training; without any graded passage there
 is no result. Very long texts are graded whole.
 """
 
