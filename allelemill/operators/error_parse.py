@@ -222,6 +222,9 @@ def failures(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for text, sep, n, exact in zip(pdf["raw_text"], pdf["sep"], pdf["n_cols"], pdf["reason"]):
+                if exact in TYPED:  # sound and of the right number: the parse costs nothing, a value is at fault
+                    out.append((exact, 0.0, "", text))
+                    continue
                 # sound quoting is not to be edited where only separators or values are wrong
                 _, edits, fixed = repair(text, sep, int(n), quote_cost=1.0 if exact == "quoting" else 1000.0)
                 by_edits = "quoting" if any("quote" in e for e in edits) else "columns" if edits else exact
