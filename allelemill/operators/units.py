@@ -142,17 +142,33 @@ def neglog10_p(z: np.ndarray) -> np.ndarray:
     return -(np.log(t) - x * x + poly) / LN10
 
 
+#: Units of each field in the order in which the graph reaches them from the canonical one.
+COMPOSED = compose()
+UNITS = {f: [u for g, u, *_ in COMPOSED if g == f] for f in CANONICAL}
+
+
+def _converted(x: np.ndarray, a1: float, b1: float, bridge: str, a2: float, b2: float) -> np.ndarray:
+    y = a1 * x + b1
+    return a2 * (np.exp(y) if bridge == "exp" else np.log(y) if bridge == "ln" else y) + b2
+
+
 def _candidates(pdf: pd.DataFrame) -> dict[str, dict[str, np.ndarray]]:
-    """-log10 p of each row for each unit that each field could be in."""
-    p, g, e, o, se = (pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("pval", "log10p", "effect", "odds_ratio", "effect_se"))
+    """-log10 p of each row for each unit that each field could be in: the value is converted to the canonical unit by
+    the composition of the graph and must be possible there."""
+    x = {f: pdf[f].to_numpy(dtype=float, na_value=np.nan) for f in FIELDS}
+    se = pdf["effect_se"].to_numpy(dtype=float, na_value=np.nan)
     se = np.where(se > 0, se, np.nan)
+    strength = {
+        "pval": lambda p: np.where((p > 0) & (p <= 1), -np.log10(p), np.nan),
+        "log10p": lambda g: np.where(g >= 0, g, np.nan),
+        "effect": lambda e: neglog10_p(e / se),
+        "odds_ratio": lambda o: neglog10_p(np.log(o) / se),
+    }
+    out: dict[str, dict[str, np.ndarray]] = {f: {} for f in FIELDS}
     with np.errstate(all="ignore"):
-        return {
-            "pval": {"prob": -np.log10(p), "percent": -np.log10(p / 100), "ln": np.where(p <= 0, -p / LN10, np.nan), "neglog10": np.where(p >= 0, p, np.nan)},
-            "log10p": {"neglog10": np.where(g >= 0, g, np.nan), "log10": np.where(g <= 0, -g, np.nan), "negln": np.where(g >= 0, g / LN10, np.nan)},
-            "effect": {"lnor": neglog10_p(e / se), "log10": neglog10_p(e * LN10 / se), "log2": neglog10_p(e * LN2 / se), "milli": neglog10_p(e / 1000 / se), "smd": neglog10_p(e * SMD / se), "ratio": neglog10_p(np.log(e) / se)},
-            "odds_ratio": {"ratio": neglog10_p(np.log(o) / se), "ln": neglog10_p(o / se), "percent": neglog10_p(np.log1p(o / 100) / se)},
-        }
+        for f, u, *way in COMPOSED:
+            out[f][u] = strength[f](_converted(x[f], *way))
+    return out
 
 
 def row_votes(pdf: pd.DataFrame, fit: float = 0.002, clear: float = 0.02) -> dict[str, np.ndarray]:
@@ -180,7 +196,7 @@ def row_votes(pdf: pd.DataFrame, fit: float = 0.002, clear: float = 0.02) -> dic
 
 
 def _vote_batches(batches: Iterator[pd.DataFrame], block: int | None) -> Iterator[pd.DataFrame]:
-    units = {f: np.array(list(x)) for f, x in (("pval", ["prob", "percent", "ln", "neglog10"]), ("log10p", ["neglog10", "log10", "negln"]), ("effect", ["lnor", "log10", "log2", "milli", "smd", "ratio"]), ("odds_ratio", ["ratio", "ln", "percent"]))}
+    units = {f: np.array(u) for f, u in UNITS.items()}
     for pdf in batches:
         votes = row_votes(pdf)
         parts = []
@@ -273,13 +289,15 @@ def foreign_values(stats: DataFrame, files: DataFrame) -> DataFrame:
     """(row_id, field, unit) of each value that is not in the canonical unit of its field."""
     u = with_units(stats.select("row_id", "file_id", "line_no", "effect_se", *FIELDS), files)
     each = F.array(*[F.when(present(F.col(f)) & (F.col(f"{f}_unit") != CANONICAL[f]), F.struct(F.lit(f).alias("field"), F.col(f"{f}_unit").alias("unit"))) for f in FIELDS])
-    return u.select("row_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("v")).select("row_id", "v.field", "v.unit")
+    found = u.select("row_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("v")).select("row_id", "v.field", "v.unit")
+    ways = stats.sparkSession.createDataFrame([(f, w) for f, w, *_ in COMPOSED if w != CANONICAL[f]], "field string, unit string")
+    return found.join(F.broadcast(ways), ["field", "unit"]).select("row_id", "field", "unit")  # only units with a way to the canonical one
 
 
 def to_canonical(stats: DataFrame, files: DataFrame) -> DataFrame:
     """stats with the four fields in canonical units, by equi-joins on the unit with the table of compositions."""
     out = with_units(stats, files)
-    table = stats.sparkSession.createDataFrame(compose(), "field string, unit string, a1 double, b1 double, bridge string, a2 double, b2 double")
+    table = stats.sparkSession.createDataFrame(COMPOSED, "field string, unit string, a1 double, b1 double, bridge string, a2 double, b2 double")
     parts = ("a1", "b1", "bridge", "a2", "b2")
     for f in FIELDS:
         t = table.filter(F.col("field") == f).select(F.col("unit").alias(f"{f}_unit"), *[F.col(p).alias(f"_conv_{p}") for p in parts])
