@@ -6,11 +6,12 @@ checked for consistency; the resulting coefficients form a small table that is e
 
 Which unit a value is in is found from the data: p-value and effect of one row belong to one normal test, so a pair of
 fields fits exactly one pair of units within rounding. Such votes are counted per file, field and unit with the first
-and last line; a file has one unit, or changes it at a line, or mixes units (then blocks of lines decide). Only where a
+and last line; a file has one unit, or changes it at a line, or mixes units (then a row's own vote decides, and rows
+without vote follow the nearest line that votes). Every vote counts, however long the file. Only where a
 field has no vote at all, the declared unit (unit columns, notes) holds, else the range of its values.
 
 Defined results: nulls and NaN stay null and are in no unit. A value for which nothing speaks is taken as canonical.
-Rows without file or line are judged with the file's first unit. Non-positive ratios and p-values that cannot be
+Rows without file or line are judged with the file's first unit, unless units are mixed and they vote themselves. Non-positive ratios and p-values that cannot be
 converted come out null. Repeated rows each get their result; empty tables give empty results.
 """
 
@@ -24,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..scale import cut, ship, small, trimmed
+from ..scale import at_most, cut, ship, small, trimmed
 
 LN10, LN2, SMD = math.log(10), math.log(2), math.pi / math.sqrt(3)
 
@@ -46,6 +48,7 @@ EDGES = [
 ]
 CANONICAL = {"pval": "prob", "log10p": "neglog10", "effect": "lnor", "odds_ratio": "ratio"}
 FIELDS = list(CANONICAL)
+VOTING = ["effect", "effect_se", "odds_ratio", "pval", "log10p"]
 
 #: Wordings of declared units, matched anywhere in a note without regard to case. Fixed values.
 WORDINGS = [
@@ -195,7 +198,7 @@ def row_votes(pdf: pd.DataFrame, fit: float = 0.002, clear: float = 0.02) -> dic
     return votes
 
 
-def _vote_batches(batches: Iterator[pd.DataFrame], block: int | None) -> Iterator[pd.DataFrame]:
+def _vote_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     units = {f: np.array(u) for f, u in UNITS.items()}
     for pdf in batches:
         votes = row_votes(pdf)
@@ -203,21 +206,20 @@ def _vote_batches(batches: Iterator[pd.DataFrame], block: int | None) -> Iterato
         for f in FIELDS:
             yes = votes[f] >= 0
             part = pd.DataFrame({"file_id": pdf["file_id"][yes], "line_no": pdf["line_no"][yes], "unit": units[f][votes[f][yes]]})
-            part["block"] = part["line_no"] // block if block else 0
-            part = part.groupby(["file_id", "block", "unit"], as_index=False).agg(n=("line_no", "size"), first_line=("line_no", "min"), last_line=("line_no", "max"))
+            part = part.groupby(["file_id", "unit"], as_index=False).agg(n=("line_no", "size"), first_line=("line_no", "min"), last_line=("line_no", "max"))
             parts.append(part.assign(field=f))
         out = pd.concat(parts)
-        yield out[["file_id", "field", "block", "unit", "n", "first_line", "last_line"]]
+        yield out[["file_id", "field", "unit", "n", "first_line", "last_line"]]
 
 
-def unit_votes(stats: DataFrame, block: int | None = None) -> DataFrame:
-    """(file_id, field, block, unit, n, first_line, last_line): counted in each batch already, so little is shuffled."""
+def unit_votes(stats: DataFrame) -> DataFrame:
+    """(file_id, field, unit, n, first_line, last_line): counted in each batch already, so little is shuffled."""
     cols = stats.select("file_id", "line_no", *[F.col(c).cast("double").alias(c) for c in ("effect", "effect_se", "odds_ratio", "pval", "log10p")]).filter(
         "file_id is not null and line_no is not null"
     )
     ship(stats.sparkSession)
-    raw = cols.mapInPandas(lambda it: _vote_batches(it, block), "file_id long, field string, block long, unit string, n long, first_line long, last_line long")
-    return raw.groupBy("file_id", "field", "block", "unit").agg(F.sum("n").alias("n"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
+    raw = cols.mapInPandas(_vote_batches, "file_id long, field string, unit string, n long, first_line long, last_line long")
+    return raw.groupBy("file_id", "field", "unit").agg(F.sum("n").alias("n"), F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
 
 
 def declared_units(files: DataFrame) -> DataFrame:
@@ -232,15 +234,13 @@ def declared_units(files: DataFrame) -> DataFrame:
     return parts.select("file_id", hit.alias("h")).filter("h is not null").groupBy("file_id", "h.field").agg(F.min("h.unit").alias("unit"))
 
 
-def unit_segments(stats: DataFrame, files: DataFrame, min_share: float = 0.001) -> DataFrame:
+def unit_segments(stats: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, field, unit, from_line, to_line, mixed): where each file's field is in which unit; lines inclusive.
 
-    Units with fewer than ``min_share`` of a file's votes are disregarded. ``mixed`` marks units whose lines overlap.
+    ``mixed`` marks units whose lines overlap; their lines only tell which comes first.
     """
     votes = cut(unit_votes(stats))
-    share = F.col("n") >= F.greatest(F.lit(3), F.col("total") * min_share)
-    kept = votes.join(votes.groupBy("file_id", "field").agg(F.sum("n").alias("total")), ["file_id", "field"]).filter(share | (F.col("n") == F.col("total")))
-    runs = kept.groupBy("file_id", "field").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line", "unit"))).alias("runs"))  # at most one per unit
+    runs = votes.groupBy("file_id", "field").agg(F.sort_array(F.collect_list(F.struct("first_line", "last_line", "unit"))).alias("runs"))  # at most one per unit
     ordered = F.aggregate(
         F.sequence(F.lit(1), F.size("runs") - 1, F.lit(1)), F.lit(True), lambda ok, i: ok & (F.get("runs", i - 1)["last_line"] < F.get("runs", i)["first_line"])
     )
@@ -248,14 +248,47 @@ def unit_segments(stats: DataFrame, files: DataFrame, min_share: float = 0.001)
     mid = lambda i: ((F.get("runs", i)["last_line"] + F.get("runs", i + 1)["first_line"]) / 2).cast("long")
     seg = runs.select("file_id", "field", "runs", "mixed", F.posexplode("runs").alias("i", "run")).select(
         "file_id", "field", F.col("run.unit").alias("unit"),
-        F.when(F.col("mixed") | (F.col("i") == 0), F.lit(-(2**62))).otherwise(mid(F.col("i") - 1) + 1).alias("from_line"),
-        F.when(F.col("mixed") | (F.col("i") == F.size("runs") - 1), F.lit(2**62)).otherwise(mid(F.col("i"))).alias("to_line"),
+        F.when(F.col("mixed"), F.col("run.first_line")).when(F.col("i") == 0, F.lit(-(2**62))).otherwise(mid(F.col("i") - 1) + 1).alias("from_line"),
+        F.when(F.col("mixed"), F.col("run.last_line")).when(F.col("i") == F.size("runs") - 1, F.lit(2**62)).otherwise(mid(F.col("i"))).alias("to_line"),
         "mixed",
     )
     silent = declared_units(files).join(votes.select("file_id", "field").distinct(), ["file_id", "field"], "left_anti")
     return seg.unionByName(silent.select("file_id", "field", "unit", F.lit(-(2**62)).alias("from_line"), F.lit(2**62).alias("to_line"), F.lit(False).alias("mixed")))
 
 
+def _own_units(effect: pd.Series, effect_se: pd.Series, odds_ratio: pd.Series, pval: pd.Series, log10p: pd.Series) -> pd.DataFrame:
+    votes = row_votes(pd.DataFrame(dict(zip(VOTING, (effect, effect_se, odds_ratio, pval, log10p)))))
+    return pd.DataFrame({f: np.where(votes[f] >= 0, np.array(UNITS[f], dtype=object)[votes[f]], None) for f in FIELDS})
+
+
+def _line_batches(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        own = _own_units(*[pdf[c] for c in VOTING])
+        for f in FIELDS:
+            part = pd.DataFrame({"file_id": pdf["file_id"], "field": f, "block": pdf["line_no"] // block, "line": pdf["line_no"], "unit": own[f].to_numpy()})
+            part.loc[part["unit"].isna(), "line"] = -1  # tells only that the block has rows
+            yield part.drop_duplicates()
+
+
+def nearest_votes(stats: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
+    """(file_id, block, one array of (line, unit) a field): the votes among which a row of the block finds its nearest,
+    for the files and fields of ``mixed``: where stretches in one unit begin and end, and the next votes before and after the block."""
+    rows = stats.filter("file_id is not null and line_no is not null").select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("long").alias("line_no"), *[F.col(c).cast("double").alias(c) for c in VOTING])
+    ship(stats.sparkSession)
+    raw = rows.mapInPandas(lambda it: _line_batches(it, block), "file_id long, field string, block long, line long, unit string")
+    raw = raw.join(F.broadcast(mixed.select("file_id", "field")) if at_most(mixed, 200_000) else mixed.select("file_id", "field"), ["file_id", "field"], "left_semi")
+    votes = raw.groupBy("file_id", "field", "block").agg(F.sort_array(F.collect_set(F.when(F.col("unit").isNotNull(), F.struct("line", "unit")))).alias("v"))
+    before, after = lambda i: F.get("v", i - 1)["unit"], lambda i: F.get("v", i + 1)["unit"]
+    ends = F.filter("v", lambda p, i: ~(p["unit"].eqNullSafe(before(i)) & p["unit"].eqNullSafe(after(i))))
+    w = Window.partitionBy("file_id", "field").rowsBetween(Window.unboundedPreceding, -1)
+    votes = votes.select(
+        "file_id", "field", "block", ends.alias("v"),
+        F.last(F.get("v", F.size("v") - 1), True).over(w.orderBy("block")).alias("before"), F.last(F.get("v", F.lit(0)), True).over(w.orderBy(F.desc("block"))).alias("after"),
+    )
+    near = F.array_compact(F.concat(F.array("before"), "v", F.array("after")))
+    return votes.select("file_id", "field", "block", near.alias("near")).groupBy("file_id", "block").pivot("field", FIELDS).agg(F.first("near"))
+
+
 def with_units(stats: DataFrame, files: DataFrame, block: int = 64, bound: int = 200_000) -> DataFrame:
     """stats with ``<field>_unit`` for the four fields. Only files with other than canonical units are joined: the list
     is broadcast if it has been counted to at most ``bound`` rows, else shuffled (AQE splits the skewed files)."""
@@ -268,15 +301,21 @@ def with_units(stats: DataFrame, files: DataFrame, block: int = 64, bound: int =
     for f in FIELDS:
         run = F.get(F.filter(f"_{f}_runs", lambda r: (r["from_line"] <= line) & (line <= r["to_line"])), F.lit(0))
         out = out.withColumn(f"{f}_unit", F.coalesce(run["unit"], F.lit(CANONICAL[f]))).drop(f"_{f}_runs")
-    mixed = odd.filter("mixed").select("file_id", "field").distinct()
-    if mixed.limit(1).count():
-        names = mixed.select("file_id").distinct()
-        blocks = unit_votes(stats.join(F.broadcast(names) if names.limit(bound + 1).count() <= bound else names, "file_id", "left_semi"), block).join(mixed, ["file_id", "field"], "left_semi")
-        best = blocks.groupBy("file_id", "field", "block").agg(F.max_by("unit", F.struct("n", "unit")).alias("unit")).groupBy("file_id", "block").pivot("field", FIELDS).agg(F.first("unit"))
-        best = best.select(F.col("file_id").alias("_file"), F.col("block").alias("_block"), *[F.col(f).alias(f"_{f}") for f in FIELDS])
-        out = out.join(small(best, bound), (F.col("file_id") == F.col("_file")) & (F.floor(line / block) == F.col("_block")), "left").drop("_file", "_block")
+    first = seg.filter("mixed").groupBy("file_id", "field").agg(F.min_by("unit", F.struct("from_line", "unit")).alias("unit"))
+    if first.limit(1).count():
+        names = first.groupBy(F.col("file_id").alias("_file")).pivot("field", FIELDS).agg(F.first("unit"))
+        names = small(names.select("_file", *[F.col(f).alias(f"_{f}_first") for f in FIELDS]), bound)
+        same_file = F.col("file_id") == F.col("_file")
+        inside = out.join(names, same_file).drop("_file").withColumn("_block", F.floor(F.col("line_no") / block))
+        near = nearest_votes(stats.join(names, same_file, "left_semi"), first, block)
+        near = near.select(F.col("file_id").alias("_file"), F.col("block").alias("_near_block"), *[F.col(f).alias(f"_{f}") for f in FIELDS])
+        inside = inside.join(small(near, bound // block), same_file & (F.col("_block") == F.col("_near_block")), "left").drop("_file", "_block", "_near_block")
+        own = F.pandas_udf(_own_units, "struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ">")
+        inside = inside.withColumn("_own", own(*[F.col(c).cast("double") for c in VOTING]))
         for f in FIELDS:
-            out = out.withColumn(f"{f}_unit", F.coalesce(F.col(f"_{f}"), F.col(f"{f}_unit"))).drop(f"_{f}")
+            nearest = F.array_min(F.transform(f"_{f}", lambda p: F.struct(F.abs(p["line"] - F.col("line_no")).alias("d"), p["line"].alias("line"), p["unit"].alias("unit"))))["unit"]
+            inside = inside.withColumn(f"{f}_unit", F.when(F.col(f"_{f}_first").isNull(), F.col(f"{f}_unit")).otherwise(F.coalesce(F.col(f"_own.{f}"), nearest, F.col(f"_{f}_first"))))
+        out = out.join(names, same_file, "left_anti").unionByName(inside.select(out.columns))
     return out
 
 

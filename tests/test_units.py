@@ -94,6 +94,30 @@ def test_mixed_file_goes_by_blocks(spark):
     assert got == {x[0] for x in data if 64 <= x[2] < 128 and x[6] is not None}
 
 
+def test_short_stretch_in_a_long_file(spark):
+    rng = np.random.default_rng(11)
+    data = rows(rng, 1, 12000, {"pval": "percent"}, cut=11996, fields=("effect", "pval"))
+    votes = U.row_votes(pd.DataFrame([x[3:8] for x in data], columns=["effect", "effect_se", "odds_ratio", "pval", "log10p"], dtype=float))["pval"]
+    want = {x[0] for x, v in zip(data, votes) if x[2] > 11996 and v == U.UNITS["pval"].index("percent")}
+    files = spark.createDataFrame([(1, None, None, None)], F_COLS)
+    got = {r["row_id"] for r in U.foreign_values(spark.createDataFrame(data, S_COLS), files).collect()}
+    assert len(want) >= 3 and want <= got and all(x[2] > 11990 for x in data if x[0] in got)
+
+
+def test_mixed_rows_vote_for_themselves(spark):
+    rng = np.random.default_rng(12)
+    a, b = rows(rng, 1, 400, {}, fields=("effect", "pval")), rows(rng, 1, 400, {"pval": "percent"}, fields=("effect", "pval"))
+    data = [b[i] if i % 7 == 3 or 200 <= i < 203 else a[i] for i in range(400)]
+    data = [(*x[:4], None, *x[5:]) if 100 <= i < 180 else x for i, x in enumerate(data)]  # over a whole block nothing speaks
+    votes = U.row_votes(pd.DataFrame([x[3:8] for x in data], columns=["effect", "effect_se", "odds_ratio", "pval", "log10p"], dtype=float))["pval"]
+    at = [i for i, v in enumerate(votes) if v >= 0]
+    foreign = {i for i in range(400) if U.UNITS["pval"][votes[min(at, key=lambda j: (abs(i - j), j))]] == "percent"}
+    assert {i for i in at if i in foreign} == {i for i in at if i % 7 == 3 or 200 <= i < 203}
+    files = spark.createDataFrame([(1, None, None, None)], F_COLS)
+    got = {r["row_id"] for r in U.foreign_values(spark.createDataFrame(data, S_COLS), files).collect()}
+    assert got == {data[i][0] for i in foreign if data[i][6] is not None}
+
+
 def test_nulls_nan_and_empty(spark):
     files = spark.createDataFrame([(1, None, None, None)], F_COLS)
     data = [(1, None, None, None, None, None, None, None, None), (2, 1, 1, float("nan"), 0.1, None, 0.5, None, "x"), (2, 1, 1, float("nan"), 0.1, None, 0.5, None, "x")]
