@@ -5,7 +5,8 @@ values are valid too it loads. This is settled in the JVM. For every other line
 separators and stretches of text finds the cheapest insertions and deletions of quotes and separators that give as many
 sound values as the header has. The edit operations state the reason: edited quotes mean ``quoting``, edited separators
 ``columns``, and no edit at all that a typed value is invalid (``chr``, ``pos`` or ``pval``, the first that applies).
-As a cheapest repair may mend broken quoting by a separator, the reason is checked against the exact rule of quoting.
+As a cheapest repair may mend broken quoting by a separator, or a superfluous separator by quotes, the exact rule of quoting
+overrides the reason where they differ; ``by_edits`` keeps what the edits said, so that such lines can be counted.
 
 Header: the first line of a file that is neither comment nor blank. Its separator is that declared for the file, else
 the candidate that splits the header into the known column names, else into the most values.
@@ -214,8 +215,8 @@ def repair(line: str, sep: str, n_cols: int, quote_cost: float = 1.0, sep_cost:
 
 
 def failures(rows: DataFrame) -> DataFrame:
-    """(line_id, file_id, line_no, reason, cost, edits, repaired, raw_text) of the lines that do not load; cost is the number
-    of edits."""
+    """(line_id, file_id, line_no, reason, by_edits, cost, edits, repaired, raw_text) of the lines that do not load; cost is
+    the number of edits. by_edits is the reason that the cheapest edits give; reason differs from it where the exact rule does."""
     bad = judged(rows).filter("reason is not null").select("line_id", "file_id", "line_no", "raw_text", "sep", F.col("n_cols").cast("int").alias("n_cols"), "reason")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,14 +224,17 @@ def failures(rows: DataFrame) -> DataFrame:
             out = []
             for text, sep, n, exact in zip(pdf["raw_text"], pdf["sep"], pdf["n_cols"], pdf["reason"]):
                 if exact in TYPED:  # sound and of the right number: the parse costs nothing, a value is at fault
-                    out.append((exact, 0.0, "", text))
+                    out.append((exact, exact, 0.0, "", text))
                     continue
-                # sound quoting is not to be edited where only separators or values are wrong
-                _, edits, fixed = repair(text, sep, int(n), quote_cost=1.0 if exact == "quoting" else 1000.0)
-                by_edits = "quoting" if any("quote" in e for e in edits) else "columns" if edits else exact
-                out.append((by_edits if by_edits == exact else exact, float(len(edits)), ", ".join(edits), fixed))  # checked
-            done = pd.DataFrame(out, columns=["reason", "cost", "edits", "repaired"], index=pdf.index)
+                _, edits, fixed = repair(text, sep, int(n))
+                reason = by_edits = "quoting" if any("quote" in e for e in edits) else "columns" if edits else exact
+                if by_edits != exact:  # overridden; sound quoting is not to be edited where only separators are wrong
+                    reason = exact
+                    if exact == "columns":
+                        _, edits, fixed = repair(text, sep, int(n), quote_cost=1000.0)
+                out.append((reason, by_edits, float(len(edits)), ", ".join(edits), fixed))
+            done = pd.DataFrame(out, columns=["reason", "by_edits", "cost", "edits", "repaired"], index=pdf.index)
             yield pd.concat([pdf[["line_id", "file_id", "line_no"]], done, pdf["raw_text"]], axis=1)
 
     ship(rows.sparkSession)
-    return bad.mapInPandas(run, "line_id long, file_id long, line_no int, reason string, cost double, edits string, repaired string, raw_text string")
+    return bad.mapInPandas(run, "line_id long, file_id long, line_no int, reason string, by_edits string, cost double, edits string, repaired string, raw_text string")

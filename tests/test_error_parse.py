@@ -109,6 +109,13 @@ def test_repair(line, n, cost, edits, fixed):
     assert again[0] == 0 and again[2] == got[2]  # a repaired line is sound
 
 
+def test_edits_give_the_reason_and_the_exact_rule_overrides(spark):
+    texts = ["1,5,A,0.5,x,y", '1,5,A,0.5,"open', '1,5,A,"0.5"x', "1,5,A,0.5,x,y,z,w", "1,0,A,0.5,x"]
+    got = {r["line_id"] - 3: r for r in E.failures(E.data_lines(*frames(spark, ",", texts))).collect()}
+    assert {i: (r["reason"], r["by_edits"]) for i, r in got.items()} == {0: ("columns", "columns"), 1: ("quoting", "quoting"), 2: ("quoting", "columns"), 3: ("columns", "quoting"), 4: ("pos", "pos")}
+    assert got[3]["edits"] == ", ".join(["delete separator"] * 3) and got[2]["edits"] == "insert separator"
+
+
 def test_empty(spark):
     raw, files, info, alias = frames(spark, ",", ["1,5,A,0.5"])
     assert E.failures(E.data_lines(raw.limit(0), files, info, alias)).count() == 0
