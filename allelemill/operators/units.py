@@ -5,10 +5,12 @@ and its logarithm. Shortest compositions from each unit to the canonical one are
 checked for consistency; the resulting coefficients form a small table that is equi-joined on the source unit.
 
 Which unit a value is in is found from the data: p-value and effect of one row belong to one normal test, so a pair of
-fields fits exactly one pair of units within rounding. Such votes are counted per file, field and unit with the first
+fields fits exactly one pair of units within rounding. Rows without such a pair are judged by pval beside log10p and
+effect beside odds_ratio, which need no standard error. Such votes are counted per file, field and unit with the first
 and last line; a file has one unit, or changes it at a line, or mixes units (then a row's own vote decides, and rows
 without vote follow the nearest line that votes). Every vote counts, however long the file. Only where a
-field has no vote at all, the declared unit (unit columns, notes) holds, else the range of its values.
+field has no vote at all, the declared unit (unit columns, notes) holds, else the range of its values, if more than a twentieth of a file's values
+are impossible in the canonical unit: no p-value is negative or above 1, no log10p or odds ratio negative.
 
 Defined results: nulls and NaN stay null and are in no unit. A value for which nothing speaks is taken as canonical.
 Rows without file or line are judged with the file's first unit, unless units are mixed and they vote themselves. Non-positive ratios and p-values that cannot be
@@ -178,23 +180,28 @@ def row_votes(pdf: pd.DataFrame, fit: float = 0.002, clear: float = 0.02) -> dic
     """For each field the position of the unit that the row speaks for, else -1.
 
     A pair of fields speaks if one pair of units agrees within ``fit`` and every pair with another unit is off by more
-    than ``clear`` (both relative to 1 + -log10 p).
+    than ``clear`` (both relative to 1 + -log10 p). Where no effect and p-value speak, the two p-values (as -log10 p) and
+    the two effects (as log odds, relative to 0.1 + log odds) are compared.
     """
     cand = _candidates(pdf)
+    with np.errstate(all="ignore"):
+        odds = {f: {u: (np.log if f == "odds_ratio" else np.array)(_converted(pdf[f].to_numpy(dtype=float, na_value=np.nan), *way)) for g, u, *way in COMPOSED if g == f} for f in ("effect", "odds_ratio")}
     votes = {f: np.full(len(pdf), -1) for f in FIELDS}
-    for a in ("effect", "odds_ratio"):
-        for b in ("pval", "log10p"):
-            x, y = (np.array(list(cand[f].values())) for f in (a, b))
-            d = np.abs(x[:, None, :] - y[None, :, :]) / (1 + np.minimum(np.abs(x[:, None, :]), np.abs(y[None, :, :])))
-            d = np.where(np.isfinite(d), d, np.inf).reshape(-1, len(pdf))
-            best = d.argmin(0)
-            low = d.min(0)
-            n_b = y.shape[0]
-            ids = np.arange(d.shape[0])
-            for f, unit_of in ((a, ids // n_b), (b, ids % n_b)):
-                mine = unit_of[best]
-                other = np.where(unit_of[:, None] == mine[None, :], np.inf, d).min(0) if len(ids) else low
-                votes[f] = np.where((low <= fit) & (other > clear), mine, votes[f])
+    pairs = [(a, b, cand) for a in ("effect", "odds_ratio") for b in ("pval", "log10p")] + [("pval", "log10p", cand), ("effect", "odds_ratio", odds)]
+    for k, (a, b, of) in enumerate(pairs):
+        x, y = (np.array(list(of[f].values())) for f in (a, b))
+        with np.errstate(all="ignore"):
+            d = np.abs(x[:, None, :] - y[None, :, :]) / ((0.1 if of is odds else 1) + np.minimum(np.abs(x[:, None, :]), np.abs(y[None, :, :])))
+        d = np.where(np.isfinite(d), d, np.inf).reshape(-1, len(pdf))
+        best = d.argmin(0)
+        low = d.min(0)
+        n_b = y.shape[0]
+        ids = np.arange(d.shape[0])
+        for f, unit_of in ((a, ids // n_b), (b, ids % n_b)):
+            mine = unit_of[best]
+            other = np.where(unit_of[:, None] == mine[None, :], np.inf, d).min(0) if len(ids) else low
+            speaks = (low <= fit) & (other > clear)
+            votes[f] = np.where(speaks & (votes[f] < 0) if k > 3 else speaks, mine, votes[f])
     return votes
 
 
@@ -234,6 +241,24 @@ def declared_units(files: DataFrame) -> DataFrame:
     return parts.select("file_id", hit.alias("h")).filter("h is not null").groupBy("file_id", "h.field").agg(F.min("h.unit").alias("unit"))
 
 
+def ranged_units(stats: DataFrame) -> DataFrame:
+    """(file_id, field, unit) where more than a twentieth of a file's values are impossible in the canonical unit of the
+    field: the unit in which they are possible; of several the one that their size suits."""
+    x = {f: F.when(present(F.col(f)), F.col(f).cast("double")) for f in ("pval", "log10p", "odds_ratio")}
+    share = lambda bad: F.coalesce(F.avg(bad.cast("int")), F.lit(0.0))
+    per = stats.filter("file_id is not null").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(
+        share(x["pval"] < 0).alias("p_neg"), share(x["pval"] > 1).alias("p_high"), F.max(x["pval"]).alias("p_max"), F.avg(x["pval"]).alias("p_avg"),
+        share(x["log10p"] < 0).alias("g_neg"), share(x["odds_ratio"] < 0).alias("o_neg"), F.avg(F.abs(x["odds_ratio"])).alias("o_avg"),
+    )
+    unit = {
+        "pval": F.when(F.col("p_neg") > 0.05, "ln").when(F.col("p_high") > 0.05, F.when((F.col("p_max") <= 100) & (F.col("p_avg") >= 20), "percent").otherwise("neglog10")),
+        "log10p": F.when(F.col("g_neg") > 0.05, "log10"),
+        "odds_ratio": F.when(F.col("o_neg") > 0.05, F.when(F.col("o_avg") >= 1, "percent").otherwise("ln")),
+    }
+    each = F.array(*[F.struct(F.lit(f).alias("field"), u.alias("unit")) for f, u in unit.items()])
+    return per.select("file_id", F.explode(each).alias("e")).select("file_id", "e.*").filter("unit is not null")
+
+
 def unit_segments(stats: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, field, unit, from_line, to_line, mixed): where each file's field is in which unit; lines inclusive.
 
@@ -252,7 +277,10 @@ def unit_segments(stats: DataFrame, files: DataFrame) -> DataFrame:
         F.when(F.col("mixed"), F.col("run.last_line")).when(F.col("i") == F.size("runs") - 1, F.lit(2**62)).otherwise(mid(F.col("i"))).alias("to_line"),
         "mixed",
     )
-    silent = declared_units(files).join(votes.select("file_id", "field").distinct(), ["file_id", "field"], "left_anti")
+    spoken = votes.select("file_id", "field").distinct()
+    said = declared_units(files).withColumn("file_id", F.col("file_id").cast("long"))
+    ranged = ranged_units(stats).join(said, ["file_id", "field"], "left_anti")
+    silent = said.unionByName(ranged).join(spoken, ["file_id", "field"], "left_anti")
     return seg.unionByName(silent.select("file_id", "field", "unit", F.lit(-(2**62)).alias("from_line"), F.lit(2**62).alias("to_line"), F.lit(False).alias("mixed")))
 
 

@@ -118,6 +118,29 @@ def test_mixed_rows_vote_for_themselves(spark):
     assert got == {data[i][0] for i in foreign if data[i][6] is not None}
 
 
+def test_without_standard_error(spark):
+    rng = np.random.default_rng(21)
+    want, data = set(), []
+    for fid, u in ((1, {"pval": "percent"}), (2, {"log10p": "negln"}), (3, {"effect": "milli", "odds_ratio": "percent"}), (4, {"effect": "log10"}), (5, {})):
+        part = rows(rng, fid, 60, u, start=fid * 100)
+        keep = (5,) if fid in (3, 4) else (6, 7)
+        part = [(*x[:3], x[3] if fid in (3, 4) else None, None, *[x[j] if j in keep else None for j in (5, 6, 7)], "x") for x in part]
+        data += part
+        want |= {(x[0], f) for x in part for f in u if x[U.VOTING.index(f) + 3] is not None}
+    files = spark.createDataFrame([(i, None, None, None) for i in range(1, 6)], F_COLS)
+    got = {(r["row_id"], r["field"]) for r in U.foreign_values(spark.createDataFrame(data, S_COLS), files).collect()}
+    assert got == want
+
+
+def test_range_where_nothing_else_speaks(spark):
+    vals = {1: ("pval", [7.3, 0.4, 12.0, 0.1]), 2: ("log10p", [-2.0, -0.3]), 3: ("pval", [-4.6, -0.2]), 4: ("pval", [55.0, 0.9, 31.0, 88.0]), 5: ("odds_ratio", [-0.1, 0.2]), 6: ("odds_ratio", [-12.0, 5.0]), 7: ("pval", [0.2] * 30 + [1.5])}
+    data = [(k * 100 + i, k, i, *[x if c == f else None for c in U.VOTING], "x") for k, (f, xs) in vals.items() for i, x in enumerate(xs)]
+    files = spark.createDataFrame([(i, None, None, None) for i in vals], F_COLS)
+    got = {(r["row_id"], r["field"], r["unit"]) for r in U.foreign_values(spark.createDataFrame(data, S_COLS), files).collect()}
+    units = {1: "neglog10", 2: "log10", 3: "ln", 4: "percent", 5: "ln", 6: "percent"}
+    assert got == {(k * 100 + i, f, units[k]) for k, (f, xs) in vals.items() if k in units for i in range(len(xs))}
+
+
 def test_nulls_nan_and_empty(spark):
     files = spark.createDataFrame([(1, None, None, None)], F_COLS)
     data = [(1, None, None, None, None, None, None, None, None), (2, 1, 1, float("nan"), 0.1, None, 0.5, None, "x"), (2, 1, 1, float("nan"), 0.1, None, 0.5, None, "x")]
