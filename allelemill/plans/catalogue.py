@@ -7,6 +7,7 @@ definitions are valid in Spark and DuckDB alike.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from ..operators import build_inference, liftover, rsid, variants
 from ..operators.regions import RegionSet
 from ..operators.variants import Variants
 from ..plans.predicate import col
+from ..scale import checkpoint_dir
 from ..sources.stats_source import StatsSource
 from ..tables import table
 
@@ -100,6 +102,13 @@ def markers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").selectExpr(*V_MARKER)
 
 
+def as_text(df: DataFrame) -> StatsSource:
+    """df staged as tab-separated text with a header, in the folder that executors share, and opened from there."""
+    path = f"{checkpoint_dir(df.sparkSession)}/text-{uuid.uuid4().hex}"
+    df.write.option("sep", "\t").option("header", True).csv(path)
+    return StatsSource.open(df.sparkSession, path, build=None)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -151,9 +160,9 @@ for _name, _op, _text, _sqltext in (
 
 @query("SELECT v.* FROM v WHERE rsid IN (SELECT 'rs' || cast(s_suppkey AS string) FROM supplier)")
 def filter_in_large(s: SparkSession, d: str) -> DataFrame:
-    """A value set from a table: a semi-join."""
+    """A value set from a table, which is joined."""
     wanted = table(s, d, "supplier").selectExpr("'rs' || cast(s_suppkey AS string) AS rsid")
-    return source(s, d).read().join(wanted, "rsid", "left_semi").select("chr", "pos", "ref", "alt", "effect", "effect_se", "pval", "rsid")
+    return source(s, d).filter("rsid %in% wanted", values={"wanted": wanted})
 
 
 @query("SELECT * FROM v ORDER BY chr, pos, ref, alt, effect, effect_se, pval, rsid LIMIT 25")
@@ -179,14 +188,13 @@ def standardise_names(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT split_part(split_part(MarkerName, '-c', 2), ':', 1) AS chr, cast(split_part(split_part(MarkerName, ':', 2), '-', 1) AS int) AS pos, split_part(MarkerName, '-c', 1) AS build, beta FROM k")
 def decode_marker_build(s: SparkSession, d: str) -> DataFrame:
-    p = F.split("MarkerName", "-c|:|-")
-    return markers(s, d).select(p[1].alias("chr"), p[2].cast("int").alias("pos"), p[0].alias("build"), "beta")
+    t = as_text(markers(s, d)).read()
+    return t.select(F.regexp_replace("chr", "^chr", "").alias("chr"), "pos", "build", F.col("effect").alias("beta"))
 
 
 @query("SELECT upper(split_part(SNPAlleles, '/', 1)) AS ref, upper(split_part(SNPAlleles, '/', 2)) AS alt, count(*) AS n FROM k GROUP BY 1, 2")
 def decode_snpalleles(s: SparkSession, d: str) -> DataFrame:
-    p = F.split("SNPAlleles", "/")
-    return markers(s, d).select(F.upper(p[0]).alias("ref"), F.upper(p[1]).alias("alt")).groupBy("ref", "alt").agg(F.count(F.lit(1)).alias("n"))
+    return as_text(markers(s, d)).read().groupBy("ref", "alt").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT chr, pos, CASE WHEN ref < alt AND ref = alt THEN alt ELSE ref END AS ref, alt FROM v")
@@ -212,8 +220,10 @@ def allele_upper_chr_prefix(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT cast(split_part(x, ':', 1) AS double) AS effect, cast(split_part(x, ':', 2) AS double) AS effect_se, cast(split_part(x, ':', 3) AS double) AS log10p FROM (SELECT cast(effect AS string) || ':' || cast(effect_se AS string) || ':2.5' AS x FROM v)")
 def trait_vcf_decode(s: SparkSession, d: str) -> DataFrame:
     """Values packed by a FORMAT of ES:SE:LP."""
-    x = F.split(F.concat_ws(":", F.col("effect").cast("string"), F.col("effect_se").cast("string"), F.lit("2.5")), ":")
-    return stats(s, d).select(*[x[i].cast("double").alias(n) for i, n in enumerate(("effect", "effect_se", "log10p"))])
+    packed = F.concat_ws(":", F.col("effect").cast("string"), F.col("effect_se").cast("string"), F.lit("2.5"))
+    fixed = {"QUAL": ".", "FILTER": "PASS", "INFO": ".", "FORMAT": "ES:SE:LP"}
+    vcf = stats(s, d).select(F.col("chr").alias("CHROM"), F.col("pos").alias("POS"), F.col("rsid").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"), *[F.lit(v).alias(k) for k, v in fixed.items()], packed.alias("trait1"))
+    return as_text(vcf).read().select("effect", "effect_se", "log10p")
 
 
 # ---- regions

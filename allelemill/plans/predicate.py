@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.genome import chr_rank
+from ..functions.genome import chr_rank, with_chr
 from ..operators.regions import RegionSet, expression
 
 ALLELES = ("ref", "alt", "allele1", "allele2")
@@ -155,6 +155,44 @@ class In(Predicate):
         return RegionSet.full(spark)
 
 
+@dataclass(eq=False)
+class TableValues:
+    """A value set held in the first column of a table; names are the columns that an expression looks up in it."""
+
+    key: str
+    df: DataFrame
+    names: list[str] = field(default_factory=list)
+
+    def flag(self, name: str) -> str:
+        return f"_{name}_in_{self.key}"
+
+    def joined(self, table: DataFrame) -> DataFrame:
+        """table with one flag a name: whether its value is in the set; a join of distinct values, so no row is repeated."""
+        at = self.df.columns[0]
+        for name in dict.fromkeys(self.names):
+            v = self.df.select(F.col(f"`{at}`").alias("_v")).filter("_v is not null").distinct()
+            v = v.select(with_chr(F.col("_v").cast("string")).alias("_v") if name == "chr" else F.upper("_v").alias("_v") if name in ALLELES else "_v").distinct().withColumn("_in", F.lit(True))
+            x = F.col(f"`{name}`")
+            table = table.join(v, x == F.col("_v"), "left").withColumn(self.flag(name), F.when(x.isNotNull(), F.coalesce("_in", F.lit(False)))).drop("_v", "_in")
+        return table
+
+
+@dataclass(frozen=True, repr=False)
+class InTable(Predicate):
+    name: str
+    values: TableValues
+
+    def __repr__(self) -> str:
+        return f"{self.name} %in% {self.values.key}"
+
+    def columns(self) -> set[str]:
+        return {self.name}
+
+    def column(self, kinds: dict[str, str]) -> Column:
+        _read(self.name, kinds, False)
+        return F.col(f"`{self.values.flag(self.name)}`")
+
+
 @dataclass(frozen=True, repr=False)
 class Matches(Predicate):
     """A regular expression found anywhere in the value."""
@@ -395,6 +433,9 @@ def parse(text: str, columns: list[str] | None = None, values: dict[str, Any] |
             right = operand()
             if op == "%like%":
                 return Matches(left.name, right)
+            if isinstance(right, TableValues):
+                right.names.append(left.name)
+                return InTable(left.name, right)
             return In(left.name, tuple(right) if isinstance(right, (list, tuple, set, range)) else (right,))
         if isinstance(left, Predicate):
             return left

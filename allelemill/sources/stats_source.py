@@ -25,7 +25,7 @@ from ..operators import liftover as L
 from ..operators.regions import RegionSet
 from ..operators.variants import Variants, locate
 from ..plans.aliases import standard_names
-from ..plans.predicate import ALLELES, InRegions, Predicate, parse
+from ..plans.predicate import ALLELES, InRegions, Predicate, TableValues, parse
 from .sniff import MISSING, ColumnSpec, Layout, layout
 
 
@@ -141,13 +141,18 @@ class StatsSource:
             if self.build and v.build != self.build:
                 v = v.lift(self.build, self.chains)
             return locate(self.table, v)
+        tables: list[TableValues] = []
         if isinstance(condition, str):
-            shown = {k: _embedded(self._lifted(v)) if isinstance(v, RegionSet) else v for k, v in values.items()}
+            tables = [TableValues(k, v) for k, v in values.items() if isinstance(v, DataFrame)]
+            shown = {k: _embedded(self._lifted(v)) if isinstance(v, RegionSet) else v for k, v in values.items()} | {t.key: t for t in tables}
             condition = parse(condition, [*self.columns, "chr", "pos"], shown)
         if not isinstance(condition, Predicate):
             raise ValueError(f"{condition!r} is no condition")
         table = self._placed() if self.needs_rsid and condition.columns() & {"chr", "pos"} else self.table
-        return table.where(condition.column(dict(table.dtypes)))
+        columns = table.columns
+        for t in tables:
+            table = t.joined(table)
+        return table.where(condition.column(dict(table.dtypes))).select(*[f"`{c}`" for c in columns])
 
     def _placed(self) -> DataFrame:
         """The table with coordinates; files indexed by rsid get them from the reference entries (leading columns)."""

@@ -53,3 +53,18 @@ def test_against_sql(spark, name):
     rel = con.sql(e.oracle_sql()[name])
     at = [rel.columns.index(c) for c in cols]
     assert sorted(rel.columns) == cols and got == sorted(tuple(shown(r[i]) for i in at) for r in rel.fetchall())
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["decode_marker_build", "decode_snpalleles", "trait_vcf_decode", "filter_in_large"])
+def test_named_operators_are_reached(spark, monkeypatch, name):
+    from allelemill.plans import predicate
+    from allelemill.sources import stats_source
+
+    seen = []
+    scan, parse = stats_source._scan, stats_source.parse
+    monkeypatch.setattr(stats_source, "_scan", lambda s, p, lay: (seen.append({c.name for c in lay.columns if c.part is not None}), scan(s, p, lay))[1])
+    monkeypatch.setattr(stats_source, "parse", lambda *a: (seen.append(type(p := parse(*a))), p)[1])
+    test_against_sql(spark, name)
+    want = {"decode_marker_build": {"build", "chr", "pos"}, "decode_snpalleles": {"ref", "alt"}, "trait_vcf_decode": {"effect", "effect_se", "log10p"}}
+    assert want[name] <= seen[0] if name in want else seen == [predicate.InTable]

@@ -49,3 +49,14 @@ def test_columns(spark):
     assert df.where(In("pos", (5, 9)).column(dict(df.dtypes))).count() == 2
     with pytest.raises(ValueError, match="no column"):
         n("nope == 1")
+
+
+def test_values_of_a_table(spark):
+    from allelemill.sources.stats_source import StatsSource
+
+    df = spark.createDataFrame([(1, "chr1", 1, "rs1", 0.5), (2, "chr2", 1, "rs2", 0.5), (3, "chr3", 1, None, 0.5), (4, "chr4", 1, "rs4", 0.01)], "k int, chr string, pos int, rsid string, pval double")
+    wanted = spark.createDataFrame([("rs1",), ("rs1",), (None,)], "v string")
+    src = StatsSource.from_table(df)
+    ids = lambda text: sorted(r["k"] for r in src.filter(text, values={"wanted": wanted, "few": spark.createDataFrame([(2,)], "v int")}).collect())
+    assert ids("rsid %in% wanted") == [1] and ids("rsid %in% wanted | pval < 0.1") == [1, 4] and ids("!(rsid %in% wanted)") == [2, 4] and ids("chr %in% few") == [2]
+    assert src.filter("rsid %in% wanted", values={"wanted": wanted}).columns[:5] == df.columns
