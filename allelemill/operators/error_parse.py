@@ -1,30 +1,38 @@
 """Delimited lines that fail to parse are set apart with the reason; all others load typed.
 
-Method: minimum-cost error parse. A line of cost zero has sound quoting and as many values as its header; if its typed
-values are valid too it loads. This is settled in the JVM. For every other line dynamic programming over its quotes,
-separators and stretches of text finds the cheapest insertions and deletions of quotes and separators that give as many
-sound values as the header has. The edit operations state the reason: edited quotes mean ``quoting``, edited separators
-``columns``, and no edit at all that a typed value is invalid (``chr``, ``pos`` or ``pval``, the first that applies).
-As a cheapest repair may mend broken quoting by a separator, or a superfluous separator by quotes, the exact rule of quoting
-overrides the reason where they differ; ``by_edits`` keeps what the edits said, so that such lines can be counted.
+Method: minimum-cost error parse. Lines of cost zero (sound quoting, as many values as the header, valid typed values) load;
+the JVM settles these. Every other line is parsed by dynamic programming, first over its quotes, then over its separators:
+
+* Over the tokens of the line (quotes, separators, stretches of text) the fewest edits of quotes are found that leave sound
+  quoting: to insert, delete or double a quote, or to break a value at a quote by a separator. Sound quotes are never edited
+  to mend the number of values, that is, one edit of a quote costs more than all edits of separators; among equally few
+  edits of quotes the parse with the number of values nearest to the header's holds.
+* The values are then aligned with the columns by the fewest inserted or deleted separators, and among these by those that
+  leave valid values in the typed columns.
+
+The edits alone state the reason: an edited quote means ``quoting``, an edited separator ``columns``. Without any edit the
+first typed value that is invalid is the reason (``chr``, ``pos`` or ``pval``).
 
 Header: the first line of a file that is neither comment nor blank. Its separator is that declared for the file, else
 the candidate that splits the header into the known column names, else into the most values.
 
 Defined results: null lines are blank lines. Lines of files without any header line are no data. For columns that
 are not described the names of the header itself are looked up; a field that is not among them is not checked. Repeated lines are each reported. A
-repeated header is a line like any other. Empty tables give empty results; further columns are ignored.
+repeated header is a line like any other. In lines of more than ``LONG`` tokens the number of values does not choose between equally few
+edits of quotes (the reason is the same). Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import ship, small, trimmed
+from ..scale import cut, ship, small, trimmed
 from .drift import bare, columns_of_files, squeezed
 
 SEPARATORS = ["\t", ",", ";", "|", " "]
@@ -62,36 +70,62 @@ def _value(raw: Column) -> Column:
     return F.when(t.startswith('"'), trimmed(F.replace(F.substr(t, F.lit(2), F.length(t) - 2), F.lit('""'), F.lit('"')))).otherwise(t)
 
 
-def data_lines(lines: DataFrame, files: DataFrame, column_info: DataFrame, aliases: DataFrame, comment: str = "##", bound: int = 50_000) -> DataFrame:
-    """(line_id, file_id, line_no, raw_text, sep, n_cols, at): the lines after the header; at maps chr, pos and pval to
-    their places from 1. One row per file is joined: broadcast if counted to at most ``bound`` rows, else shuffled."""
-    text = F.coalesce("raw_text", F.lit(""))
-    body = lines.filter(~F.ltrim(text).startswith(comment) & (trimmed(text) != ""))
-    head = body.groupBy("file_id").agg(F.min(F.struct("line_no", "line_id", "raw_text")).alias("h")).select("file_id", F.col("h.line_no").alias("head_no"), F.col("h.line_id").alias("head_id"), F.col("h.raw_text").alias("head"))
-    fields = columns_of_files(column_info, aliases)
+def headers(lines: DataFrame, files: DataFrame, column_info: DataFrame, comment: str = "##") -> DataFrame:
+    """(file_id, head_no, head_id, sep, cols, names): the header line of each file, its separator and bare names, and the
+    names that column_info has for the file in order."""
+    head = _body(lines, comment).groupBy("file_id").agg(F.min(F.struct("line_no", "line_id", "raw_text")).alias("h")).select("file_id", F.col("h.line_no").alias("head_no"), F.col("h.line_id").alias("head_id"), F.col("h.raw_text").alias("head"))
     names = column_info.groupBy("file_id", "col_index").agg(F.max_by("input_name", F.struct("recorded_at", "ci_id")).alias("n")).groupBy("file_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("col_index", bare(F.col("n")).alias("n")))), lambda x: x["n"]).alias("names")
     )  # bounded by the columns of one file
-    field_of = fields.filter(F.col("field").isin(TYPED)).groupBy("file_id").pivot("field", TYPED).agg(F.first("name"))
-    h = head.join(files.select("file_id", F.col("sep").alias("_sep")).dropDuplicates(["file_id"]), "file_id", "left").join(names, "file_id", "left").join(field_of, "file_id", "left")
+    h = head.join(files.select("file_id", F.col("sep").alias("_sep")).dropDuplicates(["file_id"]), "file_id", "left").join(names, "file_id", "left")
+    h = h.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
 
     def parts(sep: Column) -> Column:
         return F.transform(F.regexp_extract_all(F.concat(sep, "head"), field_pattern(sep), F.lit(1)), lambda x: bare(x))
 
-    fit = lambda s: F.struct((F.array_size(F.array_intersect(parts(F.lit(s)), F.coalesce("names", F.array().cast("array<string>"))))).alias("a"), F.array_size(parts(F.lit(s))).alias("b"), F.lit(s).alias("sep"))
+    fit = lambda s: F.struct((F.array_size(F.array_intersect(parts(F.lit(s)), "names"))).alias("a"), F.array_size(parts(F.lit(s))).alias("b"), F.lit(s).alias("sep"))
     h = h.withColumn("sep", F.when(F.length("_sep") >= 1, F.substr("_sep", F.lit(1), F.lit(1))).otherwise(F.array_max(F.array(*[fit(s) for s in SEPARATORS]))["sep"]))
-    h = h.withColumn("cols", parts(F.col("sep")))
-    known = {f: {f} for f in TYPED}
-    pairs = aliases.select("standard_name", "input_name").dropna().limit(10_001).collect()  # the dictionary of names, a small fixed table
-    if len(pairs) > 10_000:
-        raise ValueError("more than 10000 known names")
-    for std, name in pairs:
-        if std.strip().lower() in known:
-            known[std.strip().lower()].add("".join(x for x in name.lower() if x.isalnum()))
-    by_name = lambda f: F.try_element_at(F.filter(F.sequence(F.lit(1), F.array_size("cols")), lambda i: squeezed(F.get("cols", i - 1)).isin(sorted(known[f]))), F.lit(1))
-    place = lambda f: F.coalesce(F.nullif(F.array_position("cols", F.coalesce(f, F.lit("\0"))), F.lit(0)), F.nullif(F.array_position(F.coalesce("names", F.array().cast("array<string>")), F.coalesce(f, F.lit("\0"))), F.lit(0)), by_name(f)).cast("int").alias(f)
-    h = h.select("file_id", "head_no", "head_id", "sep", F.array_size("cols").alias("n_cols"), F.struct(*[place(f) for f in TYPED]).alias("at"), field_pattern(F.col("sep")).alias("_field"), sound_pattern(F.col("sep")).alias("_sound"))
-    out = body.select("line_id", "file_id", "line_no", "raw_text").join(small(h, bound), "file_id")
+    return h.select("file_id", "head_no", "head_id", "sep", parts(F.col("sep")).alias("cols"), "names")
+
+
+def _body(lines: DataFrame, comment: str) -> DataFrame:
+    text = F.coalesce("raw_text", F.lit(""))
+    return lines.filter(~F.ltrim(text).startswith(comment) & (trimmed(text) != ""))
+
+
+def places(heads: DataFrame, column_info: DataFrame, aliases: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(file_id, field, place): where each field stands in the lines of a file, from 1. The name that column_info gives the
+    field is looked up in the header; else the field's place in column_info holds; else a known name in the header."""
+    want = lambda df: df.filter(F.col("field").isin(only)) if only else df
+    cells = heads.select("file_id", F.posexplode("cols").alias("i", "col"))
+    fields = want(columns_of_files(column_info, aliases).select("file_id", "field", "name"))
+    known = want(aliases.select(squeezed(F.col("input_name")).alias("_key"), F.lower(trimmed(F.col("standard_name"))).alias("field")).filter("_key <> '' and field <> ''"))
+    known = known.groupBy("_key").agg(F.min("field").alias("field"))
+    if only:  # a standard name is one of its own names
+        known = known.unionByName(known.sparkSession.createDataFrame([(f, f) for f in only], "_key string, field string")).distinct()
+    named = cells.join(fields, (cells["file_id"] == fields["file_id"]) & (cells["col"] == fields["name"])).select(cells["file_id"], "field", F.lit(1).alias("how"), (F.col("i") + 1).alias("place"))
+    told = heads.select("file_id", "names").join(fields, "file_id").select("file_id", "field", F.lit(2).alias("how"), F.array_position("names", F.col("name")).cast("int").alias("place")).filter("place > 0")
+    alike = cells.withColumn("_key", squeezed(F.col("col"))).join(small(known, 100_000), "_key").select("file_id", "field", F.lit(3).alias("how"), (F.col("i") + 1).alias("place"))
+    best = named.unionByName(told).unionByName(alike).groupBy("file_id", "field").agg(F.min(F.struct("how", "place")).alias("b"))
+    return best.select("file_id", "field", F.col("b.place").alias("place"))
+
+
+def data_lines(lines: DataFrame, files: DataFrame, column_info: DataFrame, aliases: DataFrame, comment: str = "##", bound: int = 50_000, layout: bool = False) -> DataFrame:
+    """(line_id, file_id, line_no, raw_text, sep, n_cols, at): the lines after the header; at maps chr, pos and pval to
+    their places from 1; with ``layout`` also the fields of all places. One row per file is joined: broadcast if counted to
+    at most ``bound`` rows, else shuffled."""
+    heads = cut(headers(lines, files, column_info, comment))  # one row a file, used several times
+    at = places(heads, column_info, aliases, None if layout else TYPED)
+    h = heads.join(at.filter(F.col("field").isin(TYPED)).groupBy("file_id").pivot("field", TYPED).agg(F.first("place")), "file_id", "left")
+    more = []
+    if layout:
+        cells = heads.select("file_id", F.posexplode("cols").alias("i", "col")).withColumn("place", F.col("i") + 1)
+        of = at.groupBy("file_id", "place").agg(F.min("field").alias("field"))
+        cells = cells.join(of, ["file_id", "place"], "left").withColumn("field", F.coalesce("field", F.nullif(squeezed(F.col("col")), F.lit("")), "col"))
+        h = h.join(cells.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "field"))), lambda x: x["field"]).alias("fields")), "file_id", "left")
+        more = ["fields"]
+    h = h.select("file_id", "head_no", "head_id", "sep", F.array_size("cols").alias("n_cols"), F.struct(*TYPED).alias("at"), field_pattern(F.col("sep")).alias("_field"), sound_pattern(F.col("sep")).alias("_sound"), *more)
+    out = _body(lines, comment).select("line_id", "file_id", "line_no", "raw_text").join(small(h, bound), "file_id")
     return out.filter(F.struct("line_no", "line_id") > F.struct(F.col("head_no"), F.col("head_id"))).drop("head_no", "head_id")
 
 
@@ -117,124 +151,204 @@ def judged(rows: DataFrame) -> DataFrame:
     return r.withColumn("reason", reason)
 
 
+#: Standard fields that a line loads into, with their types. Fixed values.
+STANDARD = {
+    "variant_id": "string", "rsid": "string", "chr": "string", "pos": "int", "ref": "string", "alt": "string", "allele1": "string", "allele2": "string",
+    "effect": "double", "effect_se": "double", "odds_ratio": "double", "zscore": "double", "pval": "double", "log10p": "double",
+}
+
+
 def loaded(rows: DataFrame) -> DataFrame:
-    """(line_id, file_id, line_no, chr, pos, pval) of the valid lines, typed; chr in the form chrN."""
+    """(line_id, file_id, line_no, the fields of STANDARD typed, further map<string, string>) of the valid lines of
+    ``data_lines(layout=True)``; chr in the form chrN. ``further`` holds all other columns, and values of standard fields
+    that their type cannot hold. Empty values and NA are null; of two columns of one field the first counts."""
+    good = judged(rows).filter("reason is null")
+    cells = F.transform("_cells", lambda c: F.nullif(F.nullif(_value(c), F.lit("")), F.lit("NA")))
+    pairs = F.filter(F.arrays_zip(F.col("fields").alias("field"), cells.alias("value")), lambda x: x["value"].isNotNull())
+    firsts = F.filter(pairs, lambda x, i: i + 1 == F.array_position(F.transform(pairs, lambda y: y["field"]), x["field"]))
+    good = good.withColumn("_m", F.explode(F.array(F.map_from_entries(firsts))))  # one element: evaluated once
     c = F.concat(F.lit("chr"), F.regexp_replace(F.upper(F.regexp_replace("chr", "(?i)^chr", "")), "^M$", "MT"))
-    return judged(rows).filter("reason is null").select(
-        "line_id", "file_id", "line_no", c.alias("chr"), F.col("pos").try_cast("int").alias("pos"), F.col("pval").try_cast("double").alias("pval")
-    )
+    cast = {f: F.try_element_at("_m", F.lit(f)).try_cast(t) for f, t in STANDARD.items()} | {"chr": c}
+    kept = F.map_filter("_m", lambda k, v: ~k.isin(list(STANDARD)) | reduce(lambda a, b: a | b, [(k == f) & v.try_cast(t).isNull() for f, t in STANDARD.items() if t != "string"]))
+    return good.select("line_id", "file_id", "line_no", *[x.alias(f) for f, x in cast.items()], kept.alias("further"))
 
 
 # ---- repair by dynamic programming
 
 _QUOTE, _SEP, _TEXT = 0, 1, 2
+LONG = 20_000  #: tokens of a line up to which the number of values takes part in the parse of quotes
 
 
 def _tokens(line: str, sep: str) -> list[tuple[int, str]]:
-    out: list[tuple[int, str]] = []
-    start = 0
-    for i, ch in enumerate(line):
-        if ch == '"' or ch == sep:
-            if i > start:
-                out.append((_TEXT, line[start:i]))
-            out.append((_QUOTE if ch == '"' else _SEP, ch))
-            start = i + 1
-    if start < len(line):
-        out.append((_TEXT, line[start:]))
-    return out
+    cuts = re.compile('(["' + re.escape(sep) + "])")
+    return [(_QUOTE if t == '"' else _SEP if t == sep else _TEXT, t) for t in cuts.split(line) if t]
 
 
-def repair(line: str, sep: str, n_cols: int, quote_cost: float = 1.0, sep_cost: float = 1.0) -> tuple[float, list[str], str]:
-    """(cost, edits, repaired line): the cheapest edits of quotes and separators that make n_cols sound values of a line.
+def mend_quotes(line: str, sep: str, n_cols: int) -> tuple[list[str], str]:
+    """(edits, line with sound quoting): the fewest edits of quotes; among equally few those that leave the number of values
+    nearest to n_cols.
 
     States: 0 at the start of a value, 1 in a bare value, 2 in a quoted one, 3 right after its closing quote, 4 after
-    blanks behind that. An inner quote is sound if doubled. Of equally cheap repairs the one found first holds, quotes before separators.
+    blanks behind that. A parse is a state and the number of values so far (those far beyond n_cols are not told apart).
+    Passes allow 0, 1, 2, 4... edits, so a sound line costs one look at each token.
     """
     toks = _tokens(line, sep)
-    inf = float("inf")
-    # a layer maps (state, number of values closed) to (cost, link); links share their tails
-    layer: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-
-    def relax(to: dict, key: tuple[int, int], cost: float, link: tuple) -> None:
-        if key[1] < n_cols and cost < to.get(key, (inf,))[0]:
+    most = 0 if len(toks) > LONG else 2 * n_cols + 16
+    bound = 0
+    while True:
+        found = _quote_pass(toks, sep, most, bound)
+        if found:
+            best = min(found, key=lambda x: (x[0], abs(x[1] + 1 - n_cols)))
+            edits, out, link = [], [], best[2]
+            while link is not None:
+                edit, text, link = link
+                out.append(text)
+                if edit:
+                    edits.append(edit)
+            return edits[::-1], "".join(out[::-1])
+        bound = max(1, 2 * bound)
+
+
+def _quote_pass(toks: list[tuple[int, str]], sep: str, most: int, bound: int) -> list[tuple[int, int, tuple | None]]:
+    """(edits, values closed, link) of each sound end within ``bound`` edits; links (edit, text, link before) share their tails."""
+    layer: dict[tuple[int, int], tuple[int, tuple | None]] = {(0, 0): (0, None)}
+
+    def relax(to: dict, s: int, k: int, cost: int, link: tuple | None) -> None:
+        key = (s, min(k, most))
+        if cost <= bound and (key not in to or cost < to[key][0]):
             to[key] = (cost, link)
 
-    def insertions(cur: dict) -> None:
-        """Edits that read nothing."""
+    def inserted(cur: dict, kind: int | None, blank: bool) -> dict:
+        """cur and what edits that read nothing lead to from it, before a token of the kind (None: the end)."""
         for (s, k), (c, l) in sorted(cur.items(), key=lambda x: x[1][0]):
-            if s in (0,):
-                relax(cur, (2, k), c + quote_cost, ("insert quote", '"', l))
-            if s == 2:
-                relax(cur, (3, k), c + quote_cost, ("insert quote", '"', l))
-        for k in range(n_cols):
-            for s in (0, 1, 3, 4):
-                if (s, k) in cur:
-                    c, l = cur[(s, k)]
-                    relax(cur, (0, k + 1), c + sep_cost, ("insert separator", sep, l))
+            if s == 0 and kind is not None:
+                relax(cur, 2, k, c + 1, ("insert quote", '"', l))
+            elif s == 2:
+                relax(cur, 3, k, c + 1, ("insert quote", '"', l))
+        for (s, k), (c, l) in list(cur.items()):  # breaks at a quote
+            if (s == 1 and kind == _QUOTE) or (s in (3, 4) and kind == _TEXT and not blank) or (s == 4 and kind == _QUOTE):
+                relax(cur, 0, k + 1, c + 1, ("break at quote", sep, l))
+        return cur
 
     for kind, text in toks:
-        insertions(layer)
-        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        blank = kind == _TEXT and not text.strip(" \t")
+        if bound:
+            inserted(layer, kind, blank)
+        nxt: dict[tuple[int, int], tuple[int, tuple | None]] = {}
         for (s, k), (c, l) in layer.items():
             if kind == _TEXT:
-                blank = not text.strip(" \t")
-                if s in (0, 1):
-                    relax(nxt, (s if blank else 1, k), c, ("", text, l))
-                elif s == 2:
-                    relax(nxt, (2, k), c, ("", text, l))
+                if s < 3:
+                    relax(nxt, 1 if s == 0 and not blank else s, k, c, ("", text, l))
                 elif blank:
-                    relax(nxt, (4, k), c, ("", text, l))
+                    relax(nxt, 4, k, c, ("", text, l))
             elif kind == _SEP:
-                if s == 2:
-                    relax(nxt, (2, k), c, ("", sep, l))
-                else:
-                    relax(nxt, (0, k + 1), c, ("", sep, l))
-                    relax(nxt, (s, k), c + sep_cost, ("delete separator", "", l))
+                relax(nxt, *((2, k) if s == 2 else (0, k + 1)), c, ("", sep, l))
             else:
-                if s == 0:
-                    relax(nxt, (2, k), c, ("", '"', l))
-                elif s == 2:
-                    relax(nxt, (3, k), c, ("", '"', l))
-                    relax(nxt, (2, k), c + quote_cost, ("double quote", '""', l))
-                elif s == 3:
-                    relax(nxt, (2, k), c, ("", '"', l))
-                relax(nxt, (s, k), c + quote_cost, ("delete quote", "", l))
+                if s in (0, 2, 3):
+                    relax(nxt, 3 if s == 2 else 2, k, c, ("", '"', l))
+                if s == 2:
+                    relax(nxt, 2, k, c + 1, ("double quote", '""', l))
+                relax(nxt, s, k, c + 1, ("delete quote", "", l))
         layer = nxt
-    insertions(layer)
-    ends = [layer[(s, n_cols - 1)] for s in (0, 1, 3, 4) if (s, n_cols - 1) in layer]
-    if not ends:
-        return inf, [], line
-    cost, link = min(ends, key=lambda x: x[0])
-    edits, out = [], []
+        if not layer:
+            return []
+    if bound:
+        inserted(layer, None, False)
+    return [(c, k, l) for (s, k), (c, l) in layer.items() if s != 2]
+
+
+def split_sound(line: str, sep: str) -> list[str]:
+    """The raw values of a line with sound quoting."""
+    out, at, quoted = [], 0, False
+    for i, ch in enumerate(line):
+        if ch == '"':
+            quoted = not quoted
+        elif ch == sep and not quoted:
+            out.append(line[at:i])
+            at = i + 1
+    return [*out, line[at:]]
+
+
+def value_of(raw: str) -> str:
+    """The value itself: without blanks and quotes around it, inner quotes single."""
+    t = raw.strip()
+    return t[1:-1].replace('""', '"').strip() if t.startswith('"') else t
+
+
+_CHR, _POS, _NUMBER = re.compile(VALID_CHR), re.compile("[0-9]+"), re.compile(NUMBER)
+
+
+def valid(field: str, value: str) -> bool:
+    if field == "chr":
+        return bool(_CHR.match(value)) and not value.endswith("\n")
+    if field == "pos":
+        return bool(_POS.fullmatch(value)) and 1 <= int(value.lstrip("0")[:11] or 0) <= 2147483647
+    return value in ("", "NA") or (bool(_NUMBER.match(value)) and not value.endswith("\n") and 0 <= float(value) <= 1)
+
+
+def align(values: list[str], n_cols: int, at: dict[str, int]) -> tuple[list[str], list[str]]:
+    """(edits, values): the values brought to n_cols by the fewest inserted (empty) or deleted ones, and among these so
+    that most typed columns hold valid values; of equals the edits that come last in the line."""
+    m, d = len(values), abs(len(values) - n_cols)
+    if not d:
+        return [], values
+    typed = {p - 1: f for f, p in at.items()}
+    miss = lambda i, j: int(j in typed and not valid(typed[j], value_of(values[i]) if i is not None else ""))
+    # layer[e]: (misfits, link) after so many steps with e edits; steps are columns if values lack, else values
+    lack = m < n_cols
+    layer: list[tuple[int, tuple | None] | None] = [(0, None), *[None] * d]
+    for step in range(max(m, n_cols)):
+        nxt: list[tuple[int, tuple | None] | None] = [None] * (d + 1)
+        for e in range(max(0, step - min(m, n_cols)), min(d, step) + 1):
+            if layer[e] is None:
+                continue
+            c, link = layer[e]
+            i, j = (step - e, step) if lack else (step, step - e)
+            if i < m and j < n_cols:
+                x = c + miss(i, j)
+                if nxt[e] is None or x < nxt[e][0]:
+                    nxt[e] = (x, (0, values[i], link))
+            if e < d:
+                x = c + (miss(None, j) if lack else 0)
+                if nxt[e + 1] is None or x <= nxt[e + 1][0]:
+                    nxt[e + 1] = (x, (1, "" if lack else values[i], link))
+        layer = nxt
+    out, edits, link = [], [], layer[d][1]
     while link is not None:
         edit, text, link = link
-        out.append(text)
         if edit:
-            edits.append(edit)
-    return cost, edits[::-1], "".join(out[::-1])
+            edits.append("insert separator" if lack else "delete separator")
+        if lack or not edit:
+            out.append(text)
+    return edits, out[::-1]
+
+
+def parse(line: str, sep: str, n_cols: int, at: dict[str, int]) -> tuple[str | None, list[str], str]:
+    """(reason, edits, repaired line) of one line; without edits and with valid typed values the reason is None. A deleted
+    separator takes the surplus value before or after it along."""
+    edits, fixed = mend_quotes(line, sep, n_cols)
+    values = split_sound(fixed, sep)
+    more, values = align(values, n_cols, at)
+    if edits or more:
+        return ("quoting" if edits else "columns"), edits + more, sep.join(values)
+    wrong = next((f for f in TYPED if f in at and not valid(f, value_of(values[at[f] - 1]) if at[f] <= len(values) else "\0")), None)
+    return wrong, [], fixed
 
 
 def failures(rows: DataFrame) -> DataFrame:
-    """(line_id, file_id, line_no, reason, by_edits, cost, edits, repaired, raw_text) of the lines that do not load; cost is
-    the number of edits. by_edits is the reason that the cheapest edits give; reason differs from it where the exact rule does."""
-    bad = judged(rows).filter("reason is not null").select("line_id", "file_id", "line_no", "raw_text", "sep", F.col("n_cols").cast("int").alias("n_cols"), "reason")
+    """(line_id, file_id, line_no, reason, cost, edits, repaired, raw_text) of the lines that do not load: the minimum-cost
+    parse of every line that the JVM does not settle as one of cost zero; cost is the number of edits."""
+    bad = judged(rows).filter("reason is not null").select("line_id", "file_id", "line_no", "raw_text", "sep", F.col("n_cols").cast("int").alias("n_cols"), *[F.coalesce(f"at.{f}", F.lit(0)).cast("int").alias(f"_{f}") for f in TYPED])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for text, sep, n, exact in zip(pdf["raw_text"], pdf["sep"], pdf["n_cols"], pdf["reason"]):
-                if exact in TYPED:  # sound and of the right number: the parse costs nothing, a value is at fault
-                    out.append((exact, exact, 0.0, "", text))
-                    continue
-                _, edits, fixed = repair(text, sep, int(n))
-                reason = by_edits = "quoting" if any("quote" in e for e in edits) else "columns" if edits else exact
-                if by_edits != exact:  # overridden; sound quoting is not to be edited where only separators are wrong
-                    reason = exact
-                    if exact == "columns":
-                        _, edits, fixed = repair(text, sep, int(n), quote_cost=1000.0)
-                out.append((reason, by_edits, float(len(edits)), ", ".join(edits), fixed))
-            done = pd.DataFrame(out, columns=["reason", "by_edits", "cost", "edits", "repaired"], index=pdf.index)
+            for text, sep, n, *at in zip(pdf["raw_text"], pdf["sep"], pdf["n_cols"], *[pdf[f"_{f}"] for f in TYPED]):
+                reason, edits, fixed = parse(text, sep, int(n), {f: int(p) for f, p in zip(TYPED, at) if p})
+                out.append((reason, float(len(edits)), ", ".join(edits), fixed))
+            done = pd.DataFrame(out, columns=["reason", "cost", "edits", "repaired"], index=pdf.index)
             yield pd.concat([pdf[["line_id", "file_id", "line_no"]], done, pdf["raw_text"]], axis=1)
 
     ship(rows.sparkSession)
-    return bad.mapInPandas(run, "line_id long, file_id long, line_no int, reason string, by_edits string, cost double, edits string, repaired string, raw_text string")
+    out = bad.mapInPandas(run, "line_id long, file_id long, line_no int, reason string, cost double, edits string, repaired string, raw_text string")
+    return out.filter("reason is not null")

@@ -74,8 +74,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return E.data_lines(table(spark, d, "raw_lines"), table(spark, d, "stat_files"), table(spark, d, "column_info"), table(spark, d, "alias_names"))
+def _lines(spark: SparkSession, d: str, layout: bool = False) -> DataFrame:
+    return E.data_lines(table(spark, d, "raw_lines"), table(spark, d, "stat_files"), table(spark, d, "column_info"), table(spark, d, "alias_names"), layout=layout)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,10 @@ def p5_repairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return E.loaded(_lines(spark, d))
+    """All columns of the valid lines: the standard ones typed, the others as text in one map (here written out)."""
+    t = E.loaded(_lines(spark, d, layout=True))
+    further = F.array_join(F.array_sort(F.transform(F.map_entries("further"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "; ")
+    return t.withColumn("further", further)
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_canonical, p2_conversions, p3_found, p3_changes, p3_fields, p3_new_alternatives, p4_found, p5_found, p5_repairs, p5_loaded)}
@@ -143,7 +146,7 @@ clean AS (SELECT field, row_key, list_filter(list_transform(items, lambda x: tri
 SELECT field, row_key, CAST(i AS INTEGER) AS pos_no, items[i] AS item FROM (SELECT field, row_key, items, unnest(range(1, len(items) + 1)) AS i FROM clean WHERE len(items) > 1)"""
 
 #: The rules of problem 5 one by one, without repair.
-_LINES = r"""
+_JUDGED = r"""
 WITH seps(sep, esc, blank) AS (VALUES (chr(9), chr(9), ' '), (',', ',', ' ' || chr(9)), (';', ';', ' ' || chr(9)), ('|', '\|', ' ' || chr(9)), (' ', ' ', chr(9))),
 pats AS (SELECT sep, '(?:[' || blank || ']*"(?:[^"]|"")*"[' || blank || ']*|[^"' || sep || ']*)' AS v, esc FROM seps),
 body AS (SELECT * FROM raw_lines WHERE NOT starts_with(ltrim(raw_text), '##') AND regexp_replace(raw_text, '^\s+|\s+$', '', 'g') <> ''),
@@ -152,20 +155,40 @@ names AS (SELECT file_id, list(DISTINCT regexp_replace(input_name, '^[\s"''`]+|[
 split AS (SELECT h.*, s.sep AS cand, list_transform(string_split(head, s.sep), lambda x: regexp_replace(x, '^[\s"''`]+|[\s"''`]+$', '', 'g')) AS cols, n.names FROM head h CROSS JOIN seps s LEFT JOIN names n USING (file_id)),
 best AS (SELECT file_id, arg_max(cand, (len(list_intersect(cols, names)), len(cols))) AS sep FROM split GROUP BY 1),
 al AS (SELECT regexp_replace(lower(input_name), '[^a-z0-9]', '', 'g') AS k, min(standard_name) AS std FROM alias_names GROUP BY 1),
-typed AS (SELECT c.file_id, coalesce(nullif(lower(trim(standard_name)), ''), al.std) AS field, min(regexp_replace(input_name, '^[\s"''`]+|[\s"''`]+$', '', 'g')) AS name
-  FROM column_info c LEFT JOIN al ON al.k = regexp_replace(lower(c.input_name), '[^a-z0-9]', '', 'g') GROUP BY 1, 2),
+latest AS (SELECT file_id, col_index, arg_max(input_name, (recorded_at, ci_id)) AS input_name, arg_max(struct_pack(v := standard_name), (recorded_at, ci_id)).v AS standard_name FROM column_info GROUP BY 1, 2),
+typed AS (SELECT c.file_id, coalesce(nullif(lower(trim(standard_name)), ''), al.std, nullif(regexp_replace(lower(c.input_name), '[^a-z0-9]', '', 'g'), '')) AS field, arg_min(regexp_replace(input_name, '^[\s"''`]+|[\s"''`]+$', '', 'g'), col_index) AS name
+  FROM latest c LEFT JOIN al ON al.k = regexp_replace(lower(c.input_name), '[^a-z0-9]', '', 'g') GROUP BY 1, 2),
 h AS (SELECT h.file_id, h.head_no, h.head_id, s.cand AS sep, s.cols, list_position(s.cols, a.name) AS at_chr, list_position(s.cols, p.name) AS at_pos, list_position(s.cols, v.name) AS at_pval
   FROM head h JOIN best b USING (file_id) LEFT JOIN stat_files f USING (file_id) JOIN split s ON s.file_id = h.file_id AND s.cand = coalesce(nullif(f.sep, ''), b.sep)
   LEFT JOIN typed a ON a.file_id = h.file_id AND a.field = 'chr' LEFT JOIN typed p ON p.file_id = h.file_id AND p.field = 'pos' LEFT JOIN typed v ON v.file_id = h.file_id AND v.field = 'pval'),
-l AS (SELECT b.line_id, len(h.cols) AS n, at_chr, at_pos, at_pval, regexp_full_match(raw_text, p.v || '(?:' || p.esc || p.v || ')*') AS sound, regexp_extract_all(h.sep || raw_text, p.esc || '(' || p.v || ')', 1) AS raw
+l AS (SELECT b.line_id, b.file_id, b.line_no, h.cols, len(h.cols) AS n, at_chr, at_pos, at_pval, regexp_full_match(raw_text, p.v || '(?:' || p.esc || p.v || ')*') AS sound, regexp_extract_all(h.sep || raw_text, p.esc || '(' || p.v || ')', 1) AS raw
   FROM body b JOIN h USING (file_id) JOIN pats p ON p.sep = h.sep WHERE b.line_no > head_no OR (b.line_no = head_no AND b.line_id > head_id)),
 t AS (SELECT *, list_transform(raw, lambda x: trim(x, ' ' || chr(9))) AS r FROM l),
 f AS (SELECT *, list_transform(r, lambda x: CASE WHEN starts_with(x, '"') THEN trim(replace(substr(x, 2, length(x) - 2), '""', '"'), ' ' || chr(9)) ELSE x END) AS v FROM t),
-j AS (SELECT line_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(v) <> n THEN 'columns'
+j AS (SELECT *, CASE WHEN NOT sound THEN 'quoting' WHEN len(v) <> n THEN 'columns'
   WHEN at_chr > 0 AND NOT regexp_full_match(v[at_chr], '(?i)(chr)?([1-9]|1[0-9]|2[0-2]|X|Y|MT|M)') THEN 'chr'
   WHEN at_pos > 0 AND NOT (regexp_full_match(v[at_pos], '[0-9]+') AND coalesce(try_cast(v[at_pos] AS HUGEINT) BETWEEN 1 AND 2147483647, false)) THEN 'pos'
   WHEN at_pval > 0 AND v[at_pval] NOT IN ('', 'NA') AND NOT (regexp_full_match(v[at_pval], '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(try_cast(v[at_pval] AS DOUBLE) BETWEEN 0 AND 1, false)) THEN 'pval' END AS reason FROM f)
-SELECT line_id, reason FROM j WHERE reason IS NOT NULL"""
+"""
+_LINES = _JUDGED + "SELECT line_id, reason FROM j WHERE reason IS NOT NULL"
+_CELL = "max(value) FILTER (WHERE field = '{0}')"
+_LOADED = (
+    _JUDGED
+    + """, c AS (SELECT line_id, file_id, line_no, unnest(range(1, n + 1)) AS place, unnest(cols) AS col, nullif(nullif(unnest(v), ''), 'NA') AS value FROM j WHERE reason IS NULL),
+g AS (SELECT c.*, coalesce(t.field, nullif(regexp_replace(lower(c.col), '[^a-z0-9]', '', 'g'), ''), c.col) AS field FROM c LEFT JOIN typed t ON t.file_id = c.file_id AND t.name = c.col),
+u AS (SELECT * FROM g WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line_id, field ORDER BY place) = 1),
+x AS (SELECT *, CASE WHEN field = 'pos' THEN try_cast(value AS INTEGER) IS NOT NULL WHEN field IN ('effect', 'effect_se', 'odds_ratio', 'zscore', 'pval', 'log10p') THEN try_cast(value AS DOUBLE) IS NOT NULL
+  ELSE field IN ('variant_id', 'rsid', 'chr', 'ref', 'alt', 'allele1', 'allele2') END AS typed_ok FROM u),
+w AS (SELECT line_id, """
+    + ", ".join(f"{_CELL.format(f)} AS {f}" for f in E.STANDARD)
+    + """, coalesce(array_to_string(list_sort(list(field || '=' || value) FILTER (WHERE NOT typed_ok)), '; '), '') AS further FROM x GROUP BY 1)
+SELECT j.line_id, j.file_id, j.line_no, """
+    + ", ".join(
+        "'chr' || CASE WHEN upper(regexp_replace(chr, '(?i)^chr', '')) = 'M' THEN 'MT' ELSE upper(regexp_replace(chr, '(?i)^chr', '')) END AS chr" if f == "chr" else f if t == "string" else f"try_cast({f} AS {'INTEGER' if t == 'int' else 'DOUBLE'}) AS {f}"
+        for f, t in E.STANDARD.items()
+    )
+    + ", further FROM j LEFT JOIN w USING (line_id) WHERE reason IS NULL"
+)
 
 _TYPES = _FIELDS + """, kinds AS (SELECT DISTINCT field, type FROM cols WHERE type IS NOT NULL), alt AS (SELECT field, list_sort(list(type)) AS t FROM kinds GROUP BY 1),
 n AS (SELECT field, count(*) AS n_files, count(DISTINCT name) AS n_names FROM cols GROUP BY 1)"""
@@ -173,6 +196,7 @@ n AS (SELECT field, count(*) AS n_files, count(DISTINCT name) AS n_names FROM co
 SQL = {
     "p4_found": _PACKED,
     "p5_found": _LINES,
+    "p5_loaded": _LOADED,
     "p3_fields": _TYPES
     + """ SELECT n.field, CASE WHEN t IS NULL THEN 'string' WHEN len(t) = 1 THEN t[1] WHEN list_has_all(['bigint', 'int'], t) THEN 'bigint' WHEN list_has_all(['bigint', 'int', 'double'], t) THEN 'double' ELSE 'string' END AS canonical_type,
  coalesce(array_to_string(t, '|'), '') AS alternatives, CASE WHEN len(t) > 1 THEN array_to_string(list_transform(t, lambda x: n.field || '__' || x), '|') ELSE '' END AS branches, n_files, n_names FROM n LEFT JOIN alt USING (field)""",

@@ -2,6 +2,8 @@ import re
 from datetime import datetime
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from allelemill.operators import error_parse as E
 
@@ -91,29 +93,45 @@ def test_reasons(spark, sep):
 def test_separator_found_and_comments_skipped(spark):
     texts = ["1\t5\tA\t0.5\tx", "## resumed", "   ", "1\t5\tA\t0.5", "1\t5\tA\t0.5"]
     assert reasons(spark, "\t", texts, declared=False) == {3: "columns", 4: "columns"}
-    rows = E.data_lines(*frames(spark, "\t", texts, declared=False))
-    assert [tuple(r) for r in E.loaded(rows).collect()] == [(3, 1, 3, "chr1", 5, 0.5)]
+
+
+def test_loaded_holds_every_column(spark):
+    texts = ["1,5,A,0.5,x", "chrM,007,,NA,\"a, b\"", "1,5,A,0.5"]
+    rows = {r["line_id"] - 3: r for r in E.loaded(E.data_lines(*frames(spark, ",", texts), layout=True)).collect()}
+    assert set(rows) == {0, 1}
+    one, two = rows[0], rows[1]
+    assert (one["chr"], one["pos"], one["alt"], one["pval"], one["further"]) == ("chr1", 5, "A", 0.5, {"remark": "x"})
+    assert (two["chr"], two["pos"], two["alt"], two["pval"], two["further"]) == ("chrMT", 7, None, None, {"remark": "a, b"})
 
 
 @pytest.mark.parametrize(
-    ("line", "n", "cost", "edits", "fixed"),
+    ("line", "n", "edits", "fixed"),
     [
-        ("a,b,c", 3, 0, [], "a,b,c"), ('a,"b,c"', 2, 0, [], 'a,"b,c"'), ("a,b", 3, 1, ["insert separator"], None), ("a,b,c,d", 3, 1, ["delete separator"], None), ('a,b"', 2, 1, None, None),
-        ('a,"b', 2, 1, None, None), ('"a"b",c', 2, 1, ["double quote"], '"a""b",c'), ("", 1, 0, [], ""), ("", 3, 2, ["insert separator"] * 2, ",,"),
+        ("a,b,c", 3, [], "a,b,c"), ('a,"b,c"', 2, [], 'a,"b,c"'), ("a,b", 3, ["insert separator"], "a,b,"), ("a,b,c,d", 3, ["delete separator"], "a,b,c"), ('a,b"', 2, ["delete quote"], "a,b"),
+        ('a,"b', 2, ["delete quote"], "a,b"), ('a,"b,c', 2, ["insert quote"], 'a,"b,c"'), ('"a"b",c', 2, ["double quote"], '"a""b",c'), ("", 1, [], ""), ("", 3, ["insert separator"] * 2, ",,"), ('"a"b,c', 3, ["break at quote"], '"a",b,c'),
     ],
 )
-def test_repair(line, n, cost, edits, fixed):
-    got = E.repair(line, ",", n)
-    assert got[0] == cost and (edits is None or got[1] == edits) and (fixed is None or got[2] == fixed)
-    again = E.repair(got[2], ",", n)
-    assert again[0] == 0 and again[2] == got[2]  # a repaired line is sound
+def test_parse_edits(line, n, edits, fixed):
+    _, got, repaired = E.parse(line, ",", n, {})
+    assert got == edits and repaired == fixed
+    assert E.parse(repaired, ",", n, {})[1] == []  # a repaired line is sound
+
+
+def test_separators_go_where_typed_values_fit():
+    at = {"chr": 1, "pos": 2, "pval": 4}
+    assert E.parse("1,7,0.5,x", ",", 5, at)[1:] == (["insert separator"], "1,7,,0.5,x")
+    assert E.parse("1,7,5,A,0.5,x", ",", 5, at)[0] == "columns"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet='1a", ;.', max_size=24), st.sampled_from([",", ";", " "]))
+def test_edits_state_the_exact_reason(text, sep):
+    if text.strip():
+        assert E.parse(text, sep, 5, {"chr": 1, "pos": 2, "pval": 4})[0] == brute(text, sep)
 
 
-def test_edits_give_the_reason_and_the_exact_rule_overrides(spark):
-    texts = ["1,5,A,0.5,x,y", '1,5,A,0.5,"open', '1,5,A,"0.5"x', "1,5,A,0.5,x,y,z,w", "1,0,A,0.5,x"]
-    got = {r["line_id"] - 3: r for r in E.failures(E.data_lines(*frames(spark, ",", texts))).collect()}
-    assert {i: (r["reason"], r["by_edits"]) for i, r in got.items()} == {0: ("columns", "columns"), 1: ("quoting", "quoting"), 2: ("quoting", "columns"), 3: ("columns", "quoting"), 4: ("pos", "pos")}
-    assert got[3]["edits"] == ", ".join(["delete separator"] * 3) and got[2]["edits"] == "insert separator"
+def test_very_long_line_with_many_quotes():
+    assert E.parse('"a" ' * 30_000, ",", 5, {})[0] == "quoting"
 
 
 def test_empty(spark):
@@ -122,3 +140,4 @@ def test_empty(spark):
     only = raw.filter("raw_text is null or raw_text = ''")
     assert E.failures(E.data_lines(only, files, info, alias)).count() == 0
     assert E.failures(E.data_lines(raw, files.limit(0), info.limit(0), alias.limit(0))).count() == 1  # the header tells
+    assert E.loaded(E.data_lines(only, files, info, alias, layout=True)).count() == 0
