@@ -119,7 +119,7 @@ def test_parse_edits(line, n, edits, fixed):
 
 def test_separators_go_where_typed_values_fit():
     at = {"chr": 1, "pos": 2, "pval": 4}
-    assert E.parse("1,7,0.5,x", ",", 5, at)[1:] == (["insert separator"], "1,7,,0.5,x")
+    assert E.parse("1,x,5,A,0.5,r", ",", 5, at)[1:] == (["delete separator"], "1,5,A,0.5,r")
     assert E.parse("1,7,5,A,0.5,x", ",", 5, at)[0] == "columns"
 
 
