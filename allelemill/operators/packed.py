@@ -77,15 +77,17 @@ def segment(cell: str | None, find: Callable[[str], list[tuple[int, int]]], sepa
     if cell is None or not cell.strip():
         return []
     text = cell.strip()
+    known = find(text)
     m = _WRAP.match(text)
-    if m and not any(s == 0 and e == len(text) for s, e in find(text)):
+    if m and (0, len(text)) not in known:
         text = next(g for g in m.groups() if g is not None).strip()
+        known = find(text)
     n = len(text)
-    if (0, n) in find(text):
+    if (0, n) in known:
         return [text]
-    spans: list[list[tuple[int, float, str | None]]] = [[] for _ in range(n)]
+    spans: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]  # values by their start: (end, cost, value)
 
-    for s, e in find(text):
+    for s, e in known:
         if (s == 0 or text[s - 1] in separators) and (e == n or text[e] in separators):
             spans[s].append((e, 1.0, text[s:e]))
     i = 0
@@ -99,39 +101,35 @@ def segment(cell: str | None, find: Callable[[str], list[tuple[int, int]]], sepa
                 spans[i].append((j + 1, 0.5, text[i + 1 : j]))
                 i = j
         i += 1
-    i = run_end = 0
-    while i < n:  # unknown words and separators
+    i = 0
+    while i < n:  # unknown words
         if text[i] in separators:
-            if run_end <= i:
-                run_end = i + 1
-                while run_end < n and text[run_end] in separators:
-                    run_end += 1
-            # one separator with its blanks, or the whole run (empty places); what stands in a run may also be a value
-            for k in {*range(i + 1, min(run_end, i + 8) + 1), run_end}:
-                spans[i].append((k, 0.1 + 0.05 * max(0, len(text[i : min(k, i + 64)].strip()) - 1), None))
             i += 1
-        else:
-            j = i
-            while j < n and text[j] not in separators:
-                j += 1
-            spans[i].append((j, 2.0 + 0.01 * (j - i), text[i:j]))
-            i = j
+            continue
+        j = i
+        while j < n and text[j] not in separators:
+            j += 1
+        spans[i].append((j, 2.0 + 0.01 * (j - i), text[i:j]))
+        i = j
     inf = float("inf")
-    # best[i][kind]: cheapest cover of text[:i] that ends in a value (1) or in a separator or nothing (0)
+    # best[i][kind]: cheapest cover of text[:i] that ends in a value (1), in separators (0) or is nothing yet (0 at 0).
+    # A run of separators opens at 0.1 and grows by one character at a time, blanks for nothing; what stands in it may also be a value
     best = [[inf, inf] for _ in range(n + 1)]
     back: list[list[tuple | None]] = [[None, None] for _ in range(n + 1)]
     best[0][0] = 0.0
     for i in range(n):
-        for kind in (0, 1):
-            cost = best[i][kind]
-            if cost == inf:
-                continue
-            for e, c, value in spans[i]:
-                to = 0 if value is None else 1
-                if kind == to and i:
-                    continue  # values and separators alternate; only then is a delimiter between delimiters a value
-                if cost + c < best[e][to]:
-                    best[e][to], back[e][to] = cost + c, (i, kind, value)
+        if text[i] in separators:
+            blank = text[i] in " \t"
+            for kind in (1, 0):
+                cost = best[i][kind] + (0.0 if blank else 0.05) + (0.1 if kind or not i else 0.0)
+                if cost < best[i + 1][0]:
+                    best[i + 1][0], back[i + 1][0] = cost, (i, kind, None)
+        cost = best[i][0]  # values and separators alternate: a value never follows a value
+        if cost == inf:
+            continue
+        for e, c, value in spans[i]:
+            if cost + c < best[e][1]:
+                best[e][1], back[e][1] = cost + c, (i, 0, value)
     at, kind, out = n, int(best[n][1] <= best[n][0]), []
     if best[n][kind] == inf:
         return [w for w in re.split(f"[{re.escape(separators)}]+", text) if w]
@@ -169,26 +167,72 @@ def split_cells(df: DataFrame, key: str, cell: str, field: str, find: Callable[[
     return cells.mapInPandas(run, "field string, row_key long, pos_no int, item string")
 
 
-def learned_words(df: DataFrame, cell: str, fixed: list[str], bound: int = 100_000) -> list[str]:
-    """Dictionary of a column: the fixed words and every value that some cell quotes. Distinct values are collected only
-    if they have been counted to at most ``bound``; beyond it ValueError says that the column has no vocabulary."""
+def learned_words(df: DataFrame, cell: str, fixed: DataFrame) -> DataFrame:
+    """(w): the dictionary of a column: the fixed words (first column of a table) and every value that some cell quotes."""
     quoted = df.select(F.explode(F.regexp_extract_all(F.col(cell), F.lit(r'"([^"]+)"|\'([^\']+)\''), F.lit(0))).alias("w"))
-    words = quoted.select(F.expr("trim(substring(w, 2, length(w) - 2))").alias("w")).filter("w <> ''").distinct().limit(bound + 1).collect()
-    if len(words) > bound:
-        raise ValueError(f"more than {bound} distinct values in {cell}")
-    return sorted({*fixed, *(r["w"] for r in words)})
+    words = quoted.select(F.expr("trim(substring(w, 2, length(w) - 2))").alias("w"))
+    return words.unionByName(fixed.select(F.col(fixed.columns[0]).alias("w"))).filter("w <> ''").distinct()
+
+
+def _stretches(text: str, longest: int) -> set[str]:
+    """What could be a known value of a cell: stretches between separators, up to the length of the longest word."""
+    t = text.strip()
+    m = _WRAP.match(t)
+    out: set[str] = set()
+    for x in {t, *([next(g for g in m.groups() if g is not None).strip()] if m else [])}:
+        starts = [i for i in range(len(x)) if i == 0 or x[i - 1] in SEPARATORS]
+        ends = [i for i in range(1, len(x) + 1) if i == len(x) or x[i] in SEPARATORS]
+        k = 0
+        for s in starts:
+            while k < len(ends) and ends[k] <= s:
+                k += 1
+            for e in ends[k:]:
+                if e - s > longest:
+                    break
+                out.add(x[s:e])
+    return out
+
+
+def split_by_words(df: DataFrame, key: str, cell: str, field: str, words: DataFrame, bound: int = 100_000, suspect: Column | None = None) -> DataFrame:
+    """As split_cells with the words (w) of a table as dictionary. Up to ``bound`` words (and 16 MB) form one automaton on
+    each worker; a larger dictionary is joined: the stretches of each cell that could be values meet the words in a shuffle,
+    and each cell is covered with its own known words. The results are the same."""
+    got = words.limit(bound + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("w")).alias("b")).first()
+    if got["n"] <= bound and (got["b"] or 0) <= 1 << 24:
+        known = sorted(r["w"] for r in words.collect())
+        return split_cells(df, key, cell, field, lambda: known_words(known), suspect)
+    longest = words.agg(F.max(F.length("w"))).first()[0]
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(t, w) for t in pdf["cell"].unique() for w in _stretches(t, longest)]
+            yield pd.DataFrame(rows, columns=["cell", "w"])
+
+    cells = df.select(F.col(key).cast("long").alias("row_key"), F.col(cell).alias("cell")).filter(F.col("cell").isNotNull() & F.col("row_key").isNotNull())
+    cells = cells.filter(may_hold_several(F.col("cell")) if suspect is None else suspect)
+    ship(df.sparkSession)
+    texts = cells.select("cell").distinct()
+    of = texts.mapInPandas(stretches, "cell string, w string").join(words, "w", "left_semi").groupBy("cell").agg(F.collect_set("w").alias("words"))
+    texts = texts.join(of, "cell", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"cell": pdf["cell"], "items": [segment(t, known_words(list(w))) for t, w in zip(pdf["cell"], pdf["words"])]})
+
+    items = texts.mapInPandas(run, "cell string, items array<string>").filter(F.size("items") > 1)
+    out = cells.join(items, "cell").select("row_key", F.posexplode("items").alias("i", "item"))
+    return out.select(F.lit(field).alias("field"), "row_key", (F.col("i") + 1).alias("pos_no"), "item")
 
 
 def split_variant_ids(df: DataFrame, key: str, cell: str, field: str) -> DataFrame:
     return split_cells(df, key, cell, field, known_ids)
 
 
-def split_names(df: DataFrame, key: str, cell: str, field: str, names: list[str]) -> DataFrame:
-    words = learned_words(df, cell, names)
-    return split_cells(df, key, cell, field, lambda: known_words(words))
+def split_names(df: DataFrame, key: str, cell: str, field: str, names: DataFrame, bound: int = 100_000) -> DataFrame:
+    """names: a table with the known names in its first column."""
+    return split_by_words(df, key, cell, field, learned_words(df, cell, names), bound)
 
 
 def split_delimiters(df: DataFrame, key: str, cell: str, field: str) -> DataFrame:
     """As above where the values are delimiters themselves: alternatives of a pattern or a list of them."""
     return split_cells(df, key, cell, field, lambda: known_words(DELIMITERS), F.length(F.trim("cell")) > 1)
-

@@ -53,11 +53,18 @@ def test_frames(spark):
     got = sorted(tuple(r) for r in P.split_variant_ids(df, "row_id", "variant_id", "f").collect())
     assert got == sorted([("f", 1, 1, V[0]), ("f", 1, 2, V[1])] + [("f", 4, 1, V[0]), ("f", 4, 2, V[1])] * 2)
     assert P.split_variant_ids(df.limit(0), "row_id", "variant_id", "f").count() == 0
+    fixed = spark.createDataFrame([("a",)], "name string")
     names = spark.createDataFrame([(1, "'a'|'b, c'"), (2, "b, c; a"), (3, "a")], "k long, v string")
-    got = sorted(tuple(r)[1:] for r in P.split_names(names, "k", "v", "n", ["a"]).collect())
+    got = sorted(tuple(r)[1:] for r in P.split_names(names, "k", "v", "n", fixed).collect())
     assert got == [(1, 1, "a"), (1, 2, "b, c"), (2, 1, "b, c"), (2, 2, "a")]
-    with pytest.raises(ValueError, match="more than 1"):
-        P.learned_words(names, "v", [], bound=1)
+    joined = sorted(tuple(r)[1:] for r in P.split_names(names, "k", "v", "n", fixed, bound=1).collect())
+    assert joined == got  # a dictionary beyond the bound is joined
+
+
+def test_long_runs_of_separators():
+    assert P.segment("a" + ",;|" * 40 + "b", IDS) == ["a", "b"]
+    f = P.known_words(["x;;;;;;;;;;;;y", "a"])
+    assert P.segment("a;;;;;;;;;;;;;x;;;;;;;;;;;;y", f) == ["a", "x;;;;;;;;;;;;y"]
 
 
 def test_prefilter_loses_nothing(spark):
