@@ -84,21 +84,28 @@ def heavy_keys(counts: DataFrame, heavy_share: float) -> list[str]:
     return [r["key"] for r in top if r["n"] >= seen.get["total"] * heavy_share]
 
 
+SALTS = 32  #: copies of the entries of heavy keys where those are too many to broadcast
+
+
 def _uncovered(refs: DataFrame, spells: DataFrame) -> DataFrame:
-    s = spells.select(F.col("key").alias("_k"), "from_t", "to_t")
+    s = spells.select(F.col("key").alias("_k"), "from_t", "to_t", *[F.col("_salt").alias("_s") for c in spells.columns if c == "_salt"])
     hit = (F.col("key") == F.col("_k")) & (F.col("from_t") <= F.col("at")) & (F.col("to_t").isNull() | (F.col("at") < F.col("to_t")))
-    return refs.join(s, hit, "left_anti")
+    return refs.join(s, hit & (F.col("_salt") == F.col("_s")) if "_s" in s.columns else hit, "left_anti")
 
 
 def _split(df: DataFrame, spells: DataFrame, heavy: list[str], bound: int, check) -> DataFrame:
-    """check(rows, spells) for the heavy keys over a broadcast, for all others over a shuffle; both united."""
+    """check(rows, spells) for the heavy keys over a broadcast, for all others over a shuffle; both united. If the heavy
+    keys have more entries than ``bound``, their rows are dealt to salts and meet a copy of the entries in each."""
     if not heavy:
         return check(df, spells)
     is_heavy = F.col("key").isin(heavy)
-    near = spells.filter(is_heavy)
-    if not at_most(near, bound):
-        return check(df, spells)
-    return check(df.filter(is_heavy), F.broadcast(near)).unionByName(check(df.filter(~is_heavy), spells.filter(~is_heavy)))
+    near, rows = spells.filter(is_heavy), df.filter(is_heavy)
+    if at_most(near, bound):
+        hot = check(rows, F.broadcast(near))
+    else:
+        dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+        hot = check(dealt, near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return hot.select(*[c for c in hot.columns if c != "_salt"]).unionByName(check(df.filter(~is_heavy), spells.filter(~is_heavy)))
 
 
 def orphan_references(refs: DataFrame, entries: DataFrame, heavy_share: float = 0.005, bound: int = 100_000) -> DataFrame:
@@ -116,8 +123,9 @@ def orphan_counts(refs: DataFrame, entries: DataFrame, heavy_share: float = 0.00
     heavy = heavy_keys(counts, heavy_share)
 
     def judged(groups: DataFrame, s: DataFrame) -> DataFrame:
-        s = s.select(F.col("key").alias("_k"), "from_t", "to_t")
-        meets = (F.col("key") == F.col("_k")) & (F.col("from_t") <= F.col("last_at")) & (F.col("to_t").isNull() | (F.col("first_at") < F.col("to_t")))
+        salt = [c for c in s.columns if c == "_salt"]
+        s = s.select(F.col("key").alias("_k"), "from_t", "to_t", *[F.col(c).alias("_s") for c in salt])
+        meets = (F.col("_salt") == F.col("_s") if salt else F.lit(True)) & (F.col("key") == F.col("_k")) & (F.col("from_t") <= F.col("last_at")) & (F.col("to_t").isNull() | (F.col("first_at") < F.col("to_t")))
         covers = (F.col("from_t") <= F.col("first_at")) & (F.col("to_t").isNull() | (F.col("last_at") < F.col("to_t")))
         j = groups.join(s, meets, "left")
         return j.groupBy("tbl", "key", "period", "n").agg(
