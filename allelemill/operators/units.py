@@ -20,16 +20,17 @@ converted come out null. Repeated rows each get their result; empty tables give
 from __future__ import annotations
 
 import math
+import re
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..scale import at_most, cut, ship, small, trimmed
+from ..scale import at_most, cut, ship, small
 
 LN10, LN2, SMD = math.log(10), math.log(2), math.pi / math.sqrt(3)
 
@@ -52,21 +53,63 @@ CANONICAL = {"pval": "prob", "log10p": "neglog10", "effect": "lnor", "odds_ratio
 FIELDS = list(CANONICAL)
 VOTING = ["effect", "effect_se", "odds_ratio", "pval", "log10p"]
 
-#: Wordings of declared units, matched anywhere in a note without regard to case. Fixed values.
-WORDINGS = [
-    ("pval", "percent", r"P given in per ?cent|significance column is per ?cent|pval = 100|p-values x100|^P \(%\)|^per ?cent$|^%$"),
-    ("pval", "ln", r"natural log of p in pval|pval is ln|P on the e-log|^ln( ?p)?$"),
-    ("pval", "neglog10", r"P column holds minus log10|mlog10 values under|p as neg|pval stored as -log10|^(neg|m|-)?log10$|^neglog10$"),
-    ("log10p", "log10", r"LP written as log10|log10 of p, minus sign kept|log10p not negated"),
-    ("log10p", "negln", r"LP computed with ln|minus natural log of p in LP|log10p really -ln"),
-    ("effect", "log10", r"effect = log10|base-10 log-odds|betas are log10|^log10 OR$|^lg\(OR\)$"),
-    ("effect", "log2", r"effect = log2|base 2$|betas are log2|base-2 log-odds|^log2 OR$"),
-    ("effect", "milli", r"thousandths|milli|beta x 1000"),
-    ("effect", "smd", r"standardised|^SMD$|^d$"),
-    ("effect", "ratio", r"effect column carries odds ratios|beta column not logged|^ratio$"),
-    ("odds_ratio", "ln", r"OR column is already logged|odds ratio given as natural log"),
-    ("odds_ratio", "percent", r"OR as percent change|odds ratio: \+"),
-]
+#: Words of declarations. A column is named by a noun; the words of a scale say how its values are written. Fixed values.
+NOUNS = {
+    "odds_ratio": r"odds[ -]?ratios?|ors?", "log10p": r"lp|m?log_?10_?p", "pval": r"p|p[ _-]?val(?:ue)?s?|significances?|probabilit(?:y|ies)",
+    "effect": r"effects?|betas?|estimates?|slopes?",
+}
+SCALES = {
+    "percent": r"%|\bper ?cent(?:age)?s?\b|\bpct\b|(?<!\w)x ?100(?!0)|\* ?100(?!0)|\b100 ?(?:\*|x\b|times)", "milli": r"\bmilli|\bthousandths?\b|(?<!\w)x ?1000\b|\* ?1000\b|\b1000 ?(?:\*|x\b|times)|\b1e-0?3\b",
+    "smd": r"\bsmd\b|\bstandardi[sz]ed\b|\bcohen", "log2": r"log_?2\b|\bbase[ -](?:2|two)\b", "log10": r"log_?10|\blg\b|\bbase[ -](?:10|ten)\b", "ln": r"\bln|\bnatural log|\be-?log\b|\blog_?e\b|\bbase e\b|\balready logged\b",
+}
+PLAIN = r"\b(?:not|never|un)[ -]?logged\b|\bratios?\b"
+NEGATIVE = r"\bminus\b|\bneg(?:ative)?(?:\b|(?=log))|\bmlog|(?<!\w)- ?(?:log|ln|lg)"
+SIGN_KEPT = r"\b(?:minus )?sign (?:is )?kept\b|\bnot negated\b|\bnot minus\b|<= ?0|\bunnegated\b"
+
+
+def read_unit(text: str | None, of: str | None = None) -> tuple[str, str] | None:
+    """(field, unit) that a declaration says, if it says one that is not canonical; ``of`` is the field of a unit column.
+
+    Grammar: clause = [column] scale. The column is the noun with "column" or "header" after it or "in" or "under" before
+    it, else the first noun that is not the argument of a function ("log10 of p", "ln(p)"); a clause without column or
+    without scale says nothing, except that the logarithm of p with its sign kept can only be log10p. What "instead of"
+    introduces does not count.
+    """
+    low = " ".join((text or "").lower().replace("\u2212", "-").split())
+    low = re.sub(r"\binstead of [\w-]+", "", low)
+    if not low:
+        return None
+    body, field = low, of
+    if of is None:
+        noun = "|".join(f"(?P<{f}>{rx})" for f, rx in NOUNS.items())
+        found = []
+        for m in re.finditer(rf"(?<![\w-])(?:{noun})(?![\w-])", low):
+            before, after = low[: m.start()], low[m.end() :]
+            argument = bool(re.search(r"(?:log\w*|ln|lg)(?: of|\() ?$|(?:ln|log\w*) $|\* ?$", before))
+            named = bool(re.match(r" (?:column|header|field)", after) or re.search(r"(?:\bin|\bunder(?: the)?) $", before))
+            found.append((not named, argument, m.start(), m.lastgroup, m.span()))
+        if found:
+            field, span = (None, None) if min(found)[1] else min(found)[3:]
+            body = low if span is None else low[: span[0]] + " " + low[span[1] :]
+            if field is None and re.search(SIGN_KEPT, low) and re.search(SCALES["log10"], low):
+                return "log10p", "log10"
+    if field is None:
+        return None
+    has = {k: bool(re.search(rx, body)) for k, rx in SCALES.items()}
+    negative, kept = bool(re.search(NEGATIVE, body)), bool(re.search(SIGN_KEPT, body))
+    if field == "pval":
+        unit = "percent" if has["percent"] else "neglog10" if has["log10"] and negative else "ln" if has["ln"] and not re.search(NEGATIVE, body.replace("negative", "")) else None
+    elif field == "log10p":
+        unit = "negln" if has["ln"] else "log10" if kept or (has["log10"] and not negative) else None
+    elif field == "odds_ratio":
+        unit = "percent" if has["percent"] else "ln" if has["ln"] else None
+    else:
+        unit = next((u for u in ("smd", "milli", "log2", "log10") if has[u]), None)
+        if unit is None and (body == "d" and of is not None):
+            unit = "smd"
+        if unit is None and (re.search(PLAIN, body) or (of is not None and body == "or")) and not has["ln"]:
+            unit = "ratio"
+    return (field, unit) if unit else None
 
 
 # ---- the conversion graph
@@ -230,15 +273,21 @@ def unit_votes(stats: DataFrame) -> DataFrame:
 
 
 def declared_units(files: DataFrame) -> DataFrame:
-    """(file_id, field, unit) that pval_unit, effect_unit or the note of a file declare and that is not canonical."""
+    """(file_id, field, unit) that pval_unit, effect_unit or a clause of the note of a file declare and that is not canonical."""
     said = F.array(
         F.struct(F.lit("pval").alias("of"), F.col("pval_unit").alias("text")),
         F.struct(F.lit("effect").alias("of"), F.col("effect_unit").alias("text")),
     )
     notes = F.transform(F.split(F.coalesce("note", F.lit("")), ";"), lambda x: F.struct(F.lit(None).cast("string").alias("of"), x.alias("text")))
-    parts = files.select("file_id", F.explode(F.concat(said, notes)).alias("s")).select("file_id", "s.of", trimmed(F.col("s.text")).alias("text"))
-    hit = F.coalesce(*[F.when(F.col("text").rlike(f"(?i){rx}") & (F.col("of").isNull() | (F.col("of") == f)), F.struct(F.lit(f).alias("field"), F.lit(u).alias("unit"))) for f, u, rx in WORDINGS])
-    return parts.select("file_id", hit.alias("h")).filter("h is not null").groupBy("file_id", "h.field").agg(F.min("h.unit").alias("unit"))
+    parts = files.select(F.col("file_id").cast("long").alias("file_id"), F.explode(F.concat(said, notes)).alias("s")).select("file_id", "s.of", "s.text").filter("trim(text) <> ''")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(k, r) for k, of, text in zip(pdf["file_id"], pdf["of"], pdf["text"]) if (r := read_unit(text, of if isinstance(of, str) else None))]
+            yield pd.DataFrame([(k, *r) for k, r in got], columns=["file_id", "field", "unit"]).astype({"file_id": "int64"})
+
+    ship(files.sparkSession)
+    return parts.mapInPandas(read, "file_id long, field string, unit string").groupBy("file_id", "field").agg(F.min("unit").alias("unit"))
 
 
 def ranged_units(stats: DataFrame) -> DataFrame:
@@ -278,7 +327,7 @@ def unit_segments(stats: DataFrame, files: DataFrame) -> DataFrame:
         "mixed",
     )
     spoken = votes.select("file_id", "field").distinct()
-    said = declared_units(files).withColumn("file_id", F.col("file_id").cast("long"))
+    said = declared_units(files)
     ranged = ranged_units(stats).join(said, ["file_id", "field"], "left_anti")
     silent = said.unionByName(ranged).join(spoken, ["file_id", "field"], "left_anti")
     return seg.unionByName(silent.select("file_id", "field", "unit", F.lit(-(2**62)).alias("from_line"), F.lit(2**62).alias("to_line"), F.lit(False).alias("mixed")))
@@ -298,7 +347,7 @@ def _line_batches(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.Da
             yield part.drop_duplicates()
 
 
-def nearest_votes(stats: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
+def nearest_votes(stats: DataFrame, mixed: DataFrame, block: int, span: int = 4096) -> DataFrame:
     """(file_id, block, one array of (line, unit) a field): the votes among which a row of the block finds its nearest,
     for the files and fields of ``mixed``: where stretches in one unit begin and end, and the next votes before and after the block."""
     rows = stats.filter("file_id is not null and line_no is not null").select(F.col("file_id").cast("long").alias("file_id"), F.col("line_no").cast("long").alias("line_no"), *[F.col(c).cast("double").alias(c) for c in VOTING])
@@ -308,10 +357,15 @@ def nearest_votes(stats: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
     votes = raw.groupBy("file_id", "field", "block").agg(F.sort_array(F.collect_set(F.when(F.col("unit").isNotNull(), F.struct("line", "unit")))).alias("v"))
     before, after = lambda i: F.get("v", i - 1)["unit"], lambda i: F.get("v", i + 1)["unit"]
     ends = F.filter("v", lambda p, i: ~(p["unit"].eqNullSafe(before(i)) & p["unit"].eqNullSafe(after(i))))
-    w = Window.partitionBy("file_id", "field").rowsBetween(Window.unboundedPreceding, -1)
-    votes = votes.select(
-        "file_id", "field", "block", ends.alias("v"),
-        F.last(F.get("v", F.size("v") - 1), True).over(w.orderBy("block")).alias("before"), F.last(F.get("v", F.lit(0)), True).over(w.orderBy(F.desc("block"))).alias("after"),
+    # the nearest votes before and after a block: within stretches of ``span`` blocks, and from stretch to stretch
+    key, last, first = ["file_id", "field"], F.get("v", F.size("v") - 1), F.get("v", F.lit(0))
+    votes = cut(votes.select(*key, "block", F.floor(F.col("block") / span).alias("part"), ends.alias("v")).withColumns({"last": last, "first": first}))
+    reach = lambda k, order: Window.partitionBy(*k).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = votes.groupBy(*key, "part").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("block"))).alias("l"), F.min_by("first", F.when(F.col("first").isNotNull(), F.col("block"))).alias("f"))
+    carried = carried.select(*key, "part", F.last("l", True).over(reach(key, F.col("part"))).alias("l"), F.last("f", True).over(reach(key, F.desc("part"))).alias("f"))
+    inner = [*key, "part"]
+    votes = votes.join(carried, inner).select(
+        *key, "block", "v", F.coalesce(F.last("last", True).over(reach(inner, F.col("block"))), "l").alias("before"), F.coalesce(F.last("first", True).over(reach(inner, F.desc("block"))), "f").alias("after"),
     )
     near = F.array_compact(F.concat(F.array("before"), "v", F.array("after")))
     return votes.select("file_id", "field", "block", near.alias("near")).groupBy("file_id", "block").pivot("field", FIELDS).agg(F.first("near"))
@@ -352,19 +406,38 @@ def present(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c)
 
 
-def foreign_values(stats: DataFrame, files: DataFrame) -> DataFrame:
-    """(row_id, field, unit) of each value that is not in the canonical unit of its field."""
+def compositions(spark: SparkSession) -> DataFrame:
+    """The table of shortest compositions: (field, unit, a1, b1, bridge, a2, b2, foreign); one row a unit, at most a few dozen."""
+    rows = [(f, u, *way, u != CANONICAL[f]) for f, u, *way in COMPOSED]
+    return spark.createDataFrame(rows, "field string, unit string, a1 double, b1 double, bridge string, a2 double, b2 double, foreign boolean")
+
+
+def converted(x: Column) -> Column:
+    """A value taken through the composition that its row was joined to; null where that is not defined."""
+    y = F.col("a1") * x + F.col("b1")
+    bridged = F.when(F.col("bridge") == "exp", F.exp(y)).when(F.col("bridge") == "ln", F.when(y > 0, F.ln(y))).otherwise(y)
+    return F.col("a2") * bridged + F.col("b2")
+
+
+def value_conversions(stats: DataFrame, files: DataFrame) -> DataFrame:
+    """(row_id, field, unit, value, canonical, foreign) of each value: an equi-join on field and source unit with the
+    compositions, whose row converts it and says whether that is a conversion at all."""
     u = with_units(stats.select("row_id", "file_id", "line_no", "effect_se", *FIELDS), files)
-    each = F.array(*[F.when(present(F.col(f)) & (F.col(f"{f}_unit") != CANONICAL[f]), F.struct(F.lit(f).alias("field"), F.col(f"{f}_unit").alias("unit"))) for f in FIELDS])
-    found = u.select("row_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("v")).select("row_id", "v.field", "v.unit")
-    ways = stats.sparkSession.createDataFrame([(f, w) for f, w, *_ in COMPOSED if w != CANONICAL[f]], "field string, unit string")
-    return found.join(F.broadcast(ways), ["field", "unit"]).select("row_id", "field", "unit")  # only units with a way to the canonical one
+    each = F.array(*[F.when(present(F.col(f)), F.struct(F.lit(f).alias("field"), F.col(f"{f}_unit").alias("unit"), F.col(f).cast("double").alias("value"))) for f in FIELDS])
+    values = u.select("row_id", F.explode(F.array_compact(each)).alias("v")).select("row_id", "v.*")
+    joined = values.join(F.broadcast(compositions(stats.sparkSession)), ["field", "unit"])
+    return joined.select("row_id", "field", "unit", "value", converted(F.col("value")).alias("canonical"), "foreign")
+
+
+def foreign_values(stats: DataFrame, files: DataFrame) -> DataFrame:
+    """(row_id, field, unit, value, canonical) of each value that is not in the canonical unit of its field."""
+    return value_conversions(stats, files).filter("foreign").drop("foreign")
 
 
 def to_canonical(stats: DataFrame, files: DataFrame) -> DataFrame:
     """stats with the four fields in canonical units, by equi-joins on the unit with the table of compositions."""
     out = with_units(stats, files)
-    table = stats.sparkSession.createDataFrame(COMPOSED, "field string, unit string, a1 double, b1 double, bridge string, a2 double, b2 double")
+    table = compositions(stats.sparkSession)
     parts = ("a1", "b1", "bridge", "a2", "b2")
     for f in FIELDS:
         t = table.filter(F.col("field") == f).select(F.col("unit").alias(f"{f}_unit"), *[F.col(p).alias(f"_conv_{p}") for p in parts])
