@@ -1,14 +1,15 @@
 """Schemas that drift between files.
 
-Method: tagged-union inference. All releases of a series are fused into one list of fields; each field keeps every type
-it was ever given as an alternative, tagged with the first release that has it. Conflicting types become typed branches
-besides one canonical conversion. Changes are the alternatives, names and fields that appear or go from a release to
-the next.
+Method: tagged-union inference. The schemas of all releases of a series are fused into one structure: per field a list of
+alternatives, each tagged with its type and name and with the stretch of releases that it holds for. Everything is read off
+this structure: the one list of fields with canonical type and typed branches, the alternatives that appear, and the changes
+between neighbouring releases, which are the places where one stretch of a field ends and the next one begins (or none).
+Values are kept in the branch of their own type beside one canonical conversion.
 
 Defined results: a column without any name and without standard name is no field. Exact copies and repeated rows of one
 column count once; where they differ the row recorded last holds. Of several columns with one field the first counts.
 A null type is unknown: it is no alternative and no change. Files without a series or release are no part of any
-series. Empty tables give empty results; further columns are ignored.
+series. A value that its declared type cannot hold is kept as a string. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ TYPES = {
     "integer64": "bigint", "bigint": "bigint", "int8": "bigint", "long": "bigint",
     "logical": "boolean", "boolean": "boolean", "bool": "boolean",
 }
+WHOLE, NUMERIC = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 #: Narrowest common type of two alternatives; anything else meets in string.
 WIDER = {frozenset(("int", "bigint")): "bigint", frozenset(("int", "double")): "double", frozenset(("bigint", "double")): "double"}
 
@@ -64,26 +66,46 @@ def columns_of_files(column_info: DataFrame, aliases: DataFrame, alias_bound: in
 
 
 def release_order(files: DataFrame, width: int = 1024) -> DataFrame:
-    """(series_id, release_no, file_id, before): each file with the file of the release before it in its series.
+    """(series_id, n, release_no, file_id): the files of a series numbered from 0 by release.
 
-    A series is looked at in stretches of ``width`` release numbers, each of which also learns the last file of the
-    stretches before it; so even one huge series is spread over many tasks."""
+    A series is numbered in stretches of ``width`` release numbers, each of which also learns how many files lie before it;
+    so even one huge series is spread over many tasks."""
     f = files.filter("series_id is not null and release_no is not null and file_id is not null").select("series_id", "release_no", "file_id").distinct()
     f = f.withColumn("_b", F.floor(F.col("release_no") / width))
+    before = f.groupBy("series_id", "_b").agg(F.count(F.lit(1)).alias("_k"))
+    before = before.select("series_id", "_b", F.coalesce(F.sum("_k").over(Window.partitionBy("series_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_k"))
     inner = Window.partitionBy("series_id", "_b").orderBy("release_no", "file_id")
-    last = f.groupBy("series_id", "_b").agg(F.max(F.struct("release_no", "file_id")).alias("_last"))
-    last = last.withColumn("_last", F.lag("_last").over(Window.partitionBy("series_id").orderBy("_b")))
-    out = f.join(last, ["series_id", "_b"]).withColumn("before", F.coalesce(F.lag("file_id").over(inner), F.col("_last.file_id")))
-    return out.select("series_id", "release_no", "file_id", "before")
+    return f.join(before, ["series_id", "_b"]).select("series_id", (F.col("_k") + F.row_number().over(inner) - 1).alias("n"), "release_no", "file_id")
+
+
+def fused(cols: DataFrame, order: DataFrame, width: int = 1024) -> DataFrame:
+    """(series_id, field, name, type, from_n, to_n, since): the fused schema of each series as alternatives of its fields.
+
+    An alternative is a name with a type (the tag) and the longest stretch of neighbouring releases that have it; stretches
+    are also cut at every ``width`` releases, so no task holds more of a field than that. since is the release of from_n."""
+    at = order.join(cols, "file_id").withColumn("_b", F.floor(F.col("n") / width))
+    w = Window.partitionBy("series_id", "field", "_b").orderBy("n")
+    same = F.lag(F.struct("n", "name", "type")).over(w).eqNullSafe(F.struct((F.col("n") - 1).alias("n"), "name", "type"))
+    runs = at.withColumn("_new", (~same).cast("int")).withColumn("_run", F.sum("_new").over(w))
+    return runs.groupBy("series_id", "field", "_b", "_run").agg(
+        F.first("name").alias("name"), F.first("type").alias("type"), F.min("n").alias("from_n"), F.max("n").alias("to_n"), F.min("release_no").alias("since")
+    ).drop("_b", "_run")
+
+
+def fused_series(column_info: DataFrame, files: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the fused alternatives, the order of releases)."""
+    order = release_order(files)
+    return fused(columns_of_files(column_info, aliases), order), order
 
 
 def drift(column_info: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(file_id, field, drift, was, now): added, removed, renamed and retyped against the release before."""
-    cols = columns_of_files(column_info, aliases)
-    order = release_order(files).filter("before is not null").select("file_id", "before")
-    new = order.join(cols, "file_id").select("file_id", "field", F.struct("name", "type").alias("new"))
-    old = order.join(cols.withColumnRenamed("file_id", "before"), "before").select("file_id", "field", F.struct("name", "type").alias("old"))
-    both = new.join(old, ["file_id", "field"], "full")
+    """(file_id, field, drift, was, now): added, removed, renamed and retyped against the release before: where an
+    alternative of the fused schema ends and another one, or none, begins."""
+    spans, order = fused_series(column_info, files, aliases)
+    ends = spans.select("series_id", "field", (F.col("to_n") + 1).alias("n"), F.struct("name", "type").alias("old"))
+    begins = spans.select("series_id", "field", F.col("from_n").alias("n"), F.struct("name", "type").alias("new"))
+    both = ends.join(begins, ["series_id", "field", "n"], "full").filter("n > 0")  # the first release of a series changes nothing
+    both = both.join(order.select("series_id", "n", "file_id"), ["series_id", "n"])  # nor does anything end after the last
     change = lambda kind, test, was, now: F.when(test, F.struct(F.lit(kind).alias("drift"), was.alias("was"), now.alias("now")))
     n, o = F.col("new"), F.col("old")
     kept = n.isNotNull() & o.isNotNull()
@@ -120,12 +142,32 @@ def fused_fields(column_info: DataFrame, files: DataFrame, aliases: DataFrame) -
 def new_alternatives(column_info: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """(series_id, field, type, release_no): each type of a field with the first release of the series that has it,
     for fields that have more than one."""
-    at = columns_of_files(column_info, aliases).filter("type is not null").join(release_order(files), "file_id")
-    first = at.groupBy("series_id", "field", "type").agg(F.min("release_no").alias("release_no"))
+    first = fused_series(column_info, files, aliases)[0].filter("type is not null").groupBy("series_id", "field", "type").agg(F.min("since").alias("release_no"))
     many = first.groupBy("series_id", "field").agg(F.count(F.lit(1)).alias("k"), F.min("release_no").alias("since")).filter("k > 1")
     return first.join(many, ["series_id", "field"]).filter("release_no > since").select("series_id", "field", "type", "release_no")
 
 
+def typed_values(cells: DataFrame, column_info: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
+    """cells(..., file_id, field, value) as one consistent table: besides the columns of cells (without value) the tag of the
+    value (its own type), one typed branch for each type, of which only that of the tag is filled, the canonical type of the
+    field and the value converted to it (``as_number`` for numbers, else ``as_text``)."""
+    fields = fused_fields(column_info, files, aliases).select("field", "canonical_type")
+    own = columns_of_files(column_info, aliases).select("file_id", "field", "type")
+    keep = [c for c in cells.columns if c != "value"]
+    x = cells.join(small(own, 500_000), ["file_id", "field"], "left").join(small(fields, 500_000), "field", "left")
+    v, t = F.col("value"), F.coalesce("type", F.lit("string"))
+    flag = F.when(F.upper(v).isin("TRUE", "T"), True).when(F.upper(v).isin("FALSE", "F"), False)
+    shape = {"int": WHOLE, "bigint": WHOLE, "double": NUMERIC}
+    branch = {k: F.when((t == k) & v.rlike(rx), v.try_cast(k)) for k, rx in shape.items()} | {"boolean": F.when(t == "boolean", flag)}
+    held = F.coalesce(*[F.when(b.isNotNull(), F.lit(k)) for k, b in branch.items()], F.lit("string"))
+    canonical = F.coalesce("canonical_type", F.lit("string"))
+    number = F.when(canonical.isin(*shape) & v.rlike(NUMERIC), v.try_cast("double"))
+    return x.select(
+        *keep, held.alias("tag"), *[b.alias(f"v_{k}") for k, b in branch.items()], F.when(held == "string", v).alias("v_string"), canonical.alias("canonical_type"),
+        number.alias("as_number"), F.when(number.isNull(), v).alias("as_text"),
+    )
+
+
 def unify(frames: dict[str, DataFrame], rename: dict[str, str] | None = None) -> DataFrame:
     """Frames with different schemas as one table: every field once in its canonical type; where types conflict, also
     one branch per type (``field__type``) that holds the values as they were. ``_source`` names the frame.
@@ -162,11 +204,3 @@ def unify(frames: dict[str, DataFrame], rename: dict[str, str] | None = None) ->
                 out += [(have if field in taken and taken[field][1] == k else F.lit(None).cast(k)).alias(f"{field}__{k}") for k in kinds]
         parts.append(df.select(*out))
     return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def known_names(aliases: DataFrame, bound: int = 10_000) -> list[str]:
-    """The standard names; collected only if counted to at most ``bound``."""
-    names = aliases.select("standard_name").filter("standard_name is not null").distinct().limit(bound + 1).collect()
-    if len(names) > bound:
-        raise ValueError(f"more than {bound} standard names")
-    return sorted(r[0] for r in names)

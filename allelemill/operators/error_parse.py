@@ -158,15 +158,25 @@ STANDARD = {
 }
 
 
+def _values() -> Column:
+    """(field, value) of each column of a line, without empty ones and NA; of two columns of one field the first."""
+    cells = F.transform("_cells", lambda c: F.nullif(F.nullif(_value(c), F.lit("")), F.lit("NA")))
+    pairs = F.filter(F.arrays_zip(F.col("fields").alias("field"), cells.alias("value")), lambda x: x["value"].isNotNull())
+    return F.filter(pairs, lambda x, i: i + 1 == F.array_position(F.transform(pairs, lambda y: y["field"]), x["field"]))
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """(line_id, file_id, field, value) of every value of the valid lines of ``data_lines(layout=True)``, as text."""
+    good = judged(rows).filter("reason is null")
+    return good.select("line_id", "file_id", F.explode(_values()).alias("_x")).select("line_id", "file_id", "_x.field", "_x.value")
+
+
 def loaded(rows: DataFrame) -> DataFrame:
     """(line_id, file_id, line_no, the fields of STANDARD typed, further map<string, string>) of the valid lines of
     ``data_lines(layout=True)``; chr in the form chrN. ``further`` holds all other columns, and values of standard fields
     that their type cannot hold. Empty values and NA are null; of two columns of one field the first counts."""
     good = judged(rows).filter("reason is null")
-    cells = F.transform("_cells", lambda c: F.nullif(F.nullif(_value(c), F.lit("")), F.lit("NA")))
-    pairs = F.filter(F.arrays_zip(F.col("fields").alias("field"), cells.alias("value")), lambda x: x["value"].isNotNull())
-    firsts = F.filter(pairs, lambda x, i: i + 1 == F.array_position(F.transform(pairs, lambda y: y["field"]), x["field"]))
-    good = good.withColumn("_m", F.explode(F.array(F.map_from_entries(firsts))))  # one element: evaluated once
+    good = good.withColumn("_m", F.explode(F.array(F.map_from_entries(_values()))))  # one element: evaluated once
     c = F.concat(F.lit("chr"), F.regexp_replace(F.upper(F.regexp_replace("chr", "(?i)^chr", "")), "^M$", "MT"))
     cast = {f: F.try_element_at("_m", F.lit(f)).try_cast(t) for f, t in STANDARD.items()} | {"chr": c}
     kept = F.map_filter("_m", lambda k, v: ~k.isin(list(STANDARD)) | reduce(lambda a, b: a | b, [(k == f) & v.try_cast(t).isNull() for f, t in STANDARD.items() if t != "string"]))

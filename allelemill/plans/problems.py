@@ -64,9 +64,15 @@ def p3_new_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return D.new_alternatives(*_schemas(spark, d))
 
 
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """Every value of the valid raw lines of all files in one table: in the branch of its own type and converted to the
+    canonical type of its field."""
+    return D.typed_values(E.cells(_lines(spark, d, layout=True)), *_schemas(spark, d)).drop("file_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     s, c = table(spark, d, "sumstats"), table(spark, d, "column_info")
-    names = D.known_names(table(spark, d, "alias_names"))
+    names = table(spark, d, "alias_names").select("standard_name").filter("standard_name is not null")
     return (
         P.split_variant_ids(s, "row_id", "variant_id", "sumstats.variant_id")
         .unionByName(P.split_names(c, "ci_id", "encoded_names", "column_info.encoded_names", names))
@@ -93,7 +99,7 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("further", further)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_canonical, p2_conversions, p3_found, p3_changes, p3_fields, p3_new_alternatives, p4_found, p5_found, p5_repairs, p5_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_canonical, p2_conversions, p3_found, p3_changes, p3_fields, p3_new_alternatives, p3_table, p4_found, p5_found, p5_repairs, p5_loaded)}
 
 _ORPHANS = r"""
 WITH RECURSIVE e AS (
@@ -190,15 +196,33 @@ SELECT j.line_id, j.file_id, j.line_no, """
     + ", further FROM j LEFT JOIN w USING (line_id) WHERE reason IS NULL"
 )
 
+_CELLS = _JUDGED + """, c AS (SELECT line_id, file_id, unnest(range(1, n + 1)) AS place, unnest(cols) AS col, nullif(nullif(unnest(v), ''), 'NA') AS value FROM j WHERE reason IS NULL),
+g AS (SELECT c.line_id, c.file_id, c.place, c.value, coalesce(t.field, nullif(regexp_replace(lower(c.col), '[^a-z0-9]', '', 'g'), ''), c.col) AS field FROM c LEFT JOIN typed t ON t.file_id = c.file_id AND t.name = c.col),
+u AS (SELECT * FROM g WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line_id, field ORDER BY place) = 1)"""
 _TYPES = _FIELDS + """, kinds AS (SELECT DISTINCT field, type FROM cols WHERE type IS NOT NULL), alt AS (SELECT field, list_sort(list(type)) AS t FROM kinds GROUP BY 1),
 n AS (SELECT field, count(*) AS n_files, count(DISTINCT name) AS n_names FROM cols GROUP BY 1)"""
 
+_NUM = "regexp_full_match(value, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
+_INT = "regexp_full_match(value, '[+-]?[0-9]+')"
+_CANONICAL = "CASE WHEN t IS NULL THEN 'string' WHEN len(t) = 1 THEN t[1] WHEN list_has_all(['bigint', 'int'], t) THEN 'bigint' WHEN list_has_all(['bigint', 'int', 'double'], t) THEN 'double' ELSE 'string' END"
+_TABLE = f"""WITH own AS (SELECT * FROM ({_FIELDS} SELECT file_id, field, type FROM cols)),
+kind AS (SELECT * FROM ({_TYPES} SELECT n.field, {_CANONICAL} AS canonical_type FROM n LEFT JOIN alt USING (field))),
+v AS (SELECT u.line_id, u.field, u.value, coalesce(own.type, 'string') AS t, coalesce(kind.canonical_type, 'string') AS canonical_type
+  FROM ({_CELLS} SELECT * FROM u) u LEFT JOIN own ON own.file_id = u.file_id AND own.field = u.field LEFT JOIN kind ON kind.field = u.field),
+b AS (SELECT *, CASE WHEN t = 'int' AND {_INT} THEN try_cast(value AS INTEGER) END AS v_int, CASE WHEN t = 'bigint' AND {_INT} THEN try_cast(value AS BIGINT) END AS v_bigint,
+  CASE WHEN t = 'double' AND {_NUM} THEN try_cast(value AS DOUBLE) END AS v_double, CASE WHEN t = 'boolean' AND upper(value) IN ('TRUE', 'T') THEN true WHEN t = 'boolean' AND upper(value) IN ('FALSE', 'F') THEN false END AS v_boolean FROM v),
+g AS (SELECT *, CASE WHEN v_int IS NOT NULL THEN 'int' WHEN v_bigint IS NOT NULL THEN 'bigint' WHEN v_double IS NOT NULL THEN 'double' WHEN v_boolean IS NOT NULL THEN 'boolean' ELSE 'string' END AS tag,
+  CASE WHEN canonical_type IN ('int', 'bigint', 'double') AND {_NUM} THEN try_cast(value AS DOUBLE) END AS as_number FROM b)
+SELECT line_id, field, tag, v_int, v_bigint, v_double, v_boolean, CASE WHEN tag = 'string' THEN value END AS v_string, canonical_type, as_number, CASE WHEN as_number IS NULL THEN value END AS as_text FROM g"""
+
 SQL = {
+    "p3_table": _TABLE,
     "p4_found": _PACKED,
     "p5_found": _LINES,
     "p5_loaded": _LOADED,
     "p3_fields": _TYPES
-    + """ SELECT n.field, CASE WHEN t IS NULL THEN 'string' WHEN len(t) = 1 THEN t[1] WHEN list_has_all(['bigint', 'int'], t) THEN 'bigint' WHEN list_has_all(['bigint', 'int', 'double'], t) THEN 'double' ELSE 'string' END AS canonical_type,
+    + f" SELECT n.field, {_CANONICAL} AS canonical_type,"
+    + """
  coalesce(array_to_string(t, '|'), '') AS alternatives, CASE WHEN len(t) > 1 THEN array_to_string(list_transform(t, lambda x: n.field || '__' || x), '|') ELSE '' END AS branches, n_files, n_names FROM n LEFT JOIN alt USING (field)""",
     "p3_new_alternatives": _FIELDS
     + """, f1 AS (SELECT series_id, field, type, min(release_no) AS release_no FROM cols JOIN stat_files USING (file_id) WHERE type IS NOT NULL GROUP BY 1, 2, 3)

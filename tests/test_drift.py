@@ -33,10 +33,35 @@ def test_release_order_over_stretches(spark):
     files = [(i, "s", 7 * i) for i in range(60)] + [(100 + i, "t", i * i) for i in range(20)]
     df = spark.createDataFrame([(*f, "x") for f in files], S)
     series = [sorted((f for f in files if f[1] == name), key=lambda f: f[2]) for name in "st"]
-    want = {(b[0], a[0]) for x in series for a, b in zip(x, x[1:])}
+    want = {(name, k, f[0]) for name, x in zip("st", series) for k, f in enumerate(x)}
     for width in (1, 10, 100, 10_000):
-        got = D.release_order(df, width).filter("before is not null").collect()
-        assert {(r["file_id"], r["before"]) for r in got} == want
+        assert {(r["series_id"], r["n"], r["file_id"]) for r in D.release_order(df, width).collect()} == want
+
+
+def test_changes_over_stretches_of_releases(spark):
+    """The fused schema gives the same changes however it is cut into stretches; without it there are none."""
+    cols = spark.createDataFrame([(i, f"f{k}", f"n{(i // 3) % 2}", "int" if i % 4 else "double") for i in range(20) for k in range(3) if (i + k) % 5], "file_id long, field string, name string, type string")
+    order = D.release_order(spark.createDataFrame([(i, "s", 3 * i, "x") for i in range(20)], S))
+    rows = {(r["file_id"], r["field"]): (r["name"], r["type"]) for r in cols.collect()}
+    for width in (1, 4, 1024):
+        spans = D.fused(cols, order, width).collect()
+        assert {(n, r["field"]): (r["name"], r["type"]) for r in spans for n in range(r["from_n"], r["to_n"] + 1)} == rows
+
+
+def test_found_comes_from_the_fused_schema(spark, monkeypatch):
+    fused = D.fused
+    monkeypatch.setattr(D, "fused", lambda *a: fused(*a).limit(0))
+    assert D.drift(*make(spark, COLS, FILES)).count() == 0
+
+
+def test_typed_values(spark):
+    c, f, a = make(spark, [(1, 1, "n", None, "int"), (2, 1, "n", None, "character"), (1, 2, "pos", None, "integer"), (2, 2, "pos", None, "double")], [(1, "s", 1), (2, "s", 2)])
+    cells = spark.createDataFrame([(1, 1, "n", "5"), (2, 1, "n", "5x"), (3, 2, "n", "7"), (4, 1, "pos", "12"), (5, 2, "pos", "1.5"), (6, 2, "new", "TRUE"), (7, 2, None, None)], "line_id long, file_id long, field string, value string")
+    got = {r["line_id"]: r for r in D.typed_values(cells, c, f, a).collect()}
+    assert (got[1]["tag"], got[1]["v_int"], got[1]["canonical_type"], got[1]["as_text"]) == ("int", 5, "string", "5")
+    assert (got[2]["tag"], got[2]["v_string"], got[2]["v_int"]) == ("string", "5x", None) and got[3]["tag"] == "string"
+    assert (got[4]["v_int"], got[4]["as_number"], got[5]["v_double"], got[5]["as_number"], got[5]["canonical_type"]) == (12, 12.0, 1.5, 1.5, "double")
+    assert got[6]["v_string"] == "TRUE" and len(got) == 7
 
 
 def test_latest_row_holds(spark):
