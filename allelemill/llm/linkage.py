@@ -8,14 +8,20 @@ their conditional mutual information and modelled jointly. The posterior of the
 
 The model sees only the counts of vote patterns: at most the product of the levels, whatever the size of the data.
 
-Defined results: exact copies of a row are compared once and each is reported. Nulls, blanks and unknown codes make a
-function abstain. Rows without chromosome are compared by position, rows without position by chromosome, gene and
-alleles; rows that have none of these have no candidates. Without any candidate the result is empty.
+Candidates always agree in a class of alleles (one of the four kinds of single-base changes, strands folded, or ``long``), so
+many different records at one position are compared within their class only. A record that lacks an allele, or has only
+a code, belongs to every class that it may be of. Exact copies form one class of records; only one of them is compared.
+
+Defined results: exact copies of a row are compared once; ``matches`` reports each copy, ``class_matches`` the classes.
+Nulls, blanks and unknown codes make a function abstain. Rows without chromosome are compared by position, rows without
+position by chromosome and any of their genes (letters in any order); rows that have none of these have no candidates.
+Without any candidate the result is empty.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -49,61 +55,68 @@ def _flip(c: Column) -> Column:
 
 
 def prepared(df: DataFrame, key: str) -> DataFrame:
-    """One row per distinct record (k, c, p, a1, a2, f, e, g); ids of its copies follow from the same hash of contents."""
+    """One row per row of df in plain form: id, chromosome c, position p, alleles a1 and a2, frequency f, effect e, genes gs."""
     c = F.regexp_replace(F.regexp_replace(F.upper(trimmed(F.col("chr"))), "^CHR", ""), "^0+(?=.)", "")
     c = F.when(c == "23", "X").when(c == "24", "Y").when(c == "M", "MT").otherwise(c)
     allele = lambda x: F.when(F.upper(trimmed(F.col(x))).rlike("^([ACGT]+|-|I|D)$"), F.upper(trimmed(F.col(x))))
-    gene = F.regexp_replace(F.split(F.upper(trimmed(F.col("gene"))), "/").getItem(0), "[^A-Z0-9-]", "")
+    names = F.split(F.regexp_replace(F.upper(F.coalesce("gene", F.lit(""))), r"\([^)]*\)", " "), r"[/,;|&\s]+")
+    genes = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda x: F.regexp_replace(x, "[^A-Z0-9-]", "")), lambda x: x != "")))
     number = lambda x: F.when(~F.isnan(F.col(x).cast("double")), F.col(x).cast("double"))
     return df.select(
-        F.col(key).alias("id"), F.nullif(c, F.lit("")).alias("c"), F.col("pos").cast("long").alias("p"), allele("allele1").alias("a1"), allele("allele2").alias("a2"),
-        number("freq1").alias("f"), number("effect").alias("e"), F.nullif(gene, F.lit("")).alias("g"),
+        F.col(key).cast("long").alias("id"), F.nullif(c, F.lit("")).alias("c"), F.col("pos").cast("long").alias("p"), allele("allele1").alias("a1"), allele("allele2").alias("a2"),
+        number("freq1").alias("f"), number("effect").alias("e"), genes.alias("gs"),
     ).filter("id is not null")
 
 
-_CONTENT = ["c", "p", "a1", "a2", "f", "e", "g"]
+_CONTENT = ["c", "p", "a1", "a2", "f", "e", "gs"]
+_HASH = ["h1", "h2"]
 
 
 def representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct records with k, membership (k, id)): k is a hash of 128 bits of the contents."""
-    k = F.md5(F.to_json(F.struct(*_CONTENT)))
-    keyed = rows.withColumn("k", k)
-    return keyed.groupBy("k").agg(*[F.first(x).alias(x) for x in _CONTENT]), keyed.select("k", "id")
+    """(distinct records with their class k and its size n, (k, id) of the classes of more than one): k is the smallest
+    id of the class; a hash of 128 bits of the contents leads the copies to it."""
+    keyed = rows.withColumns({"h1": F.xxhash64(*_CONTENT), "h2": F.xxhash64(F.lit("second"), *_CONTENT)})
+    one = cut(keyed.groupBy(*_HASH, *_CONTENT).agg(F.min("id").alias("k"), F.count(F.lit(1)).alias("n")))
+    many = one.filter("n > 1").select(*_HASH, "k").join(keyed.select(*_HASH, "id"), _HASH).select("k", "id")
+    return one.drop(*_HASH), many
 
 
-def signature(a1: Column, a2: Column) -> Column:
-    """The unordered pair of alleles on either strand; null unless both are bases."""
-    bases = a1.rlike("^[ACGT]+$") & a2.rlike("^[ACGT]+$")
-    one = F.concat_ws("/", F.least(a1, a2), F.greatest(a1, a2))
-    two = F.concat_ws("/", F.least(_flip(a1), _flip(a2)), F.greatest(_flip(a1), _flip(a2)))
-    return F.when(bases, F.least(one, two))
+#: Classes of alleles: the single-base changes with strands folded (the first name of each), and all longer ones.
+CLASSES = {"A/C": ["A/C", "G/T"], "A/G": ["A/G", "C/T"], "A/T": ["A/T"], "C/G": ["C/G"], "long": []}
+
+
+def allele_classes(a1: Column, a2: Column) -> Column:
+    """The classes that a record may be of: one if both alleles are bases, more where one or both are missing."""
+    base = lambda x: x.rlike("^[ACGT]$")
+    pair = F.concat_ws("/", F.least(a1, a2), F.greatest(a1, a2))
+    kind = F.coalesce(*[F.when(pair.isin(pairs), F.lit(name)) for name, pairs in CLASSES.items() if pairs], F.lit("long"))
+    one = F.coalesce(a1, a2)
+    half = F.array_compact(F.array(*[F.when(F.contains(F.lit(" ".join(pairs)), one), F.lit(name)) for name, pairs in CLASSES.items() if pairs], F.lit("long")))
+    return (
+        F.when(a1.isNotNull() & a2.isNotNull(), F.array(kind)).when(one.isNull(), F.array(*[F.lit(x) for x in CLASSES])).when(base(one), half).otherwise(F.array(F.lit("long")))
+    )
 
 
 def candidates(left: DataFrame, right: DataFrame, reach: int = 10) -> DataFrame:
-    """Pairs of distinct records that share a coarse key: both as columns with l_ and r_ before their names."""
-    l = left.select(*[F.col(x).alias(f"l_{x}") for x in ["k", *_CONTENT]])
-    r = right.select(*[F.col(x).alias(f"r_{x}") for x in ["k", *_CONTENT]])
+    """Pairs of distinct records that share a class of alleles and a coarse key: both as columns with l_ and r_ before
+    their names. A pair that shares several keys comes once."""
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{x}_{c}") for c in ["k", *_CONTENT]], allele_classes(F.col("a1"), F.col("a2")).alias(f"{x}_cls"))
+    l, r = side(left, "l").withColumn("cls", F.explode("l_cls")), side(right, "r").withColumn("cls", F.explode("r_cls"))
+    first = F.array_min(F.array_intersect("l_cls", "r_cls"))  # of the classes in common one brings the pair
     size = 2 * reach
     bins = F.array_distinct(F.array(F.floor((F.col("r_p") - reach) / size), F.floor((F.col("r_p") + reach) / size)))
     lb = l.filter("l_p is not null").withColumn("bin", F.floor(F.col("l_p") / size))
     rb = r.filter("r_p is not null").withColumn("bin", F.explode(bins))
-    near = F.abs(F.col("l_p") - F.col("r_p")) <= reach
-    by_place = lb.filter("l_c is not null").join(rb.filter("r_c is not null"), (F.col("l_c") == F.col("r_c")) & (lb["bin"] == rb["bin"]) & near)
-    no_c1 = lb.filter("l_c is null").join(rb, (lb["bin"] == rb["bin"]) & near)
-    no_c2 = lb.filter("l_c is not null").join(rb.filter("r_c is null"), (lb["bin"] == rb["bin"]) & near)
-    letters = lambda g: F.array_join(F.array_sort(F.split(g, "")), "")  # noqa: E731  the same for exchanged letters
-    ls = l.withColumn("sig", signature(F.col("l_a1"), F.col("l_a2"))).filter("sig is not null and l_g is not null and l_c is not null")
-    rs = r.withColumn("sig", signature(F.col("r_a1"), F.col("r_a2"))).filter("sig is not null and r_g is not null and r_c is not null")
-    same = (F.col("l_c") == F.col("r_c")) & (letters(F.col("l_g")) == letters(F.col("r_g"))) & (ls["sig"] == rs["sig"])
-    fold = F.abs(F.least("l_f", 1 - F.col("l_f")) - F.least("r_f", 1 - F.col("r_f"))) <= STEPS[-1]
-    close = F.coalesce(fold, F.lit(True)) & F.coalesce(F.abs(F.abs("l_e") - F.abs("r_e")) <= STEPS[-1], F.lit(True))
-    no_p1 = ls.filter("l_p is null").join(rs, same & close)
-    no_p2 = ls.filter("l_p is not null").join(rs.filter("r_p is null"), same & close)
-    parts = [x.drop("bin", "sig") for x in (by_place, no_c1, no_c2, no_p1, no_p2)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    near = (F.abs(F.col("l_p") - F.col("r_p")) <= reach) & (lb["cls"] == first)
+    here = (lb["bin"] == rb["bin"]) & (lb["cls"] == rb["cls"])
+    by_place = lb.filter("l_c is not null").join(rb.filter("r_c is not null"), (F.col("l_c") == F.col("r_c")) & here & near)
+    no_c1 = lb.filter("l_c is null").join(rb, here & near)
+    no_c2 = lb.filter("l_c is not null").join(rb.filter("r_c is null"), here & near)
+    letters = lambda gs: F.explode(F.array_distinct(F.transform(gs, lambda g: F.array_join(F.array_sort(F.split(g, "")), ""))))  # noqa: E731  the same for exchanged letters
+    lg, rg = l.filter("l_c is not null").withColumn("g", letters("l_gs")), r.filter("r_c is not null").withColumn("g", letters("r_gs"))
+    same = (F.col("l_c") == F.col("r_c")) & (lg["g"] == rg["g"]) & (lg["cls"] == rg["cls"]) & (lg["cls"] == first)
+    no_p = lg.filter("l_p is null").join(rg, same).drop("cls", "g").unionByName(lg.filter("l_p is not null").join(rg.filter("r_p is null"), same).drop("cls", "g"))
+    return reduce(DataFrame.unionByName, [x.drop("bin", "cls") for x in (by_place, no_c1, no_c2)] + [no_p.dropDuplicates(["l_k", "r_k"])]).drop("l_cls", "r_cls")
 
 
 def votes(pairs: DataFrame) -> DataFrame:
@@ -166,8 +179,9 @@ def votes(pairs: DataFrame) -> DataFrame:
         F.when(d.isNull(), "na").when(indel, F.when(d == 0, "indel_same").when(F.abs(d) <= 2, "indel_near").otherwise("indel_far"))
         .when(d == 0, "same").when(d == -1, "minus1").when(d == 1, "plus1").when(F.abs(d) == 2, "off2").otherwise("far")
     )
-    lg, rg = F.col("l_g"), F.col("r_g")
-    gene = F.when(lg.isNull() | rg.isNull(), "na").when(lg == rg, "equal").when(F.levenshtein(lg, rg) <= 2, "near").otherwise("other")
+    lg, rg = F.col("l_gs"), F.col("r_gs")
+    close = F.exists(lg, lambda x: F.exists(rg, lambda y: F.levenshtein(x, y) <= 2))
+    gene = F.when((F.size(lg) == 0) | (F.size(rg) == 0), "na").when(F.arrays_overlap(lg, rg), "equal").when(close, "near").otherwise("other")
     return p.select(
         "l_k", "r_k", pos.alias("v_pos"), F.col("_a.level").alias("v_alleles"), step(df_).alias("v_freq"), step(de).alias("v_effect"), gene.alias("v_gene"),
         F.when(F.col("l_c").isNull() | F.col("r_c").isNull(), "na").otherwise("equal").alias("v_chr"),
@@ -224,7 +238,8 @@ def correlated(patterns: np.ndarray, counts: np.ndarray, post: np.ndarray, sizes
 
 
 def label_model(seen: list[tuple], least: float = 0.02, most: int = 2) -> list[tuple]:
-    """(levels..., posterior) for each distinct vote pattern in seen = [(levels..., count)]."""
+    """(levels..., posterior) for each distinct vote pattern in seen = [(levels..., count)]. At most ``most`` functions are modelled
+    jointly: the table of three has hundreds of cells, of which rare ones take any posterior."""
     names = list(LEVELS)
     sizes = [len(LEVELS[n]) for n in names]
     at = [{v: i for i, v in enumerate(LEVELS[n])} for n in names]
@@ -240,15 +255,35 @@ def label_model(seen: list[tuple], least: float = 0.02, most: int = 2) -> list[t
     return [(*row[:-1], float(p)) for row, p in zip(seen, post)]
 
 
-def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.5) -> DataFrame:
-    """(left_key, right_key, confidence) of the pairs whose confidence reaches ``least``."""
+def _linked(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(pairs of classes (l_k, r_k, confidence), the distinct records of both sides, the copies of both sides)."""
     spark = left.sparkSession
-    (l, l_ids), (r, r_ids) = representatives(prepared(left, left_key)), representatives(prepared(right, right_key))
+    (l, l_copies), (r, r_copies) = representatives(prepared(left, left_key)), representatives(prepared(right, right_key))
     v = cut(votes(candidates(l, r)))
     names = list(LEVELS)
     seen = [tuple(x) for x in v.groupBy(*names).count().collect()]  # at most the product of the levels
     schema = ", ".join(f"{n} string" for n in names) + ", confidence double"
     model = spark.createDataFrame(label_model(seen) if seen else [], schema).filter(F.col("confidence") >= least)
-    found = v.join(F.broadcast(model), names).select("l_k", "r_k", "confidence")
-    out = found.join(l_ids.select(F.col("k").alias("l_k"), F.col("id").alias(left_key)), "l_k")
-    return out.join(r_ids.select(F.col("k").alias("r_k"), F.col("id").alias(right_key)), "r_k").select(left_key, right_key, "confidence")
+    return v.join(F.broadcast(model), names).select("l_k", "r_k", "confidence"), l, r, l_copies, r_copies
+
+
+def matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.5) -> DataFrame:
+    """(left_key, right_key, confidence) of the pairs of rows whose confidence reaches ``least``."""
+    found, _, _, l_copies, r_copies = _linked(left, right, left_key, right_key, least)
+    out = found.join(l_copies.select(F.col("k").alias("l_k"), F.col("id").alias("l_id")), "l_k", "left")
+    out = out.join(r_copies.select(F.col("k").alias("r_k"), F.col("id").alias("r_id")), "r_k", "left")
+    return out.select(F.coalesce("l_id", "l_k").alias(left_key), F.coalesce("r_id", "r_k").alias(right_key), "confidence")
+
+
+def class_matches(left: DataFrame, right: DataFrame, left_key: str, right_key: str, least: float = 0.5) -> DataFrame:
+    """(left_key, right_key, n_left, n_right, confidence): pairs of classes of exact copies, each named by its smallest id
+    and with its size."""
+    found, l, r, _, _ = _linked(left, right, left_key, right_key, least)
+    out = found.join(l.select(F.col("k").alias("l_k"), F.col("n").alias("n_left")), "l_k").join(r.select(F.col("k").alias("r_k"), F.col("n").alias("n_right")), "r_k")
+    return out.select(F.col("l_k").alias(left_key), F.col("r_k").alias(right_key), "n_left", "n_right", "confidence")
+
+
+def members(df: DataFrame, key: str) -> DataFrame:
+    """(class_id, id) of every row: the class of exact copies that it belongs to, named by its smallest id."""
+    one, copies = representatives(prepared(df, key))
+    return one.filter("n = 1").select(F.col("k").alias("class_id"), F.col("k").alias("id")).unionByName(copies.select(F.col("k").alias("class_id"), "id"))

@@ -4,13 +4,18 @@ Method: iterative proportional fitting. Token totals by cell of source, language
 all three; every cell's weight is the number of copies that its tokens get on average, at most the ``max_repeats`` of the
 source. The texts of a cell are then sampled with that probability by a hash of the text: each gets the whole copies of
 the weight, and one more if its hash lies below a threshold. The threshold is calibrated on a histogram of hashes, so
-that the cell reaches its tokens nearly exactly instead of only on average.
+that the cell reaches its tokens nearly exactly instead of only on average. The driver sees one row per cell; histograms and
+thresholds stay on the executors.
 
-Topics: the words that are typical of each source are found from counts of words by source; a text's topic is the source
-whose words it holds most of. Texts that say nothing typical have the topic ``none``. Targets of languages and topics may
-be given as shares. Where they are not, languages keep their shares of all texts with a source target (so favouring a
-source does not shift the languages), and topics get the shares that the source targets alone imply, made a little more
-even (to the power ``TEMPER``). An empty dictionary leaves a marginal free.
+Topics are found in the texts alone, whatever their source. Each text is read once: its tokens are counted and its words kept
+as numbers. From the counts of all texts the ``VOCABULARY`` words are taken that tell most (frequent, yet in at most a fifth
+of the texts); how often two of them share a text, against chance, says how alike they are; words that are alike form
+``TOPICS`` groups (spherical k-means from spread-out beginnings, without chance). A text's topic is the group that its words
+speak for most; texts without any of the words have the topic ``none``.
+
+Targets of languages and topics may be given as shares. Where they are not, languages keep their shares of all texts with a
+source target (so favouring a source does not shift the languages), and topics get the shares that the source targets alone
+imply, made a little more even (to the power ``TEMPER``). An empty dictionary leaves a marginal free.
 
 The size of the mixture is the largest at which every source reaches its share within its repeats, or ``total_tokens`` if
 that is smaller. Sources without any text cannot take part; the shares of the others are kept in proportion.
@@ -26,7 +31,8 @@ give empty results.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +40,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scale import at_most, cut, ship, trimmed
+from ..scale import cut, ship, small, trimmed
 from .reading import _WORD
-from .tokens import TOKENIZER, encoding
+from .tokens import TOKENIZER, encoding, ship_vocabulary
 
-#: Steps of the histogram of hashes; rows per cell that the driver sees at most.
+#: Steps of the histogram of hashes.
 BUCKETS = 1024
 TEMPER = 0.9
+VOCABULARY, TOPICS = 512, 12
 
 
 def source_of(c: Column) -> Column:
@@ -53,64 +60,120 @@ def language_of(c: Column) -> Column:
     return F.when(low == "", "und").otherwise(low)
 
 
-# ---- topics
+# ---- tokens and topics
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """(source, word, n): in how many texts of the source a word occurs; counted in each batch already."""
+def measured(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+    """documents with ``n_tokens`` and ``words`` (its distinct words of 4 to 24 letters, as sorted 32-bit hashes) in place of
+    the text, in one pass over the texts."""
+    kinds = [(c, t) for c, t in documents.dtypes if c != "text"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoding(path)
+        known: dict[str, int] = {}
         for pdf in batches:
-            counts: dict[str, Counter] = defaultdict(Counter)
-            for source, text in zip(pdf["src"], pdf["text"]):
-                counts[source].update({w for w in _WORD.findall(text.lower()) if 3 <= len(w) <= 24 and w.isalpha()})
-            rows = [(s, w, n) for s, c in counts.items() for w, n in c.items()]
-            yield pd.DataFrame(rows, columns=["src", "word", "n"])
+            words, n = [], []
+            if len(known) > 500_000:
+                known.clear()
+            for text in pdf["text"]:
+                mine = set()
+                for w in set(_WORD.findall(text.lower())):
+                    if 4 <= len(w) <= 24:
+                        if w not in known:
+                            known[w] = zlib.crc32(w.encode()) - 2**31 if w.isalpha() else 2**31
+                        mine.add(known[w])
+                mine.discard(2**31)
+                words.append(np.array(sorted(mine), dtype=np.int32))
+                n.append(len(enc.encode_ordinary(text)))
+            yield pdf.drop(columns=["text"]).assign(n_tokens=n, words=words)
 
     ship(documents.sparkSession)
-    raw = documents.select("src", "text").mapInPandas(run, "src string, word string, n long")
-    return raw.groupBy("src", "word").agg(F.sum("n").alias("n"))
+    ship_vocabulary(documents.sparkSession, path)
+    return documents.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", n_tokens int, words array<int>")
+
+
+def telling_words(rows: DataFrame, size: int = VOCABULARY, most: float = 0.2) -> np.ndarray:
+    """The up to ``size`` words (hashes, sorted) with the largest n ln(N / n) among those in at most that share of the N
+    texts and in at least two; ties by hash."""
+    total = rows.count()
+    counts = rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= most * total))
+    top = counts.orderBy(F.desc(F.col("n") * F.ln(F.lit(float(max(total, 1))) / F.col("n"))), "w").limit(size).collect()
+    return np.array(sorted(r["w"] for r in top), dtype=np.int32)
+
+
+def _held(words: list, vocabulary: np.ndarray) -> np.ndarray:
+    """Which of the vocabulary each text holds, as a matrix of 0 and 1."""
+    out = np.zeros((len(words), len(vocabulary)), dtype=np.float32)
+    lengths = [len(w) for w in words]
+    if len(vocabulary) and sum(lengths):
+        flat = np.concatenate([np.asarray(w, dtype=np.int32) for w in words])
+        at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+        hit = vocabulary[at] == flat
+        out[np.repeat(np.arange(len(words)), lengths)[hit], at[hit]] = 1
+    return out
 
 
-def typical_words(documents: DataFrame, per_source: int = 200, least: float = 1.0) -> dict[str, tuple[str, float]]:
-    """word -> (source, weight): the up to per_source words of each source with the highest ratio of their share of the
-    source's texts to their share of all other texts (smoothed; logarithm at least ``least``)."""
-    counts = cut(word_counts(documents))
-    texts = {r["src"]: r["n"] for r in documents.groupBy("src").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per source with a target
-    total = sum(texts.values())
-    if not texts:
-        return {}
-    of = F.create_map(*[F.lit(x) for s, n in texts.items() for x in (s, float(n))])
-    everywhere = counts.groupBy("word").agg(F.sum("n").alias("all"))
-    here = (F.col("n") + 0.5) / (of[F.col("src")] + 1)
-    there = (F.col("all") - F.col("n") + 0.5) / (F.lit(float(total)) - of[F.col("src")] + 1)
-    scored = counts.join(everywhere, "word").filter("n >= 5").withColumn("w", F.ln(here / there)).filter(F.col("w") >= least)
-    best = scored.groupBy("word").agg(F.max(F.struct("w", "src", "n")).alias("b")).select("word", "b.*")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc(F.col("w") * F.sqrt("n")), "word"))  # limited in each task before the shuffle
-    top = best.withColumn("r", rank).filter(F.col("r") <= per_source).select("word", "src", "w")
-    return {r["word"]: (r["src"], r["w"]) for r in top.collect()}
-
-
-def measured(documents: DataFrame, words: dict[str, tuple[str, float]], path: str = TOKENIZER) -> DataFrame:
-    """documents with ``topic`` and ``n_tokens`` in place of the text, in one pass over the texts."""
-    kinds = [(c, t) for c, t in documents.dtypes if c != "text"]
+def shared_texts(rows: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How many texts hold both of two words: summed in each task, so at most size x size numbers leave it."""
+    k = len(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        total = np.zeros((k, k), dtype=np.float64)
         for pdf in batches:
-            out, n = [], []
-            for text in pdf["text"]:
-                score: dict[str, float] = defaultdict(float)
-                for w in _WORD.findall(text.lower()):
-                    if w in words:
-                        s, v = words[w]
-                        score[s] += v
-                out.append(max(sorted(score), key=score.get) if score else "none")
-                n.append(len(enc.encode_ordinary(text)))
-            yield pdf.drop(columns=["text"]).assign(topic=out, n_tokens=n)
+            b = _held(list(pdf["words"]), vocabulary)
+            total += b.T @ b
+        i, j = np.nonzero(np.triu(total))
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "n": total[i, j].astype("int64")})
+
+    got = rows.select("words").mapInPandas(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()  # at most size^2 / 2 rows
+    out = np.zeros((k, k))
+    for r in got:
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["n"]
+    return out
 
-    ship(documents.sparkSession)
-    return documents.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", topic string, n_tokens int")
+
+def word_groups(shared: np.ndarray, texts: int, topics: int = TOPICS, rounds: int = 50) -> np.ndarray:
+    """The group of each word: k-means over directions of positive pointwise mutual information, from the most frequent word
+    and then the words that are least like those taken."""
+    n = np.diag(shared).copy()
+    if not len(n):
+        return np.zeros(0, dtype=int)
+    with np.errstate(all="ignore"):
+        x = np.nan_to_num(np.maximum(0, np.log(shared * texts / np.outer(n, n))), posinf=0)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    picked = [int(n.argmax())]
+    while len(picked) < min(topics, len(n)):
+        near = (x @ x[picked].T).max(1) - 1e-9 * n / n.max()
+        near[picked] = np.inf
+        picked.append(int(near.argmin()))
+    centres, group = x[picked], np.full(len(n), -1)
+    for _ in range(rounds):
+        new = (x @ centres.T).argmax(1)
+        if (new == group).all():
+            break
+        group = new
+        for g in range(len(centres)):
+            if (group == g).any():
+                c = x[group == g].sum(0)
+                centres[g] = c / max(np.linalg.norm(c), 1e-12)
+    return group
+
+
+def with_topics(rows: DataFrame, vocabulary: np.ndarray, group: np.ndarray, n: np.ndarray, texts: int) -> DataFrame:
+    """rows with ``topic`` in place of ``words``: the group with the largest sum of ln(texts / n) over the words of a text."""
+    kinds = [(c, t) for c, t in rows.dtypes if c != "words"]
+    weight = np.zeros((len(vocabulary), max(group, default=0) + 1), dtype=np.float32)
+    if len(vocabulary):
+        weight[np.arange(len(vocabulary)), group] = np.log(texts / n)
+    names = np.array([f"t{g:02d}" for g in range(weight.shape[1])], dtype=object)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            score = _held(list(pdf["words"]), vocabulary) @ weight
+            topic = np.where(score.max(1) > 0, names[score.argmax(1)], "none") if len(vocabulary) else "none"
+            yield pdf.drop(columns=["words"]).assign(topic=topic)
+
+    return rows.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", topic string")
 
 
 # ---- raking
@@ -171,8 +234,11 @@ def weights(cells: dict[tuple, float], source_targets: dict[str, float], repeats
     size = min(have[s] * repeats[s] / want[s] for s in want)
     size = min(size, total_tokens) if total_tokens else size
     out = {}
+    of: dict[str, list[tuple]] = defaultdict(list)
+    for k in cells:
+        of[k[0]].append(k)
     for s in want:  # cells beyond their repeats pass the rest on to the other cells of their source
-        mine = [k for k in cells if k[0] == s]
+        mine = of[s]
         left, open_ = size * want[s], set(mine)
         base = {k: max(shares[k], 1e-15) for k in mine}
         while open_:
@@ -197,35 +263,31 @@ def weights(cells: dict[tuple, float], source_targets: dict[str, float], repeats
 def texts(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, src, lang, topic, n_tokens, h) of each distinct text of a source with target; h is a hash in [0, 1)."""
     t = targets.select(source_of(F.col("source")).alias("src")).filter("src is not null").distinct()
-    if not at_most(t, 10_000):
-        raise ValueError("more than 10000 sources")
     d = documents.filter("text is not null and text <> '' and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), source_of(F.col("source")).alias("src"), language_of(F.col("lang")).alias("lang"), "text")
-    d = d.join(F.broadcast(t), "src", "left_semi")
-    words = typical_words(d)
-    lean = measured(d.withColumn("hash", F.md5("text")), words, path)
+    d = d.join(small(t, 10_000), "src", "left_semi")
+    rows = cut(measured(d.withColumn("hash", F.md5("text")).select("doc_id", "src", "lang", "hash", "text"), path))
+    total, vocabulary = rows.count(), telling_words(rows)
+    shared = shared_texts(rows, vocabulary)
+    lean = with_topics(rows, vocabulary, word_groups(shared, total), np.diag(shared), total)
     kind = lean.groupBy("hash", "src", "lang", "topic").agg(F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
     one = kind.groupBy("hash").agg(F.max(F.struct("k", "src", "lang", "topic")).alias("m"), F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
     h = F.pmod(F.xxhash64("hash"), F.lit(2**40)) / F.lit(float(2**40))
     return one.filter("n_tokens > 0").select("doc_id", "m.src", "m.lang", "m.topic", "n_tokens", h.alias("h"))
 
 
-def thresholds(histogram: list[tuple], copies: dict[tuple, float], repeats: dict[str, int]) -> list[tuple]:
-    """(source, language, topic, whole copies, threshold) from (source, language, topic, bucket, tokens) rows. What a
-    cell has too much or too little is passed on to the next cell of its source."""
-    by: dict[tuple, np.ndarray] = {}
-    for s, l, t, b, n in histogram:
-        by.setdefault((s, l, t), np.zeros(BUCKETS))[b] += n
-    out = []
-    carry: dict[str, float] = defaultdict(float)
-    for key in sorted(copies, key=lambda k: (k[0], -by[k].sum(), k)):  # large cells first: small ones even out what they miss
-        w = copies[key]
-        whole = math.floor(w + 1e-9)
-        sums = np.concatenate([[0.0], np.cumsum(by[key])])
-        want = max(0.0, w - whole) * sums[-1] + carry[key[0]]
-        edge = int(np.abs(sums - want).argmin()) if whole < repeats[key[0]] else 0
-        carry[key[0]] = want - sums[edge]
-        out.append((*key, whole, edge / BUCKETS))
-    return out
+_CELL = ["src", "lang", "topic"]
+
+
+def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """plan (src, lang, topic, whole, extra) with ``below``: the hash under which the texts of a cell hold the share ``extra`` of
+    its tokens, found on the histogram of the cell and evenly within the step of it that the share falls into."""
+    hist = docs.groupBy(*_CELL, F.floor(F.col("h") * BUCKETS).cast("int").alias("b")).agg(F.sum("n_tokens").alias("n"))
+    w = Window.partitionBy(*_CELL).orderBy("b")  # at most BUCKETS rows
+    upto = hist.select(*_CELL, "b", "n", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy(*_CELL)).alias("total"))
+    met = upto.join(plan.filter("extra > 0"), _CELL).withColumn("want", F.col("extra") * F.col("total"))
+    edge = (F.col("b") + F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("want") - F.col("upto") + F.col("n")) / F.col("n")))) / BUCKETS
+    at = met.filter(F.col("upto") >= F.col("want") * (1 - 1e-12)).groupBy(*_CELL).agg(F.min(edge).alias("below"))
+    return plan.join(at, _CELL, "left").select(*_CELL, "whole", F.when(F.col("extra") > 0, F.coalesce("below", F.lit(1.0))).otherwise(0.0).alias("below"))
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, language_targets: dict | None = None, topic_targets: dict | None = None, path: str = TOKENIZER) -> DataFrame:
@@ -240,16 +302,13 @@ def _mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None,
     rows = targets.select(source_of(F.col("source")).alias("src"), F.col("target_share").cast("double").alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("r")).filter("src is not null").collect()
     share, repeats = {r["src"]: r["share"] or 0.0 for r in rows}, {r["src"]: max(0, r["r"]) for r in rows}
     share = {s: v for s, v in share.items() if repeats[s] > 0}
-    # cells: sources with target x languages x topics; histograms: at most BUCKETS rows each
-    hist = docs.groupBy("src", "lang", "topic", F.floor(F.col("h") * BUCKETS).cast("int").alias("b")).agg(F.sum("n_tokens").alias("n"))
-    got = [tuple(r) for r in hist.collect()]
-    cells: dict[tuple, float] = defaultdict(float)
-    for s, l, t, _, n in got:
-        cells[(s, l, t)] += n
-    copies = weights(dict(cells), share, repeats, language_targets, topic_targets, total_tokens)
-    plan = spark.createDataFrame(thresholds(got, copies, repeats), "src string, lang string, topic string, whole int, below double")
+    # one row per cell: sources with target x languages x topics
+    cells = {tuple(r[c] for c in _CELL): float(r["n"]) for r in docs.groupBy(*_CELL).agg(F.sum("n_tokens").alias("n")).collect()}
+    copies = {k: float(w) for k, w in weights(cells, share, repeats, language_targets, topic_targets, total_tokens).items()}
+    made = [(*k, math.floor(w + 1e-9), max(0.0, w - math.floor(w + 1e-9)) if math.floor(w + 1e-9) < repeats[k[0]] else 0.0) for k, w in sorted(copies.items())]
+    plan = thresholds(docs, spark.createDataFrame(made, "src string, lang string, topic string, whole int, extra double"))
     n = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    out = docs.join(F.broadcast(plan), ["src", "lang", "topic"]).withColumn("copies", n.cast("int")).filter("copies > 0")
+    out = docs.join(small(cut(plan), 100_000), _CELL).withColumn("copies", n.cast("int")).filter("copies > 0")
     there = {c[0] for c, v in cells.items() if v > 0}
     want = {s: v for s, v in share.items() if s in there and v > 0}
     want = {s: v / sum(want.values()) for s, v in want.items()}

@@ -6,7 +6,8 @@ equals to the fullest. A text is split only if it exceeds the capacity: into ful
 
 Texts are dealt to shards by a hash, each with about ``shard_tokens`` tokens and at most about ``shard_items`` texts, and
 every shard is packed on its own, so no task grows with the data. What remains in containers filled to less than ``full``
-is packed once more in shards ``regroup`` times larger in texts, again and again until one shard is left or nothing is gained.
+is packed once more, in shards of the same size that hold texts of many former ones, again and again until one shard is
+left or less than a twentieth of the texts find a better place.
 
 Defined results: null and empty texts have no tokens and take no place; rows without doc_id are no documents. Repeated texts are each placed. A capacity that
 is null or not positive is no limit. Empty tables give empty results.
@@ -14,7 +15,9 @@ is null or not positive is no limit. Empty tables give empty results.
 
 from __future__ import annotations
 
+import json
 import math
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -54,12 +57,9 @@ def pack(items: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 def _pieces(df: DataFrame, limits: DataFrame) -> DataFrame:
     """(limit_name, capacity, doc_id, part_no, n_tokens): a text that exceeds the capacity in full parts and a rest."""
-    lim = limits.filter("capacity_tokens > 0").select("limit_name", F.col("capacity_tokens").cast("int").alias("capacity"))
-    caps = [(r["limit_name"], r["capacity"]) for r in lim.limit(1001).collect()]  # a handful of limits, as a parameter table
-    if len(caps) > 1000:
-        raise ValueError("more than 1000 limits")
-    each = F.array(*[F.struct(F.lit(n).alias("limit_name"), F.lit(c).alias("capacity")) for n, c in caps])
-    each = each if caps else F.array().cast("array<struct<limit_name:string,capacity:int>>")
+    lim = limits.filter("capacity_tokens > 0 and limit_name is not null").select("limit_name", F.col("capacity_tokens").cast("int").alias("capacity"))
+    caps = json.dumps([r.asDict() for r in lim.collect()])  # a parameter table; every text gets a place for each of its rows
+    each = F.from_json(F.lit(caps), "array<struct<limit_name:string,capacity:int>>")
     x = df.filter("n_tokens > 0").select("doc_id", "n_tokens", F.explode(each).alias("l")).select("doc_id", "n_tokens", "l.*")
     parts = F.ceil(F.col("n_tokens") / F.col("capacity")).cast("int")
     x = x.select("limit_name", "capacity", "doc_id", "n_tokens", F.posexplode(F.sequence(F.lit(1), parts)).alias("i", "part_no"))
@@ -87,24 +87,25 @@ def _packed(items: DataFrame, shards: int, level: int) -> DataFrame:
 
 
 def fill_containers(
-    documents: DataFrame, limits: DataFrame, path: str = TOKENIZER, shard_tokens: int = 8_000_000, shard_items: int = 50_000, full: float = 0.99, regroup: int = 16, rounds: int = 4
+    documents: DataFrame, limits: DataFrame, path: str = TOKENIZER, shard_tokens: int = 8_000_000, shard_items: int = 50_000, full: float = 0.99
 ) -> DataFrame:
     """(limit_name, container_id, doc_id, part_no, n_tokens, capacity, fill): every part of every text in its container."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     items = cut(_pieces(sizes(docs, "doc_id", "text", path=path), limits))
     whole = items.filter("n_tokens = capacity").select("*", F.format_string("%s-whole-%d-%d", "limit_name", "doc_id", "part_no").alias("container_id"), F.col("capacity").alias("fill"))
     done, rest = [whole], items.filter("n_tokens < capacity")
-    for level in range(rounds):
+    before = math.inf
+    for level in count():
         by = rest.groupBy("limit_name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
-        most = by.agg(F.max("n").alias("n"), F.max("t").alias("t")).first()
+        most = by.agg(F.max("n").alias("n"), F.max("t").alias("t"), F.sum("n").alias("all")).first()
         if not most["n"]:
             break
-        # later rounds hold few texts of each shard, so more shards meet in one: its texts stay within shard_items
-        shards = max(1, math.ceil(most["n"] / shard_items), math.ceil(most["t"] / shard_tokens) if level == 0 else 1)
+        shards = max(1, math.ceil(most["n"] / shard_items), math.ceil(most["t"] / shard_tokens))
         out = cut(_packed(rest, shards, level))
-        if shards == 1 or level == rounds - 1:
+        if shards == 1 or most["all"] > 0.95 * before:
             done.append(out)
             break
+        before = most["all"]
         poor = F.col("fill") < F.col("capacity") * full
         done.append(out.filter(~poor))
         rest = out.filter(poor).drop("container_id", "fill")

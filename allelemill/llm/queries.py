@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import table
 from . import linkage as L
@@ -12,11 +13,18 @@ from . import reading as R
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_matches(spark, d).select("meta_id", "bio_id")
+    return L.matches(table(spark, d, "meta_stats"), table(spark, d, "biobank_stats"), "meta_id", "bio_id").select("meta_id", "bio_id")
 
 
 def p6_matches(spark: SparkSession, d: str) -> DataFrame:
-    return L.matches(table(spark, d, "meta_stats"), table(spark, d, "biobank_stats"), "meta_id", "bio_id")
+    """Pairs of classes of exact copies, each with a confidence."""
+    return L.class_matches(table(spark, d, "meta_stats"), table(spark, d, "biobank_stats"), "meta_id", "bio_id")
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the classes that p6_matches names."""
+    m = L.members(table(spark, d, "meta_stats"), "meta_id").withColumn("tbl", F.lit("meta_stats"))
+    return m.unionByName(L.members(table(spark, d, "biobank_stats"), "bio_id").withColumn("tbl", F.lit("biobank_stats")))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -47,5 +55,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return R.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_samples"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p7_containers, p7_report, p8_selection, p8_shares, p8_marginals, p9_found, p9_levels)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p6_members, p7_containers, p7_report, p8_selection, p8_shares, p8_marginals, p9_found, p9_levels)}
 SQL: dict[str, str] = {}

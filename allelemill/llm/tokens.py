@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import ship
@@ -22,12 +24,24 @@ def encoding(path: str = TOKENIZER):
     if path not in _loaded:
         import tiktoken
 
-        with open(path, "rb") as f:
+        here = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+        with open(here, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _loaded[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _loaded[path]
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def ship_vocabulary(spark: SparkSession, path: str = TOKENIZER) -> None:
+    """Lets the driver serve the vocabulary file to executors that do not have it, once per application."""
+    mine = (spark.sparkContext.applicationId, path)
+    if mine not in _sent and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        _sent.add(mine)
+
+
 def sizes(df: DataFrame, key: str, text: str, keep: list[str] | None = None, path: str = TOKENIZER) -> DataFrame:
     """(key, keep..., n_tokens) of each row; a null or empty text has none. The texts themselves go no further."""
     kinds = dict(df.dtypes)
@@ -40,4 +54,5 @@ def sizes(df: DataFrame, key: str, text: str, keep: list[str] | None = None, pat
             yield pdf.drop(columns=[text]).assign(n_tokens=n)
 
     ship(df.sparkSession)
+    ship_vocabulary(df.sparkSession, path)
     return df.select(key, *(keep or []), F.col(text)).mapInPandas(run, schema)

@@ -81,7 +81,22 @@ def test_label_model_separates_and_joins_correlated_votes():
     assert L.correlated(np.array([[0, 0], [0, 1], [1, 0], [1, 1]]), np.ones(4), np.full(4, 0.5), [2, 2], [(0,), (1,)], 0.1, 2) is None
 
 
-@pytest.mark.parametrize(("a", "b", "want"), [(("A", "G"), ("C", "T"), "A/G"), (("A", "T"), ("A", "T"), "A/T"), (("AC", "A"), ("GT", "T"), "A/AC")])
-def test_signature(spark, a, b, want):
-    df = spark.createDataFrame([a, b], "x string, y string")
-    assert {r[0] for r in df.select(L.signature(df["x"], df["y"])).collect()} == {want}
+@pytest.mark.parametrize(
+    ("a", "want"),
+    [(("A", "G"), ["A/G"]), (("C", "T"), ["A/G"]), (("T", "A"), ["A/T"]), (("AC", "A"), ["long"]), (("I", "D"), ["long"]), (("C", None), ["A/C", "A/G", "C/G", "long"]), ((None, "ACC"), ["long"]), ((None, None), list(L.CLASSES))],
+)
+def test_allele_classes(spark, a, want):
+    df = spark.createDataFrame([a], "x string, y string")
+    assert df.select(L.allele_classes(df["x"], df["y"])).first()[0] == want
+
+
+def test_genes_of_a_list_and_classes_of_copies(spark):
+    meta = [(i, "x", "1", None, "A", "G", 0.3, 0.1, 0.02, "GEN1", "q") for i in (1, 2)] + [(3, "x", "1", 500, "A", "G", 0.3, 0.1, 0.02, "OTHER", "q")]
+    bio = [(9, "y", "chr1", 100, "a", "g", 0.3, 0.1, 0.02, "gen7/gen1", "q"), (10, "y", "1", 400, "A", "G", 0.3, 0.1, 0.02, "GEN1 (near)", "q"), (11, "y", "1", 100, "A", "C", 0.3, 0.1, 0.02, "GEN1", "q")]
+    m, b = spark.createDataFrame(meta, M), spark.createDataFrame(bio, B)
+    (l, copies), (r, _) = L.representatives(L.prepared(m, "meta_id")), L.representatives(L.prepared(b, "bio_id"))
+    assert {(x["k"], x["n"]) for x in l.collect()} == {(1, 2), (3, 1)} and {tuple(x) for x in copies.collect()} == {(1, 1), (1, 2)}
+    pairs = L.votes(L.candidates(l, r)).collect()
+    assert {(x["l_k"], x["r_k"], x["v_gene"]) for x in pairs} == {(1, 9, "equal"), (1, 10, "equal")}
+    assert {tuple(x) for x in L.members(m, "meta_id").collect()} == {(1, 1), (1, 2), (3, 3)}
+    assert {c for c in L.class_matches(m, b, "meta_id", "bio_id").columns} == {"meta_id", "bio_id", "n_left", "n_right", "confidence"}

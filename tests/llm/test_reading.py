@@ -24,15 +24,42 @@ def test_own_words(text, want):
 def test_long_texts_end():
     for t in ("[quote]" * 5000, "<" * 50_000, "> a\n" * 50_000, "[" * 50_000, "_" * 100_000 + "\n", "-- \n" * 20_000, "a" * 500_000):
         assert isinstance(R.own_words(t), str)
-    assert np.isfinite(R.features("a" * 100_000)).all() and np.isfinite(R.features("")).all()
+    lexicon = R.Lexicon([], [])
+    assert np.isfinite(R.features(["a" * 100_000, "", "!", "one two."], lexicon)[0]).all() and R.features([], lexicon)[0].shape[0] == 0
+
+
+def english(*texts):
+    return list(R.is_english(R.features(list(texts), R.Lexicon([], []))[1]))
 
 
 def test_language():
-    words = lambda t: t.lower().split()
-    assert R.is_english(words("the dog and the cat were in a box with my hat"))
-    assert not R.is_english(words("el perro y la casa de mi vecino en la calle"))
-    assert not R.is_english(words("der hund und die katze mit einem haus für mich")) and not R.is_english([])
-    assert not R.is_english(words("mon voisin a perdu le jardin dans la rue avec une bouteille"))
+    assert english("the dog and the cat were in a box with my hat", "a man was in the park and he had an apple for us") == [True, True]
+    others = ["el perro y la casa de mi vecino en la calle", "der hund und die katze mit einem haus für mich", "", "mon voisin a perdu le jardin dans la rue avec une bouteille"]
+    others += ["il cane e la casa di mio fratello non sono nella strada perché piove", "o cachorro e a casa do meu vizinho não estão na rua mas no jardim", "de hond en het huis van mijn buurman zijn niet op de straat", "hunden och katten är inte på gatan men i ett hus", "pies i kot nie są na ulicy ale w domu"]
+    assert english(*others) == [False] * len(others)
+
+
+def test_features_of_a_batch_are_those_of_each_text():
+    lexicon = R.Lexicon([R.sentences_of(t) for t in EASY + HARD], [1, 1, 5, 5])
+    texts = [*EASY, "", "One? Two, three!", *HARD, "no end"]
+    whole = R.features(texts, lexicon)
+    for i, t in enumerate(texts):
+        assert np.allclose(whole[0][i], R.features([t], lexicon)[0][0]) and np.allclose(whole[1][i], R.features([t], lexicon)[1][0])
+    med = R.features(["a b c. d e. f g h i j."], lexicon)[0][0]
+    assert med[1] == pytest.approx(np.log1p(3)) and med[0] == pytest.approx(np.log1p(10 / 3)) and med[2] == pytest.approx(np.std([3, 2, 5]) / 10)
+
+
+def test_blocks_give_the_pairwise_ranker():
+    r = np.random.default_rng(0)
+    x, g = r.normal(size=(60, 4)), r.integers(1, 6, 60).astype(float)
+    i, j = np.where(g[:, None] > g[None, :])
+    d, v = x[i] - x[j], g[i] - g[j]
+    v = v * len(x) / v.sum()
+    w = R.train_ranker(x, g, 3.0, block=7)
+    p = 1 / (1 + np.exp(-(d @ w)))
+    assert np.abs(d.T @ (v * (p - 1)) + 3.0 * w / 4).max() < 1e-6  # the gradient of all pairs vanishes
+    big = r.normal(size=(5000, 20))
+    assert np.isfinite(R.train_ranker(big, r.integers(1, 6, 5000).astype(float), rounds=2)).all()
 
 
 def test_isotonic():
