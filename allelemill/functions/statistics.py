@@ -72,6 +72,23 @@ def _fl(c: list[float]) -> list[float]:
 LOGISTIC = math.sqrt(3) / math.pi
 
 
+def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: explode over one element keeps the optimiser from copying it into each of its uses."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def with_quantile(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """df with the standard normal quantile of p; the steps of ``quantile_sql``, each computed once a row."""
+    df = _bound(df, "_quantile_p", F.when((p > 0) & (p < 1), p))
+    df = _bound(df, "_quantile_q", F.col("_quantile_p") - 0.5)
+    inner = F.abs("_quantile_q") <= 0.425
+    df = _bound(df, "_quantile_r", F.when(inner, 0.180625 - F.col("_quantile_q") * F.col("_quantile_q")).otherwise(F.sqrt(-F.ln(F.least(F.col("_quantile_p"), 1 - F.col("_quantile_p"))))))
+    ratio = lambda x, up, down: F.expr(f"{_poly(x, _fl(up))} / {_poly(x, _fl(down))}")
+    sign = F.when(F.col("_quantile_q") < 0, -1.0).otherwise(1.0)
+    value = F.when(inner, F.col("_quantile_q") * ratio("_quantile_r", _A, _B)).when(F.col("_quantile_r") <= 5, sign * ratio("(_quantile_r - 1.6e0)", _C, _D)).otherwise(sign * ratio("(_quantile_r - 5e0)", _E, _F))
+    return df.withColumn(out, F.when(F.col("_quantile_p").isNotNull(), value)).drop("_quantile_p", "_quantile_q", "_quantile_r")
+
+
 def complete_missing_stats(df: DataFrame) -> DataFrame:
     """Adds effect, effect_se and pval where they can be derived from the columns that are there.
 
@@ -80,14 +97,14 @@ def complete_missing_stats(df: DataFrame) -> DataFrame:
     p-value of 0 or of 1 and more gives a null standard error.
     """
     have = set(df.columns)
-    half = F.expr(quantile_sql("pval / 2e0")) if "pval" in have else None
+    half = F.col("pval") / 2
     if "effect" not in have and {"odds_ratio", "pval"} <= have:
         df = df.withColumn("effect", F.when(F.col("odds_ratio") > 0, F.ln("odds_ratio") * F.lit(LOGISTIC)))
-        return df.withColumn("effect_se", F.try_divide(-F.col("effect"), half)) if "effect_se" not in have else df
+        return with_quantile(df, half, "_half").withColumn("effect_se", F.try_divide(-F.col("effect"), F.col("_half"))).drop("_half") if "effect_se" not in have else df
     if "effect" in have and "effect_se" not in have and "pval" in have:
-        return df.withColumn("effect_se", F.try_divide(-F.abs("effect"), half))
+        return with_quantile(df, half, "_half").withColumn("effect_se", F.try_divide(-F.abs("effect"), F.col("_half"))).drop("_half")
     if {"effect", "effect_se"} <= have and "pval" not in have:
-        df = df.withColumn("_z", F.try_divide("effect", "effect_se"))
+        df = _bound(df, "_z", F.try_divide("effect", "effect_se"))
         return df.withColumn("pval", F.expr(two_sided_p_sql("_z"))).drop("_z")
     return df
 

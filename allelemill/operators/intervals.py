@@ -8,7 +8,9 @@ steps. Null bounds are open ends, kept as sentinels meanwhile.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import LAST
@@ -16,9 +18,17 @@ from ..scale import at_most, cut, small
 
 WIDTH = 1 << 18  #: positions in a bucket
 SMALL = 500_000  #: intervals that one window per chromosome may sort
+FEW = 5_000  #: intervals that the plan itself may hold
 BIN = 1 << 20  #: positions in a bin of an overlap join
 
 
+def held(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a literal of the plan, in one partition: what follows needs neither shuffles nor Python."""
+    names = [x.split()[0] for x in schema.split(",")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'`{n}`: {x.split()[1]}' for n, x in zip(names, schema.split(',')))}>>")))
+
+
 def closed(df: DataFrame) -> DataFrame:
     """Open bounds as sentinels."""
     return df.select(F.coalesce("chr", F.lit("")).alias("chr"), F.coalesce(F.col("start").cast("long"), F.lit(0).cast("long")).alias("start"), F.coalesce(F.col("end").cast("long"), F.lit(LAST).cast("long")).alias("end"))
@@ -39,8 +49,13 @@ def _running_max(df: DataFrame, value: str, out: str, before: bool, few: bool) -
 
 
 def _by_start(df: DataFrame) -> tuple[DataFrame, bool]:
-    """One row per (chr, start) with its bucket, and whether there are few of them."""
-    one = cut(df.filter("start <= end").groupBy("chr", "start").agg(F.max("end").alias("end")).withColumn("b", F.floor(F.col("start") / WIDTH)))
+    """One row per (chr, start) with its bucket, and whether there are few of them. What is counted to at most ``FEW`` rows
+    goes on as rows held by the plan (a few hundred kB), so the algebra of small sets starts no job that it has done before."""
+    one = df.filter("start <= end").groupBy("chr", "start").agg(F.max("end").alias("end")).withColumn("b", F.floor(F.col("start") / WIDTH))
+    got = one.limit(FEW + 1).collect()
+    if len(got) <= FEW:
+        return held(df.sparkSession, [tuple(r) for r in got], one.schema.simpleString()[7:-1].replace(":", " ")), True
+    one = cut(one)
     return one, at_most(one, SMALL)
 
 
@@ -65,16 +80,22 @@ def gaps(merged: DataFrame, chromosomes: DataFrame, first: int = 1) -> DataFrame
 def overlaps(left: DataFrame, right: DataFrame, bound: int = 100_000) -> DataFrame:
     """Pairs of rows of left (chr, start, end, ...) and right (chr, start2, end2, ...) that overlap, each once.
 
-    If right has been counted to at most ``bound`` rows it is broadcast on chr with the range as residual condition.
-    Else both sides are cut into bins and joined on (chr, bin); a pair is kept in the bin of its later start only.
+    Both sides are cut into bins and joined on (chr, bin); a pair is kept in the bin of its later start only. The bins of the
+    right side are broadcast if they have been counted to at most ``bound`` rows.
     """
     hit = (F.col("start") <= F.col("end2")) & (F.col("start2") <= F.col("end"))
-    if right.limit(bound + 1).count() <= bound:
-        r = right.withColumnRenamed("chr", "_chr")
-        return left.join(F.broadcast(r), (F.col("chr") == F.col("_chr")) & hit).drop("_chr")
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN)))
-    l, r = left.withColumn("_bin", bins("start", "end")), right.withColumn("_bin", bins("start2", "end2"))
-    return l.join(r, ["chr", "_bin"]).filter(hit & (F.col("_bin") == F.floor(F.greatest("start", "start2") / BIN))).drop("_bin")
+    width = bin_size(right.select(F.col("start2").alias("start"), F.col("end2").alias("end")))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
+    span = right.agg(F.min("start2").alias("s"), F.max("end2").alias("e")).first()  # open ends of the left side reach no further than this
+    if span["s"] is None:
+        return left.join(right.limit(0), "chr")
+    l = left.filter(hit_span(span)).withColumns({"_from": F.greatest("start", F.lit(span["s"])), "_to": F.least("end", F.lit(span["e"]))}).withColumn("_bin", bins("_from", "_to")).drop("_from", "_to")
+    r = right.withColumn("_bin", bins("start2", "end2"))
+    return l.join(small(r, bound), ["chr", "_bin"]).filter(hit & (F.col("_bin") == F.floor(F.greatest("start", "start2") / width))).drop("_bin")
+
+
+def hit_span(span: dict) -> Column:
+    return (F.col("start") <= F.lit(span["e"])) & (F.col("end") >= F.lit(span["s"]))
 
 
 def reach(regions: DataFrame, chrom: str, pos: str, most: int = 200) -> Column | None:
@@ -103,3 +124,23 @@ def contained(rows: DataFrame, chrom: str, pos: str, regions: DataFrame, negate:
     if negate:
         return rows.join(small(r, bound), hit, "left_anti")
     return rows.where(reach(regions, chrom, pos)).join(small(r, bound), hit, "left_semi")
+
+
+def contained_anywhere(rows: DataFrame, pos: str, regions: DataFrame, negate: bool = False, bound: int = 500_000) -> DataFrame:
+    """As contained for regions (start, end) of any chromosome: a join on the bin of the position alone."""
+    width = bin_size(regions)
+    r = regions.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
+    hit = (F.floor(F.col(pos) / width) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
+    return rows.join(small(r, bound), hit, "left_anti" if negate else "left_semi")
+
+
+def flagged(rows: DataFrame, chrom: str, pos: str, regions: DataFrame, flag: str, bound: int = 500_000) -> DataFrame:
+    """rows with a flag: whether the position lies in one of the regions (merged, closed bounds; chr '' is any chromosome);
+    null where chromosome or position is. Merged regions do not overlap, so no row is repeated."""
+    width = bin_size(regions)
+    r = regions.select(F.col("chr").alias("_chr"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
+    at = (F.floor(F.col(pos) / width) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
+    out = rows.join(small(r.filter("_chr <> ''"), bound), (F.col(chrom) == F.col("_chr")) & at, "left").withColumn("_in1", F.col("_s").isNotNull()).drop("_chr", "_s", "_e", "_bin")
+    out = out.join(small(r.filter("_chr = ''").drop("_chr"), bound), at, "left").withColumn("_in2", F.col("_s").isNotNull()).drop("_s", "_e", "_bin")
+    known = F.col(chrom).isNotNull() & F.col(pos).isNotNull()
+    return out.withColumn(flag, F.when(known, F.col("_in1") | F.col("_in2"))).drop("_in1", "_in2")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.builds import normalise_build
 from ..functions.genome import reverse_complement
-from ..scale import small
+from ..scale import cut, small
 from . import intervals as I
 from .regions import RegionSet
 
@@ -35,37 +35,59 @@ def moved(block: Column, p: Column) -> Column:
     return F.when(block["rev"], block["end"] - block["off"] - (p - block["start"])).otherwise(p - block["off"]).cast("int")
 
 
-def lift_points(df: DataFrame, chain: DataFrame, multi: str = "first", drop_unlifted: bool = True, chrom: str = "chr", pos: str = "pos", alleles: Sequence[str] = ("ref", "alt")) -> DataFrame:
+def lift_points(
+    df: DataFrame, chain: DataFrame, multi: str = "first", drop_unlifted: bool = True, chrom: str = "chr", pos: str = "pos", alleles: Sequence[str] = ("ref", "alt"), match_no: str | None = None
+) -> DataFrame:
     """df with chrom and pos converted in place. multi: first, last or all of several matches (by start of the block).
-    Rows without match are dropped, or kept with null coordinates."""
-    if multi not in ("first", "last", "all"):
+    Rows without match are dropped, or kept with null coordinates. match_no names a further column that numbers the matches of a row from 0."""
+    if multi not in MULTI:
         raise ValueError("multi must be first, last or all")
     out = df.join(small(block_index(chain), BOUND), (F.col(chrom) == F.col("_chr")) & (F.floor(F.col(pos) / I.BIN) == F.col("_bin")), "left")
     hits = F.filter("_blocks", lambda b: (b["start"] <= F.col(pos)) & (F.col(pos) <= b["end"]))
+    number = F.lit(0)
     if multi == "all":
-        out = out.withColumn("_b", (F.explode if drop_unlifted else F.explode_outer)(hits))
+        out = out.select("*", (F.posexplode if drop_unlifted else F.posexplode_outer)(hits).alias("_k", "_b"))
+        number = F.coalesce("_k", F.lit(0))
     else:
         out = out.withColumn("_b", F.try_element_at(hits, F.lit(1 if multi == "first" else -1)))
         out = out.filter("_b is not null") if drop_unlifted else out
     b, kinds = F.col("_b"), dict(df.dtypes)
     new = {chrom: b["new_chr"], pos: moved(b, F.col(pos)).cast(kinds[pos])}
     new |= {a: F.when(b["rev"], reverse_complement(F.col(a))).otherwise(F.col(a)) for a in alleles if a in df.columns}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns], *([number.alias(match_no)] if match_no else []))
+
+
+MULTI = ("first", "last", "all")
 
 
-def lift_ranges(df: DataFrame, chain: DataFrame, chrom: str = "chr", drop_unlifted: bool = True) -> DataFrame:
-    """df with start and end converted; a range that meets several blocks comes out in several rows."""
-    if not drop_unlifted:
-        raise ValueError("ranges without match have no coordinates to keep")
+def lift_ranges(df: DataFrame, chain: DataFrame, chrom: str = "chr", drop_unlifted: bool = True, multi: str = "all", alleles: Sequence[str] = (), match_no: str | None = None) -> DataFrame:
+    """df with start and end converted to where the part of a range that meets a block comes to lie. multi as in lift_points;
+    rows without match, or without chromosome, start or end, are dropped or kept with null coordinates."""
+    if multi not in MULTI:
+        raise ValueError("multi must be first, last or all")
     rest = [c for c in df.columns if c not in (chrom, "start", "end")]
-    left = df.select(F.col(chrom).alias("chr"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), *rest)
+    whole = multi == "all" and drop_unlifted and not match_no  # then no row needs to be known again
+    rows = df if whole else cut(df.withColumn("_id", F.monotonically_increasing_id()))
+    left = rows.select(F.col(f"`{chrom}`").alias("chr"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.struct(F.lit(1).alias("_one"), *[F.col(f"`{c}`") for c in rest]).alias("_rest"), *([] if whole else ["_id"]))
     right = chain.select("chr", F.col("start").cast("long").alias("start2"), F.col("end").cast("long").alias("end2"), "new_chr", F.col("off").cast("long").alias("_off"), F.col("rev").alias("_rev"))
-    j = I.overlaps(left, right, BOUND)
+    j = I.overlaps(left.filter("start <= end"), right, BOUND)
     s, e = F.greatest("start", "start2"), F.least("end", "end2")
-    fs, fe = s - F.col("_off"), e - F.col("_off")
-    rs, re_ = F.col("end2") - F.col("_off") - (e - F.col("start2")), F.col("end2") - F.col("_off") - (s - F.col("start2"))
-    j = j.select(F.col("new_chr").alias(chrom), F.when(F.col("_rev"), rs).otherwise(fs).cast("int").alias("_s"), F.when(F.col("_rev"), re_).otherwise(fe).cast("int").alias("_e"), *rest)
-    return j.select(chrom, F.col("_s").alias("start"), F.col("_e").alias("end"), *rest).select(*df.columns)
+    there = lambda p: F.when(F.col("_rev"), F.col("end2") - F.col("_off") - (p - F.col("start2"))).otherwise(p - F.col("_off")).cast("int")
+    j = j.select("_rest", *([] if whole else ["_id"]), F.struct("start2", "end2", "_off", F.col("new_chr").alias("c"), F.least(there(s), there(e)).alias("s"), F.greatest(there(s), there(e)).alias("e"), F.col("_rev").alias("rev")).alias("_b"))
+    number = F.lit(0)
+    if not whole:
+        if multi == "all":
+            j = j.groupBy("_id").agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_list("_b")).alias("_b")).select("_id", "_rest", F.posexplode("_b").alias("_k", "_b"))  # the blocks of one range
+            number = F.coalesce("_k", F.lit(0))
+        else:
+            j = j.groupBy("_id").agg(F.first("_rest").alias("_rest"), (F.min if multi == "first" else F.max)("_b").alias("_b"))
+        if not drop_unlifted:
+            lost = left.join(j.select("_id"), "_id", "left_anti").select("_id", "_rest", F.lit(None).cast(j.schema["_b"].dataType).alias("_b"))
+            j = j.unionByName(lost, allowMissingColumns=True)
+    b = F.col("_b")
+    new = {chrom: b["c"], "start": b["s"], "end": b["e"]}
+    value = lambda c: F.when(b["rev"], reverse_complement(F.col(f"_rest.`{c}`"))).otherwise(F.col(f"_rest.`{c}`")) if c in alleles else F.col(f"_rest.`{c}`")
+    return j.select(*[new[c].alias(c) if c in new else value(c).alias(c) for c in df.columns], *([number.alias(match_no)] if match_no else []))
 
 
 def lift_regions(regions: RegionSet, chain: DataFrame, target: str | None = None) -> RegionSet:
@@ -86,37 +108,49 @@ def lift_regions(regions: RegionSet, chain: DataFrame, target: str | None = None
 
 
 def lift_table(
-    df: DataFrame, chains: dict[tuple[str, str], DataFrame], target: str, source: str, multi: str = "first", drop_unlifted: bool = True, retain_builds: bool = False, use_cache: bool = True
+    df: DataFrame, chains: dict[tuple[str, str], DataFrame], target: str, source: str, multi: str = "first", drop_unlifted: bool = True, retain_builds: bool = False, use_cache: bool = True, keep_order: bool = False
 ) -> DataFrame:
-    """A table with chr and pos (or start and end) from one build to another. Columns ``<name>_<target>`` that are there
-    hold earlier results and are used where not null; ``retain_builds`` keeps the old and the new values as such columns."""
+    """A table with chr and pos, or with start, end or both, from one build to another. A lone start or end is a point. Columns
+    ``<name>_<target>`` that are there hold earlier results and are used where not null; ``retain_builds`` keeps the old and the
+    new values as such columns. ``keep_order`` sorts the result by the order of the input and the matches of each row."""
     source, target = normalise_build(source, False), normalise_build(target, False)
     have = set(df.columns)
-    points = {"chr", "pos"} <= have
-    if not points and not {"chr", "start", "end"} <= have:
-        raise ValueError("a table to lift needs chr and pos, or chr, start and end")
-    if source == target:
-        return df
-    if (source, target) not in chains:
-        raise ValueError(f"no chain table from {source} to {target}")
-    if not points:
-        return lift_ranges(df, chains[(source, target)])
-    names = [c for c in ("chr", "pos", "ref", "alt") if c in have]
+    at = [c for c in ("start", "end") if c in have]
+    if "pos" in have and at:
+        raise ValueError("a table to lift has both pos and start or end")
+    if "chr" not in have or not ("pos" in have or at):
+        raise ValueError("a table to lift needs chr and pos, start or end")
+    at = at or ["pos"]
+    names = ["chr", *at, *[c for c in ("ref", "alt") if c in have]]
     if retain_builds:
         for c in names:
             if f"{c}_{source}" not in df.columns:
                 df = df.withColumn(f"{c}_{source}", F.col(c))
-    cached = use_cache and all(f"{c}_{target}" in have for c in ("chr", "pos"))
-    if cached:
-        known = F.col(f"chr_{target}").isNotNull() & F.col(f"pos_{target}").isNotNull()
+    if source == target:
+        return df
+    if (source, target) not in chains:
+        raise ValueError(f"no chain table from {source} to {target}")
+    order = ["_row", "_match"] if keep_order else []
+    df = cut(df.withColumn("_row", F.monotonically_increasing_id())) if keep_order else df
+
+    def lifted(x: DataFrame) -> DataFrame:
+        no = "_match" if keep_order else None
+        if len(at) == 1:
+            return lift_points(x, chains[(source, target)], multi, drop_unlifted, pos=at[0], match_no=no)
+        return lift_ranges(x, chains[(source, target)], drop_unlifted=drop_unlifted, multi=multi, alleles=[c for c in ("ref", "alt") if c in have], match_no=no)
+
+    if use_cache and all(f"{c}_{target}" in have for c in ["chr", *at]):
+        known = F.lit(True)
+        for c in ["chr", *at]:
+            known = known & F.col(f"{c}_{target}").isNotNull()
         old = df.filter(known)
         for c in names:
             if f"{c}_{target}" in have:
                 old = old.withColumn(c, F.col(f"{c}_{target}"))
-        out = old.unionByName(lift_points(df.filter(~known), chains[(source, target)], multi, drop_unlifted))
+        out = (old.withColumn("_match", F.lit(0)) if keep_order else old).unionByName(lifted(df.filter(~known)))
     else:
-        out = lift_points(df, chains[(source, target)], multi, drop_unlifted)
+        out = lifted(df)
     if retain_builds:
         for c in names:
             out = out.withColumn(f"{c}_{target}", F.col(c))
-    return out
+    return out.orderBy(*order).drop(*order) if keep_order else out

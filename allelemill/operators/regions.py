@@ -52,7 +52,7 @@ class RegionSet:
                 raise ValueError(f"end {e} lies before start {s}")
             c = None if c is None else str(c) if str(c).startswith(prefix) else prefix + str(c)
             rows.append((c, None if s is None else int(s), None if e is None else int(e)))
-        out = RegionSet(spark.createDataFrame(rows, SCHEMA), normalise_build(build), include)
+        out = RegionSet(I.held(spark, rows, SCHEMA) if n <= I.FEW else spark.createDataFrame(rows, SCHEMA), normalise_build(build), include)
         return out.merged() if merge else out
 
     @staticmethod
@@ -66,11 +66,11 @@ class RegionSet:
 
     @staticmethod
     def empty(spark: SparkSession, build: str | None = None) -> RegionSet:
-        return RegionSet(spark.createDataFrame([], SCHEMA), normalise_build(build))
+        return RegionSet(I.held(spark, [], SCHEMA), normalise_build(build))
 
     @staticmethod
     def full(spark: SparkSession, build: str | None = None) -> RegionSet:
-        return RegionSet(spark.createDataFrame([(None, None, None)], SCHEMA), normalise_build(build))
+        return RegionSet(I.held(spark, [(None, None, None)], SCHEMA), normalise_build(build))
 
     def _with(self, closed: DataFrame, include: bool = True) -> RegionSet:
         return RegionSet(I.opened(closed), self.build, include, self.chains)
@@ -173,7 +173,7 @@ class RegionSet:
         if self.include:
             return self
         spark = self.df.sparkSession
-        chromosomes = spark.createDataFrame([(c,) for c in domain], "chr string")
+        chromosomes = I.held(spark, [(c,) for c in domain], "chr string")
         return self._with(I.gaps(I.merge(_spread(RegionSet(self.df), list(domain))), chromosomes)).__tidy()
 
     def __tidy(self) -> RegionSet:
@@ -214,19 +214,14 @@ class RegionSet:
         if len(got) <= FEW:
             cond = expression([tuple(r) for r in got], chrom, pos)
             return rows.where(cond if self.include else known & ~cond)
-        anywhere = self.df.filter("chr is null")
         m = I.merge(I.closed(self.df))
-        keyed = rows.where(known)
-        if anywhere.limit(1).count():
-            free = anywhere.count()
-            if free > FEW:
-                raise ValueError(f"more than {FEW} regions of any chromosome")
-            cond = expression([tuple(r) for r in anywhere.collect()], chrom, pos)
-            if not self.include:
-                return I.contained(keyed.where(~cond), chrom, pos, m.filter("chr <> ''"), negate=True)
-            inside = I.contained(keyed.where(~cond), chrom, pos, m.filter("chr <> ''"))
-            return keyed.where(cond).unionByName(inside)
-        return I.contained(keyed, chrom, pos, m, negate=not self.include)
+        keyed, here, anywhere = rows.where(known), m.filter("chr <> ''"), m.filter("chr = ''")
+        if not anywhere.limit(1).count():
+            return I.contained(keyed, chrom, pos, m, negate=not self.include)
+        if not self.include:
+            return I.contained(I.contained_anywhere(keyed, pos, anywhere, negate=True), chrom, pos, here, negate=True)
+        rest = I.contained(I.contained_anywhere(keyed, pos, anywhere, negate=True), chrom, pos, here)
+        return I.contained_anywhere(keyed, pos, anywhere).unionByName(rest)
 
 
 def _spread(r: RegionSet, names: list[str]) -> DataFrame:
@@ -250,5 +245,3 @@ def expression(regions: list[tuple], chrom: str = "chr", pos: str = "pos") -> Co
     cond = reduce(lambda a, b: a | b, parts)
     names = {c for c, _, _ in regions}
     return cond if None in names or len(names) < 2 else F.col(chrom).isin(sorted(names)) & cond
-
-

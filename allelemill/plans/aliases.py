@@ -22,12 +22,12 @@ ALIASES = {
 
 #: (input name, shape of its values, names of the parts, where to split). Fixed values.
 ENCODED = [
-    ("MarkerName", r"^.{1,2}:[0-9]+$", ["chr", "pos"], ":"),
-    ("MarkerName", r"^b3[678]-c[0-9XYM]+:[0-9]+-[0-9]+$", ["build", "chr", "pos"], "-c|:|-"),
+    ("MarkerName", r"^[^:]{1,2}:[0-9]+$", ["chr", "pos"], ":"),
+    ("MarkerName", r"^b3[6-8]-c[^:]{1,2}:[0-9]+-[0-9]+$", ["build", "chr", "pos"], "-c|:|-"),
     ("MarkerName", r"^[^:]+:[0-9]+:[^:]+$", ["chr", "pos"], ":"),
-    ("MarkerName", r"^[^:]+:[0-9]+:[A-Za-z]+:[A-Za-z]+$", ["chr", "pos"], ":"),
-    ("chr_colon_pos", r"^.{1,2}:[0-9]+$", ["chr", "pos"], ":"),
-    ("Chr_Pos", r"^.{1,2}:[0-9]+(:ID)?$", ["chr", "pos"], ":"),
+    ("MarkerName", r"^[^:]{1,2}:[0-9]+:[a-zA-Z]+:[a-zA-Z]+$", ["chr", "pos"], ":"),
+    ("chr_colon_pos", r"^[^:]{1,2}:[0-9]+$", ["chr", "pos"], ":"),
+    ("Chr_Pos", r"^[^:]{1,2}:[0-9]+(:ID)?$", ["chr", "pos"], ":"),
     ("SNPAlleles", r"^[ACGTNacgtn]+/[ACGTNacgtn]+$", ["ref", "alt"], "/"),
 ]
 RSID = r"^rs[0-9]+$"  #: values that a column must have to count as rsid

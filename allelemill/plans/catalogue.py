@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..functions.genome import AUTOSOMES, effect_ordered, parsed_variant_id, ref
 from ..operators import build_inference, liftover, rsid, variants
 from ..operators.regions import RegionSet
 from ..operators.variants import Variants
-from ..plans.predicate import col
+from ..plans.predicate import col, parse
 from ..scale import checkpoint_dir
 from ..sources.stats_source import StatsSource
 from ..tables import table
@@ -109,6 +110,25 @@ def as_text(df: DataFrame) -> StatsSource:
     return StatsSource.open(df.sparkSession, path, build=None)
 
 
+def as_commented_text(df: DataFrame, names: list[str], comment: str = "## made for reading") -> StatsSource:
+    """df staged as tab-separated text: each part has comment lines, a header with a mark before its first name, the rows
+    with quoted first values, and a comment at its end."""
+    spark, path, kinds = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/text-{uuid.uuid4().hex}", df.columns
+
+    def run(batches):  # type: ignore[no-untyped-def]
+        import pandas as pd
+
+        yield pd.DataFrame({"value": [comment, "#" + "\t".join(names)]})
+        for pdf in batches:
+            cells = [pdf[c].astype(str) for c in kinds]
+            cells[0] = '"' + cells[0] + '"'
+            yield pd.DataFrame({"value": cells[0].str.cat(cells[1:], sep="\t")})
+        yield pd.DataFrame({"value": [comment, ""]})
+
+    df.selectExpr(*[f"coalesce(cast({c} AS string), 'NA') AS {c}" for c in kinds]).mapInPandas(run, "value string").write.text(path)
+    return StatsSource.open(spark, path, build=None)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -125,12 +145,10 @@ def query(sql: str | None, name: str | None = None) -> Callable:
 
 # ---- predicates
 
-_README = "((chr == 2 & 2345 < pos & pos < 9456) | (chr == 3 & 42 < pos & pos < 4242)) & pval < 0.25"
-
 
-@query("SELECT * FROM v WHERE ((chr = 'chr2' AND 2345 < pos AND pos < 9456) OR (chr = 'chr3' AND 42 < pos AND pos < 4242)) AND pval < 0.25")
+@query("SELECT * FROM v WHERE ((chr = 'chr5' AND pos >= 1200 AND pos < 15000) OR (chr = 'chr17' AND pos <= 7700)) AND pval <= 0.2")
 def flagship_region_pval(s: SparkSession, d: str) -> DataFrame:
-    return source(s, d)[_README]
+    return source(s, d)["((chr == 5 & pos >= 1200 & pos < 15000) | (chr == 17 & pos <= 7700)) & pval <= 0.2"]
 
 
 @query("SELECT chr, count(*) AS n, round(min(pval), 6) AS best FROM v WHERE pval < 0.25 AND EXISTS (SELECT 1 FROM r WHERE r.chr = v.chr AND v.pos BETWEEN start_pos AND end_pos) GROUP BY chr")
@@ -165,16 +183,32 @@ def filter_in_large(s: SparkSession, d: str) -> DataFrame:
     return source(s, d).filter("rsid %in% wanted", values={"wanted": wanted})
 
 
+def _sorted(s: SparkSession, d: str) -> StatsSource:
+    """The rows in a fixed order, so that the first ones are the same each time."""
+    v = stats(s, d)
+    return StatsSource.from_table(v.orderBy(*v.columns), "b37")
+
+
 @query("SELECT * FROM v ORDER BY chr, pos, ref, alt, effect, effect_se, pval, rsid LIMIT 25")
 def head_n(s: SparkSession, d: str) -> DataFrame:
-    t = source(s, d)
-    return t.read().orderBy(*t.columns).limit(25)
+    return _sorted(s, d).head(25)
 
 
 @query("SELECT * FROM v WHERE pval < 0.1 ORDER BY chr, pos, ref, alt, effect, effect_se, pval, rsid LIMIT 40")
 def nlines_filter(s: SparkSession, d: str) -> DataFrame:
-    t = source(s, d)
-    return t.filter("pval < 0.1").orderBy(*t.columns).limit(40)
+    return _sorted(s, d).filter("pval < 0.1", nlines=40)
+
+
+@query("SELECT * FROM v WHERE cast(substr(rsid, 3) AS int) <= 3000 AND NOT rsid IN (SELECT 'rs' || cast(s_suppkey AS string) FROM supplier) AND pval < 0.3")
+def filter_in_list_large(s: SparkSession, d: str) -> DataFrame:
+    """A literal list too long for an expression is joined as a table, beside a negated lookup in another table."""
+    known = table(s, d, "supplier").selectExpr("'rs' || cast(s_suppkey AS string) AS rsid")
+    return source(s, d).filter("rsid %in% wanted & !(rsid %in% known) & pval < 0.3", values={"wanted": [f"rs{i}" for i in range(3001)], "known": known})
+
+
+@query("SELECT v.* FROM v WHERE pval < 0.02 OR (effect > 0 AND EXISTS (SELECT 1 FROM r WHERE r.chr = v.chr AND v.pos BETWEEN start_pos AND end_pos))")
+def filter_regions_in_expression(s: SparkSession, d: str) -> DataFrame:
+    return source(s, d).filter("pval < 0.02 | (effect > 0 & mine)", values={"mine": region_set(s, d, True)})
 
 
 # ---- columns
@@ -192,6 +226,26 @@ def decode_marker_build(s: SparkSession, d: str) -> DataFrame:
     return t.select(F.regexp_replace("chr", "^chr", "").alias("chr"), "pos", "build", F.col("effect").alias("beta"))
 
 
+_TEXT_SQL = "SELECT chr, pos, ref, alt, effect, CASE WHEN pos % 7 > 0 THEN effect_se END AS effect_se, pval, CASE WHEN pos > 500000 THEN pos + 0.5e0 ELSE cast(pos AS double) END AS score, rsid FROM v"
+
+
+def _text(s: SparkSession, d: str) -> StatsSource:
+    """A text file with comments, header marks, quoted values, missing values, alleles in lower case, chromosomes without
+    prefix, and a column that holds whole numbers in its first lines only."""
+    v = stats(s, d).selectExpr("substr(chr, 4) AS chr", "pos", "lower(ref) AS ref", "alt", "effect", "CASE WHEN pos % 7 > 0 THEN effect_se END AS se", "pval", "CASE WHEN pos > 500000 THEN cast(pos + 0.5D AS string) ELSE cast(pos AS string) END AS score", "rsid")
+    return as_commented_text(v, ["CHROM", "POS", "REF", "ALT", "BETA", "SE", "P", "score", "rsid"])
+
+
+@query(_TEXT_SQL)
+def text_scan(s: SparkSession, d: str) -> DataFrame:
+    return _text(s, d).read().withColumn("score", F.col("score").cast("double"))
+
+
+@query(f"SELECT chr, count(*) AS n, round(sum(effect), 6) AS effect FROM ({_TEXT_SQL}) WHERE pval < 0.05 AND (chr = 'chr3' OR pos < 40000) GROUP BY chr")
+def text_filter(s: SparkSession, d: str) -> DataFrame:
+    return _text(s, d)["pval < 0.05 & (chr == 3 | pos < 40000)"].groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("effect"), 6).alias("effect"))
+
+
 @query("SELECT upper(split_part(SNPAlleles, '/', 1)) AS ref, upper(split_part(SNPAlleles, '/', 2)) AS alt, count(*) AS n FROM k GROUP BY 1, 2")
 def decode_snpalleles(s: SparkSession, d: str) -> DataFrame:
     return as_text(markers(s, d)).read().groupBy("ref", "alt").agg(F.count(F.lit(1)).alias("n"))
@@ -255,41 +309,73 @@ def region_union(s: SparkSession, d: str) -> DataFrame:
     return _shown(region_set(s, d) | _second(s, d))
 
 
-# positions are at most 120000 here, so SQL can tell by position
-_GRID = ", p AS (SELECT 'chr' || cast(a.i AS string) AS chr, cast(b.j AS int) AS pos FROM range(1, 23) a(i) CROSS JOIN range(1, 160001, 250) b(j)) "
-
+_SECOND = re.sub(r"\bm([01]?)\b", r"s\1", _MERGED).replace("FROM r\n", f"FROM {_SHIFT} q\n")
 
-def _on_grid(s: SparkSession, r: RegionSet) -> DataFrame:
-    grid = s.range(1, 160001, 250).select(F.col("id").cast("int").alias("pos"), F.explode(F.array(*[F.lit(c) for c in AUTOSOMES])).alias("chr"))
-    return r.filter(grid).groupBy("chr").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").cast("bigint").alias("s"))
 
 
-_IN1 = "EXISTS (SELECT 1 FROM r x WHERE x.chr = p.chr AND p.pos BETWEEN x.start_pos AND x.end_pos)"
-_IN2 = f"EXISTS (SELECT 1 FROM {_SHIFT} x WHERE x.chr = p.chr AND p.pos BETWEEN x.start_pos AND x.end_pos)"
-_COUNT = "SELECT chr, count(*) AS n, cast(sum(pos) AS bigint) AS s FROM p WHERE "
+_GAPS = """{name} AS (SELECT chr, coalesce(lag(end_pos) OVER (PARTITION BY chr ORDER BY start_pos), {first} - 1) + 1 AS start_pos, start_pos - 1 AS end_pos FROM {of}
+ UNION ALL SELECT chr, max(end_pos) + 1, 2147483647 FROM {of} GROUP BY chr)"""
+_CUT = "SELECT a.chr, greatest(a.start_pos, b.start_pos) AS start_pos, least(a.end_pos, b.end_pos) AS end_pos FROM {0} a JOIN {1} b ON a.chr = b.chr AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos AND b.start_pos <= b.end_pos"
+_REST = " UNION ALL SELECT chr, start_pos, end_pos FROM {0} WHERE chr NOT IN (SELECT chr FROM {1})"
 
 
-@query(_GRID + _COUNT + f"{_IN1} AND {_IN2} GROUP BY chr")
+@query(f", {_MERGED}, {_SECOND} " + _CUT.format("m", "s"))
 def region_intersect(s: SparkSession, d: str) -> DataFrame:
-    return _on_grid(s, region_set(s, d) & _second(s, d))
+    return _shown(region_set(s, d) & _second(s, d))
 
 
-@query(_GRID + _COUNT + f"{_IN1} AND NOT {_IN2} GROUP BY chr")
+@query(f", {_MERGED}, {_SECOND}, g AS (SELECT * FROM ({'WITH ' + _GAPS.format(name='g0', of='s', first=0)} SELECT * FROM g0)) " + _CUT.format("m", "g") + _REST.format("m", "s"))
 def region_difference(s: SparkSession, d: str) -> DataFrame:
-    return _on_grid(s, region_set(s, d) - _second(s, d))
+    return _shown(region_set(s, d) - _second(s, d))
 
 
-@query(_GRID + _COUNT + f"NOT {_IN1} GROUP BY chr")
+@query(
+    f", {_MERGED}, d AS (SELECT 'chr' || cast(i AS string) AS chr FROM range(1, 23) t(i)), g AS (SELECT * FROM ({'WITH ' + _GAPS.format(name='g0', of='m', first=1)} SELECT * FROM g0) WHERE start_pos <= end_pos)"
+    " SELECT chr, start_pos, CASE WHEN end_pos < 2147483647 THEN end_pos END AS end_pos FROM g UNION ALL SELECT chr, NULL, NULL FROM d WHERE chr NOT IN (SELECT chr FROM m)"
+)
 def region_complement(s: SparkSession, d: str) -> DataFrame:
-    return _on_grid(s, (~region_set(s, d)).expand())
+    return _shown((~region_set(s, d)).expand())
 
 
-@query(_GRID + _COUNT + f"{_IN1} OR NOT {_IN2} GROUP BY chr")
+@query(f", {_MERGED}, {_SECOND}, g AS (SELECT * FROM ({'WITH ' + _GAPS.format(name='g0', of='m', first=0)} SELECT * FROM g0)), x AS (" + _CUT.format("s", "g") + _REST.format("s", "m") + ") SELECT *, false AS include FROM x")
 def region_union_mixed(s: SparkSession, d: str) -> DataFrame:
-    return _on_grid(s, region_set(s, d) | ~_second(s, d))
+    """Regions or what lies outside of others: comes out as regions left out."""
+    u = region_set(s, d) | ~_second(s, d)
+    return _shown(u).withColumn("include", F.lit(u.include))
+
+
+@query(f", b AS (SELECT chr, start_pos, end_pos FROM r UNION ALL SELECT 'chrX', 5, 90 UNION ALL SELECT 'chrX', 91, 100 UNION ALL SELECT * FROM r WHERE end_pos < 30000), {_MERGED.replace('FROM r' + chr(10), 'FROM b' + chr(10))} SELECT * FROM m WHERE start_pos < 80000")
+def region_concat_subset(s: SparkSession, d: str) -> DataFrame:
+    a = region_set(s, d)
+    more = RegionSet.of(s, chr="X", start=[5, 91], end=[90, 100], build="b37", merge=False)
+    return _shown(RegionSet.concat([a, more, a.where("`end` < 30000")]).where("start < 80000"))
+
+
+@query("SELECT v.* FROM v WHERE EXISTS (SELECT 1 FROM r WHERE v.pos BETWEEN start_pos AND start_pos + 40) OR (v.chr = 'chr2' AND v.pos BETWEEN 500 AND 90000)")
+def region_filter_any_chromosome(s: SparkSession, d: str) -> DataFrame:
+    """Many regions of any chromosome beside one of a single chromosome."""
+    a = RegionSet.from_df(regions(s, d).selectExpr("cast(NULL AS string) AS chr", "start", "start + 40 AS `end`"), "b37")
+    return source(s, d)[a | RegionSet.of(s, chr=2, start=500, end=90000, build="b37")]
+
+
+_CONDITIONS = [
+    ("chr < 4 & pos > 100", [(f"chr{i}", 101, None) for i in (1, 2, 3)]),
+    ("20 < chr", [("chr21", None, None), ("chr22", None, None)]),
+    ("pos < 1000", [(None, None, 999)]),
+    ("pos >= 50 & pos <= 70", [(None, 50, 70)]),
+    ("(chr == 1 | chr == \"X\") & 123 <= pos & pos <= 234", [("chr1", 123, 234), ("chrX", 123, 234)]),
+    ("chr %in% c(1, 7) & pos %in% c(5, 6, 9)", [(c, s, e) for c in ("chr1", "chr7") for s, e in ((5, 6), (9, 9))]),
+    ("pos == 7 | pval < 0.1", [(None, None, None)]),
+    ("chr == 2 & pval < 0.1", [("chr2", None, None)]),
+    ("chr == 1 & chr == 2", []),
+]
 
 
-_SECOND = re.sub(r"\bm([01]?)\b", r"s\1", _MERGED).replace("FROM r\n", f"FROM {_SHIFT} q\n")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join('NULL' if x is None else repr(x) for x in (i, *row))})" for i, (_, rows) in enumerate(_CONDITIONS) for row in rows) + ") t(condition_no, chr, start_pos, end_pos)")
+def predicate_regions(s: SparkSession, d: str) -> DataFrame:
+    """The regions that conditions can hold in."""
+    each = [_shown(parse(text).regions(s)).select(F.lit(i).alias("condition_no"), "chr", "start_pos", "end_pos") for i, (text, _) in enumerate(_CONDITIONS)]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query(
@@ -355,6 +441,17 @@ def liftover_ranges(s: SparkSession, d: str) -> DataFrame:
     return liftover.lift_ranges(regions(s, d), chain(s, d)).select("chr", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
+@query(
+    """, o AS (SELECT row_number() OVER () AS id, * FROM r) SELECT c.new_chr AS chr, cast(CASE WHEN rev THEN c.end_pos - off - (least(o.end_pos, c.end_pos) - c.start_pos) ELSE greatest(o.start_pos, c.start_pos) - off END AS int) AS start_pos,
+ cast(CASE WHEN rev THEN c.end_pos - off - (greatest(o.start_pos, c.start_pos) - c.start_pos) ELSE least(o.end_pos, c.end_pos) - off END AS int) AS end_pos
+ FROM o LEFT JOIN c ON o.chr = c.chr AND o.start_pos <= c.end_pos AND c.start_pos <= o.end_pos QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY c.start_pos, c.end_pos, c.off) = 1"""
+)
+def liftover_ranges_first(s: SparkSession, d: str) -> DataFrame:
+    """One match a range; ranges without any are kept."""
+    t = liftover.lift_table(regions(s, d), {("b37", "b38"): chain(s, d)}, "b38", "b37", drop_unlifted=False)
+    return t.select("chr", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
+
+
 _LIFTED_REGIONS = SQL["liftover_ranges"][len(WITH) :]
 
 
@@ -412,6 +509,13 @@ def variant_id_check(s: SparkSession, d: str) -> DataFrame:
     return variants.inconsistent_ids(table(s, d, "sumstats"), "b37").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT 'chr' || substr(chr, 4) AS chr, pos, ref, alt, rsid, 'b37' AS defining_build FROM v")
+def variants_from_ids(s: SparkSession, d: str) -> DataFrame:
+    """Coordinates decoded from ids."""
+    ids = stats(s, d).select("rsid", variant_id(F.col("chr"), F.col("pos"), F.col("ref"), F.col("alt"), F.lit("hg19")).alias("variant_id"))
+    return Variants.of(Variants.of(ids)).df.select("chr", "pos", "ref", "alt", "rsid", "defining_build")
+
+
 @query("SELECT DISTINCT chr, pos, ref, alt FROM v")
 def variants_unique(s: SparkSession, d: str) -> DataFrame:
     return Variants.of(stats(s, d), "b37").unique().df.select("chr", "pos", "ref", "alt")
@@ -448,15 +552,26 @@ def rsid_plain_filter(s: SparkSession, d: str) -> DataFrame:
     return StatsSource.from_table(stats(s, d).select("effect", "pval", "rsid"), "b37", reference=reference(s, d))["pval < 0.05"].select("effect", "pval", "rsid")
 
 
-@query(
-    """, q AS (SELECT DISTINCT chr, pos, ref, alt FROM e WHERE pos % 3 > 0), o AS (SELECT chr, pos + 5 AS pos, ref, alt FROM e)
+_BUILDS = """, q AS (SELECT DISTINCT chr, CASE WHEN pos % 3 = 0 THEN pos + 1 ELSE pos END AS pos, ref, alt FROM e), o AS (SELECT chr, pos + 5 AS pos, ref, alt FROM e), b AS (
  SELECT 'b37' AS build, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM e WHERE e.chr = q.chr AND e.pos = q.pos AND ((e.ref = q.ref AND e.alt = q.alt) OR (e.ref = q.alt AND e.alt = q.ref)))) AS n_match, count(*) AS n FROM q
- UNION ALL SELECT 'b38', count(*) FILTER (WHERE EXISTS (SELECT 1 FROM o WHERE o.chr = q.chr AND o.pos = q.pos AND ((o.ref = q.ref AND o.alt = q.alt) OR (o.ref = q.alt AND o.alt = q.ref)))), count(*) FROM q"""
-)
-def infer_build_counts(s: SparkSession, d: str) -> DataFrame:
+ UNION ALL SELECT 'b38', count(*) FILTER (WHERE EXISTS (SELECT 1 FROM o WHERE o.chr = q.chr AND o.pos = q.pos AND ((o.ref = q.ref AND o.alt = q.alt) OR (o.ref = q.alt AND o.alt = q.ref)))), count(*) FROM q)"""
+
+
+def _builds(s: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All entries with their alleles exchanged, a third of them beside their place, and two references."""
     e = reference(s, d)
-    mine = e.filter("pos % 3 > 0").select("chr", "pos", F.col("alt").alias("ref"), F.col("ref").alias("alt"))
-    return build_inference.build_counts(mine, {"b37": e, "b38": e.withColumn("pos", F.col("pos") + 5)})
+    mine = e.select("chr", F.when(F.col("pos") % 3 == 0, F.col("pos") + 1).otherwise(F.col("pos")).alias("pos"), F.col("alt").alias("ref"), F.col("ref").alias("alt"))
+    return mine, {"b37": e, "b38": e.withColumn("pos", F.col("pos") + 5)}
+
+
+@query(_BUILDS + " SELECT * FROM b")
+def infer_build_counts(s: SparkSession, d: str) -> DataFrame:
+    return build_inference.build_counts(*_builds(s, d))
+
+
+@query(_BUILDS + ", w AS (SELECT build, n_match FROM b UNION ALL SELECT 'b36', max(n) - sum(n_match) FROM b) SELECT build FROM w ORDER BY n_match DESC, build LIMIT 1")
+def infer_build(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(build_inference.infer_build(*_builds(s, d)),)], "build string")
 
 
 # ---- statistics
@@ -491,3 +606,33 @@ def windowed_event_counts(s: SparkSession, d: str) -> DataFrame:
     from ..streaming.stateless import windowed_counts
 
     return windowed_counts(table(s, d, "events"), "ts", ["event_type"]).select(F.col("window.start").alias("hour"), "event_type", "n")
+
+
+def _streamed(s: SparkSession, d: str, mode: str, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stream over the events, run until they are all read; each batch replaces (complete) or extends (append) the result."""
+    base, path = f"{checkpoint_dir(s)}/stream-{uuid.uuid4().hex}", f"{d}/events.parquet"
+    at = s._jvm.org.apache.hadoop.fs.Path(path)
+    folder = at.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = s.readStream.schema(s.read.parquet(path).schema)
+    stream = reader.parquet(path) if folder else reader.option("pathGlobFilter", "events.parquet").parquet(d)  # a stream reads folders
+    keep = lambda batch, no: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/out")
+    work(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{base}/out")
+
+
+@query("SELECT cast(date_trunc('hour', ts) AS timestamp) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
+    """Windowed counts of a stream."""
+    from ..streaming.stateless import windowed_counts
+
+    t = _streamed(s, d, "complete", lambda x: windowed_counts(x.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"]))
+    return t.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE value > 50 AND event_type <> 'click'")
+def stream_filter(s: SparkSession, d: str) -> DataFrame:
+    """A condition on a stream."""
+    from ..streaming.stateless import filtered
+
+    work = lambda x: filtered(x.select("event_id", "user_id", "event_type", "value"), 'value > 50 & event_type != "click"')
+    return _streamed(s, d, "append", work)

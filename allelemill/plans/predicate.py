@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.genome import chr_rank, with_chr
+from ..operators import intervals
 from ..operators.regions import RegionSet, expression
 
 ALLELES = ("ref", "alt", "allele1", "allele2")
@@ -45,6 +46,10 @@ class Predicate:
     def columns(self) -> set[str]:
         return set()
 
+    def tables(self) -> list:
+        """The tables of values and regions that are looked up in; each once."""
+        return []
+
     def column(self, kinds: dict[str, str]) -> Column:
         raise NotImplementedError
 
@@ -166,14 +171,23 @@ class TableValues:
     def flag(self, name: str) -> str:
         return f"_{name}_in_{self.key}"
 
+    def _values(self, name: str) -> DataFrame:
+        at = self.df.columns[0]
+        v = self.df.select(F.col(f"`{at}`").alias("_v")).filter("_v is not null")
+        return v.select(with_chr(F.col("_v").cast("string")).alias("_v") if name == "chr" else F.upper("_v").alias("_v") if name in ALLELES else "_v").distinct()
+
+    def _read(self, table: DataFrame, name: str) -> Column:
+        return _read(name, dict(table.dtypes), self.df.dtypes[0][1] in ("int", "bigint", "double", "float", "smallint"))
+
+    def within(self, table: DataFrame, name: str) -> DataFrame:
+        """The rows of table whose value is in the set."""
+        return table.join(self._values(name), self._read(table, name) == F.col("_v"), "left_semi")
+
     def joined(self, table: DataFrame) -> DataFrame:
         """table with one flag a name: whether its value is in the set; a join of distinct values, so no row is repeated."""
-        at = self.df.columns[0]
         for name in dict.fromkeys(self.names):
-            v = self.df.select(F.col(f"`{at}`").alias("_v")).filter("_v is not null").distinct()
-            v = v.select(with_chr(F.col("_v").cast("string")).alias("_v") if name == "chr" else F.upper("_v").alias("_v") if name in ALLELES else "_v").distinct().withColumn("_in", F.lit(True))
-            x = F.col(f"`{name}`")
-            table = table.join(v, x == F.col("_v"), "left").withColumn(self.flag(name), F.when(x.isNotNull(), F.coalesce("_in", F.lit(False)))).drop("_v", "_in")
+            x = self._read(table, name)
+            table = table.join(self._values(name).withColumn("_in", F.lit(True)), x == F.col("_v"), "left").withColumn(self.flag(name), F.when(x.isNotNull(), F.coalesce("_in", F.lit(False)))).drop("_v", "_in")
         return table
 
 
@@ -188,11 +202,69 @@ class InTable(Predicate):
     def columns(self) -> set[str]:
         return {self.name}
 
+    def tables(self) -> list:
+        return [self.values]
+
     def column(self, kinds: dict[str, str]) -> Column:
         _read(self.name, kinds, False)
         return F.col(f"`{self.values.flag(self.name)}`")
 
 
+@dataclass(eq=False, repr=False)
+class RegionTable(Predicate):
+    """Position in a set of regions of any size, as part of a larger expression: looked up by a join."""
+
+    key: str
+    regions_: RegionSet
+
+    def __repr__(self) -> str:
+        return self.key
+
+    def columns(self) -> set[str]:
+        return {"chr", "pos"}
+
+    def tables(self) -> list:
+        return [self]
+
+    def joined(self, table: DataFrame) -> DataFrame:
+        return intervals.flagged(table, "chr", "pos", intervals.merge(intervals.closed(self.regions_.df)), f"_in_{self.key}")
+
+    def column(self, kinds: dict[str, str]) -> Column:
+        c = F.col(f"`_in_{self.key}`")
+        return c if self.regions_.include else ~c
+
+    def regions(self, spark: SparkSession) -> RegionSet:
+        return self.regions_
+
+
+MANY = 1_000  #: values of a literal list above which it is joined as a table
+
+
+def with_tables(p: Predicate, spark: SparkSession, many: int = MANY) -> Predicate:
+    """The predicate with long literal lists as tables, so that neither the plan nor generated code grows with them."""
+    if isinstance(p, In) and len(p.values) > many:
+        values = [canonical(p.name, v) for v in p.values if v is not None]
+        kind = "string" if any(isinstance(v, str) for v in values) else "double" if any(isinstance(v, float) for v in values) else "boolean" if all(isinstance(v, bool) for v in values) else "long"
+        cast = {"string": str, "double": float, "boolean": bool, "long": int}[kind]
+        t = TableValues(f"list{id(p):x}", spark.createDataFrame([(cast(v),) for v in values], f"v {kind}"), [p.name])
+        return InTable(p.name, t)
+    if isinstance(p, (And, Or)):
+        return type(p)(tuple(with_tables(x, spark, many) for x in p.parts))
+    return Not(with_tables(p.part, spark, many)) if isinstance(p, Not) else p
+
+
+def conjuncts(p: Predicate) -> tuple[list[InTable], Predicate | None]:
+    """(the value sets that every selected row has to be in, the rest of the condition)."""
+
+    def flat(x: Predicate) -> list[Predicate]:
+        return [z for y in x.parts for z in flat(y)] if isinstance(x, And) else [x]
+
+    parts = flat(p)
+    whole = [x for x in parts if isinstance(x, InTable)]
+    rest = [x for x in parts if not isinstance(x, InTable)]
+    return whole, (rest[0] if len(rest) == 1 else And(tuple(rest)) if rest else None)
+
+
 @dataclass(frozen=True, repr=False)
 class Matches(Predicate):
     """A regular expression found anywhere in the value."""
@@ -232,6 +304,9 @@ class And(Predicate):
     def columns(self) -> set[str]:
         return set().union(*[p.columns() for p in self.parts])
 
+    def tables(self) -> list:
+        return list(dict.fromkeys(t for p in self.parts for t in p.tables()))
+
     def column(self, kinds: dict[str, str]) -> Column:
         return reduce(lambda a, b: a & b, [p.column(kinds) for p in self.parts])
 
@@ -252,6 +327,9 @@ class Or(Predicate):
     def columns(self) -> set[str]:
         return set().union(*[p.columns() for p in self.parts])
 
+    def tables(self) -> list:
+        return list(dict.fromkeys(t for p in self.parts for t in p.tables()))
+
     def column(self, kinds: dict[str, str]) -> Column:
         return reduce(lambda a, b: a | b, [p.column(kinds) for p in self.parts])
 
@@ -272,6 +350,9 @@ class Not(Predicate):
     def columns(self) -> set[str]:
         return self.part.columns()
 
+    def tables(self) -> list:
+        return self.part.tables()
+
     def column(self, kinds: dict[str, str]) -> Column:
         return ~self.part.column(kinds)
 
@@ -344,7 +425,7 @@ _TOKEN = re.compile(r"""\s*(?:(?P<num>(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0
 def parse(text: str, columns: list[str] | None = None, values: dict[str, Any] | None = None) -> Predicate:
     """A predicate from text such as ``chr == 1 & pval < 5e-8 | rsid %in% c("rs1", "rs2")``.
 
-    Names that are no column are looked up in ``values``: predicates, sets of few regions as InRegions, lists or literals.
+    Names that are no column are looked up in ``values``: predicates, sets of regions, tables of values, lists or literals.
     """
     toks: list[tuple[str, str]] = []
     at = 0

@@ -40,6 +40,11 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return U.to_canonical(s, table(spark, d, "stat_files")).select("row_id", *U.FIELDS, *[f"{f}_unit" for f in U.FIELDS])
 
 
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    """The unit of every value."""
+    return U.value_conversions(table(spark, d, "sumstats"), table(spark, d, "stat_files")).select("row_id", "field", "unit")
+
+
 def p2_conversions(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(U.compose(), "field string, unit string, a1 double, b1 double, bridge string, a2 double, b2 double")
 
@@ -99,7 +104,7 @@ def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("further", further)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_canonical, p2_conversions, p3_found, p3_changes, p3_fields, p3_new_alternatives, p3_table, p4_found, p5_found, p5_repairs, p5_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_orphans_by_month, p2_found, p2_canonical, p2_units, p2_conversions, p3_found, p3_changes, p3_fields, p3_new_alternatives, p3_table, p4_found, p5_found, p5_repairs, p5_loaded)}
 
 _ORPHANS = r"""
 WITH RECURSIVE e AS (
@@ -202,6 +207,44 @@ u AS (SELECT * FROM g WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITI
 _TYPES = _FIELDS + """, kinds AS (SELECT DISTINCT field, type FROM cols WHERE type IS NOT NULL), alt AS (SELECT field, list_sort(list(type)) AS t FROM kinds GROUP BY 1),
 n AS (SELECT field, count(*) AS n_files, count(DISTINCT name) AS n_names FROM cols GROUP BY 1)"""
 
+#: Conversions to the canonical units, written out: value -> a2 f(a1 x + b1) + b2.
+_CONV = """conv(field, unit, a1, b1, bridge, a2, b2, no) AS (VALUES
+ ('pval', 'prob', 1e0, 0e0, '', 1e0, 0e0, 0), ('pval', 'percent', 0.01e0, 0e0, '', 1e0, 0e0, 1), ('pval', 'ln', 1e0, 0e0, 'exp', 1e0, 0e0, 2), ('pval', 'neglog10', -ln(10), 0e0, 'exp', 1e0, 0e0, 3),
+ ('log10p', 'neglog10', 1e0, 0e0, '', 1e0, 0e0, 0), ('log10p', 'log10', -1e0, 0e0, '', 1e0, 0e0, 1), ('log10p', 'negln', 1 / ln(10), 0e0, '', 1e0, 0e0, 2),
+ ('effect', 'lnor', 1e0, 0e0, '', 1e0, 0e0, 0), ('effect', 'log10', ln(10), 0e0, '', 1e0, 0e0, 1), ('effect', 'log2', ln(2), 0e0, '', 1e0, 0e0, 2), ('effect', 'milli', 0.001e0, 0e0, '', 1e0, 0e0, 3),
+ ('effect', 'smd', pi() / sqrt(3), 0e0, '', 1e0, 0e0, 4), ('effect', 'ratio', 1e0, 0e0, 'ln', 1e0, 0e0, 5),
+ ('odds_ratio', 'ratio', 1e0, 0e0, '', 1e0, 0e0, 0), ('odds_ratio', 'ln', 1e0, 0e0, 'exp', 1e0, 0e0, 1), ('odds_ratio', 'percent', 0.01e0, 1e0, '', 1e0, 0e0, 2))"""
+_POLY = "-1.26551223"
+for _i, _c in enumerate((1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)):
+    _POLY += f" + ({_c!r}) * pow(t, {_i + 1})"  # -log10 of the tail of the normal distribution, as in the operator
+_VOTES = f"""
+WITH {_CONV},
+s AS (SELECT row_id, file_id, line_no, CASE WHEN effect_se > 0 AND NOT isnan(effect_se) THEN effect_se END AS se, effect, odds_ratio, pval, log10p FROM sumstats),
+l AS (SELECT * FROM (UNPIVOT s ON effect, odds_ratio, pval, log10p INTO NAME field VALUE x) WHERE NOT isnan(x)),
+y AS (SELECT l.*, c.unit, c.no, CASE WHEN bridge = 'exp' THEN CASE WHEN a1 * x + b1 < 700 THEN exp(a1 * x + b1) END WHEN bridge = 'ln' THEN CASE WHEN x > 0 THEN ln(x) END ELSE a1 * x + b1 END AS v FROM l JOIN conv c USING (field)),
+z AS (SELECT *, CASE WHEN field = 'effect' THEN v WHEN field = 'odds_ratio' AND v > 0 THEN ln(v) END AS o FROM y),
+n AS (SELECT *, abs(o / se) / sqrt(2) AS w, 1 / (1 + 0.5 * abs(o / se) / sqrt(2)) AS t FROM z),
+g AS (SELECT row_id, file_id, line_no, field, unit, no, o, CASE WHEN field = 'pval' THEN CASE WHEN v > 0 AND v <= 1 THEN -log10(v) END WHEN field = 'log10p' THEN CASE WHEN v >= 0 THEN v END ELSE -(ln(t) - w * w + {_POLY}) / ln(10) END AS g FROM n),
+pairs(k, fa, fb, rank) AS (VALUES (0, 'effect', 'pval', 10), (1, 'effect', 'log10p', 11), (2, 'odds_ratio', 'pval', 12), (3, 'odds_ratio', 'log10p', 13), (4, 'pval', 'log10p', 5), (5, 'effect', 'odds_ratio', 4)),
+d AS (SELECT a.row_id, a.file_id, a.line_no, k, fa, fb, rank, a.unit AS ua, b.unit AS ub, a.no AS na, b.no AS nb,
+  CASE WHEN k = 5 THEN abs(a.o - b.o) / (0.1 + least(abs(a.o), abs(b.o))) ELSE abs(a.g - b.g) / (1 + least(abs(a.g), abs(b.g))) END AS d
+  FROM pairs JOIN g a ON a.field = fa JOIN g b ON b.row_id = a.row_id AND b.field = fb),
+f AS (SELECT * FROM d WHERE d IS NOT NULL AND isfinite(d)),
+best AS (SELECT row_id, k, arg_min(ua, (d, na, nb)) AS ba, arg_min(ub, (d, na, nb)) AS bb, min(d) AS low FROM f GROUP BY 1, 2 HAVING min(d) <= 0.002),
+said AS (SELECT f.row_id, f.file_id, f.line_no, k, rank, fa, fb, ba, bb, min(CASE WHEN ua <> ba THEN d END) AS oa, min(CASE WHEN ub <> bb THEN d END) AS ob FROM f JOIN best USING (row_id, k) GROUP BY ALL),
+each AS (SELECT row_id, file_id, line_no, rank, fa AS field, ba AS unit FROM said WHERE oa IS NULL OR oa > 0.02 UNION ALL SELECT row_id, file_id, line_no, rank, fb, bb FROM said WHERE ob IS NULL OR ob > 0.02),
+votes AS (SELECT row_id, file_id, line_no, field, arg_max(unit, rank) AS unit FROM each GROUP BY 1, 2, 3, 4),
+runs AS (SELECT file_id, field, unit, min(line_no) AS a, max(line_no) AS b FROM votes WHERE file_id IS NOT NULL AND line_no IS NOT NULL GROUP BY 1, 2, 3),
+ord AS (SELECT *, lag(b) OVER w AS pb, lead(a) OVER w AS na FROM runs WINDOW w AS (PARTITION BY file_id, field ORDER BY a, b, unit)),
+seg AS (SELECT *, bool_or(coalesce(pb >= a, false)) OVER (PARTITION BY file_id, field) AS mixed FROM ord),
+spoken AS (SELECT file_id, field, arg_min(unit, (a, unit)) AS first_unit, any_value(mixed) AS mixed FROM seg GROUP BY 1, 2),
+near AS (SELECT l.row_id, l.field, arg_min(v.unit, (abs(v.line_no - l.line_no), v.line_no, v.unit)) AS unit FROM l JOIN spoken p ON p.file_id = l.file_id AND p.field = l.field AND p.mixed
+  JOIN votes v ON v.file_id = l.file_id AND v.field = l.field GROUP BY 1, 2),
+unit_of AS (SELECT l.row_id, l.field, coalesce(
+  CASE WHEN p.mixed THEN coalesce(v.unit, n.unit, p.first_unit) ELSE q.unit END, CASE l.field WHEN 'pval' THEN 'prob' WHEN 'log10p' THEN 'neglog10' WHEN 'effect' THEN 'lnor' ELSE 'ratio' END) AS unit
+  FROM l LEFT JOIN spoken p ON p.file_id = l.file_id AND p.field = l.field LEFT JOIN votes v ON v.row_id = l.row_id AND v.field = l.field LEFT JOIN near n ON n.row_id = l.row_id AND n.field = l.field
+  LEFT JOIN seg q ON q.file_id = l.file_id AND q.field = l.field AND NOT q.mixed AND (q.pb IS NULL OR coalesce(l.line_no, 0) > (q.pb + q.a) // 2) AND (q.na IS NULL OR coalesce(l.line_no, 0) <= (q.b + q.na) // 2))
+"""
 _NUM = "regexp_full_match(value, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"
 _INT = "regexp_full_match(value, '[+-]?[0-9]+')"
 _CANONICAL = "CASE WHEN t IS NULL THEN 'string' WHEN len(t) = 1 THEN t[1] WHEN list_has_all(['bigint', 'int'], t) THEN 'bigint' WHEN list_has_all(['bigint', 'int', 'double'], t) THEN 'double' ELSE 'string' END"
@@ -216,6 +259,9 @@ g AS (SELECT *, CASE WHEN v_int IS NOT NULL THEN 'int' WHEN v_bigint IS NOT NULL
 SELECT line_id, field, tag, v_int, v_bigint, v_double, v_boolean, CASE WHEN tag = 'string' THEN value END AS v_string, canonical_type, as_number, CASE WHEN as_number IS NULL THEN value END AS as_text FROM g"""
 
 SQL = {
+    "p2_conversions": f"WITH {_CONV} SELECT field, unit, a1, b1, bridge, a2, b2 FROM conv",
+    "p2_units": _VOTES + "SELECT row_id, field, unit FROM unit_of",
+    "p2_found": _VOTES + "SELECT row_id, field FROM unit_of WHERE unit NOT IN ('prob', 'neglog10', 'lnor', 'ratio') OR (unit = 'neglog10' AND field = 'pval') OR (unit = 'ratio' AND field = 'effect')",
     "p3_table": _TABLE,
     "p4_found": _PACKED,
     "p5_found": _LINES,

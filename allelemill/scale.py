@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if named is None and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="allelemill-"))
+    if named is None:  # local mode without a setting, as in tests: gone when the process ends
+        named = tempfile.mkdtemp(prefix="allelemill-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -51,9 +56,11 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has been counted to at most ``rows`` rows, else as it is (Spark shuffles it)."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def small(df: DataFrame, rows: int, megabytes: int = 64) -> DataFrame:
+    """df with a broadcast hint if it has been measured to at most ``rows`` rows and about so many megabytes (as text), else
+    as it is (Spark shuffles it); reads no more than needed to tell."""
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))).alias("b")).first()
+    return F.broadcast(df) if got["n"] <= rows and (got["b"] or 0) <= megabytes << 20 else df
 
 
 def trimmed(c: Column) -> Column:

@@ -67,6 +67,7 @@ class ColumnSpec:
     split: str | None = None
     quoted: bool = False
     prefix: str | None = None
+    unseen: bool = False  # no value in the sample
     derived: str | None = None  # ref_of_pair, alt_of_pair, ref_of_alleles, rsid_chr, rsid_pos
 
 
@@ -110,7 +111,7 @@ def layout(lines: list[str], standard: dict[str, str], encoded: list[tuple] = EN
         filled = [v for v in values[i] if v not in MISSING]
         if std == "rsid" and not (filled and all(re.match(RSID, v) for v in filled)):
             std = None
-        spec = ColumnSpec(std or n, n, i, "string" if n in TEXT_COLUMNS else kind(values[i]), quoted=i < len(raw_first) and raw_first[i].startswith('"'))
+        spec = ColumnSpec(std or n, n, i, "string" if n in TEXT_COLUMNS else kind(values[i]), quoted=i < len(raw_first) and raw_first[i].startswith('"'), unseen=not filled and n not in TEXT_COLUMNS)
         if std == "chr":
             spec.kind = "string"
             spec.prefix = "chr" if filled and all(v.lower().startswith("chr") for v in filled) else None

@@ -3,8 +3,9 @@
     source = StatsSource.open(spark, "trait.tsv.gz", build="b37")
     source["chr == 1 & pval < 5e-8"]        source[RegionSet...]        source[Variants...]        source.head(10)
 
-Opening reads a bounded sample on the driver; everything else is one projection over a text scan, so Catalyst prunes the
-columns and places the filter. A gzip file cannot be split: stage it as Parquet for repeated use (``stage``).
+Opening reads a bounded sample on the driver, which tells the layout; if the file is longer, one aggregate over all of it tells
+the types, so that every value of a column has a place in its type. Everything else is one projection over a text scan, so
+Catalyst prunes the columns and places the filter. A gzip file cannot be split: stage it as Parquet for repeated use (``stage``).
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from ..functions.builds import normalise_build
 from ..functions.genome import effect_ordered, reference_allele, with_chr
 from ..functions.statistics import complete_missing_stats
 from ..operators import liftover as L
-from ..operators.regions import RegionSet
+from ..operators.regions import FEW, RegionSet
 from ..operators.variants import Variants, locate
 from ..plans.aliases import standard_names
-from ..plans.predicate import ALLELES, InRegions, Predicate, TableValues, parse
+from ..plans.predicate import ALLELES, InRegions, Predicate, RegionTable, TableValues, conjuncts, parse, with_tables
 from .sniff import MISSING, ColumnSpec, Layout, layout
 
 
@@ -43,17 +44,23 @@ class StatsSource:
     @staticmethod
     def open(
         spark: SparkSession, path: str, build: str | None = "auto", extra_names: dict[str, list[str]] | None = None, names: dict[str, list[str]] | None = None, trait_vcf: bool = True,
-        reference: DataFrame | None = None, references: dict[str, DataFrame] | None = None, chains: dict | None = None, sample_lines: int = 600,
+        reference: DataFrame | None = None, references: dict[str, DataFrame] | None = None, chains: dict | None = None, sample_lines: int = 600, types: str = "file",
     ) -> StatsSource:
         """A text file: comments, trimmed header marks, separator, names, packed columns and types are detected.
 
         build auto infers it from ``references`` (see infer_build) where they are given; files indexed by rsid count as b38.
+        types "file" looks at all values of the file; "sample" trusts the first lines and lets a later value that does not
+        fit end the query with an error.
         """
+        if types not in ("file", "sample"):
+            raise ValueError("types must be file or sample")
         first = [r[0] for r in spark.read.text(path).limit(sample_lines).collect()]
         lay = layout([x.rstrip("\r") for x in first], standard_names(extra_names, names), trait_vcf=trait_vcf)
         for w in lay.warnings:
             warnings.warn(w, stacklevel=2)
-        src = StatsSource(_scan(spark, path, lay), lay, path, None, reference, chains or {})
+        if len(first) == sample_lines and types == "file":
+            widen_types(spark, path, lay)
+        src = StatsSource(_scan(spark, path, lay, strict=types == "sample"), lay, path, None, reference, chains or {})
         if build == "auto":
             if lay.needs_rsid:
                 build = "b38"
@@ -133,7 +140,14 @@ class StatsSource:
         if isinstance(condition, Column):
             return self.table.where(condition)
         if isinstance(condition, RegionSet):
-            return self._lifted(condition).filter(self._placed())
+            wanted = self._lifted(condition)
+            if not self.needs_rsid:
+                return wanted.filter(self.table)
+            if self.reference is None:
+                return self._placed()
+            from ..operators.rsid import by_regions
+
+            return by_regions(self.table, self.reference, wanted)
         if isinstance(condition, Variants):
             if self.needs_rsid:
                 raise ValueError("a file indexed by rsid has no coordinates to locate variants by")
@@ -141,28 +155,36 @@ class StatsSource:
             if self.build and v.build != self.build:
                 v = v.lift(self.build, self.chains)
             return locate(self.table, v)
-        tables: list[TableValues] = []
+        spark = self.table.sparkSession
         if isinstance(condition, str):
-            tables = [TableValues(k, v) for k, v in values.items() if isinstance(v, DataFrame)]
-            shown = {k: _embedded(self._lifted(v)) if isinstance(v, RegionSet) else v for k, v in values.items()} | {t.key: t for t in tables}
+            shown = {k: _embedded(k, self._lifted(v)) if isinstance(v, RegionSet) else TableValues(k, v) if isinstance(v, DataFrame) else v for k, v in values.items()}
             condition = parse(condition, [*self.columns, "chr", "pos"], shown)
         if not isinstance(condition, Predicate):
             raise ValueError(f"{condition!r} is no condition")
-        table = self._placed() if self.needs_rsid and condition.columns() & {"chr", "pos"} else self.table
+        condition = with_tables(condition, spark)
+        table = self._placed(condition) if self.needs_rsid and condition.columns() & {"chr", "pos"} else self.table
         columns = table.columns
-        for t in tables:
+        whole, rest = conjuncts(condition)
+        for t in whole:  # value sets that every row has to be in
+            table = t.values.within(table, t.name)
+        if rest is None:
+            return table
+        for t in rest.tables():
             table = t.joined(table)
-        return table.where(condition.column(dict(table.dtypes))).select(*[f"`{c}`" for c in columns])
+        return table.where(rest.column(dict(table.dtypes))).select(*[f"`{c}`" for c in columns])
 
-    def _placed(self) -> DataFrame:
-        """The table with coordinates; files indexed by rsid get them from the reference entries (leading columns)."""
+    def _placed(self, condition: Predicate | None = None) -> DataFrame:
+        """The table with coordinates; files indexed by rsid get them from the reference entries (leading columns), which are
+        cut to the regions that the condition can hold in beforehand."""
         if not self.needs_rsid:
             return self.table
         if self.reference is None:
             raise ValueError("a positional condition on a file indexed by rsid needs reference entries")
         from ..operators.rsid import with_positions
 
-        return with_positions(self.table, self.reference)
+        where = condition.regions(self.table.sparkSession) if condition is not None else None
+        entries = self.reference if where is None or where.is_full() else where.filter(self.reference)
+        return with_positions(self.table, entries)
 
     def _lifted(self, r: RegionSet) -> RegionSet:
         if r.build is None and self.build is None or r.build == self.build:
@@ -176,11 +198,10 @@ class StatsSource:
         return L.lift_regions(r, self.chains[(r.build, self.build)], self.build)
 
 
-def _embedded(r: RegionSet, most: int = 2000) -> InRegions:
-    rows = r.df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} regions within an expression; filter by the set itself and then by the rest")
-    return InRegions(tuple(tuple(x) for x in rows), r.include)
+def _embedded(key: str, r: RegionSet) -> Predicate:
+    """A set of regions within an expression: a few as a condition that the scan can use, more as a table that is joined."""
+    rows = r.df.limit(FEW + 1).collect()
+    return InRegions(tuple(tuple(x) for x in rows), r.include) if len(rows) <= FEW else RegionTable(key, r)
 
 
 def _canonical(name: str, c: Column) -> Column:
@@ -189,17 +210,46 @@ def _canonical(name: str, c: Column) -> Column:
     return F.upper(c.cast("string")) if name in ALLELES else c
 
 
-def _typed(c: Column, kind: str) -> Column:
+_WHOLE, _DECIMAL = r"^[+-]?[0-9]{1,18}$", r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[Ii]nf)$"
+_YES, _NO = ["TRUE", "T", "true"], ["FALSE", "F", "false"]
+
+
+def _filled(c: Column) -> Column:
     t = F.trim(c)
-    v = F.when(~t.isin(sorted(MISSING)), t)
+    return F.when(~t.isin(sorted(MISSING)), t)
+
+
+def _typed(c: Column, kind: str, strict: bool = False) -> Column:
+    v = _filled(c)
     if kind == "string":
         return v
     if kind == "boolean":
-        return F.when(v.isin("TRUE", "T", "true"), True).when(v.isin("FALSE", "F", "false"), False)
-    return v.try_cast(kind)
-
-
-def _scan(spark: SparkSession, path: str, lay: Layout) -> DataFrame:
+        known = F.when(v.isin(_YES), True).when(v.isin(_NO), False)
+        return known.when(v.isNotNull(), F.raise_error(F.concat(F.lit("not a truth value: "), v)).cast("boolean")) if strict else known
+    v = F.regexp_replace(v, "^([+-]?)[Ii]nf$", "$1Infinity") if kind == "double" else v
+    return v.cast(kind) if strict else v.try_cast(kind)
+
+
+def widen_types(spark: SparkSession, path: str, lay: Layout) -> None:
+    """Sets the type of each column to the narrowest that all values of the file have: one aggregate over the file. Columns
+    that the sample shows to be text stay text."""
+    plain = [p for p in lay.columns if p.derived is None and p.name not in ("chr", "rsid", "variant_id", *ALLELES) and (p.kind != "string" or p.unseen)]
+    if not plain:
+        return
+    sums = []
+    for i, p in enumerate(plain):
+        v = _filled(F.col(f"`{i}`"))
+        sums += [
+            F.count(v).alias(f"n{i}"), F.count_if(~v.isin(_YES + _NO)).alias(f"boolean{i}"), F.count_if(~v.rlike(_WHOLE) | v.try_cast("int").isNull()).alias(f"int{i}"),
+            F.count_if(~v.rlike(_WHOLE)).alias(f"bigint{i}"), F.count_if(~v.rlike(_DECIMAL)).alias(f"double{i}"),
+        ]
+    got = _rows(spark, path, lay).select(*[_raw(p).alias(str(i)) for i, p in enumerate(plain)]).agg(*sums).first()
+    for i, p in enumerate(plain):
+        p.kind = next((k for k in ("boolean", "int", "bigint", "double") if got[f"n{i}"] and not got[f"{k}{i}"]), "string")
+
+
+def _rows(spark: SparkSession, path: str, lay: Layout) -> DataFrame:
+    """(r): the data lines of a file as structs of text."""
     text = spark.read.text(path)
     line = F.regexp_replace("value", "\r$", "")
     keep = (F.trim(line) != "") & (line != lay.header_line)
@@ -208,12 +258,16 @@ def _scan(spark: SparkSession, path: str, lay: Layout) -> DataFrame:
     if lay.trim:
         line = F.when(line.startswith(lay.trim), F.substr(line, F.lit(len(lay.trim) + 1))).otherwise(line)
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(lay.names))])
-    rows = text.where(keep).select(F.from_csv(line, schema.simpleString()[7:-1].replace(":", " "), {"sep": lay.sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": ""}).alias("r"))
-    value = {p.name: p for p in lay.columns}
+    return text.where(keep).select(F.from_csv(line, schema.simpleString()[7:-1].replace(":", " "), {"sep": lay.sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": ""}).alias("r"))
+
+
+def _raw(p: ColumnSpec) -> Column:
+    c = F.col(f"r.c{p.index}")
+    return c if p.part is None else F.try_element_at(F.split(c, p.split), F.lit(p.part + 1))
 
-    def raw(p: ColumnSpec) -> Column:
-        c = F.col(f"r.c{p.index}")
-        return c if p.part is None else F.try_element_at(F.split(c, p.split), F.lit(p.part + 1))
+
+def _scan(spark: SparkSession, path: str, lay: Layout, strict: bool = False) -> DataFrame:
+    value = {p.name: p for p in lay.columns}
 
     def column(p: ColumnSpec) -> Column:
         if p.derived in ("ref_of_pair", "alt_of_pair"):
@@ -222,8 +276,8 @@ def _scan(spark: SparkSession, path: str, lay: Layout) -> DataFrame:
             ref, alt = effect_ordered(F.try_element_at(whole, F.lit(1)), F.try_element_at(whole, F.lit(2)), F.trim(F.col(f"r.c{eff.index}")))
             return ref if p.derived == "ref_of_pair" else alt
         if p.derived == "ref_of_alleles":
-            a, b, alt = (F.upper(_typed(raw(value[n]), "string")) for n in ("allele1", "allele2", "alt"))
+            a, b, alt = (F.upper(_typed(_raw(value[n]), "string")) for n in ("allele1", "allele2", "alt"))
             return reference_allele(a, b, alt)
-        return _canonical(p.name, _typed(raw(p), p.kind))
+        return _canonical(p.name, _typed(_raw(p), p.kind, strict))
 
-    return rows.select(*[column(p).alias(p.name) for p in lay.columns])
+    return _rows(spark, path, lay).select(*[column(p).alias(p.name) for p in lay.columns])
