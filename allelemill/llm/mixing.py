@@ -8,7 +8,7 @@ that the cell reaches its tokens nearly exactly instead of only on average. The
 thresholds stay on the executors.
 
 Topics are found in the texts alone, whatever their source. Each text is read once: its tokens are counted and its words kept
-as numbers. From the counts of all texts the ``VOCABULARY`` words are taken that tell most (frequent, yet in at most a fifth
+as numbers. From the counts of all texts the ``VOCABULARY`` words are taken that tell most (frequent, yet in at most two fifths
 of the texts); how often two of them share a text, against chance, says how alike they are; words that are alike form
 ``TOPICS`` groups (spherical k-means from spread-out beginnings, without chance). A text's topic is the group that its words
 speak for most; texts without any of the words have the topic ``none``.
@@ -92,7 +92,7 @@ def measured(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return documents.mapInPandas(run, ", ".join(f"`{c}` {t}" for c, t in kinds) + ", n_tokens int, words array<int>")
 
 
-def telling_words(rows: DataFrame, size: int = VOCABULARY, most: float = 0.2) -> np.ndarray:
+def telling_words(rows: DataFrame, size: int = VOCABULARY, most: float = 0.4) -> np.ndarray:
     """The up to ``size`` words (hashes, sorted) with the largest n ln(N / n) among those in at most that share of the N
     texts and in at least two; ties by hash."""
     total = rows.count()

@@ -136,3 +136,33 @@ def test_same_result_each_time(spark):
     d, targets = docs(spark, 200), spark.createDataFrame([("s0", 0.5, 1), ("s1", 0.5, 2)], T)
     a, b = (sorted(map(tuple, M.mixture(x, targets).select("doc_id", "copies").collect())) for x in (d, d.repartition(7, F.rand())))
     assert a == b
+
+
+def test_topics_come_from_the_texts(spark):
+    """Texts about two matters, dealt to sources at random, form two topics."""
+    rng = np.random.default_rng(1)
+    matters = [["engine", "gearbox", "clutch", "piston", "exhaust", "throttle"], ["flour", "butter", "oven", "dough", "yeast", "sugar"]]
+    rows = [(i, " ".join(rng.choice(matters[i % 2], 4, replace=False)) + " the and with for", f"s{rng.integers(0, 3)}", "en") for i in range(200)]
+    d = spark.createDataFrame([*rows, (900, "zzz", "s1", "en")], "doc_id long, text string, source string, lang string")
+    t = M.texts(d, spark.createDataFrame([(f"s{i}", 0.3, 1) for i in range(3)], T)).toPandas()
+    first = dict(zip(t.doc_id, t.topic))
+    sides = [{first[i] for i in first if i < 900 and i % 2 == k} for k in (0, 1)]
+    assert not sides[0] & sides[1] and first[900] == "none"
+
+
+def test_thresholds_reach_the_tokens(spark):
+    d = spark.createDataFrame([("a", "en", "t", 10 + i % 7, float((i * 0.61803398875) % 1)) for i in range(5000)] + [("b", "en", "t", 5, 0.999)], "src string, lang string, topic string, n_tokens int, h double")
+    plan = spark.createDataFrame([("a", "en", "t", 1, 0.37), ("b", "en", "t", 0, 0.5), ("c", "en", "t", 2, 0.0)], "src string, lang string, topic string, whole int, extra double")
+    at = {r["src"]: r["below"] for r in M.thresholds(d, plan).collect()}
+    g = d.filter("src = 'a'").toPandas()
+    assert abs(g.n_tokens[g.h < at["a"]].sum() / g.n_tokens.sum() - 0.37) < 0.001 and at["c"] == 0 and 0 < at["b"] <= 1
+
+
+def test_packing_many_limits_and_levels(spark):
+    d = docs(spark, 400)
+    limits = spark.createDataFrame([(f"l{i}", 64 + i) for i in range(5)], "limit_name string, capacity_tokens int")
+    out = P.fill_containers(d, limits, shard_items=30, shard_tokens=2000).toPandas()
+    for (_, cap), g in out.groupby(["limit_name", "capacity"]):
+        fill = g.groupby("container_id").n_tokens.sum()
+        assert (fill <= cap).all() and not g.duplicated(["doc_id", "part_no"]).any()
+    assert out.groupby("limit_name").n_tokens.sum().nunique() == 1
