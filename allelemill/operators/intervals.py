@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.genome import LAST
-from ..scale import at_most, cut, small
+from ..scale import at_most, cut
 
 WIDTH = 1 << 18  #: positions in a bucket
 SMALL = 500_000  #: intervals that one window per chromosome may sort
@@ -77,70 +77,82 @@ def gaps(merged: DataFrame, chromosomes: DataFrame, first: int = 1) -> DataFrame
     return inside.unionByName(tail).filter("start <= end")
 
 
+class Binning:
+    """How closed intervals are cut into bins: the width, the number of rows that gives, and what the intervals reach; one job.
+
+    The width is the smallest power of two for which cutting gives at most four rows per interval (or 50 000 in all), so that
+    a position is compared with few intervals and open ends do not multiply."""
+
+    def __init__(self, regions: DataFrame, start: str = "start", end: str = "end", most: int = 200) -> None:
+        sizes = [1 << k for k in range(10, 32)]
+        cuts = [F.sum(F.floor(F.col(end) / b) - F.floor(F.col(start) / b) + 1).alias(str(b)) for b in sizes]
+        got = regions.agg(F.count(F.lit(1)).alias("n"), F.min(start).alias("s"), F.max(end).alias("e"), F.slice(F.array_sort(F.collect_set("chr")), 1, most + 1).alias("c"), *cuts).first()
+        self.n, self.first, self.last = got["n"], got["s"], got["e"]
+        self.chromosomes = got["c"] if len(got["c"]) <= most else None
+        self.width = next((b for b in sizes if (got[str(b)] or 0) <= max(4 * got["n"], 50_000)), sizes[-1])
+        self.rows = got[str(self.width)] or 0
+        self.start, self.end = start, end
+
+    def of(self, start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.floor(start / self.width), F.floor(end / self.width)))
+
+    def at(self, pos: Column) -> Column:
+        return F.floor(pos / self.width)
+
+    def cut(self, regions: DataFrame, bound: int) -> DataFrame:
+        """regions with their bins (_bin); broadcast if these are at most ``bound`` rows (of some 50 bytes each)."""
+        r = regions.withColumn("_bin", self.of(F.col(self.start), F.col(self.end)))
+        return F.broadcast(r) if self.rows <= bound else r
+
+    def reach(self, chrom: str, pos: str) -> Column:
+        """A condition that all rows within the intervals meet and that a scan can use: chromosomes and outermost positions."""
+        if not self.n:
+            return F.lit(False)
+        c = F.col(pos).between(self.first, self.last)
+        return c & F.col(chrom).isin(self.chromosomes) if self.chromosomes is not None else c
+
+
 def overlaps(left: DataFrame, right: DataFrame, bound: int = 100_000) -> DataFrame:
     """Pairs of rows of left (chr, start, end, ...) and right (chr, start2, end2, ...) that overlap, each once.
 
     Both sides are cut into bins and joined on (chr, bin); a pair is kept in the bin of its later start only. The bins of the
     right side are broadcast if they have been counted to at most ``bound`` rows.
     """
-    hit = (F.col("start") <= F.col("end2")) & (F.col("start2") <= F.col("end"))
-    width = bin_size(right.select(F.col("start2").alias("start"), F.col("end2").alias("end")))
-    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))
-    span = right.agg(F.min("start2").alias("s"), F.max("end2").alias("e")).first()  # open ends of the left side reach no further than this
-    if span["s"] is None:
+    b = Binning(right, "start2", "end2")
+    if not b.n:
         return left.join(right.limit(0), "chr")
-    l = left.filter(hit_span(span)).withColumns({"_from": F.greatest("start", F.lit(span["s"])), "_to": F.least("end", F.lit(span["e"]))}).withColumn("_bin", bins("_from", "_to")).drop("_from", "_to")
-    r = right.withColumn("_bin", bins("start2", "end2"))
-    return l.join(small(r, bound), ["chr", "_bin"]).filter(hit & (F.col("_bin") == F.floor(F.greatest("start", "start2") / width))).drop("_bin")
-
-
-def hit_span(span: dict) -> Column:
-    return (F.col("start") <= F.lit(span["e"])) & (F.col("end") >= F.lit(span["s"]))
-
-
-def reach(regions: DataFrame, chrom: str, pos: str, most: int = 200) -> Column | None:
-    """A condition that all rows within the regions meet and that a scan can use: chromosomes and outermost positions."""
-    got = regions.agg(F.min("start").alias("s"), F.max("end").alias("e"), F.slice(F.array_sort(F.collect_set("chr")), 1, most + 1).alias("c")).first()
-    if not got["c"]:
-        return F.lit(False)
-    c = F.col(pos).between(got["s"], got["e"])
-    return c & F.col(chrom).isin(got["c"]) if len(got["c"]) <= most else c
+    hit = (F.col("start") <= F.col("end2")) & (F.col("start2") <= F.col("end"))
+    l = left.filter((F.col("start") <= b.last) & (F.col("end") >= b.first))  # open ends of the left side need no bins beyond the right one
+    l = l.withColumn("_bin", b.of(F.greatest("start", F.lit(b.first)), F.least("end", F.lit(b.last))))
+    return l.join(b.cut(right, bound), ["chr", "_bin"]).filter(hit & (F.col("_bin") == b.at(F.greatest("start", "start2")))).drop("_bin")
 
 
-def bin_size(regions: DataFrame) -> int:
-    """The smallest power of two for which cutting the regions into bins gives at most four rows per region (or 50 000
-    in all), so that a position is compared with few regions and open ends do not multiply."""
-    sizes = [1 << k for k in range(10, 32)]
-    cuts = [F.sum(F.floor(F.col("end") / b) - F.floor(F.col("start") / b) + 1).alias(str(b)) for b in sizes]
-    got = regions.agg(F.count(F.lit(1)).alias("n"), *cuts).first()
-    return next((b for b in sizes if (got[str(b)] or 0) <= max(4 * got["n"], 50_000)), sizes[-1])
+def _edges(regions: DataFrame) -> DataFrame:
+    return regions.select(F.col("chr").alias("_chr"), F.col("start").alias("_s"), F.col("end").alias("_e"), "_bin")
 
 
 def contained(rows: DataFrame, chrom: str, pos: str, regions: DataFrame, negate: bool = False, bound: int = 500_000) -> DataFrame:
     """Rows whose position lies in one of the regions (closed bounds), or in none of them; by a join on (chr, bin)."""
-    width = bin_size(regions)
-    r = regions.select(F.col("chr").alias("_chr"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
-    hit = (F.col(chrom) == F.col("_chr")) & (F.floor(F.col(pos) / width) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
-    if negate:
-        return rows.join(small(r, bound), hit, "left_anti")
-    return rows.where(reach(regions, chrom, pos)).join(small(r, bound), hit, "left_semi")
+    b = Binning(regions)
+    hit = (F.col(chrom) == F.col("_chr")) & (b.at(F.col(pos)) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
+    r = _edges(b.cut(regions, bound))
+    return rows.join(r, hit, "left_anti") if negate else rows.where(b.reach(chrom, pos)).join(r, hit, "left_semi")
 
 
 def contained_anywhere(rows: DataFrame, pos: str, regions: DataFrame, negate: bool = False, bound: int = 500_000) -> DataFrame:
-    """As contained for regions (start, end) of any chromosome: a join on the bin of the position alone."""
-    width = bin_size(regions)
-    r = regions.select(F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
-    hit = (F.floor(F.col(pos) / width) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
-    return rows.join(small(r, bound), hit, "left_anti" if negate else "left_semi")
+    """As contained for regions of any chromosome: a join on the bin of the position alone."""
+    b = Binning(regions)
+    hit = (b.at(F.col(pos)) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
+    return rows.join(_edges(b.cut(regions, bound)).drop("_chr"), hit, "left_anti" if negate else "left_semi")
 
 
 def flagged(rows: DataFrame, chrom: str, pos: str, regions: DataFrame, flag: str, bound: int = 500_000) -> DataFrame:
     """rows with a flag: whether the position lies in one of the regions (merged, closed bounds; chr '' is any chromosome);
     null where chromosome or position is. Merged regions do not overlap, so no row is repeated."""
-    width = bin_size(regions)
-    r = regions.select(F.col("chr").alias("_chr"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_bin"))
-    at = (F.floor(F.col(pos) / width) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
-    out = rows.join(small(r.filter("_chr <> ''"), bound), (F.col(chrom) == F.col("_chr")) & at, "left").withColumn("_in1", F.col("_s").isNotNull()).drop("_chr", "_s", "_e", "_bin")
-    out = out.join(small(r.filter("_chr = ''").drop("_chr"), bound), at, "left").withColumn("_in2", F.col("_s").isNotNull()).drop("_s", "_e", "_bin")
+    b = Binning(regions)
+    at = (b.at(F.col(pos)) == F.col("_bin")) & F.col(pos).between(F.col("_s"), F.col("_e"))
+    here, anywhere = (_edges(b.cut(regions.filter(c), bound)) for c in ("chr <> ''", "chr = ''"))
+    out = rows.join(here, (F.col(chrom) == F.col("_chr")) & at, "left").withColumn("_in1", F.col("_s").isNotNull()).drop("_chr", "_s", "_e", "_bin")
+    out = out.join(anywhere.drop("_chr"), at, "left").withColumn("_in2", F.col("_s").isNotNull()).drop("_s", "_e", "_bin")
     known = F.col(chrom).isNotNull() & F.col(pos).isNotNull()
     return out.withColumn(flag, F.when(known, F.col("_in1") | F.col("_in2"))).drop("_in1", "_in2")

@@ -39,6 +39,7 @@ class RegionSet:
     build: str | None = None
     include: bool = True
     chains: dict = field(default_factory=dict, compare=False)  # (from, to) -> chain table, used where builds differ
+    done: bool = field(default=False, compare=False)  # the rows are known to be merged
 
     # ---- making
 
@@ -52,7 +53,7 @@ class RegionSet:
                 raise ValueError(f"end {e} lies before start {s}")
             c = None if c is None else str(c) if str(c).startswith(prefix) else prefix + str(c)
             rows.append((c, None if s is None else int(s), None if e is None else int(e)))
-        out = RegionSet(I.held(spark, rows, SCHEMA) if n <= I.FEW else spark.createDataFrame(rows, SCHEMA), normalise_build(build), include)
+        out = RegionSet(I.held(spark, rows, SCHEMA) if n <= I.FEW else spark.createDataFrame(rows, SCHEMA), normalise_build(build), include, done=n == 1)
         return out.merged() if merge else out
 
     @staticmethod
@@ -66,14 +67,14 @@ class RegionSet:
 
     @staticmethod
     def empty(spark: SparkSession, build: str | None = None) -> RegionSet:
-        return RegionSet(I.held(spark, [], SCHEMA), normalise_build(build))
+        return RegionSet(I.held(spark, [], SCHEMA), normalise_build(build), done=True)
 
     @staticmethod
     def full(spark: SparkSession, build: str | None = None) -> RegionSet:
-        return RegionSet(I.held(spark, [(None, None, None)], SCHEMA), normalise_build(build))
+        return RegionSet(I.held(spark, [(None, None, None)], SCHEMA), normalise_build(build), done=True)
 
     def _with(self, closed: DataFrame, include: bool = True) -> RegionSet:
-        return RegionSet(I.opened(closed), self.build, include, self.chains)
+        return RegionSet(I.opened(closed), self.build, include, self.chains, True)
 
     # ---- looking
 
@@ -97,15 +98,19 @@ class RegionSet:
 
     def where(self, condition: Column | str) -> RegionSet:
         """A subset of the rows; build and include stay."""
-        return RegionSet(self.df.where(condition), self.build, self.include, self.chains)
+        return RegionSet(self.df.where(condition), self.build, self.include, self.chains, self.done)
 
     # ---- algebra
 
     def merged(self) -> RegionSet:
-        return self._with(I.merge(I.closed(self.df)), self.include)
+        return self if self.done else self._with(I.merge(I.closed(self.df)), self.include)
+
+    def _merged_rows(self) -> DataFrame:
+        """The rows merged, with closed bounds."""
+        return I.closed(self.df) if self.done else I.merge(I.closed(self.df))
 
     def __invert__(self) -> RegionSet:
-        return RegionSet(self.df, self.build, not self.include, self.chains)
+        return RegionSet(self.df, self.build, not self.include, self.chains, self.done)
 
     __neg__ = __invert__
 
@@ -122,7 +127,11 @@ class RegionSet:
         return lift_regions(other, chain, self.build)
 
     def _chromosomes(self, bound: int = 10_000) -> list[str]:
-        got = [r[0] for r in self.df.select("chr").filter("chr is not null").distinct().limit(bound + 1).collect()]
+        return [c for c in self._names(bound) if c]
+
+    def _names(self, bound: int = 10_000) -> list[str]:
+        """The chromosomes of the rows, with '' for any."""
+        got = [r[0] for r in self.df.select(F.coalesce("chr", F.lit(""))).distinct().limit(bound + 1).collect()]
         if len(got) > bound:
             raise ValueError(f"more than {bound} chromosomes")
         return sorted(got)
@@ -146,9 +155,13 @@ class RegionSet:
             return other - ~self
         if not other.include:
             return self - ~other
-        a, b = _spread(self, other._chromosomes()), _spread(other, self._chromosomes())
-        both = I.overlaps(I.merge(a), I.merge(b).select("chr", F.col("start").alias("start2"), F.col("end").alias("end2")))
-        return self._with(I.merge(both.select("chr", F.greatest("start", "start2").alias("start"), F.least("end", "end2").alias("end"))))
+        mine, theirs = self._names(), other._names()
+        plain = "" not in mine and "" not in theirs  # then what merged sets share is merged, too
+        a = self._merged_rows() if plain else I.merge(_spread(self, [c for c in theirs if c]))
+        b = other._merged_rows() if plain else I.merge(_spread(other, [c for c in mine if c]))
+        both = I.overlaps(a, b.select("chr", F.col("start").alias("start2"), F.col("end").alias("end2")))
+        both = both.select("chr", F.greatest("start", "start2").alias("start"), F.least("end", "end2").alias("end"))
+        return self._with(both if plain else I.merge(both))
 
     def __sub__(self, other: RegionSet, domain: Sequence[str] = AUTOSOMES) -> RegionSet:
         other = self._aligned(other)
@@ -178,7 +191,7 @@ class RegionSet:
 
     def __tidy(self) -> RegionSet:
         whole = (F.coalesce("start", F.lit(1)) <= 1) & F.col("end").isNull()
-        return RegionSet(self.df.withColumn("start", F.when(whole, F.lit(None)).otherwise(F.col("start")).cast("int")), self.build, self.include)
+        return RegionSet(self.df.withColumn("start", F.when(whole, F.lit(None)).otherwise(F.col("start")).cast("int")), self.build, self.include, self.chains, True)
 
     def equals(self, other: RegionSet, domain: Sequence[str] = AUTOSOMES) -> bool:
         def plain(x: RegionSet) -> DataFrame:
@@ -214,7 +227,7 @@ class RegionSet:
         if len(got) <= FEW:
             cond = expression([tuple(r) for r in got], chrom, pos)
             return rows.where(cond if self.include else known & ~cond)
-        m = I.merge(I.closed(self.df))
+        m = self._merged_rows()
         keyed, here, anywhere = rows.where(known), m.filter("chr <> ''"), m.filter("chr = ''")
         if not anywhere.limit(1).count():
             return I.contained(keyed, chrom, pos, m, negate=not self.include)

@@ -21,4 +21,4 @@ def with_positions(rows: DataFrame, reference: DataFrame, bound: int = 500_000)
 
 def by_regions(rows: DataFrame, reference: DataFrame, regions: RegionSet) -> DataFrame:
     """Rows whose rsid lies in the regions: the entries are cut to the regions first, so the join stays small."""
-    return with_positions(rows, regions.filter(reference))
+    return with_positions(rows, regions.filter(reference.withColumn("chr", with_chr(F.col("chr").cast("string")))))

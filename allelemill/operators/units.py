@@ -7,8 +7,8 @@ checked for consistency; the resulting coefficients form a small table that is e
 Which unit a value is in is found from the data: p-value and effect of one row belong to one normal test, so a pair of
 fields fits exactly one pair of units within rounding. Rows without such a pair are judged by pval beside log10p and
 effect beside odds_ratio, which need no standard error. Such votes are counted per file, field and unit with the first
-and last line; a file has one unit, or changes it at a line, or mixes units (then a row's own vote decides, and rows
-without vote follow the nearest line that votes). Every vote counts, however long the file. Only where a
+and last line; a file has one unit, or changes it at a line, or mixes units. Where a file has several units its rows vote
+again, for these units only; that vote decides, and rows still without one follow the stretch or the nearest line that votes. Every vote counts, however long the file. Only where a
 field has no vote at all, the declared unit (unit columns, notes) holds, else the range of its values, if more than a twentieth of a file's values
 are impossible in the canonical unit: no p-value is negative or above 1, no log10p or odds ratio negative.
 
@@ -59,7 +59,7 @@ NOUNS = {
     "effect": r"effects?|betas?|estimates?|slopes?",
 }
 SCALES = {
-    "percent": r"%|\bper ?cent(?:age)?s?\b|\bpct\b|(?<!\w)x ?100(?!0)|\* ?100(?!0)|\b100 ?(?:\*|x\b|times)", "milli": r"\bmilli|\bthousandths?\b|(?<!\w)x ?1000\b|\* ?1000\b|\b1000 ?(?:\*|x\b|times)|\b1e-0?3\b",
+    "percent": r"%|\bper ?cent(?:age)?s?\b|\bpct\b|(?<!\w)x ?100(?!0)|\* ?100(?!0)|\b100 ?(?:\*|x\b|times)|\btimes 100(?!0)", "milli": r"\bmilli|\bthousandths?\b|(?<!\w)x ?1000\b|\* ?1000\b|\b1000 ?(?:\*|x\b|times)|\btimes 1000\b|\b1e-0?3\b",
     "smd": r"\bsmd\b|\bstandardi[sz]ed\b|\bcohen", "log2": r"log_?2\b|\bbase[ -](?:2|two)\b", "log10": r"log_?10|\blg\b|\bbase[ -](?:10|ten)\b", "ln": r"\bln|\bnatural log|\be-?log\b|\blog_?e\b|\bbase e\b|\balready logged\b",
 }
 PLAIN = r"\b(?:not|never|un)[ -]?logged\b|\bratios?\b"
@@ -219,8 +219,9 @@ def _candidates(pdf: pd.DataFrame) -> dict[str, dict[str, np.ndarray]]:
     return out
 
 
-def row_votes(pdf: pd.DataFrame, fit: float = 0.002, clear: float = 0.02) -> dict[str, np.ndarray]:
-    """For each field the position of the unit that the row speaks for, else -1.
+def row_votes(pdf: pd.DataFrame, fit: float = 0.002, clear: float = 0.02, masks: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """For each field the position of the unit that the row speaks for, else -1. masks limit the units of each field and row
+    to those whose bits (2 to the power of their position) are set.
 
     A pair of fields speaks if one pair of units agrees within ``fit`` and every pair with another unit is off by more
     than ``clear`` (both relative to 1 + -log10 p). Where no effect and p-value speak, the two p-values (as -log10 p) and
@@ -229,6 +230,11 @@ def row_votes(pdf: pd.DataFrame, fit: float = 0.002, clear: float = 0.02) -> dic
     cand = _candidates(pdf)
     with np.errstate(all="ignore"):
         odds = {f: {u: (np.log if f == "odds_ratio" else np.array)(_converted(pdf[f].to_numpy(dtype=float, na_value=np.nan), *way)) for g, u, *way in COMPOSED if g == f} for f in ("effect", "odds_ratio")}
+    for f, u in ((f, u) for f in FIELDS for u in (UNITS[f] if masks else [])):
+        barred = (masks[f] >> UNITS[f].index(u)) & 1 == 0
+        for of in (cand, odds):
+            if f in of:
+                of[f][u] = np.where(barred, np.nan, of[f][u])
     votes = {f: np.full(len(pdf), -1) for f in FIELDS}
     pairs = [(a, b, cand) for a in ("effect", "odds_ratio") for b in ("pval", "log10p")] + [("pval", "log10p", cand), ("effect", "odds_ratio", odds)]
     for k, (a, b, of) in enumerate(pairs):
@@ -333,8 +339,9 @@ def unit_segments(stats: DataFrame, files: DataFrame) -> DataFrame:
     return seg.unionByName(silent.select("file_id", "field", "unit", F.lit(-(2**62)).alias("from_line"), F.lit(2**62).alias("to_line"), F.lit(False).alias("mixed")))
 
 
-def _own_units(effect: pd.Series, effect_se: pd.Series, odds_ratio: pd.Series, pval: pd.Series, log10p: pd.Series) -> pd.DataFrame:
-    votes = row_votes(pd.DataFrame(dict(zip(VOTING, (effect, effect_se, odds_ratio, pval, log10p)))))
+def _own_units(effect: pd.Series, effect_se: pd.Series, odds_ratio: pd.Series, pval: pd.Series, log10p: pd.Series, *masks: pd.Series) -> pd.DataFrame:
+    allowed = {f: m.to_numpy(dtype=np.int64) for f, m in zip(FIELDS, masks)} if masks else None
+    votes = row_votes(pd.DataFrame(dict(zip(VOTING, (effect, effect_se, odds_ratio, pval, log10p)))), masks=allowed)
     return pd.DataFrame({f: np.where(votes[f] >= 0, np.array(UNITS[f], dtype=object)[votes[f]], None) for f in FIELDS})
 
 
@@ -383,20 +390,29 @@ def with_units(stats: DataFrame, files: DataFrame, block: int = 64, bound: int =
     for f in FIELDS:
         run = F.get(F.filter(f"_{f}_runs", lambda r: (r["from_line"] <= line) & (line <= r["to_line"])), F.lit(0))
         out = out.withColumn(f"{f}_unit", F.coalesce(run["unit"], F.lit(CANONICAL[f]))).drop(f"_{f}_runs")
-    first = seg.filter("mixed").groupBy("file_id", "field").agg(F.min_by("unit", F.struct("from_line", "unit")).alias("unit"))
-    if first.limit(1).count():
-        names = first.groupBy(F.col("file_id").alias("_file")).pivot("field", FIELDS).agg(F.first("unit"))
-        names = small(names.select("_file", *[F.col(f).alias(f"_{f}_first") for f in FIELDS]), bound)
+    bit = F.create_map(*[F.lit(x) for f in FIELDS for i, u in enumerate(UNITS[f]) for x in (f"{f}.{u}", 1 << i)])
+    several = seg.groupBy("file_id", "field").agg(F.count(F.lit(1)).alias("k"), F.max("mixed").alias("mixed"), F.min_by("unit", F.struct("from_line", "unit")).alias("u"), F.sum(bit[F.concat_ws(".", "field", "unit")]).alias("m")).filter("k > 1")
+    several = cut(several)
+    if several.limit(1).count():  # files with more than one unit in a field: their rows vote again, for these units only
+        names = several.groupBy(F.col("file_id").alias("_file")).pivot("field", FIELDS).agg(F.first(F.when(F.col("mixed"), F.col("u"))).alias("u"), F.first("m").alias("m"))
+        names = small(names.select("_file", *[F.col(f"{f}_{x}").alias(f"_{f}_{x}") for f in FIELDS for x in "um"]), bound)
         same_file = F.col("file_id") == F.col("_file")
-        inside = out.join(names, same_file).drop("_file").withColumn("_block", F.floor(F.col("line_no") / block))
-        near = nearest_votes(stats.join(names, same_file, "left_semi"), first, block)
-        near = near.select(F.col("file_id").alias("_file"), F.col("block").alias("_near_block"), *[F.col(f).alias(f"_{f}") for f in FIELDS])
-        inside = inside.join(small(near, bound // block), same_file & (F.col("_block") == F.col("_near_block")), "left").drop("_file", "_block", "_near_block")
+        inside = out.join(names, same_file).drop("_file")
+        mask = {f: F.coalesce(f"_{f}_m", bit[F.concat(F.lit(f"{f}."), F.col(f"{f}_unit"))]) for f in FIELDS}
         own = F.pandas_udf(_own_units, "struct<" + ", ".join(f"{f}: string" for f in FIELDS) + ">")
-        inside = inside.withColumn("_own", own(*[F.col(c).cast("double") for c in VOTING]))
+        inside = inside.withColumn("_own", own(*[F.col(c).cast("double") for c in VOTING], *[mask[f] for f in FIELDS]))
+        mixed = several.filter("mixed")
+        nearest = {f: F.lit(None).cast("string") for f in FIELDS}
+        if mixed.limit(1).count():
+            inside = inside.withColumn("_block", F.floor(F.col("line_no") / block))
+            near = nearest_votes(stats.join(small(mixed.select(F.col("file_id").alias("_file")).distinct(), bound), same_file, "left_semi"), mixed, block)
+            near = near.select(F.col("file_id").alias("_file"), F.col("block").alias("_near_block"), *[F.col(f).alias(f"_{f}") for f in FIELDS])
+            inside = inside.join(small(near, bound // block), same_file & (F.col("_block") == F.col("_near_block")), "left").drop("_file", "_block", "_near_block")
+            for f in FIELDS:
+                nearest[f] = F.array_min(F.transform(f"_{f}", lambda p: F.struct(F.abs(p["line"] - F.col("line_no")).alias("d"), p["line"].alias("line"), p["unit"].alias("unit"))))["unit"]
         for f in FIELDS:
-            nearest = F.array_min(F.transform(f"_{f}", lambda p: F.struct(F.abs(p["line"] - F.col("line_no")).alias("d"), p["line"].alias("line"), p["unit"].alias("unit"))))["unit"]
-            inside = inside.withColumn(f"{f}_unit", F.when(F.col(f"_{f}_first").isNull(), F.col(f"{f}_unit")).otherwise(F.coalesce(F.col(f"_own.{f}"), nearest, F.col(f"_{f}_first"))))
+            rest = F.when(F.col(f"_{f}_u").isNotNull(), F.coalesce(nearest[f], F.col(f"_{f}_u"))).otherwise(F.col(f"{f}_unit"))
+            inside = inside.withColumn(f"{f}_unit", F.when(F.col(f"_{f}_m").isNull(), F.col(f"{f}_unit")).otherwise(F.coalesce(F.col(f"_own.{f}"), rest)))
         out = out.join(names, same_file, "left_anti").unionByName(inside.select(out.columns))
     return out
 

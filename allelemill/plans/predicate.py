@@ -177,7 +177,8 @@ class TableValues:
         return v.select(with_chr(F.col("_v").cast("string")).alias("_v") if name == "chr" else F.upper("_v").alias("_v") if name in ALLELES else "_v").distinct()
 
     def _read(self, table: DataFrame, name: str) -> Column:
-        return _read(name, dict(table.dtypes), self.df.dtypes[0][1] in ("int", "bigint", "double", "float", "smallint"))
+        numeric = self.df.dtypes[0][1] in ("int", "bigint", "double", "float", "smallint") and name not in ("chr", *ALLELES)
+        return _read(name, dict(table.dtypes), numeric)
 
     def within(self, table: DataFrame, name: str) -> DataFrame:
         """The rows of table whose value is in the set."""
@@ -227,7 +228,7 @@ class RegionTable(Predicate):
         return [self]
 
     def joined(self, table: DataFrame) -> DataFrame:
-        return intervals.flagged(table, "chr", "pos", intervals.merge(intervals.closed(self.regions_.df)), f"_in_{self.key}")
+        return intervals.flagged(table, "chr", "pos", self.regions_._merged_rows(), f"_in_{self.key}")
 
     def column(self, kinds: dict[str, str]) -> Column:
         c = F.col(f"`_in_{self.key}`")
@@ -237,6 +238,13 @@ class RegionTable(Predicate):
         return self.regions_
 
 
+def positional(p: Predicate) -> Predicate:
+    """What a condition says of chromosome and position alone: a condition that every row that meets p meets."""
+    if p.columns() <= {"chr", "pos"} and not p.tables():
+        return p
+    return type(p)(tuple(positional(x) for x in p.parts)) if isinstance(p, (And, Or)) else Always(True)
+
+
 MANY = 1_000  #: values of a literal list above which it is joined as a table
 
 

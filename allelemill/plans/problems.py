@@ -237,12 +237,22 @@ votes AS (SELECT row_id, file_id, line_no, field, arg_max(unit, rank) AS unit FR
 runs AS (SELECT file_id, field, unit, min(line_no) AS a, max(line_no) AS b FROM votes WHERE file_id IS NOT NULL AND line_no IS NOT NULL GROUP BY 1, 2, 3),
 ord AS (SELECT *, lag(b) OVER w AS pb, lead(a) OVER w AS na FROM runs WINDOW w AS (PARTITION BY file_id, field ORDER BY a, b, unit)),
 seg AS (SELECT *, bool_or(coalesce(pb >= a, false)) OVER (PARTITION BY file_id, field) AS mixed FROM ord),
-spoken AS (SELECT file_id, field, arg_min(unit, (a, unit)) AS first_unit, any_value(mixed) AS mixed FROM seg GROUP BY 1, 2),
+spoken AS (SELECT file_id, field, arg_min(unit, (a, unit)) AS first_unit, any_value(mixed) AS mixed, count(*) > 1 AS several FROM seg GROUP BY 1, 2),
+g2 AS (SELECT g.* FROM g WHERE file_id IN (SELECT file_id FROM spoken WHERE several) AND (EXISTS (SELECT 1 FROM runs r WHERE r.file_id = g.file_id AND r.field = g.field AND r.unit = g.unit)
+  OR (no = 0 AND NOT EXISTS (SELECT 1 FROM runs r WHERE r.file_id = g.file_id AND r.field = g.field)))),
+d2 AS (SELECT a.row_id, a.file_id, a.line_no, k, fa, fb, rank, a.unit AS ua, b.unit AS ub, a.no AS na, b.no AS nb,
+  CASE WHEN k = 5 THEN abs(a.o - b.o) / (0.1 + least(abs(a.o), abs(b.o))) ELSE abs(a.g - b.g) / (1 + least(abs(a.g), abs(b.g))) END AS d
+  FROM pairs JOIN g2 a ON a.field = fa JOIN g2 b ON b.row_id = a.row_id AND b.field = fb),
+f2 AS (SELECT * FROM d2 WHERE d IS NOT NULL AND isfinite(d)),
+best2 AS (SELECT row_id, k, arg_min(ua, (d, na, nb)) AS ba, arg_min(ub, (d, na, nb)) AS bb, min(d) AS low FROM f2 GROUP BY 1, 2 HAVING min(d) <= 0.002),
+said2 AS (SELECT f2.row_id, f2.file_id, f2.line_no, k, rank, fa, fb, ba, bb, min(CASE WHEN ua <> ba THEN d END) AS oa, min(CASE WHEN ub <> bb THEN d END) AS ob FROM f2 JOIN best2 USING (row_id, k) GROUP BY ALL),
+each2 AS (SELECT row_id, file_id, line_no, rank, fa AS field, ba AS unit FROM said2 WHERE oa IS NULL OR oa > 0.02 UNION ALL SELECT row_id, file_id, line_no, rank, fb, bb FROM said2 WHERE ob IS NULL OR ob > 0.02),
+votes2 AS (SELECT row_id, file_id, line_no, field, arg_max(unit, rank) AS unit FROM each2 GROUP BY 1, 2, 3, 4),
 near AS (SELECT l.row_id, l.field, arg_min(v.unit, (abs(v.line_no - l.line_no), v.line_no, v.unit)) AS unit FROM l JOIN spoken p ON p.file_id = l.file_id AND p.field = l.field AND p.mixed
   JOIN votes v ON v.file_id = l.file_id AND v.field = l.field GROUP BY 1, 2),
 unit_of AS (SELECT l.row_id, l.field, coalesce(
-  CASE WHEN p.mixed THEN coalesce(v.unit, n.unit, p.first_unit) ELSE q.unit END, CASE l.field WHEN 'pval' THEN 'prob' WHEN 'log10p' THEN 'neglog10' WHEN 'effect' THEN 'lnor' ELSE 'ratio' END) AS unit
-  FROM l LEFT JOIN spoken p ON p.file_id = l.file_id AND p.field = l.field LEFT JOIN votes v ON v.row_id = l.row_id AND v.field = l.field LEFT JOIN near n ON n.row_id = l.row_id AND n.field = l.field
+  CASE WHEN p.mixed THEN coalesce(v.unit, n.unit, p.first_unit) WHEN p.several THEN coalesce(v.unit, q.unit) ELSE q.unit END, CASE l.field WHEN 'pval' THEN 'prob' WHEN 'log10p' THEN 'neglog10' WHEN 'effect' THEN 'lnor' ELSE 'ratio' END) AS unit
+  FROM l LEFT JOIN spoken p ON p.file_id = l.file_id AND p.field = l.field LEFT JOIN votes2 v ON v.row_id = l.row_id AND v.field = l.field LEFT JOIN near n ON n.row_id = l.row_id AND n.field = l.field
   LEFT JOIN seg q ON q.file_id = l.file_id AND q.field = l.field AND NOT q.mixed AND (q.pb IS NULL OR coalesce(l.line_no, 0) > (q.pb + q.a) // 2) AND (q.na IS NULL OR coalesce(l.line_no, 0) <= (q.b + q.na) // 2))
 """
 _NUM = "regexp_full_match(value, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')"

@@ -26,7 +26,7 @@ from ..operators import liftover as L
 from ..operators.regions import FEW, RegionSet
 from ..operators.variants import Variants, locate
 from ..plans.aliases import standard_names
-from ..plans.predicate import ALLELES, InRegions, Predicate, RegionTable, TableValues, conjuncts, parse, with_tables
+from ..plans.predicate import ALLELES, InRegions, Predicate, RegionTable, TableValues, conjuncts, parse, positional, with_tables
 from .sniff import MISSING, ColumnSpec, Layout, layout
 
 
@@ -175,15 +175,16 @@ class StatsSource:
 
     def _placed(self, condition: Predicate | None = None) -> DataFrame:
         """The table with coordinates; files indexed by rsid get them from the reference entries (leading columns), which are
-        cut to the regions that the condition can hold in beforehand."""
+        cut beforehand by what the condition says of positions."""
         if not self.needs_rsid:
             return self.table
         if self.reference is None:
             raise ValueError("a positional condition on a file indexed by rsid needs reference entries")
         from ..operators.rsid import with_positions
 
-        where = condition.regions(self.table.sparkSession) if condition is not None else None
-        entries = self.reference if where is None or where.is_full() else where.filter(self.reference)
+        entries = self.reference.withColumn("chr", with_chr(F.col("chr").cast("string")))
+        if condition is not None:
+            entries = entries.where(positional(condition).column(dict(entries.dtypes)))
         return with_positions(self.table, entries)
 
     def _lifted(self, r: RegionSet) -> RegionSet:
@@ -240,7 +241,7 @@ def widen_types(spark: SparkSession, path: str, lay: Layout) -> None:
     for i, p in enumerate(plain):
         v = _filled(F.col(f"`{i}`"))
         sums += [
-            F.count(v).alias(f"n{i}"), F.count_if(~v.isin(_YES + _NO)).alias(f"boolean{i}"), F.count_if(~v.rlike(_WHOLE) | v.try_cast("int").isNull()).alias(f"int{i}"),
+            F.count(v).alias(f"n{i}"), F.count_if(~v.isin(_YES + _NO)).alias(f"boolean{i}"), F.count_if(v.isNotNull() & (~v.rlike(_WHOLE) | v.try_cast("int").isNull())).alias(f"int{i}"),
             F.count_if(~v.rlike(_WHOLE)).alias(f"bigint{i}"), F.count_if(~v.rlike(_DECIMAL)).alias(f"double{i}"),
         ]
     got = _rows(spark, path, lay).select(*[_raw(p).alias(str(i)) for i, p in enumerate(plain)]).agg(*sums).first()

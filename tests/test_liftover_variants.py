@@ -49,7 +49,7 @@ def test_regions(spark):
     with pytest.warns(UserWarning, match="without a build"):
         L.lift_regions(RegionSet.of(spark, 1), c, "b38")
     same = table(spark, ("chr1", 50, 150, "x"), cols="chr string, start int, end int, label string")
-    assert L.lift_table(same, {("b37", "b38"): c}, "b38", "b37").count() == 2
+    assert [L.lift_table(same, {("b37", "b38"): c}, "b38", "b37", multi=m).count() for m in ("all", "first")] == [2, 1]
 
 
 def test_algebra_over_builds(spark):
@@ -139,3 +139,26 @@ def test_streams(spark, tmp_path):
     q = windowed_counts(stream, "ts", ["chr"]).writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sum(r["n"] for r in spark.sql("select * from w").collect()) == 20
+
+
+def test_ranges_of_a_table(spark):
+    two = chain(spark, ("chr1", 100, 200, "chr1", 50, False), ("chr1", 120, 180, "chr9", 30, True))
+    chains = {("b37", "b38"): two}
+    df = spark.createDataFrame([("chr1", 150, 160, "A", 1), ("chr1", 5000, 6000, "C", 2), ("chr1", None, 7, "G", 3), ("chr1", 90, 110, "T", 4)], "chr string, start int, end int, ref string, id int")
+    lift = lambda t, **k: [tuple(r) for r in L.lift_table(t, chains, "b38", "b37", keep_order=True, **k).collect()]
+    assert lift(df) == [("chr1", 100, 110, "A", 1), ("chr1", 50, 60, "T", 4)]
+    assert lift(df, multi="last") == [("chr9", 110, 120, "T", 1), ("chr1", 50, 60, "T", 4)]
+    assert lift(df, multi="all", drop_unlifted=False) == [("chr1", 100, 110, "A", 1), ("chr9", 110, 120, "T", 1), (None, None, None, "C", 2), (None, None, None, "G", 3), ("chr1", 50, 60, "T", 4)]
+    only = lambda c: lift(df.select("chr", F.col("start").alias(c), "id"), drop_unlifted=False)
+    assert only("start") == only("end") == [("chr1", 100, 1), (None, None, 2), (None, None, 3), (None, None, 4)]
+    with pytest.raises(ValueError, match="both pos and start"):
+        L.lift_table(df.withColumn("pos", F.lit(1)), chains, "b38", "b37")
+    with pytest.raises(ValueError, match="needs chr and pos, start or end"):
+        L.lift_table(df.select("chr", "id"), chains, "b38", "b37")
+
+
+def test_order_of_points(spark):
+    two = chain(spark, ("chr1", 100, 200, "chr1", 50, False), ("chr1", 120, 180, "chr1", 30, False))
+    df = spark.createDataFrame([("chr1", 150, "x"), ("chr1", 5000, "y"), ("chr1", 101, "z")], "chr string, pos int, id string")
+    got = [(r["id"], r["pos"]) for r in L.lift_table(df, {("b37", "b38"): two}, "b38", "b37", multi="all", drop_unlifted=False, keep_order=True).collect()]
+    assert got == [("x", 100), ("x", 120), ("y", None), ("z", 51)]

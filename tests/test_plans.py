@@ -69,5 +69,5 @@ def test_lines_load_in_the_jvm(spark):
     files = spark.createDataFrame([(1, ",")], "file_id long, sep string")
     info = spark.createDataFrame([(1, 1, 1, "chr", "chr", None, None)], "ci_id long, file_id long, col_index int, input_name string, standard_name string, class_name string, recorded_at timestamp")
     alias = spark.createDataFrame([("pos", "pos")], "standard_name string, input_name string")
-    out = error_parse.loaded(error_parse.data_lines(raw, files, info, alias))
-    assert not in_python(plan(out)) and [tuple(r)[3:] for r in out.collect()] == [("chr1", 5, 0.5)]
+    out = error_parse.loaded(error_parse.data_lines(raw, files, info, alias, layout=True))
+    assert not in_python(plan(out)) and [(r["chr"], r["pos"], r["pval"], r["further"]) for r in out.collect()] == [("chr1", 5, 0.5, {})]

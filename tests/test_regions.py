@@ -111,3 +111,20 @@ def test_buckets_give_the_same(spark, monkeypatch):
     left = spark.createDataFrame(rows[:500], "chr string, start long, end long")
     right = df.toDF("chr", "start2", "end2")
     assert sorted(map(tuple, I.overlaps(left, right).collect())) == sorted(map(tuple, I.overlaps(left, right, bound=0).select("chr", "start", "end", "start2", "end2").collect()))
+
+
+def test_many_regions_of_any_chromosome(spark):
+    rows = spark.createDataFrame([(c, i) for i in range(0, 4000) for c in ("chr1", "chrX")] + [(None, 5), ("chr1", None)], "chr string, pos int")
+    r = R(spark, [(None, 40 * k, 40 * k + 9) for k in range(60)] + [(1, 3000, 3999)])
+    inside = lambda c, p: (p < 2400 and p % 40 < 10) or (c == "chr1" and p >= 3000)
+    want = sum(inside(c, p) for p in range(4000) for c in ("chr1", "chrX"))
+    assert r.filter(rows).count() == want and (~r).filter(rows).count() == 8000 - want
+    x = RegionSet(r.df, done=False).merged()
+    assert set(x.rows()) == set(r.rows())
+
+
+def test_intersections_of_any_chromosome(spark):
+    """Both sides with regions of any chromosome beside others."""
+    got = R(spark, [(None, 1, 100), (1, 1001, 1100)]) & R(spark, [(None, 1042, 1142), (2, 42, 142), (None, 21, 42)])
+    want = R(spark, [(None, 21, 42), (1, 1042, 1100), (2, 42, 100)])
+    assert got.equals(want, ["chr1", "chr2", "chr3"])

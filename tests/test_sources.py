@@ -173,3 +173,45 @@ def test_statistics(spark):
     assert complete_missing_stats(df.drop("pval")).first()["pval"] == pytest.approx(0.01)
     b, se = spark.range(1).select(*effect_from_zscore(F.lit(2.0), F.lit(0.3), F.lit(1000.0))).first()
     assert se == pytest.approx(1 / math.sqrt(1004 * 0.42)) and b == pytest.approx(2 * se)
+
+
+@pytest.mark.parametrize("at", [601, 100_000])
+def test_types_hold_for_the_whole_file(spark, tmp_path, at):
+    """A column that changes its type behind the sample keeps every value."""
+    n = at + 500
+    lines = ["chr\tpos\tbeta\tcount\tflag\tlate\tP"] + [f"1\t{i}\t{i if i < at else i + 0.5}\t{i if i < at else i * 10**9}\t{'TRUE' if i < at else 'maybe'}\t{'NA' if i < at else i}\t0.5" for i in range(n)]
+    src = StatsSource.open(spark, write(tmp_path / "f.txt", lines), build=None)
+    kinds = dict(src.table.dtypes)
+    assert (kinds["effect"], kinds["count"], kinds["flag"], kinds["late"], kinds["pos"]) == ("double", "bigint", "string", "int", "int")
+    got = src.table.agg(F.count("effect"), F.sum("effect"), F.count("count"), F.max("count"), F.count_if(F.col("flag") == "maybe"), F.count("late")).first()
+    assert tuple(got) == (n, sum(i if i < at else i + 0.5 for i in range(n)), n, (n - 1) * 10**9, 500, 500)
+    strict = StatsSource.open(spark, str(tmp_path / "f.txt"), build=None, types="sample")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT|not a truth value"):
+        strict.table.agg(F.sum("effect"), F.count_if(F.col("flag"))).collect()
+
+
+def test_many_regions_in_an_expression(spark):
+    df = spark.createDataFrame([(f"chr{1 + i % 3}", i, 0.5 if i % 5 else 0.01) for i in range(9000)], "chr string, pos int, pval double")
+    src = StatsSource.from_table(df)
+    many = RegionSet.of(spark, [1] * 2500, [3 * k for k in range(2500)], [3 * k for k in range(2500)])
+    hit = lambda i: i % 3 == 0 and i < 7500
+    assert src.filter("mine & pval > 0.1", values={"mine": many}).count() == sum(hit(i) and i % 5 > 0 for i in range(9000))
+    assert src.filter("!mine | pval < 0.1", values={"mine": many}).count() == sum(not hit(i) or i % 5 == 0 for i in range(9000))
+    assert src.filter("mine", values={"mine": ~many}).count() == sum(not hit(i) for i in range(9000))
+
+
+def test_long_lists_are_joined(spark):
+    df = spark.createDataFrame([(f"rs{i}", "chr1", i, str(i)) for i in range(5000)] + [(None, None, None, "x")], "rsid string, chr string, pos int, code string")
+    src = StatsSource.from_table(df)
+    names, numbers = [f"rs{i}" for i in range(0, 4000, 2)], list(range(0, 3000, 2))
+    assert src[col("rsid").isin(names)].count() == 2000 and src[col("pos").isin(numbers) & col("rsid").isin(names)].count() == 1500
+    assert src[col("code").isin(numbers)].count() == 1500 and src[~col("pos").isin(numbers)].count() == 3500
+    plan = src.explain(col("rsid").isin(names))
+    assert "Join" in plan and "rs3998" not in plan
+
+
+def test_entries_are_cut_before_the_lookup(spark):
+    ref = spark.createDataFrame([("rs1", "X", 5), ("rs2", "1", 5), ("rs3", "1", 5000), ("rs4", "Y", 7)], "rsid string, chr string, pos int")
+    src = StatsSource.from_table(spark.createDataFrame([(f"rs{i}", 0.1 * i) for i in range(6)], "rsid string, pval double"), reference=ref)
+    rsids = lambda c: sorted(r["rsid"] for r in src[c].collect())
+    assert rsids("chr != 1 & pos < 1000") == ["rs1", "rs4"] and rsids("pos < 1000 & pval > 0.15") == ["rs2", "rs4"] and rsids("pos > 6 | pval < 0.15") == ["rs1", "rs3", "rs4"]

@@ -109,9 +109,15 @@ def test_mixed_rows_vote_for_themselves(spark):
     a, b = rows(rng, 1, 400, {}, fields=("effect", "pval")), rows(rng, 1, 400, {"pval": "percent"}, fields=("effect", "pval"))
     data = [b[i] if i % 7 == 3 or 200 <= i < 203 else a[i] for i in range(400)]
     data = [(*x[:4], None, *x[5:]) if 100 <= i < 180 else x for i, x in enumerate(data)]  # over a whole block nothing speaks
-    votes = U.row_votes(pd.DataFrame([x[3:8] for x in data], columns=["effect", "effect_se", "odds_ratio", "pval", "log10p"], dtype=float))["pval"]
+    pdf = pd.DataFrame([x[3:8] for x in data], columns=["effect", "effect_se", "odds_ratio", "pval", "log10p"], dtype=float)
+    masks = {f: np.full(400, 1 if f != "pval" else 1 + 2 ** U.UNITS["pval"].index("percent")) for f in U.FIELDS}
+    votes = U.row_votes(pdf, masks=masks)["pval"]
+    first = U.row_votes(pdf)["pval"]
     at = [i for i, v in enumerate(votes) if v >= 0]
-    foreign = {i for i in range(400) if U.UNITS["pval"][votes[min(at, key=lambda j: (abs(i - j), j))]] == "percent"}
+    assert len(at) > (first >= 0).sum() and set(at) >= set(np.flatnonzero(first >= 0))  # with fewer units to choose from more rows speak
+    votes = np.where(votes >= 0, votes, first)
+    spoke = list(np.flatnonzero(first >= 0))
+    foreign = {i for i in range(400) if U.UNITS["pval"][votes[i] if votes[i] >= 0 else first[min(spoke, key=lambda j: (abs(i - j), j))]] == "percent"}
     assert {i for i in at if i in foreign} == {i for i in at if i % 7 == 3 or 200 <= i < 203}
     files = spark.createDataFrame([(1, None, None, None)], F_COLS)
     got = {r["row_id"] for r in U.foreign_values(spark.createDataFrame(data, S_COLS), files).collect()}
@@ -165,3 +171,54 @@ def test_further_columns_with_clashing_names(spark):
     out = U.to_canonical(df, files)
     assert out.columns == [*df.columns, "log10p_unit", "effect_unit", "odds_ratio_unit"] and out.filter("a1 = row_id").count() == 40
     assert U.foreign_values(df, files).select("field").distinct().collect() == [("pval",)]
+
+
+@pytest.mark.parametrize("n", [1_000, 100_000, 1_000_000])
+def test_short_stretches_at_any_size(spark, tmp_path, n):
+    """A handful of values in another unit at the start, in the middle or at the end of a file are found, and no others,
+    however long the file is."""
+    rng = np.random.default_rng(8)
+    parts, want = [], set()
+    for fid, first in ((1, 0), (2, n // 2), (3, n - 15)):
+        z, se = rng.uniform(0.5, 4, n), rng.uniform(0.01, 0.03, n)
+        pval = np.power(10.0, -U.neglog10_p(z))
+        foreign = np.zeros(n, dtype=bool)
+        foreign[first : first + 15] = True
+        parts.append(pd.DataFrame({"row_id": fid * 10_000_000 + np.arange(n), "file_id": fid, "line_no": np.arange(n, dtype=np.int32), "effect": z * se, "effect_se": se, "odds_ratio": np.nan, "pval": np.where(foreign, 100 * pval, pval), "log10p": np.nan}))
+        want |= set(parts[-1]["row_id"][foreign])
+    pd.concat(parts).to_parquet(tmp_path / "s.parquet")
+    files = spark.createDataFrame([(i, None, None, None) for i in (1, 2, 3)], F_COLS)
+    got = {r["row_id"] for r in U.foreign_values(spark.read.parquet(str(tmp_path / "s.parquet")), files).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    ("text", "of", "want"),
+    [
+        ("p values are percentages", None, ("pval", "percent")), ("significance given as minus log10", None, ("pval", "neglog10")), ("slopes times 1000", None, ("effect", "milli")), ("estimates on a log2 scale", None, ("effect", "log2")),
+        ("the LP column holds log10 of p without sign change", None, ("log10p", "log10")), ("ORs expressed as percent", None, ("odds_ratio", "percent")), ("log base 2 of the odds ratio in beta", None, ("effect", "log2")),
+        ("log10 of p with the sign kept", None, ("log10p", "log10")), ("estimate = Cohen d", None, ("effect", "smd")), ("p is ln p", None, ("pval", "ln")), ("LP uses ln instead of log10", None, ("log10p", "negln")),
+        ("17 log books", None, None), ("95 % call rate", None, None), ("effect on the log-odds scale", None, None), ("pval is a probability", None, None), (None, None, None), ("", "pval", None), ("x" * 10_000, None, None),
+        ("per cent", "pval", ("pval", "percent")), ("-log10", "pval", ("pval", "neglog10")), ("lnOR", "effect", None), ("1e-3 lnOR", "effect", ("effect", "milli")), ("D", "effect", ("effect", "smd")),
+    ],
+)
+def test_notes_are_read_by_grammar(text, of, want):
+    assert U.read_unit(text, of) == want
+
+
+def test_composition_of_found_values(spark):
+    data = [(1, 7, 1, None, None, None, 50.0, None, "x"), (2, 7, 2, None, None, None, 5.0, None, "x")]
+    files = spark.createDataFrame([(7, "percent", None, None)], F_COLS)
+    got = {(r["row_id"], r["unit"], r["canonical"]) for r in U.foreign_values(spark.createDataFrame(data, S_COLS), files).collect()}
+    assert got == {(1, "percent", 0.5), (2, "percent", 0.05)}
+
+
+def test_votes_are_carried_over_stretches(spark):
+    """However the blocks are cut into stretches, rows without vote find the nearest vote."""
+    rng = np.random.default_rng(12)
+    a, b = rows(rng, 1, 300, {}, fields=("effect", "pval")), rows(rng, 1, 300, {"pval": "percent"}, fields=("effect", "pval"))
+    data = [b[i] if i % 90 > 60 else a[i] for i in range(300)]
+    data = [(*x[:4], None, *x[5:]) if 100 <= i < 180 or i > 280 else x for i, x in enumerate(data)]
+    stats, mixed = spark.createDataFrame(data, S_COLS), spark.createDataFrame([(1, "pval", "prob")], "file_id long, field string, unit string")
+    near = lambda span: {(r["block"], str(r["pval"])) for r in U.nearest_votes(stats, mixed, 8, span).collect()}
+    assert near(1) == near(3) == near(4096)
