@@ -51,11 +51,22 @@ def read_chain(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame(list(blocks(f)), SCHEMA)
 
 
+#: Where public chain files lie and what builds are called there. Fixed values.
+BASE_URL = "https://hgdownload.soe.ucsc.edu/goldenPath"
+UCSC = {"b36": "hg18", "b37": "hg19", "b38": "hg38"}
+
+
+def remote(source: str, target: str, base: str = BASE_URL) -> str:
+    """The URL of the chain file from one build to another."""
+    a, b = (UCSC[normalise_build(x, False)] for x in (source, target))
+    return f"{base}/{a}/liftOver/{a}To{b[0].upper()}{b[1:]}.over.chain.gz"
+
+
 class ChainStore:
-    """A folder of chain tables as Parquet, one per pair of builds."""
+    """A folder of chain tables as Parquet, one per pair of builds. With ``download`` a missing one is fetched."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, download: bool = False, base: str = BASE_URL) -> None:
+        self.spark, self.folder, self.download, self.base = spark, folder, download, base
 
     def _path(self, source: str, target: str) -> str:
         return f"{self.folder}/{normalise_build(source, False)}_to_{normalise_build(target, False)}.parquet"
@@ -69,6 +80,11 @@ class ChainStore:
 
     def get(self, source: str, target: str) -> DataFrame:
         out = self._path(source, target)
+        if not Path(out).exists() and self.download:
+            from .download import fetch
+
+            url = remote(source, target, self.base)
+            return self.register(source, target, fetch(url, f"{self.folder}/{url.rsplit('/', 1)[1]}"))
         if not Path(out).exists():
             raise FileNotFoundError(f"no chain table from {source} to {target}; register one")
         df = self.spark.read.parquet(out)

@@ -12,6 +12,30 @@ from ..functions.genome import with_chr
 from ..operators.regions import RegionSet
 
 
+#: Where the public reference entries lie, by build, and the names of their files there. Fixed values.
+BASE_URL = "https://ftp.ncbi.nih.gov/snp/organisms"
+BUILD_PATHS = {"b37": "human_9606_b151_GRCh37p13/VCF", "b38": "human_9606_b151_GRCh38p7/VCF"}
+FILES = {"common": "00-common_all.vcf.gz", "all": "00-All.vcf.gz"}
+
+
+def remote(build: str, kind: str = "common", base: str = BASE_URL) -> str:
+    """The URL of the entries of a build: common ones or all."""
+    build = normalise_build(build, False)
+    if build not in BUILD_PATHS or kind not in FILES:
+        raise ValueError(f"no {kind} entries of {build}; there are {', '.join(FILES)} of {', '.join(BUILD_PATHS)}")
+    return f"{base}/{BUILD_PATHS[build]}/{FILES[kind]}"
+
+
+def setup(spark: SparkSession, build: str, kind: str, downloads: str, folder: str, base: str = BASE_URL, attempts: int = 3) -> str:
+    """Fetches the entries of a build into the folder of downloads, checked by digest, and puts them into the store."""
+    from .download import fetch
+
+    url, build = remote(build, kind, base), normalise_build(build, False)
+    got = fetch(url, f"{downloads}/{FILES[kind].replace('.vcf', f'_{build}.vcf')}", f"{url}.md5", attempts)
+    ingest(spark, got, folder, build)
+    return got
+
+
 def md5_matches(path: str, digest: str) -> bool:
     """A downloaded file is whole."""
     h = hashlib.md5()

@@ -33,7 +33,7 @@ def test_entry(spark):
 @needs_data
 @pytest.mark.parametrize(
     "name",
-    ["flagship_region_pval", "filter_regions_significant", "filter_chr_range", "filter_in_large", "decode_marker_build", "region_merge", "region_filter_exclude", "liftover_points_last", "liftover_keep_unlifted", "variants_best_source", "variant_id_parse", "infer_build_counts", "stats_from_or", "p1_found", "p1_orphans_by_month", "p3_changes", "p3_fields", "p4_found", "p5_found"],
+    ["flagship_region_pval", "filter_regions_significant", "filter_chr_range", "filter_in_large", "decode_marker_build", "region_merge", "region_filter_exclude", "liftover_points_last", "liftover_keep_unlifted", "variants_best_source", "variant_id_parse", "infer_build_counts", "stats_from_or", "p1_found", "p1_orphans_by_month", "p2_found", "p2_units", "p2_conversions", "p3_changes", "p3_fields", "p3_table", "p4_found", "p5_found", "p5_loaded", "text_scan", "region_difference", "region_union_mixed", "region_filter_any_chromosome", "liftover_ranges_first", "filter_in_list_large", "filter_regions_in_expression", "stream_event_counts"],
 )
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

@@ -142,6 +142,34 @@ def test_chains(spark, tmp_path):
         store.get("b37", "b38")
 
 
+def test_downloads(spark, tmp_path):
+    from hashlib import md5
+
+    from allelemill.sources import chain as chains
+    from allelemill.sources.download import fetch
+
+    base = tmp_path / "web"
+    vcf = base / ref_store.BUILD_PATHS["b37"] / "00-common_all.vcf.gz"
+    vcf.parent.mkdir(parents=True)
+    write(vcf, ["##x", "#CHROM\tPOS\tID\tREF\tALT\tQ\tF\tI", "1\t10\trs1\tA\tC\t.\t.\t."])
+    (vcf.parent / "00-common_all.vcf.gz.md5").write_text(md5(vcf.read_bytes()).hexdigest() + "  00-common_all.vcf.gz\n")
+    got = ref_store.setup(spark, "hg19", "common", str(tmp_path / "in"), str(tmp_path / "store"), base.as_uri())
+    assert got.endswith("00-common_all_b37.vcf.gz") and ref_store.entries(spark, str(tmp_path / "store"), "b37").count() == 1
+    (vcf.parent / "00-common_all.vcf.gz.md5").write_text("0" * 32)
+    with pytest.raises(OSError, match="2 attempts.*digest"):
+        fetch(vcf.as_uri(), str(tmp_path / "again.gz"), vcf.as_uri() + ".md5", attempts=2, wait=0)
+    assert not (tmp_path / "again.gz").exists()
+    with pytest.raises(OSError, match="1 attempts"):
+        fetch((base / "none").as_uri(), str(tmp_path / "x"), attempts=1)
+    with pytest.raises(ValueError, match="no rare entries"):
+        ref_store.remote("b37", "rare")
+    assert ref_store.remote("b38", "all").endswith("GRCh38p7/VCF/00-All.vcf.gz") and chains.remote("b37", "b38").endswith("/hg19/liftOver/hg19ToHg38.over.chain.gz")
+    there = base / "hg19/liftOver/hg19ToHg38.over.chain.gz"
+    there.parent.mkdir(parents=True)
+    write(there, ["chain 1 chr1 1000 + 100 190 chr2 1000 + 40 130 1", "90", ""])
+    assert ChainStore(spark, str(tmp_path / "chains"), download=True, base=base.as_uri()).get("b37", "b38").count() == 1
+
+
 def test_config(tmp_path):
     config.reset()
     with pytest.warns(UserWarning, match="not set"):
