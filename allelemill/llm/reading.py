@@ -125,7 +125,7 @@ CONNECTIVES = [
     "itself", "insofar", "inasmuch", "notwithstanding", "granted", "extent", "were", "is", "according", "concerned", "therefore", "however", "moreover",
 ]
 _LENGTHS = [1, 4, 6, 8, 10, 12, 14, 40]  # edges of the classes of word lengths
-_MOST_WORDS = 1_000_000  #: words that are remembered before the memory starts anew
+_MOST_WORDS = 200_000  #: words that are remembered before the memory starts anew
 
 
 class Lexicon:
@@ -365,7 +365,9 @@ def reading_levels(documents: DataFrame, samples: DataFrame, min_words: int = 40
                     ids.append(doc_id)
                     mine.append(words)
                     counts.append(n)
-            x, languages = features(mine, model.lexicon)
+            # some hundred texts at a time, so that the arrays of their words stay small
+            parts = [features(mine[a : a + 512], model.lexicon) for a in range(0, max(1, len(mine)), 512)]
+            x, languages = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             kept = is_english(languages)
             s = model.rank(x[kept]) if kept.any() else np.zeros(0)
             out = {"doc_id": np.array(ids, dtype="int64")[kept], "grade": model.level(s), "score": s, "n_words": np.array(counts, dtype="int32")[kept]}
