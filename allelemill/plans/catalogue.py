@@ -21,6 +21,9 @@ from ..operators.regions import RegionSet
 from ..operators.variants import Variants
 from ..plans.predicate import col, parse
 from ..scale import checkpoint_dir
+from ..sources import reference as ref_store
+from ..sources.chain import SCHEMA as CHAIN_SCHEMA
+from ..sources.chain import blocks
 from ..sources.stats_source import StatsSource
 from ..tables import table
 
@@ -452,6 +455,28 @@ def liftover_ranges_first(s: SparkSession, d: str) -> DataFrame:
     return t.select("chr", F.col("start").alias("start_pos"), F.col("end").alias("end_pos"))
 
 
+@query(_MATCH.format(join="", pick=_pick("c.start_pos, c.end_pos, c.off")).replace("c.new_chr,", "c.new_chr, v.chr AS chr_b37, v.pos AS pos_b37,", 1) + "SELECT rsid, new_chr AS chr, cast(new_pos AS int) AS pos, chr_b37, pos_b37, new_chr AS chr_b38, cast(new_pos AS int) AS pos_b38 FROM x")
+def liftover_table_retained(s: SparkSession, d: str) -> DataFrame:
+    """A table whose coordinates in both builds are kept; a second lift back takes the recorded ones."""
+    chains = {("b37", "b38"): chain(s, d), ("b38", "b37"): chain(s, d)}
+    t = liftover.lift_table(stats(s, d).select("rsid", "chr", "pos"), chains, "b38", "b37", retain_builds=True)
+    back = liftover.lift_table(t, chains, "b37", "b38", retain_builds=True)
+    return back.select("rsid", F.col("chr_b38").alias("chr"), F.col("pos_b38").alias("pos"), F.col("chr").alias("chr_b37"), F.col("pos").alias("pos_b37"), "chr_b38", "pos_b38")
+
+
+@query(
+    "SELECT 'chr' || cast(n_nationkey % 22 + 1 AS string) AS chr, cast(n_nationkey * 1000 + 1 AS int) AS start_pos, cast(n_nationkey * 1000 + 50 + n_regionkey AS int) AS end_pos, cast(50 + n_regionkey AS int) AS width,"
+    " 'chr' || cast(n_regionkey + 1 AS string) AS new_chr, cast(CASE WHEN n_nationkey % 2 = 1 THEN n_nationkey * 1000 + 50 + n_regionkey - (1000000 - n_nationkey * 10) ELSE n_nationkey * 990 END AS int) AS off, n_nationkey % 2 = 1 AS rev FROM nation"
+)
+def chain_file(s: SparkSession, d: str) -> DataFrame:
+    """The text of a chain file of one chain a nation, read as blocks."""
+    lines = []
+    for r in table(s, d, "nation").select("n_nationkey", "n_regionkey").collect():  # a few chains, as in any chain file
+        n, width = r["n_nationkey"], 50 + r["n_regionkey"]
+        lines += [f"chain 1 chr{n % 22 + 1} 1000000 + {n * 1000} {n * 1000 + width} chr{r['n_regionkey'] + 1} 1000000 {'-' if n % 2 else '+'} {n * 10} {n * 10 + width} {n}", str(width), ""]
+    return s.createDataFrame(list(blocks(lines)), CHAIN_SCHEMA).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
 _LIFTED_REGIONS = SQL["liftover_ranges"][len(WITH) :]
 
 
@@ -547,6 +572,23 @@ def rsid_regions(s: SparkSession, d: str) -> DataFrame:
     return rsid.by_regions(stats(s, d).select("effect", "rsid"), reference(s, d), region_set(s, d, True))
 
 
+@query("SELECT rsid, chr, pos, ref, alt FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.chr = e.chr AND e.pos BETWEEN start_pos AND end_pos)")
+def reference_store(s: SparkSession, d: str) -> DataFrame:
+    """Entries put into the store from the text of a VCF and read by regions."""
+    base = f"{checkpoint_dir(s)}/reference-{uuid.uuid4().hex}"
+    cells = [F.expr("substr(chr, 4)"), F.col("pos").cast("string"), "rsid", "ref", "alt", F.lit("."), F.lit("."), F.lit(".")]
+    lines = reference(s, d).select(F.concat_ws("\t", *cells).alias("value"))
+    lines.write.text(f"{base}/vcf")
+    ref_store.ingest(s, f"{base}/vcf", f"{base}/store", "hg19")
+    return ref_store.entries(s, f"{base}/store", "b37", region_set(s, d, True)).select("rsid", "chr", "pos", "ref", "alt")
+
+
+@query("SELECT * FROM v WHERE chr = 'chr6' AND pos > 9000 AND pval < 0.3")
+def staged_filter(s: SparkSession, d: str) -> DataFrame:
+    """A source written as Parquet by chromosome and sorted by position, filtered from there."""
+    return source(s, d).stage(f"{checkpoint_dir(s)}/staged-{uuid.uuid4().hex}")["chr == 6 & pos > 9000 & pval < 0.3"].select(*stats(s, d).columns)
+
+
 @query("SELECT effect, pval, rsid FROM v WHERE pval < 0.05")
 def rsid_plain_filter(s: SparkSession, d: str) -> DataFrame:
     return StatsSource.from_table(stats(s, d).select("effect", "pval", "rsid"), "b37", reference=reference(s, d))["pval < 0.05"].select("effect", "pval", "rsid")
