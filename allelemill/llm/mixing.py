@@ -290,6 +290,41 @@ def thresholds(docs: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.join(at, _CELL, "left").select(*_CELL, "whole", F.when(F.col("extra") > 0, F.coalesce("below", F.lit(1.0))).otherwise(0.0).alias("below"))
 
 
+def calibrated(docs: DataFrame, cells: dict[tuple, float], copies: dict[tuple, float], repeats: dict[str, int], rounds: int = 6, tolerance: float = 0.0005) -> DataFrame:
+    """docs with ``copies``: sampled so that every source reaches its tokens. What the texts of a source hold too much or too
+    little (a few long ones, many small cells) is made up for in its largest cell that can give or take, in the next round in
+    the next one (a long text may lie at the very threshold), until every source is within ``tolerance``; the best round holds; each round brings one row per cell to the driver."""
+    whole = {k: math.floor(w + 1e-9) for k, w in copies.items()}
+    extra = {k: max(0.0, w - whole[k]) if whole[k] < repeats[k[0]] else 0.0 for k, w in copies.items()}
+    want: dict[str, float] = defaultdict(float)
+    for k, w in copies.items():
+        want[k[0]] += w * cells[k]
+    best: tuple[float, DataFrame] | None = None
+    for turn in range(rounds):
+        made = [(*k, whole[k], extra[k]) for k in sorted(copies)]
+        plan = cut(thresholds(docs, docs.sparkSession.createDataFrame(made, "src string, lang string, topic string, whole int, extra double")))
+        n = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
+        out = docs.join(small(plan, 100_000), _CELL).withColumn("copies", n.cast("int")).filter("copies > 0")
+        reached = {r["src"]: float(r["t"]) for r in out.groupBy("src").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
+        off = {s: w - reached.get(s, 0.0) for s, w in want.items()}
+        worst = max((abs(x) / want[s] for s, x in off.items() if want[s]), default=0.0)
+        if best is None or worst < best[0]:
+            best = (worst, out)
+        if worst <= tolerance:
+            break
+        for s, x in off.items():
+            order = sorted((k for k in copies if k[0] == s and whole[k] < repeats[s]), key=lambda k: (-cells[k], k))
+            if abs(x) <= tolerance * want[s]:
+                continue
+            for k in order[turn:] + order[:turn]:
+                share = min(1.0, max(0.0, extra[k] + x / cells[k]))
+                x -= (share - extra[k]) * cells[k]
+                extra[k] = share
+                if abs(x) < 1:
+                    break
+    return best[1]
+
+
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, language_targets: dict | None = None, topic_targets: dict | None = None, path: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, copies) of the selected texts."""
     return _mixed(documents, targets, total_tokens, language_targets, topic_targets, path)[0]
@@ -305,10 +340,7 @@ def _mixed(documents: DataFrame, targets: DataFrame, total_tokens: float | None,
     # one row per cell: sources with target x languages x topics
     cells = {tuple(r[c] for c in _CELL): float(r["n"]) for r in docs.groupBy(*_CELL).agg(F.sum("n_tokens").alias("n")).collect()}
     copies = {k: float(w) for k, w in weights(cells, share, repeats, language_targets, topic_targets, total_tokens).items()}
-    made = [(*k, math.floor(w + 1e-9), max(0.0, w - math.floor(w + 1e-9)) if math.floor(w + 1e-9) < repeats[k[0]] else 0.0) for k, w in sorted(copies.items())]
-    plan = thresholds(docs, spark.createDataFrame(made, "src string, lang string, topic string, whole int, extra double"))
-    n = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    out = docs.join(small(cut(plan), 100_000), _CELL).withColumn("copies", n.cast("int")).filter("copies > 0")
+    out = calibrated(docs, cells, copies, repeats)
     there = {c[0] for c, v in cells.items() if v > 0}
     want = {s: v for s, v in share.items() if s in there and v > 0}
     want = {s: v / sum(want.values()) for s, v in want.items()}
