@@ -18,8 +18,7 @@ the candidate that splits the header into the known column names, else into the
 
 Defined results: null lines are blank lines. Lines of files without any header line are no data. For columns that
 are not described the names of the header itself are looked up; a field that is not among them is not checked. Repeated lines are each reported. A
-repeated header is a line like any other. In lines of more than ``LONG`` tokens the number of values does not choose between equally few
-edits of quotes (the reason is the same). Empty tables give empty results; further columns are ignored.
+repeated header is a line like any other. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -185,86 +184,115 @@ def loaded(rows: DataFrame) -> DataFrame:
 
 # ---- repair by dynamic programming
 
-_QUOTE, _SEP, _TEXT = 0, 1, 2
-LONG = 20_000  #: tokens of a line up to which the number of values takes part in the parse of quotes
-
-
-def _tokens(line: str, sep: str) -> list[tuple[int, str]]:
-    cuts = re.compile('(["' + re.escape(sep) + "])")
-    return [(_QUOTE if t == '"' else _SEP if t == sep else _TEXT, t) for t in cuts.split(line) if t]
+_QUOTE, _SEP, _TEXT, _BLANK = range(4)
+_SPAN = 1024  #: tokens whose steps are held at a time; of the others only each first one. The parse does not depend on it
+
+
+def _tokens(line: str, sep: str) -> tuple[list[str], bytes]:
+    """The tokens of a line and their kinds."""
+    toks = [t for t in re.split('(["' + re.escape(sep) + "])", line) if t]
+    return toks, bytes(_QUOTE if t == '"' else _SEP if t == sep else _TEXT if t.strip(" \t") else _BLANK for t in toks)
+
+
+#: Of equal parses the edits before None come as early in the line as they can, those after it as late.
+_FIRST = ["break at quote", "delete quote", None, "double quote", "insert quote"]
+
+
+def _reads(s: int, kind: int) -> list[tuple[int, int, int, str | None]]:
+    """(cost, values closed, next state, edit) of each way to read a token in state s."""
+    if kind == _TEXT:
+        return [(0, 0, max(s, 1), None)] if s < 3 else []
+    if kind == _BLANK:
+        return [(0, 0, s if s < 3 else 4, None)]
+    if kind == _SEP:
+        return [(0, 0, 2, None) if s == 2 else (0, 1, 0, None)]
+    double = [(1, 0, 2, "double quote")] if s == 2 else []
+    read = [(0, 0, 3 if s == 2 else 2, None)] if s in (0, 2, 3) else []
+    return [*double, (1, 0, s, "delete quote"), *read]
+
+
+def _moves(s: int, kind: int) -> list[tuple[int, int, int, tuple[str | None, ...]]]:
+    """(cost, values closed, next state, edits) of each way past a token in state s; the last of the edits is that of the
+    token itself. Before it a quote may be inserted, then a value broken. Of ways to the same the cheapest is kept."""
+    before = [(0, 0, s, ()), *([(1, 0, 2 if s == 0 else 3, ("insert quote",))] if s in (0, 2) else [])]
+    breaks = {_QUOTE: (1, 4), _TEXT: (3, 4)}.get(kind, ())
+    before += [(c + 1, 1, 0, (*e, "break at quote")) for c, _, t, e in before if t in breaks]
+    ways: dict[tuple[int, int], tuple[int, int, int, tuple[str | None, ...]]] = {}
+    for c, k, t, e in before:
+        for c2, k2, t2, e2 in _reads(t, kind):
+            if (k + k2, t2) not in ways or c + c2 < ways[k + k2, t2][0]:
+                ways[k + k2, t2] = (c + c2, k + k2, t2, (*e, e2))
+    return sorted(ways.values(), key=lambda w: _FIRST.index(w[3][0]))
+
+
+_MOVES = [[_moves(s, kind) for s in range(5)] for kind in range(4)]
+_SOUND = [[next((t for c, _, t, _ in ways if not c), -1) for ways in of] for of in _MOVES]
+
+
+def _steps(kinds: bytes, after: list[tuple[int, int, int]], top: int) -> list[list[tuple[int, int, int]]]:
+    """Before each token and after the last one, by state: (fewest edits of the rest of the line, the numbers of values up
+    to ``top`` that it can close with so few as bits, the least such number beyond or 0). Of those beyond the least always
+    comes nearest to the header's."""
+    out = [after]
+    for kind in reversed(kinds):
+        here = []
+        for ways in _MOVES[kind]:
+            cost = min([c + after[t][0] for c, _, t, _ in ways])
+            bits = beyond = 0
+            for c, k, t, _ in ways:
+                c2, b, y = after[t]
+                if c + c2 == cost:
+                    if k:
+                        b <<= 1
+                        y += y > 0
+                        if b >> top + 1:
+                            b, y = b ^ (2 << top), top + 1
+                    bits |= b
+                    beyond = min(beyond, y) or beyond or y
+            here.append((cost, bits, beyond))
+        after = here
+        out.append(after)
+    return out[::-1]
 
 
 def mend_quotes(line: str, sep: str, n_cols: int) -> tuple[list[str], str]:
     """(edits, line with sound quoting): the fewest edits of quotes; among equally few those that leave the number of values
-    nearest to n_cols.
+    nearest to n_cols, of two as near the lower; of equals the one by the order of ``_FIRST``.
 
     States: 0 at the start of a value, 1 in a bare value, 2 in a quoted one, 3 right after its closing quote, 4 after
-    blanks behind that. A parse is a state and the number of values so far (those far beyond n_cols are not told apart).
-    Passes allow 0, 1, 2, 4... edits, so a sound line costs one look at each token.
+    blanks behind that. A sound line costs one look at each token. In any other, from its end, the fewest edits and the
+    numbers of values that the rest of the line allows are found for each token and state; the parse follows them.
     """
-    toks = _tokens(line, sep)
-    most = 0 if len(toks) > LONG else 2 * n_cols + 16
-    bound = 0
-    while True:
-        found = _quote_pass(toks, sep, most, bound)
-        if found:
-            best = min(found, key=lambda x: (x[0], abs(x[1] + 1 - n_cols)))
-            edits, out, link = [], [], best[2]
-            while link is not None:
-                edit, text, link = link
-                out.append(text)
-                if edit:
-                    edits.append(edit)
-            return edits[::-1], "".join(out[::-1])
-        bound = max(1, 2 * bound)
-
-
-def _quote_pass(toks: list[tuple[int, str]], sep: str, most: int, bound: int) -> list[tuple[int, int, tuple | None]]:
-    """(edits, values closed, link) of each sound end within ``bound`` edits; links (edit, text, link before) share their tails."""
-    layer: dict[tuple[int, int], tuple[int, tuple | None]] = {(0, 0): (0, None)}
-
-    def relax(to: dict, s: int, k: int, cost: int, link: tuple | None) -> None:
-        key = (s, min(k, most))
-        if cost <= bound and (key not in to or cost < to[key][0]):
-            to[key] = (cost, link)
-
-    def inserted(cur: dict, kind: int | None, blank: bool) -> dict:
-        """cur and what edits that read nothing lead to from it, before a token of the kind (None: the end)."""
-        for (s, k), (c, l) in sorted(cur.items(), key=lambda x: x[1][0]):
-            if s == 0 and kind is not None:
-                relax(cur, 2, k, c + 1, ("insert quote", '"', l))
-            elif s == 2:
-                relax(cur, 3, k, c + 1, ("insert quote", '"', l))
-        for (s, k), (c, l) in list(cur.items()):  # breaks at a quote
-            if (s == 1 and kind == _QUOTE) or (s in (3, 4) and kind == _TEXT and not blank) or (s == 4 and kind == _QUOTE):
-                relax(cur, 0, k + 1, c + 1, ("break at quote", sep, l))
-        return cur
-
-    for kind, text in toks:
-        blank = kind == _TEXT and not text.strip(" \t")
-        if bound:
-            inserted(layer, kind, blank)
-        nxt: dict[tuple[int, int], tuple[int, tuple | None]] = {}
-        for (s, k), (c, l) in layer.items():
-            if kind == _TEXT:
-                if s < 3:
-                    relax(nxt, 1 if s == 0 and not blank else s, k, c, ("", text, l))
-                elif blank:
-                    relax(nxt, 4, k, c, ("", text, l))
-            elif kind == _SEP:
-                relax(nxt, *((2, k) if s == 2 else (0, k + 1)), c, ("", sep, l))
-            else:
-                if s in (0, 2, 3):
-                    relax(nxt, 3 if s == 2 else 2, k, c, ("", '"', l))
-                if s == 2:
-                    relax(nxt, 2, k, c + 1, ("double quote", '""', l))
-                relax(nxt, s, k, c + 1, ("delete quote", "", l))
-        layer = nxt
-        if not layer:
-            return []
-    if bound:
-        inserted(layer, None, False)
-    return [(c, k, l) for (s, k), (c, l) in layer.items() if s != 2]
+    toks, kinds = _tokens(line, sep)
+    s = 0
+    for kind in kinds:
+        s = _SOUND[kind][s]
+        if s < 0:
+            break
+    if s not in (-1, 2):
+        return [], line
+    top, starts = max(n_cols, 1) - 1, range(0, len(toks), _SPAN)
+    ends = [[(int(s == 2), 1, 0) for s in range(5)]]  # an open quote is closed at the end
+    for i in reversed(starts):
+        steps = _steps(kinds[i : i + _SPAN], ends[-1], top)
+        ends.append(steps[0])
+    _, bits, beyond = steps[0][0]
+    under = bits.bit_length() - 1
+    left = beyond if beyond and (not bits or beyond - top < top - under) else under
+    edits, out, s = [], [], 0
+    for i in starts:
+        ends.pop()
+        if i:
+            steps = _steps(kinds[i : i + _SPAN], ends[-1], top)
+        for j, kind in enumerate(kinds[i : i + _SPAN]):
+            for c, k, t, done in _MOVES[kind][s]:
+                c2, b, y = steps[j + 1][t]
+                if c + c2 == steps[j][s][0] and left >= k and (b >> left - k & 1 if left - k <= top else y == left - k):
+                    break
+            s, left = t, left - k
+            edits += [e for e in done if e]
+            out += [{"insert quote": '"', "break at quote": sep, "double quote": '""', "delete quote": ""}.get(e, toks[i + j]) for e in done]
+    return (edits + ["insert quote"], "".join(out) + '"') if s == 2 else (edits, "".join(out))
 
 
 def split_sound(line: str, sep: str) -> list[str]:

@@ -134,6 +134,35 @@ def test_very_long_line_with_many_quotes():
     assert E.parse('"a" ' * 30_000, ",", 5, {})[0] == "quoting"
 
 
+@pytest.mark.parametrize("m", [10, 4_000, 12_000])
+def test_number_of_values_counts_at_any_length(m):
+    edits, fixed = E.mend_quotes('1,5,"' + "a,b " * m, ",", 5)
+    assert edits == ["insert quote"] and len(E.split_sound(fixed, ",")) == 5
+
+
+@pytest.mark.parametrize("m", [3, 20, 3_000])
+def test_numbers_far_beyond_the_header_are_told_apart(m):
+    edits, fixed = E.mend_quotes("x," * m + '"b' + ",c" * 60, ",", 1)
+    assert edits == ["insert quote"] and len(E.split_sound(fixed, ",")) == m + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet='a", ', max_size=40), st.integers(0, 6), st.integers(1, 5))
+def test_parse_does_not_depend_on_the_span(text, n, span):
+    want, kept = E.mend_quotes(text, ",", n), E._SPAN
+    E._SPAN = span
+    try:
+        assert E.mend_quotes(text, ",", n) == want
+    finally:
+        E._SPAN = kept
+
+
+def test_repairs_of_a_long_line(spark):
+    texts = ["1,5,A,0.5,x", '1,5,A,0.5,"' + "a,b " * 12_000]
+    (r,) = E.failures(E.data_lines(*frames(spark, ",", texts))).collect()
+    assert (r["reason"], r["cost"], r["edits"], r["repaired"]) == ("quoting", 1.0, "insert quote", texts[1] + '"')
+
+
 def test_empty(spark):
     raw, files, info, alias = frames(spark, ",", ["1,5,A,0.5"])
     assert E.failures(E.data_lines(raw.limit(0), files, info, alias)).count() == 0
